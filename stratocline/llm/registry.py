@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from stratocline.llm import mixing, url_filter
+from stratocline.llm import byte_cnn, media, mixing, token_tree, url_filter, warc_zip
 
 QUERIES = {
+    "op1_token_counts": token_tree.op1_token_counts,
+    "op3_warc": warc_zip.op3_warc,
+    "op4_media": media.op4_media,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality": byte_cnn.op10_quality,
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc_zip.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

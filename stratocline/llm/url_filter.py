@@ -101,7 +101,8 @@ def judge(urls: DataFrame, rules: Iterable[Rule], *, url_col: str = "url", defau
     if any(not literal_tokens(r.glob) for r in rules):
         tokens = F.array_union(tokens, F.array(F.lit("")))
     exploded = judged.select("url", "host", "path", F.explode(tokens).alias("token"))
-    listed = spark.createDataFrame([(*r, to_regex(r.glob), literal_tokens(r.glob) or [""]) for r in rules], "name string, glob string, rule_verdict string, rank int, pattern string, tokens array<string>")
+    entries = [F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("rule_verdict"), F.lit(r.rank).alias("rank"), F.lit(to_regex(r.glob)).alias("pattern"), F.array(*map(F.lit, literal_tokens(r.glob) or [""])).alias("tokens")) for r in rules]
+    listed = spark.range(1).select(F.inline(F.array(*entries)))
     filed = listed.select("name", "rule_verdict", "rank", "pattern", F.explode("tokens").alias("token"))
     wanted = filed.select("token").distinct()
     seen = exploded.join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
