@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stratocline.llm import byte_cnn, line_dedup, media, mixing, setsketch, token_tree, url_filter, warc_zip
+from stratocline.llm import byte_cnn, decontaminate, line_dedup, media, mixing, setsketch, token_tree, url_filter, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_tree.op1_token_counts,
     "op2_near_dedup": setsketch.op2_near_dedup,
     "op3_warc": warc_zip.op3_warc,
     "op4_media": media.op4_media,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_mixing": mixing.op9_mixing,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_near_dedup": setsketch.OP2_SQL,
     "op3_warc": warc_zip.OP3_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
