@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratocline.llm import byte_cnn, decontaminate, line_dedup, media, mixing, setsketch, token_tree, url_filter, warc_zip
+from stratocline.llm import byte_cnn, decontaminate, line_dedup, media, mixing, page_text, setsketch, token_tree, url_filter, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_tree.op1_token_counts,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_page_text": page_text.op8_page_text,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": byte_cnn.op10_quality,
 }
