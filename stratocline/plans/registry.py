@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from stratocline.plans import models  # noqa: F401  (registers its queries)
+from stratocline.plans.basic import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "q_metrics_mb_mae_kge"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
