@@ -59,7 +59,7 @@ def hull(points: np.ndarray) -> np.ndarray:
     def half(rows):
         out: list = []
         for r in rows:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], r - out[-2]) <= 0:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(r)
         return out

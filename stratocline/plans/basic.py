@@ -232,7 +232,7 @@ def q_albers(spark, d):
     return V.meta(spark, d).select("id", r(x, 2).alias("x"), r(y, 2).alias("y"))
 
 
-@query("SELECT CAST(i * 601 + j AS BIGINT) AS cell, CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx, round(15.0 + i * 0.2, 4) AS lat, round(-170.0 + j * 0.2, 4) AS lon FROM (SELECT unnest(range(301)) AS i) CROSS JOIN (SELECT unnest(range(601)) AS j)")
+@query("SELECT CAST(i * 601 + j AS BIGINT) AS cell, CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx, round(15.0::DOUBLE + i * 0.2::DOUBLE, 4) AS lat, round(-170.0::DOUBLE + j * 0.2::DOUBLE, 4) AS lon FROM (SELECT unnest(range(301)) AS i) CROSS JOIN (SELECT unnest(range(601)) AS j)")
 def q_grid_axes(spark, d):
     return grids.NORTH_AMERICA.cells(spark).select("cell", "lat_idx", "lon_idx", r("lat").alias("lat"), r("lon").alias("lon"))
 
@@ -471,7 +471,7 @@ def q_tumbling_events(spark, d):
     return tumbling_means(V.table(spark, d, "events")).select("start", "event_type", "n", r("mean").alias("mean"))
 
 
-@query(f"WITH {V.SQL_ESM} SELECT cell, year, month, CAST(CASE WHEN value IS NULL THEN -32768 ELSE round(value * 100) END AS SMALLINT) AS packed, round(CAST(round(value * 100) AS SMALLINT) * 0.01, 2) AS back FROM esm")
+@query(f"WITH {V.SQL_ESM} SELECT cell, year, month, CAST(CASE WHEN value IS NULL THEN -32768 ELSE round(value * 100) END AS SMALLINT) AS packed, round(CAST(round(value * 100) AS SMALLINT) * 0.01::DOUBLE, 2) AS back FROM esm")
 def q_packed_values(spark, d):
     p = S.pack_hundredths(F.col("value"))
     return V.esm(spark, d).select("cell", "year", "month", p.alias("packed"), r(S.unpack_hundredths(p), 2).alias("back"))
