@@ -84,6 +84,21 @@ def _similar(a: set, b: set) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of lines: whether they are similar; signatures that agree in less than two fifths of their bins spare the sets."""
+    lines = [p.decode("utf-8", "replace") for p in payloads]
+    bins = signatures(lines)
+    good = np.zeros(len(x), bool)
+    sets: dict[int, set[str]] = {}
+    for i in np.flatnonzero((bins[x] == bins[y]).sum(1) >= 2 * BINS // 5):
+        a, b = int(x[i]), int(y[i])
+        for k in (a, b):
+            if k not in sets:
+                sets[k] = shingles(lines[k])
+        good[i] = _similar(sets[a], sets[b])
+    return good
+
+
 def _lines(text: str | None) -> list[tuple[int, str]]:
     """(number, normal form) of the lines that are not blank."""
     found = ((i, normal(x)) for i, x in enumerate((text or "").split("\n")))
@@ -162,17 +177,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = ends.join(firsts, "node").groupBy(F.col("first.doc_id").alias("w_id")).agg(F.collect_set(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) of lines, each from the first document that holds it."""
+        wanted = nodes.join(firsts, "node").groupBy(F.col("first.doc_id").alias("w_id")).agg(F.collect_set(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
         wanted = cut(wanted)
-        few = wanted.count() <= BROADCAST_DOCS and wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= 2 * BROADCAST_DOCS
+        few = wanted.count() <= BROADCAST_DOCS and wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= 4 * BROADCAST_DOCS
         lines = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "wanted").mapInArrow(fetch, "node long, text string")
-        lines = cut(lines.dropDuplicates(["node"]))
+        return cut(lines.dropDuplicates(["node"]))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        lines = texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         full = pairs.join(lines.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
-    comps = link(buckets(_bucket_rows(docs), BANDS), confirm)
+    def payload(nodes: DataFrame) -> DataFrame:
+        return texts_of(nodes).select("node", F.col("text").cast("binary").alias("payload"))
+
+    comps = link(buckets(_bucket_rows(docs), BANDS), confirm, payload, compare, exact=True)
     # only lines that repeat or are linked can lose anything
     named = firsts.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").where((F.col("first") != F.col("last")) | F.col("c_node").isNotNull())
     named = cut(named.select("node", "more", "first", F.coalesce("comp", "node").alias("comp")))

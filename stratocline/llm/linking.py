@@ -3,12 +3,13 @@
 Nodes are 64-bit ids of distinct contents (exact copies are one node).  Each node
 brings one 64-bit key per band; nodes that share a key are in one bucket.
 
-No bucket is gathered or paired up: a bucket gets a pivot, each other member is
-compared with it, and connected members need no more comparison, since only
-components count.  Members of a bucket that are still apart after that go to a further
-round with new pivots, one for each component, until what is left of all buckets
-is small; then all pairs across components of the rest are compared.  So no link
-is lost, and a large group of near copies costs about one comparison a member and band.
+A bucket gets a pivot and each other member is compared with it; members that this
+connects need no more comparison, since only components count.  So a large group of
+near copies costs about one comparison a member and band.  Members of a bucket
+that are still in different components are then compared with each other, in
+blocks of at most ``BLOCK`` members: what a pair is rejected by travels with the
+members, and only pairs that may be links leave a block.  So no link is lost and no
+pair is made that is not compared.
 
 Before the shuffle by key each task links the members of a bucket that it holds
 itself and sends on one of them, so that a bucket with a third of all rows meets as
@@ -28,10 +29,12 @@ from stratocline.llm.common import cut
 from stratocline.llm.hashing import mix64
 
 MEMBERS = "key long, node long, pivot long"
-FEW_PAIRS = 4  # pairs across components for each member of the buckets that remain, at which rounds stop
-ROUNDS = 4
+BLOCK = 1024  # members of a bucket in one block
+PAIRS_AT_ONCE = 40_000  # pairs that are compared in one call
 
 Step = Callable[[DataFrame], DataFrame]
+#: Of the members' payloads and two arrays of their numbers: which pairs may be links.
+Compare = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
 def _batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
@@ -125,41 +128,88 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def link(members: DataFrame, confirm: Step, *, salt: int = 0) -> DataFrame:
+def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
+    """Pairs (a, b) that may be links, of members (key, node, comp, payload) of one bucket and different components.
+
+    A bucket with more than ``BLOCK`` members is dealt into parts, and each two parts
+    make a block, so that a task holds two parts of one bucket at most.
+    """
+    parts = rows.groupBy(F.col("key").alias("p_key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).cast("int").alias("parts"))
+    dealt = rows.join(parts, F.col("key") == F.col("p_key")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other")
+    dealt = dealt.select("key", "node", "comp", "payload", "part", "parts", other).where((F.col("parts") == 1) | (F.col("part") != F.col("other")) | (F.col("parts") == 0))
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "comp", "payload")
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = [[], [], [], [], 0]  # left, right, node, payload of pairs still to compare, and how many
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            if waiting[4]:
+                left, right, node = np.concatenate(waiting[0]), np.concatenate(waiting[1]), np.concatenate(waiting[2])
+                for s in range(0, len(left), PAIRS_AT_ONCE):
+                    x, y = left[s : s + PAIRS_AT_ONCE], right[s : s + PAIRS_AT_ONCE]
+                    good = compare(waiting[3], x, y)
+                    x, y = node[x[good]], node[y[good]]
+                    yield _batch(schema, np.minimum(x, y), np.maximum(x, y))
+            waiting[:] = [[], [], [], [], 0]
+
+        def add(node: np.ndarray, comp: np.ndarray, payload: list[bytes]) -> None:
+            x, y = np.triu_indices(len(node), 1)
+            apart = comp[x] != comp[y]
+            x, y = x[apart], y[apart]
+            if len(x):
+                base = len(waiting[3])
+                waiting[0].append(x + base)
+                waiting[1].append(y + base)
+                waiting[2].append(node)
+                waiting[3].extend(payload)
+                waiting[4] += len(x)
+
+        held: list = []  # pieces of the block that is not complete yet
+        name = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2)], 1)
+            node, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(names)]
+            for s, e in zip(edges[:-1], edges[1:]):
+                if tuple(names[s]) != name and held:
+                    add(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]])
+                    held = []
+                    if waiting[4] >= PAIRS_AT_ONCE or len(waiting[3]) >= 20 * BLOCK:
+                        yield from compared()
+                name = tuple(names[s])
+                held.append((node[s:e], comp[s:e], b.column(5).slice(s, e - s).to_pylist()))
+        if held:
+            add(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]])
+        yield from compared()
+
+    return dealt.repartition(spread, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(pairs, "a long, b long")
+
+
+def link(members: DataFrame, confirm: Step, payload: Step, compare: Compare, *, exact: bool = False) -> DataFrame:
     """(node, comp) of all nodes with a confirmed link, from the buckets.
 
-    ``confirm`` takes distinct pairs (a, b) and returns those that are links.
+    ``confirm`` takes distinct pairs (a, b) and returns those that are links;
+    ``payload`` takes nodes (node) and returns (node, payload binary) for ``compare``;
+    with ``exact`` what ``compare`` lets through is a link already.
     """
     members = cut(members)
     tried = cut(members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     links = cut(confirm(tried).select("a", "b"))
-    for round_ in range(ROUNDS + 1):
-        comps = components(links)
-        known = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        apart = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("key")
-        left = cut(known.join(apart, "key").distinct())
-        each = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        size = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)).alias("pairs")).first()
-        if not size["pairs"]:
-            return comps
-        last = round_ == ROUNDS or size["pairs"] <= FEW_PAIRS * size["rows"]
-        if last:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.node").alias("p"), F.col("y.node").alias("q"))
-        else:
-            # a new pivot for each component in a bucket; the members of the others meet the pivot of the largest
-            pick = F.min(F.struct(F.xxhash64("node", "key", F.lit(salt + round_)), "node"))
-            heads = left.groupBy("key", "comp").agg(pick.alias("head"), F.count(F.lit(1)).alias("n"))
-            chief = heads.groupBy("key").agg(F.max(F.struct("n", "comp", "head.node")).alias("chief")).select("key", F.col("chief.comp").alias("c_comp"), F.col("chief.node").alias("c_node"))
-            pairs = left.join(chief, "key").where("comp <> c_comp").select(F.col("node").alias("p"), F.col("c_node").alias("q"))
-        new = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = cut(new)
-        found = cut(confirm(new).select("a", "b"))
-        tried = tried.unionByName(new)
-        links = cut(links.unionByName(found))
-        if last:
-            return components(links)
-    raise AssertionError("the last round returns")
+    comps = components(links)
+    known = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    apart = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
+    left = cut(known.join(apart, "key").distinct())
+    if left.isEmpty():
+        return comps
+    rows = left.join(payload(left.select("node").distinct()), "node").select("key", "node", "comp", "payload")
+    new = cut(block_pairs(rows, compare).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = new if exact else confirm(new).select("a", "b")
+    return components(links.unionByName(found))
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:

@@ -34,6 +34,7 @@ from stratocline.llm.linking import band_keys, buckets, link
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
+BROADCAST_IDS = 2_000_000  # ids of candidate documents (some 16 bytes each) that may be broadcast
 DOUBT = 14.0  # by which the log likelihood of the best similarity must exceed the threshold's for a pair to be dropped
 _GOLD, _SALT = 0x9E3779B97F4A7C15, np.uint64(0x5851F42D4C957F2D)
 
@@ -153,6 +154,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         left, right = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), REGISTERS) for x in (a, b))
         return pd.Series(estimate(left, right, n_a.to_numpy(), n_b.to_numpy(), percent / 100)[1])
 
+    def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs of sketches: whether their similarity may reach the threshold."""
+        rows = np.frombuffer(b"".join(payloads), np.uint16).reshape(len(payloads), REGISTERS + 4)
+        size = np.ascontiguousarray(rows[:, :4]).view(np.int64).ravel()
+        good = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+        at = np.flatnonzero(good)
+        left, right = rows[x[at], 4:], rows[y[at], 4:]
+        # far fewer equal registers than the threshold needs: the likelihood would say the same
+        some = (left == right).sum(1) >= REGISTERS * (percent / 100 - 0.3)
+        good[at[~some]] = False
+        at = at[some]
+        if len(at):
+            good[at] = estimate(left[some], right[some], size[x[at]], size[y[at]], percent / 100)[1]
+        return good
+
+    def payload(wanted: DataFrame) -> DataFrame:
+        return wanted.join(nodes.select("node", packed("n", "sketch").alias("payload")), "node")
+
+    @F.pandas_udf("binary")
+    def packed(n: pd.Series, sketch: pd.Series) -> pd.Series:
+        return pd.Series([np.int64(k).tobytes() + s for k, s in zip(n, sketch)], dtype=object)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
@@ -169,13 +192,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         near = pairs.join(side[0], "a").join(side[1], "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         near = near.where(possible("s_a", "s_b", "n_a", "n_b")).select("a", "b", "id_a", "id_b")
         near = cut(near)
-        # an id that is repeated brings several texts: only those of the node count
-        text = [docs.select(F.col("doc_id").alias(f"t_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        ids = near.select(F.col("id_a").alias("n_id")).unionByName(near.select(F.col("id_b").alias("n_id"))).distinct()
+        # only texts of candidates are shuffled, where their ids are few enough to go to all tasks
+        few = ids.count() <= BROADCAST_IDS
+        wanted = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("n_id")), "left_semi") if few else docs
+        # an id that is repeated brings several texts: a pair is a link if any of them are
+        text = [wanted.select(F.col("doc_id").alias(f"t_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
         full = near.join(text[0], F.col("id_a").eqNullSafe(F.col("t_a"))).select("a", "b", "id_b", "text_a")
         full = full.join(text[1], F.col("id_b").eqNullSafe(F.col("t_b"))).select("a", "b", "text_a", "text_b")
         return full.mapInArrow(verify, "a long, b long").distinct()
 
-    comps = link(buckets(nodes, BANDS), confirm)
+    comps = link(buckets(nodes, BANDS), confirm, payload, compare)
     labelled = cut(nodes.select("node", "first").join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
     lowest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"), F.min("node").alias("any_node"))
     of_node = labelled.join(lowest, "comp").select(F.col("node").alias("l_node"), "component_id")
