@@ -27,6 +27,8 @@ SEGMENT, KERNEL, STRIDE, EMBED, FILTERS, HIDDEN = 128, 6, 2, 6, 24, 12
 SLICE = 2048  # segments that are convolved at once
 PER_CLASS, MAX_FIT_BYTES, EPOCHS, BATCH, SEED = 900, 32_768, 8, 24, 7
 
+THRESHOLD = 0.5  # below which a document is rejected
+
 Model = dict[str, np.ndarray]
 
 
@@ -195,4 +197,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

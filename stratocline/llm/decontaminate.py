@@ -99,7 +99,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap any item."""
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("o_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("o_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["o_id"]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocline.llm.common import cut, table
+from stratocline.llm.common import cut, spare, table
 from stratocline.llm.hashing import PIECE, mix64, span_hashes
 from stratocline.llm.linking import band_keys, buckets, link
 
@@ -208,17 +208,21 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is such a column, is counted again for texts that change.
     """
-    left = docs.join(dropped.withColumnRenamed("doc_id", "d_id").withColumnRenamed("dropped", "d_lines"), F.col("doc_id").eqNullSafe(F.col("d_id")), "left")
-
-    def rest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts, gone in batches:
-            yield pa.array(["\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in g) if (g := set(d or ())) else t for t, d in zip(texts.to_pylist(), gone.to_pylist())], pa.string())
-
-    rest.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    text = F.when(F.col("d_id").isNull() & F.col("d_lines").isNull(), docs["text"]).otherwise(F.arrow_udf(rest, "string")(docs["text"], F.col("d_lines")))
-    out = left.withColumn("d_text", text).where(F.col("d_lines").isNull() | (F.trim(F.regexp_replace("d_text", r"\s+", " ")) != ""))
-    new = {"text": F.col("d_text"), "n_chars": F.when(F.col("d_lines").isNull(), F.col("n_chars")).otherwise(F.length("d_text").cast(dict(docs.dtypes).get("n_chars", "long"))) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if new.get(c) is not None else docs[c] for c in docs.columns])
+    gone = dropped.select(F.col("doc_id").alias("d_id"), F.col("dropped").alias("d_lines"))
+    numbers, key, text = gone["d_lines"], gone["d_id"], docs["text"]
+
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        return pa.array([t if d is None else "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in set(d)) for t, d in zip(texts.to_pylist(), lines.to_pylist())], pa.string())
+
+    name = spare(docs, "rest")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(key), "left").select(*[docs[c] for c in docs.columns], numbers.isNotNull().alias(spare(docs, "changed")), F.when(numbers.isNull(), text).otherwise(rest(text, numbers)).alias(name))
+    changed = F.col(spare(docs, "changed"))
+    left = left.where(~changed | F.regexp_like(F.col(name), F.lit(r"\S")))
+    new = {"text": F.col(name)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(name).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return left.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

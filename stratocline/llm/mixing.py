@@ -111,10 +111,9 @@ def emit(docs: DataFrame, **options) -> DataFrame:
         .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
         .agg(F.max("copies").alias("__copies"))
     )
-    marked = docs.withColumn("__s", word_count(F.col(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__size"))
-    joined = marked.join(chosen, on).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return joined.select(*[docs[c] for c in docs.columns if c != "copy_no"], "copy_no")
+    on = docs[id_col].eqNullSafe(chosen["__id"]) & docs[source_col].eqNullSafe(chosen["__source"]) & (word_count(docs[text_col]) == chosen["__size"])
+    number = F.explode(F.sequence(F.lit(1), chosen["__copies"].cast("int"))).alias("copy_no")
+    return docs.join(chosen, on).select(*[docs[c] for c in docs.columns if c != "copy_no"], number)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
