@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocline.llm import byte_cnn, decontaminate, line_dedup, mixing, setsketch
-from stratocline.llm.common import shared_dir, table
+from stratocline.llm.common import shared_dir, spare, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network scores 0.5 or more; it is fitted on the labelled rows of ``documents``."""
+    """Documents that the byte-level network does not reject; it is fitted on the labelled rows of ``documents``."""
     model = byte_cnn.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return byte_cnn.score(docs, model, "__score").where(F.col("__score") >= 0.5).drop("__score")
+    name = spare(docs, "score")
+    return byte_cnn.score(docs, model, name).where(F.col(name) >= byte_cnn.THRESHOLD).drop(name)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id. Repeated ids stand or go together."""
     gone = setsketch.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
