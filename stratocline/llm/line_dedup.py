@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stratocline.llm.common import cut, spare, table
 from stratocline.llm.hashing import PIECE, mix64, span_hashes
-from stratocline.llm.linking import band_keys, buckets, link
+from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
 CHARS, BANDS, ROWS, PERCENT = 9, 10, 4, 80
 BINS = BANDS * ROWS
@@ -84,13 +84,13 @@ def _similar(a: set, b: set) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Of pairs of lines: whether they are similar; signatures that agree in less than two fifths of their bins spare the sets."""
     lines = [p.decode("utf-8", "replace") for p in payloads]
     bins = signatures(lines)
     good = np.zeros(len(x), bool)
     sets: dict[int, set[str]] = {}
-    for i in np.flatnonzero((bins[x] == bins[y]).sum(1) >= 2 * BINS // 5):
+    for i in np.flatnonzero(first_shared(band_keys(bins, BANDS, ROWS), x, y, key) & ((bins[x] == bins[y]).sum(1) >= 2 * BINS // 5)):
         a, b = int(x[i]), int(y[i])
         for k in (a, b):
             if k not in sets:

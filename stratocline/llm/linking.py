@@ -33,8 +33,8 @@ BLOCK = 1024  # members of a bucket in one block
 PAIRS_AT_ONCE = 40_000  # pairs that are compared in one call
 
 Step = Callable[[DataFrame], DataFrame]
-#: Of the members' payloads and two arrays of their numbers: which pairs may be links.
-Compare = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+#: Of the members' payloads, two arrays of their numbers and the keys of the pairs' buckets: which pairs may be links.
+Compare = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
@@ -56,7 +56,8 @@ def buckets(nodes: DataFrame, bands: int) -> DataFrame:
             for s in range(0, len(nodes_), 8192):
                 key = keys[s : s + 8192].T.ravel()
                 node = np.tile(nodes_[s : s + 8192], bands)
-                order = np.lexsort((node, key))
+                # another pivot in each bucket, so that a member that is far from one meets others
+                order = np.lexsort((mix64(node.view(np.uint64) ^ key.view(np.uint64)), key))
                 key, node = key[order], node[order]
                 first = np.ones(len(key), bool)
                 first[1:] = key[1:] != key[:-1]
@@ -66,7 +67,7 @@ def buckets(nodes: DataFrame, bands: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(near, mask=first)], schema=local)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in the order of their keys: the pivot is the first node of a key's run."""
+        """Of rows in the order of their keys, a key's nodes together: the pivot is the first node of a run."""
         held = None  # the last run's key and pivot, whether its pivot has been sent, and its last node
         for b in batches:
             if not b.num_rows:
@@ -103,7 +104,7 @@ def buckets(nodes: DataFrame, bands: int) -> DataFrame:
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("node", "keys").mapInArrow(prelink, "key long, node long, near long")
     dealt = rows.repartition(spread, F.when(F.col("near").isNull(), F.col("key")).otherwise(F.col("node")))
-    return dealt.sortWithinPartitions(F.col("near").asc_nulls_first(), "key", "node").mapInArrow(runs, MEMBERS)
+    return dealt.sortWithinPartitions(F.col("near").asc_nulls_first(), "key", F.xxhash64("key", "node"), "node").mapInArrow(runs, MEMBERS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,29 +144,28 @@ def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list = [[], [], [], [], 0]  # left, right, node, payload of pairs still to compare, and how many
+        waiting: list = [[], [], [], [], [], 0]  # left, right, key, node, payload of pairs still to compare, and how many
 
         def compared() -> Iterator[pa.RecordBatch]:
-            if waiting[4]:
-                left, right, node = np.concatenate(waiting[0]), np.concatenate(waiting[1]), np.concatenate(waiting[2])
+            if waiting[5]:
+                left, right, key, node = (np.concatenate(w) for w in waiting[:4])
                 for s in range(0, len(left), PAIRS_AT_ONCE):
                     x, y = left[s : s + PAIRS_AT_ONCE], right[s : s + PAIRS_AT_ONCE]
-                    good = compare(waiting[3], x, y)
+                    good = compare(waiting[4], x, y, key[s : s + PAIRS_AT_ONCE])
                     x, y = node[x[good]], node[y[good]]
                     yield _batch(schema, np.minimum(x, y), np.maximum(x, y))
-            waiting[:] = [[], [], [], [], 0]
+            waiting[:] = [[], [], [], [], [], 0]
 
-        def add(node: np.ndarray, comp: np.ndarray, payload: list[bytes]) -> None:
+        def add(key: int, node: np.ndarray, comp: np.ndarray, payload: list[bytes]) -> None:
             x, y = np.triu_indices(len(node), 1)
             apart = comp[x] != comp[y]
             x, y = x[apart], y[apart]
             if len(x):
-                base = len(waiting[3])
-                waiting[0].append(x + base)
-                waiting[1].append(y + base)
-                waiting[2].append(node)
-                waiting[3].extend(payload)
-                waiting[4] += len(x)
+                base = len(waiting[4])
+                for w, value in zip(waiting, (x + base, y + base, np.full(len(x), key, np.int64), node)):
+                    w.append(value)
+                waiting[4].extend(payload)
+                waiting[5] += len(x)
 
         held: list = []  # pieces of the block that is not complete yet
         name = None
@@ -177,14 +177,14 @@ def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
             edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(names)]
             for s, e in zip(edges[:-1], edges[1:]):
                 if tuple(names[s]) != name and held:
-                    add(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]])
+                    add(name[0], np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]])
                     held = []
-                    if waiting[4] >= PAIRS_AT_ONCE or len(waiting[3]) >= 20 * BLOCK:
+                    if waiting[5] >= PAIRS_AT_ONCE or len(waiting[4]) >= 20 * BLOCK:
                         yield from compared()
                 name = tuple(names[s])
                 held.append((node[s:e], comp[s:e], b.column(5).slice(s, e - s).to_pylist()))
         if held:
-            add(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]])
+            add(name[0], np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]])
         yield from compared()
 
     return dealt.repartition(spread, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(pairs, "a long, b long")
@@ -219,3 +219,13 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     for r in range(rows):
         key = mix64(key * np.uint64(0xA0761D6478BD642F) + used[:, :, r])
     return key
+
+
+def first_shared(keys: np.ndarray, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of pairs of rows of ``keys`` in buckets ``key``: whether that is the first bucket that they share.
+
+    All buckets of a pair in different components are compared, so each pair needs to be
+    compared in one of them only.
+    """
+    keys = keys.view(np.int64)
+    return keys[x, (keys[x] == keys[y]).argmax(1)] == key

@@ -14,7 +14,7 @@ verified on the full shingle sets of the texts.
 Scale: exact copies are one node.  Only sketches (260 bytes a document) and 16-byte
 bucket rows are shuffled, and the texts of documents in candidate pairs, once
 by id.  With 32 bands of 4 registers a pair of similarity 0.8 shares no bucket
-with probability 5e-8; the likelihood test rejects it with probability 1e-7.
+with probability 5e-8; the likelihood test rejects it with probability 4e-6.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from stratocline.llm.common import cut, table
 from stratocline.llm.hashing import mix64, shingle_sets
-from stratocline.llm.linking import band_keys, buckets, link
+from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 BROADCAST_IDS = 2_000_000  # ids of candidate documents (some 16 bytes each) that may be broadcast
-DOUBT = 14.0  # by which the log likelihood of the best similarity must exceed the threshold's for a pair to be dropped
+DOUBT = 10.0  # by which the log likelihood of the best similarity must exceed the threshold's for a pair to be dropped
 _GOLD, _SALT = 0x9E3779B97F4A7C15, np.uint64(0x5851F42D4C957F2D)
 
 
@@ -88,9 +88,13 @@ def log_likelihood(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The likeliest similarity of each pair, and whether ``threshold`` or more is possible."""
-    like = log_likelihood((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), n_a.astype(float), n_b.astype(float))
-    above = like[:, _GRID >= threshold - 1e-9].max(1)
-    return _GRID[like.argmax(1)], above >= like.max(1) - DOUBT
+    best, able = np.empty(len(a)), np.empty(len(a), bool)
+    for s in range(0, len(a), 2048):
+        x, y = a[s : s + 2048], b[s : s + 2048]
+        like = log_likelihood((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), n_a[s : s + 2048].astype(float), n_b[s : s + 2048].astype(float))
+        best[s : s + 2048] = _GRID[like.argmax(1)]
+        able[s : s + 2048] = like[:, _GRID >= threshold - 1e-9].max(1) >= like.max(1) - DOUBT
+    return best, able
 
 
 def _raw(text: str | None) -> bytes:
@@ -154,11 +158,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         left, right = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), REGISTERS) for x in (a, b))
         return pd.Series(estimate(left, right, n_a.to_numpy(), n_b.to_numpy(), percent / 100)[1])
 
-    def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Of pairs of sketches: whether their similarity may reach the threshold."""
         rows = np.frombuffer(b"".join(payloads), np.uint16).reshape(len(payloads), REGISTERS + 4)
         size = np.ascontiguousarray(rows[:, :4]).view(np.int64).ravel()
         good = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+        good &= first_shared(band_keys(rows[:, 4:], BANDS, ROWS), x, y, key)
         at = np.flatnonzero(good)
         left, right = rows[x[at], 4:], rows[y[at], 4:]
         # far fewer equal registers than the threshold needs: the likelihood would say the same

@@ -101,7 +101,7 @@ def test_blocks_find_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(linking, "BLOCK", 16)
     rows = [(k, n, n % 3, bytes([n])) for k, size in ((1, 100), (2, 3)) for n in range(size)]
     df = spark.createDataFrame(rows, "key long, node long, comp long, payload binary").repartition(3)
-    got = Counter(tuple(r) for r in linking.block_pairs(df, lambda p, x, y: np.ones(len(x), bool)).collect())
+    got = Counter(tuple(r) for r in linking.block_pairs(df, lambda p, x, y, key: np.ones(len(x), bool)).collect())
     want = {(a, b) for a in range(100) for b in range(a + 1, 100) if a % 3 != b % 3}
     assert set(got) == want
 
