@@ -489,3 +489,57 @@ def q_timestep_counts(spark, d):
     least = o.agg((0.05 * F.count_distinct("id")).cast("int").alias("least"))
     g = o.groupBy("year", "month").agg(F.count("value").alias("n"), r(F.avg("value"), 3).alias("mean"))
     return g.join(F.broadcast(least), F.col("n") >= F.col("least")).select("year", "month", "n", "mean")
+
+
+@query(f"WITH {V.SQL_ESM} SELECT year, month, round(avg(value), 4) AS mean, count(value) AS cells FROM esm WHERE lat_idx BETWEEN 2 AND 5 AND lon_idx BETWEEN 3 AND 8 GROUP BY year, month")
+def q_regional_mean(spark, d):
+    inside = F.col("lat_idx").between(2, 5) & F.col("lon_idx").between(3, 8)
+    return V.esm(spark, d).where(inside).groupBy("year", "month").agg(r(F.avg("value")).alias("mean"), F.count("value").alias("cells"))
+
+
+@query(f"WITH {V.SQL_PAIRS}, x AS (SELECT abs(p - o) AS a FROM pairs) SELECT round(quantile_cont(a, 0.95), 2) AS p95, round(quantile_cont(a, 0.99), 2) AS p99, round(max(a), 2) AS most, round(avg(CASE WHEN a <= 5000 THEN 1.0 ELSE 0.0 END), 4) AS within FROM x")
+def q_diff_percentiles(spark, d):
+    x = V.pairs(spark, d).select(F.abs(F.col("p") - F.col("o")).alias("a"))
+    return x.agg(r(F.percentile("a", 0.95), 2).alias("p95"), r(F.percentile("a", 0.99), 2).alias("p99"), r(F.max("a"), 2).alias("most"), r(F.avg((F.col("a") <= 5000).cast("double"))).alias("within"))
+
+
+@query(f"WITH {_FLAG_BASE}, {V.SQL_META} SELECT flag, count(*) AS stations, round(min(lat), 2) AS south, round(max(lat), 2) AS north FROM flagged JOIN meta USING (id) GROUP BY flag")
+def q_flag_counts(spark, d):
+    joined = _flags(spark, d)[1].join(V.meta(spark, d), "id")
+    return joined.groupBy("flag").agg(F.count(F.lit(1)).alias("stations"), r(F.min("lat"), 2).alias("south"), r(F.max("lat"), 2).alias("north"))
+
+
+@query(f"WITH {V.SQL_PAIRS}, {V.SQL_META}, s AS (SELECT arg_min(id, abs(lat - 45) * 1000000 + id) AS id FROM meta) SELECT year + (month - 0.5::DOUBLE) / 12 AS t, round(o, 6) AS obs, round(p, 6) AS pcr, round(e, 6) AS esm FROM pairs JOIN s USING (id) WHERE year BETWEEN 1996 AND 1998")
+def q_station_series(spark, d):
+    """Observed, predicted and model values of the station nearest to a latitude, over a window of years."""
+    station = V.meta(spark, d).agg(F.min_by("id", F.struct(F.abs(F.col("lat") - 45), "id")).alias("s"))
+    rows = V.pairs(spark, d).where("year BETWEEN 1996 AND 1998").join(F.broadcast(station), F.col("id") == F.col("s"))
+    return rows.select((F.col("year") + (F.col("month") - 0.5) / 12).alias("t"), r("o", 6).alias("obs"), r("p", 6).alias("pcr"), r("e", 6).alias("esm"))
+
+
+@query(f"WITH {V.SQL_PAIRS}, {V.SQL_META} SELECT id, year, month, round(lat, 2) AS lat, round(lon, 2) AS lon, round(p, 6) AS value, round(o, 6) AS obs, round(e, 6) AS esm FROM pairs JOIN meta USING (id) WHERE year IN {V.TEST_YEARS}")
+def q_test_cache(spark, d):
+    rows = V.pairs(spark, d).where(F.col("year").isin(*V.TEST_YEARS)).join(V.meta(spark, d), "id")
+    return rows.select("id", "year", "month", r("lat", 2).alias("lat"), r("lon", 2).alias("lon"), r("p", 6).alias("value"), r("o", 6).alias("obs"), r("e", 6).alias("esm"))
+
+
+@query(f"WITH {V.SQL_OBSQ} SELECT id, arg_min(round(value, 4), year * 12 + month) AS first_value, count(DISTINCT year) AS years FROM obs GROUP BY id")
+def q_first_value(spark, d):
+    return V.obs(spark, d, "l_quantity").groupBy("id").agg(F.min_by(r("value"), F.col("year") * 12 + F.col("month")).alias("first_value"), F.count_distinct("year").alias("years"))
+
+
+@query(f"WITH {V.SQL_OBSQ}, {V.SQL_META}, a AS (SELECT year FROM obs GROUP BY year HAVING count(*) >= 900), b AS (SELECT year FROM esm GROUP BY year), {V.SQL_ESM} SELECT year FROM a INTERSECT SELECT year FROM b".replace(f"b AS (SELECT year FROM esm GROUP BY year), {V.SQL_ESM}", f"{V.SQL_ESM}, b AS (SELECT year FROM esm GROUP BY year)"))
+def q_common_years(spark, d):
+    full = V.obs(spark, d, "l_quantity").groupBy("year").agg(F.count(F.lit(1)).alias("n")).where("n >= 900").select("year")
+    return full.intersect(V.esm(spark, d).select("year"))
+
+
+#: Planned stations, grid rows and columns, years of the transient run; bytes a value.
+_SIZES = ((7000, "tas"), (12000, "pr"))
+
+
+@query("WITH s(stations, var) AS (VALUES (7000, 'tas'), (12000, 'pr')) SELECT var, CAST(stations AS BIGINT) * 22000 * 12 AS station_months, round(CAST(stations AS BIGINT) * 22000 * 12 * 4 / 1e9::DOUBLE, 3) AS station_gb, round(350::BIGINT * 600 * 22000 * 12 * 4 / 1e9::DOUBLE, 3) AS grid_gb FROM s")
+def q_size_estimate(spark, d):
+    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(v).alias("var")) for n, v in _SIZES])))
+    months = F.col("n") * 22000 * 12
+    return rows.select("var", months.alias("station_months"), r(months * 4 / 1e9, 3).alias("station_gb"), r(F.lit(350 * 600 * 22000 * 12).cast("long") * 4 / 1e9, 3).alias("grid_gb"))
