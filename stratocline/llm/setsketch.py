@@ -13,7 +13,9 @@ verified on the full shingle sets of the texts.
 
 Scale: exact copies are one node.  Only sketches (260 bytes a document) and 16-byte
 bucket rows are shuffled, and the texts of documents in candidate pairs, once
-by id.  With 32 bands of 4 registers a pair of similarity 0.8 shares no bucket
+by id.  Members of a bucket that its pivot leaves apart bring the hashes of their whole
+sets to its blocks (longer sets their sketch alone), so that a large group of copies
+which are almost similar enough sends no pairs on.  With 32 bands of 4 registers a pair of similarity 0.8 shares no bucket
 with probability 5e-8; the likelihood test rejects it with probability 4e-6.
 """
 
@@ -34,8 +36,10 @@ from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
+IN_BLOCK = 4096  # shingles of a document whose set goes to the blocks of its buckets with its sketch
 BROADCAST_IDS = 2_000_000  # ids of candidate documents (some 16 bytes each) that may be broadcast
 DOUBT = 10.0  # by which the log likelihood of the best similarity must exceed the threshold's for a pair to be dropped
+HEAD = 8 + 2 * REGISTERS  # bytes of a set's size and sketch
 _GOLD, _SALT = 0x9E3779B97F4A7C15, np.uint64(0x5851F42D4C957F2D)
 
 
@@ -97,6 +101,21 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thr
     return best, able
 
 
+def shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of sorted arrays that are not empty: how many values of the second are in the first."""
+    out = np.zeros(len(x), np.int64)
+    order = np.argsort(x, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else ():
+        a = sets[x[run[0]]]
+        for s in range(0, len(run), 256):
+            part = run[s : s + 256]
+            others = [sets[j] for j in y[part]]
+            values = np.concatenate(others)
+            hit = a[np.minimum(np.searchsorted(a, values), len(a) - 1)] == values
+            out[part] = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+    return out
+
+
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
@@ -159,8 +178,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         return pd.Series(estimate(left, right, n_a.to_numpy(), n_b.to_numpy(), percent / 100)[1])
 
     def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Of pairs of sketches: whether their similarity may reach the threshold."""
-        rows = np.frombuffer(b"".join(payloads), np.uint16).reshape(len(payloads), REGISTERS + 4)
+        """Of pairs of sketches, with sets of hashes cut to 32 bits: whether their similarity may reach the threshold."""
+        rows = np.frombuffer(b"".join(p[:HEAD] for p in payloads), np.uint16).reshape(len(payloads), HEAD // 2)
         size = np.ascontiguousarray(rows[:, :4]).view(np.int64).ravel()
         good = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
         good &= first_shared(band_keys(rows[:, 4:], BANDS, ROWS), x, y, key)
@@ -172,14 +191,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         at = at[some]
         if len(at):
             good[at] = estimate(left[some], right[some], size[x[at]], size[y[at]], percent / 100)[1]
+        at = np.flatnonzero(good & (size[x] <= IN_BLOCK) & (size[y] <= IN_BLOCK))
+        if len(at):
+            both = shared([np.frombuffer(p, np.uint32, offset=HEAD) for p in payloads], x[at], y[at])
+            # hashes that collide add to what is shared, so no link is lost here
+            good[at] = 100 * both >= percent * (size[x[at]] + size[y[at]] - both)
         return good
 
-    def payload(wanted: DataFrame) -> DataFrame:
-        return wanted.join(nodes.select("node", packed("n", "sketch").alias("payload")), "node")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                sets = [x for x in shingle_sets([_raw(t) for t in whole.column(0).slice(s, 256).to_pylist()], width) if len(x)]
+                made = [np.int64(len(x)).tobytes() + r.tobytes() + (np.sort((x >> np.uint64(32)).astype(np.uint32)).tobytes() if len(x) <= IN_BLOCK else b"") for x, r in zip(sets, sketches(sets))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(made, pa.binary())], names=["node", "payload"])
 
-    @F.pandas_udf("binary")
-    def packed(n: pd.Series, sketch: pd.Series) -> pd.Series:
-        return pd.Series([np.int64(k).tobytes() + s for k, s in zip(n, sketch)], dtype=object)
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """The rows of distinct (n_id); texts are shuffled only where the ids are too many to go to all tasks."""
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("n_id")), "left_semi")
+
+    def payload(wanted: DataFrame) -> DataFrame:
+        wanted = cut(wanted.join(nodes.select("node", F.col("first").alias("n_id")), "node"))
+        made = texts_of(wanted.select("n_id").distinct()).select("text").mapInArrow(packed, "node long, payload binary")
+        return wanted.select("node").join(made.dropDuplicates(["node"]), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -198,9 +231,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         near = near.where(possible("s_a", "s_b", "n_a", "n_b")).select("a", "b", "id_a", "id_b")
         near = cut(near)
         ids = near.select(F.col("id_a").alias("n_id")).unionByName(near.select(F.col("id_b").alias("n_id"))).distinct()
-        # only texts of candidates are shuffled, where their ids are few enough to go to all tasks
-        few = ids.count() <= BROADCAST_IDS
-        wanted = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("n_id")), "left_semi") if few else docs
+        wanted = texts_of(ids)
         # an id that is repeated brings several texts: a pair is a link if any of them are
         text = [wanted.select(F.col("doc_id").alias(f"t_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
         full = near.join(text[0], F.col("id_a").eqNullSafe(F.col("t_a"))).select("a", "b", "id_b", "text_a")
