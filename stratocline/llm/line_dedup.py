@@ -28,6 +28,7 @@ from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
 CHARS, BANDS, ROWS, PERCENT = 9, 10, 4, 80
 BINS = BANDS * ROWS
+HELD_CHARS = 300_000  # characters of lines whose shingle sets (some 100 bytes a shingle) are held at once
 BROADCAST_DOCS = 500_000  # documents whose line numbers may be broadcast (some 40 bytes each)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -90,11 +91,15 @@ def compare(payloads: list[bytes], x: np.ndarray, y: np.ndarray, key: np.ndarray
     bins = signatures(lines)
     good = np.zeros(len(x), bool)
     sets: dict[int, set[str]] = {}
+    held = 0
     for i in np.flatnonzero(first_shared(band_keys(bins, BANDS, ROWS), x, y, key) & ((bins[x] == bins[y]).sum(1) >= 2 * BINS // 5)):
         a, b = int(x[i]), int(y[i])
+        if held > HELD_CHARS:
+            sets, held = {}, 0
         for k in (a, b):
             if k not in sets:
                 sets[k] = shingles(lines[k])
+                held += len(lines[k])
         good[i] = _similar(sets[a], sets[b])
     return good
 
