@@ -5,7 +5,9 @@ every position; the tokens under its ones are hashed, those under its zeros may
 differ.  Training and benchmark hashes are joined; each hit fixes how the item
 would lie on the document, and around it the aligned tokens are compared: an
 overlap counts where a window of ``WINDOW`` aligned tokens (the whole item where that
-is shorter) agrees in ``PERCENT`` percent of its places or more.
+is shorter) agrees in ``PERCENT`` percent of its places or more.  Each length of item has
+masks of which at least one hits wherever its window may differ in the places allowed,
+so no overlap is lost to the seeds, however short the item.
 
 Scale: the hashes of documents are never stored.  The benchmark's are counted, and
 broadcast only up to ``BROADCAST_SEEDS`` rows (24 bytes each); a larger benchmark
@@ -20,8 +22,14 @@ from pyspark.sql import functions as F
 
 from stratocline.llm.common import cut, table
 
-#: Ones are compared, zeros ignored.
+#: Ones are compared, zeros ignored. These two are the seeds of OP5_SQL, which miss some alignments.
 MASKS = ("110110101", "101100111")
+#: By the least number of tokens of an item: masks that together hit every placing of the mismatches that a window allows.
+LOSSLESS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",),
+    5: ("1111", "11101", "11011", "10111"), 8: ("111011", "110111"),
+    10: ("111011", "1101011", "1110011"), 15: ("11101011", "110100111", "1100010111"),
+}
 WINDOW, PERCENT = 15, 80
 BROADCAST_SEEDS = 2_000_000
 BROADCAST_HITS = 300_000  # alignments (about 40 bytes each) whose documents are found by a broadcast
@@ -32,26 +40,46 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(words: Column, hashes: Column) -> Column:
-    """An array of (pos, seed): the hash of each mask at each position where it fits."""
+def _least(words: Column) -> Column:
+    """The key of ``LOSSLESS`` for an item; null for one without tokens."""
+    return F.array_max(F.filter(F.array(*[F.lit(k) for k in LOSSLESS]), lambda k: k <= F.size(words)))
+
+
+def _seeds(words: Column, hashes: Column, least: int) -> Column:
+    """An array of (pos, seed): the hash of each mask for items of ``least`` tokens or more at each position where it fits."""
 
     def under(number: int, mask: str):
         ones = [i for i, c in enumerate(mask) if c == "1"]
-        return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *[F.get(hashes, i + o) for o in ones]).alias("seed"))
+        return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(100 * least + number), *[F.get(hashes, i + o) for o in ones]).alias("seed"))
 
     made = []
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(LOSSLESS[least]):
         last = F.size(words) - len(mask)
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         made.append(F.transform(places, under(number, mask)))
     return F.concat(*made)
 
 
-def seeds(rows: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """(keys..., pos, seed) of all rows."""
+def _hashed(rows: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     words = rows.select(*keys, tokens(F.col(text_col)).alias("__words"))
-    hashed = words.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    return hashed.select(*keys, F.inline(_seeds(F.col("__words"), F.col("__hashes"))))
+    return words.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+
+
+def seeds(rows: DataFrame, text_col: str, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(keys..., pos, seed) of all rows, for items of the given keys of ``LOSSLESS``."""
+    if not lengths:
+        return rows.select(*keys, F.lit(0).alias("pos"), F.lit(0).cast("long").alias("seed")).limit(0)
+    made = F.concat(*[_seeds(F.col("__words"), F.col("__hashes"), k) for k in lengths])
+    return _hashed(rows, text_col, keys).select(*keys, F.inline(made))
+
+
+def item_seeds(items: DataFrame, text_col: str, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(keys..., pos, seed) of items, each under the masks of its own length."""
+    if not lengths:
+        return seeds(items, text_col, keys, lengths)
+    none = F.array().cast("array<struct<pos:int,seed:bigint>>")
+    made = F.concat(*[F.when(_least(F.col("__words")) == k, _seeds(F.col("__words"), F.col("__hashes"), k)).otherwise(none) for k in lengths])
+    return _hashed(items, text_col, keys).select(*keys, F.inline(made))
 
 
 def _window_matches(same: Column, width: Column) -> Column:
@@ -65,16 +93,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``doc_token`` is where the first compared token stands in the document, ``aligned``
     how many tokens were compared and ``matched`` how many of them agree, of the best
-    alignment.  Items with fewer tokens than a mask have no seeds and match nothing.
+    alignment.  Items without tokens match nothing; items of 4 tokens or fewer must be there as they are.
     Null texts and items have no tokens; rows of one id count as one document; null
     ids are reported as null.  Other columns are ignored.
     """
     text_key = F.xxhash64("text")
     docs = docs.select("doc_id", "text").withColumn("text_key", text_key)
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
-    listed = cut(seeds(items, "item_text", ["item_id", "item_text"]).select("item_id", F.xxhash64("item_text").alias("item_key"), F.col("pos").alias("item_pos"), "seed"))
+    lengths = sorted(r[0] for r in items.select(_least(tokens(F.col("item_text"))).alias("k")).where("k IS NOT NULL").distinct().collect())
+    listed = cut(item_seeds(items, "item_text", ["item_id", "item_text"], lengths).select("item_id", F.xxhash64("item_text").alias("item_key"), F.col("pos").alias("item_pos"), "seed"))
     known = F.broadcast(listed) if listed.count() <= BROADCAST_SEEDS else listed
-    hits = seeds(docs, "text", ["doc_id", "text_key"]).join(known, "seed")
+    hits = seeds(docs, "text", ["doc_id", "text_key"], lengths).join(known, "seed")
     lay = hits.groupBy("doc_id", "text_key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
     lay = cut(lay)
     few = lay.count() <= BROADCAST_HITS

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -243,6 +244,43 @@ def test_leaks_survive_substitutions_case_and_marks(spark, odd_docs):
     assert decontaminate.without_leaks(odd_docs, bench).count() == odd_docs.count()
 
 
+def test_masks_hit_all_placings():
+    """Of every placing of the mismatches that a window allows, some mask at some place meets none."""
+    for length in range(1, decontaminate.WINDOW + 1):
+        wrong = length * (100 - decontaminate.PERCENT) // 100
+        masks = decontaminate.LOSSLESS[max(k for k in decontaminate.LOSSLESS if k <= length)]
+        for bad in combinations(range(length), wrong):
+            assert any(all(m[i] == "0" or at + i not in bad for i in range(len(m))) for m in masks for at in range(length - len(m) + 1)), (length, bad)
+
+
+def test_overlaps_equal_all_alignments(spark):
+    rng = random.Random(8)
+    names = [f"v{i}" for i in range(40)]
+    items = {n: [rng.choice(names) for _ in range(size)] for n, size in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, 11, 12, 12, 13, 14, 15, 16, 20, 33])}
+    docs = {}
+    for n in range(160):
+        item = items[n % len(items)]
+        part = list(item[: rng.randint(12, 40)])
+        for k in rng.sample(range(len(part)), len(part) * rng.randint(0, 25) // 100):
+            part[k] = f"other{k}"
+        docs[n] = [f"d{rng.randrange(900)}" for _ in range(rng.randint(0, 12))] + part + [f"d{rng.randrange(900)}" for _ in range(rng.randint(0, 12))]
+
+    def best(doc, item):
+        width, found = min(decontaminate.WINDOW, len(item)), []
+        for shift in range(-len(item), len(doc) + 1):
+            low, high = max(0, -shift), min(len(item), len(doc) - shift)
+            same = [item[i] == doc[i + shift] for i in range(low, high)]
+            window = max([sum(same[i : i + width]) for i in range(len(same) - width + 1)], default=0)
+            if 100 * window >= decontaminate.PERCENT * width:
+                found.append((sum(same), window, high - low, low + shift))
+        return max(found, default=None)
+
+    want = {(d, i): b for d, doc in docs.items() for i, item in items.items() if (b := best(doc, item))}
+    frames = [spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string") for x, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.matched, r.window_matched, r.aligned, r.doc_token) for r in decontaminate.overlaps(*frames).collect()}
+    assert got == want
+
+
 # --- quality ---
 
 
