@@ -91,7 +91,7 @@ def q_sibson_closure(spark, d):
 @query()
 def q_sibson_grid(spark, d):
     """Monthly values on the grid: one set of weights per set of reporting stations, then a join and a sum."""
-    v = V.obs(spark, d).where("year = 1997").select("id", (F.col("year") * 12 + F.col("month")).alias("t"), "value")
+    v = V.obs(spark, d).select("id", (F.col("year") * 12 + F.col("month")).alias("t"), "value")
     w = sibson.sibson_weights(_cells(spark), _places(spark, d))
     return sibson.interpolate(v, w).select("cell", "t", r("value", 3).alias("value"))
 
@@ -132,8 +132,8 @@ def q_noise_realization(spark, d):
 
 @query()
 def q_mc_pi(spark, d):
-    o = V.obs(spark, d, "l_quantity").where("year = 1997 AND month = 6").select("id", "value")
-    return linear.monte_carlo_interval(o, ["id"], F.lit(4.0), 200).select("id", r("value", 3).alias("value"), r("pi_lo", 3).alias("pi_lo"), r("pi_hi", 3).alias("pi_hi"))
+    o = V.obs(spark, d, "l_quantity")
+    return linear.monte_carlo_interval(o, ["id", "year", "month"], F.lit(4.0)).select("id", "year", "month", r("value", 3).alias("value"), r("pi_lo", 3).alias("pi_lo"), r("pi_hi", 3).alias("pi_hi"))
 
 
 @query()

@@ -125,3 +125,15 @@ def test_monte_carlo_interval_is_repeatable(spark):
     a = linear.monte_carlo_interval(df, ["id"], F.lit(1.0), 500).orderBy("id").collect()
     b = linear.monte_carlo_interval(df.repartition(3), ["id"], F.lit(1.0), 500).orderBy("id").collect()
     assert a == b and all(1.5 < r.pi_hi - r.value < 2.6 and 1.5 < r.value - r.pi_lo < 2.6 for r in a)
+
+
+def test_grids_and_intervals_cover_all_months(spark):
+    from stratocline.plans import models
+    from stratocline.plans import views as V
+
+    d = "/root/testdata/sf0.001"
+    o = V.obs(spark, d)
+    months = {r.year * 12 + r.month for r in o.select("year", "month").distinct().collect()}
+    assert {r.t for r in models.q_sibson_grid(spark, d).select("t").distinct().collect()} == months
+    keys = ["id", "year", "month"]
+    assert sorted(models.q_mc_pi(spark, d).select(keys).collect()) == sorted(o.select(keys).collect())
