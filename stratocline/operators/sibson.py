@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from stratocline.operators.grids import MAX_STATIONS, merge_locations
 
 NEIGHBOURS = 24
+CELLS_AT_ONCE = 4096  # cells that one task weighs among one set of stations
 
 
 def cut_by(poly: np.ndarray, normal: np.ndarray, level: float) -> np.ndarray:
@@ -139,6 +140,54 @@ def interpolate(values: DataFrame, weights: DataFrame, point_id: str = "cell") -
     return joined.groupBy(point_id, "t").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
 
 
+def set_weights(points: DataFrame, sets: DataFrame, point_id: str = "cell") -> DataFrame:
+    """(station_set, point id, id, w) of all points (point id, x, y) among the stations of each set (station_set, id, x, y).
+
+    A task has one set's stations and a block of points.
+    """
+
+    def build(members: pa.Table, block: pa.Table) -> pa.Table:
+        if len(members) > MAX_STATIONS:
+            raise ValueError(f"more than {MAX_STATIONS} stations: split them by region first")
+        members = members.sort_by("id")
+        ids, xy = members["id"], np.column_stack([members[c].to_numpy() for c in "xy"])
+        take, place, weight = [], [], []
+        corners = hull(xy) if len(block) else None
+        for n, q in enumerate(np.column_stack([block[c].to_numpy() for c in "xy"])):
+            i, w = weights_at(q, xy, corners)
+            take.extend(i)
+            place.extend([n] * len(i))
+            weight.extend(w)
+        first = pa.chunked_array([members["station_set"].combine_chunks().take(pa.array(np.zeros(len(take), np.int64)))])
+        return pa.table({"station_set": first, point_id: block[point_id].take(pa.array(place, pa.int64())), "id": ids.take(pa.array(take, pa.int64())), "w": pa.array(weight, pa.float64())})
+
+    kinds = dict(points.dtypes)[point_id], dict(sets.dtypes)["id"]
+    points = points.select(point_id, F.col("x").cast("double"), F.col("y").cast("double"))
+    blocks = F.ceil(F.lit(points.count()) / CELLS_AT_ONCE).cast("int")
+    numbered = points.withColumn("block", F.pmod(F.xxhash64(point_id), blocks).cast("int"))
+    named = sets.select("station_set", "id", F.col("x").cast("double"), F.col("y").cast("double"))
+    left = named.join(F.broadcast(numbered.select("block").distinct()))
+    right = numbered.withColumnRenamed("block", "p_block").join(named.select(F.col("station_set").alias("p_set")).distinct())
+    # rows are few and the work on them long: a number of its own, so that partitions are not made into one for their size
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, "station_set", "block"), right.repartition(tasks, "p_set", "p_block")
+    return left.groupBy("station_set", "block").cogroup(right.groupBy("p_set", "p_block")).applyInArrow(build, f"station_set long, {point_id} {kinds[0]}, id {kinds[1]}, w double")
+
+
+def interpolate_reported(values: DataFrame, points: DataFrame, stations: DataFrame, point_id: str = "cell") -> DataFrame:
+    """(point id, t, value) of values (id, t, value), each time by the natural neighbours among the stations (id, x, y) that report at it.
+
+    Nulls and stations without a place do not report; times that share a set of stations share its weights.
+    """
+    there = values.where(F.col("value").isNotNull()).join(stations.select("id", "x", "y"), "id")
+    sets = station_sets(there).select("t", "station_set")
+    one = sets.groupBy("station_set").agg(F.min("t").alias("t"))
+    members = there.join(one, "t").select("station_set", "id", "x", "y").dropDuplicates(["station_set", "id"])
+    weights = set_weights(points, members, point_id)
+    joined = there.select("id", "t", "value").join(sets, "t").join(weights, ["station_set", "id"])
+    return joined.groupBy(point_id, "t").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
+
+
 def station_sets(values: DataFrame) -> DataFrame:
     """(t, station_set, n): times that share a set of reporting stations share a hash, and so one set of weights."""
     return values.where(F.col("value").isNotNull()).groupBy("t").agg(F.xxhash64(F.sort_array(F.collect_set("id"))).alias("station_set"), F.count(F.lit(1)).alias("n"))

@@ -92,8 +92,7 @@ def q_sibson_closure(spark, d):
 def q_sibson_grid(spark, d):
     """Monthly values on the grid: one set of weights per set of reporting stations, then a join and a sum."""
     v = V.obs(spark, d).select("id", (F.col("year") * 12 + F.col("month")).alias("t"), "value")
-    w = sibson.sibson_weights(_cells(spark), _places(spark, d))
-    return sibson.interpolate(v, w).select("cell", "t", r("value", 3).alias("value"))
+    return sibson.interpolate_reported(v, _cells(spark), _places(spark, d)).select("cell", "t", r("value", 3).alias("value"))
 
 
 @query()

@@ -137,3 +137,22 @@ def test_grids_and_intervals_cover_all_months(spark):
     assert {r.t for r in models.q_sibson_grid(spark, d).select("t").distinct().collect()} == months
     keys = ["id", "year", "month"]
     assert sorted(models.q_mc_pi(spark, d).select(keys).collect()) == sorted(o.select(keys).collect())
+
+
+def test_gaps_take_the_neighbours_that_report(spark, monkeypatch):
+    monkeypatch.setattr(sibson, "CELLS_AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    xy = rng.uniform(0, 100, size=(60, 2))
+    stations = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
+    cells = [(c, float(x), float(y)) for c, (x, y) in enumerate(rng.uniform(30, 70, size=(20, 2)))] + [(99, -50.0, -50.0)]
+    # time 2 has the gaps of time 1, time 3 has no station near the corner of cell 99
+    gone = {0: set(), 1: set(range(0, 60, 3)), 2: set(range(0, 60, 3)), 3: set(np.argsort(((xy + 50) ** 2).sum(1))[:5].tolist())}
+    plane = 2 * xy[:, 0] - xy[:, 1]
+    rows = [(i, t, float(plane[i]) if i not in gone[t] else None) for t in gone for i in range(60)] + [(77, 0, 1e9)]
+    got = {(r.cell, r.t): r.value for r in sibson.interpolate_reported(spark.createDataFrame(rows, "id int, t int, value double"), spark.createDataFrame(cells, "cell int, x double, y double"), stations).collect()}
+    assert len(got) == len(cells) * len(gone)
+    for t, missing in gone.items():
+        for c, x, y in cells[:-1]:
+            assert abs(got[c, t] - (2 * x - y)) < 1e-6
+        near = min(set(range(60)) - missing, key=lambda i: ((xy[i] + 50) ** 2).sum())
+        assert abs(got[99, t] - plane[near]) < 1e-9
