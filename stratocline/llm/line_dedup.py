@@ -5,8 +5,8 @@ signature is a one-permutation MinHash of its ``CHARS``-character shingles (each
 shingle hashed once, the least hash of each bin, empty bins filled from others by
 fixed random choice); bands of it propose pairs, exact Jaccard similarity of the
 shingle sets verifies them, and connected components keep one line each: the first
-in the order of (doc_id, line number).  With 10 bands of 4 bins, a pair of
-similarity 0.8 is missed with probability 0.005, of 0.85 with 0.0006.
+in the order of (doc_id, line number).  With 32 bands of 4 bins, a pair of
+similarity 0.8 is missed with probability 5e-8, were the bins independent.
 
 Scale: bucket rows are narrow, and exact copies of a line meet as one row per task
 and batch.  Line texts are fetched for candidates only, once for each distinct line.
@@ -26,7 +26,7 @@ from stratocline.llm.common import cut, spare, table
 from stratocline.llm.hashing import PIECE, mix64, span_hashes
 from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
-CHARS, BANDS, ROWS, PERCENT = 9, 10, 4, 80
+CHARS, BANDS, ROWS, PERCENT = 9, 32, 4, 80
 BINS = BANDS * ROWS
 HELD_CHARS = 300_000  # characters of lines whose shingle sets (some 100 bytes a shingle) are held at once
 BROADCAST_DOCS = 500_000  # documents whose line numbers may be broadcast (some 40 bytes each)

@@ -163,6 +163,23 @@ def test_lines_equal_brute_force(spark):
     assert {r.doc_id: list(r.dropped) for r in line_dedup.dropped_lines(df).collect()} == brute_lines(rows)
 
 
+def test_lines_at_the_threshold_share_a_bucket():
+    """Pairs at similarity 0.80 to 0.85 meet in a band, and the bins that agree do not rule them out."""
+    rng = random.Random(12)
+    lines = []
+    while len(lines) < 6000:
+        size = rng.choice((20, 40, 60, 100, 200))
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        for cut in range(1, size // 4):
+            x, y = line_dedup.shingles(a), line_dedup.shingles(a[:-cut])
+            if 80 * len(x | y) <= 100 * len(x & y) <= 85 * len(x | y):
+                lines += [a, a[:-cut]]
+    bins = line_dedup.signatures(lines)
+    same = bins[::2] == bins[1::2]
+    met = same.reshape(len(same), line_dedup.BANDS, line_dedup.ROWS).all(2).any(1)
+    assert met.all() and (same.sum(1) >= 2 * line_dedup.BINS // 5).all()
+
+
 def test_lines_of_odd_documents(spark, odd_docs):
     dropped = line_dedup.dropped_lines(odd_docs)
     by = {r.doc_id: list(r.dropped) for r in dropped.collect()}
