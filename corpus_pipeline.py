@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocline.llm import byte_cnn, decontaminate, line_dedup, mixing, setsketch
-from stratocline.llm.common import shared_dir, spare, table
+from stratocline.llm.common import shared_dir, spare, table, text_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,9 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Repeated ids stand or go together."""
-    gone = setsketch.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]), "left_anti")
+    """One document of each group of near-duplicates: that with the smallest id. Each row is judged by its own text, whatever its id."""
+    gone = setsketch.judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & (text_key(docs["text"]) == gone["g_key"]), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

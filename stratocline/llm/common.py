@@ -38,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one id apart, null ids included, by their texts."""
+    return F.xxhash64(text)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a whole text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

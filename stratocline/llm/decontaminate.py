@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocline.llm.common import cut, table
+from stratocline.llm.common import cut, table, text_key as key_of
 
 #: Ones are compared, zeros ignored. These two are the seeds of OP5_SQL, which miss some alignments.
 MASKS = ("110110101", "101100111")
@@ -97,8 +97,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null texts and items have no tokens; rows of one id count as one document; null
     ids are reported as null.  Other columns are ignored.
     """
-    text_key = F.xxhash64("text")
-    docs = docs.select("doc_id", "text").withColumn("text_key", text_key)
+    best = _found(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    return best.select("doc_id", "item_id", "x.doc_token", "x.aligned", "x.matched", "x.window_matched")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id, x) of each alignment that counts."""
+    docs = docs.select("doc_id", "text").withColumn("text_key", key_of(F.col("text")))
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     lengths = sorted(r[0] for r in items.select(_least(tokens(F.col("item_text"))).alias("k")).where("k IS NOT NULL").distinct().collect())
     listed = cut(item_seeds(items, "item_text", ["item_id", "item_text"], lengths).select("item_id", F.xxhash64("item_text").alias("item_key"), F.col("pos").alias("item_pos"), "seed"))
@@ -110,7 +115,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = lay.select(*[F.col(c).alias(f"l_{c}") for c in lay.columns])
     # each alignment meets its document, then its item
     full = docs.join(F.broadcast(held) if few else held, (F.col("text_key") == F.col("l_text_key")) & F.col("doc_id").eqNullSafe(F.col("l_doc_id")))
-    full = full.select("doc_id", F.col("l_item_id").alias("item_id"), F.col("l_item_key").alias("item_key"), F.col("l_shift").alias("shift"), "text")
+    full = full.select("doc_id", F.col("l_item_id").alias("item_id"), F.col("l_item_key").alias("item_key"), F.col("l_shift").alias("shift"), "text_key", "text")
     words = items.select(F.col("item_id").alias("i_id"), F.xxhash64("item_text").alias("i_key"), tokens(F.col("item_text")).alias("item"))
     full = full.join(words, F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item_key") == F.col("i_key"))).withColumn("doc", tokens(F.col("text")))
     begin = F.greatest(F.lit(0), -F.col("shift"))
@@ -120,15 +125,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     width = F.least(F.lit(WINDOW), F.size("item"))
     full = full.where(F.col("aligned") >= width).withColumn("same", same).withColumn("window_matched", _window_matches(F.col("same"), width))
     good = full.where(100 * F.col("window_matched") >= PERCENT * width)
-    found = good.select("doc_id", "item_id", F.struct(F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"), "window_matched", "aligned", (F.col("begin") + F.col("shift")).alias("doc_token")).alias("x"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
-    return best.select("doc_id", "item_id", "x.doc_token", "x.aligned", "x.matched", "x.window_matched")
+    return good.select("doc_id", "text_key", "item_id", F.struct(F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"), "window_matched", "aligned", (F.col("begin") + F.col("shift")).alias("doc_token")).alias("x"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap any item."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("o_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["o_id"]), "left_anti")
+    """``docs`` without the documents that overlap any item; rows of one id are one document, those without an id one each."""
+
+    def own(doc_id: Column, key: Column) -> Column:
+        return F.when(doc_id.isNull(), key).otherwise(F.lit(0))
+
+    found = _found(docs, benchmark).select(F.col("doc_id").alias("o_id"), own(F.col("doc_id"), F.col("text_key")).alias("o_key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["o_id"]) & (own(docs["doc_id"], key_of(docs["text"])) == found["o_key"]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

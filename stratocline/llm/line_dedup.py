@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocline.llm.common import cut, spare, table
+from stratocline.llm.common import cut, spare, table, text_key
 from stratocline.llm.hashing import PIECE, mix64, span_hashes
 from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
@@ -126,7 +126,7 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node, more): each line's place, and its 128-bit digest in two halves."""
+    """(doc_id, text_key, line, node, more): each line's place, and its 128-bit digest in two halves."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,21 +141,22 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                         one, two = digest(x)
                         d1.append(one)
                         d2.append(two)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(number, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "line", "node", "more"])
+                at = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(number, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "text_key", "line", "node", "more"])
 
-    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, line int, node long, more long")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(build, f"doc_id {kind}, text_key long, line int, node long, more long")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, dropped array<int>): the line numbers, from 0, that go from each document that loses any.
+    """(doc_id, text_key, dropped array<int>): the line numbers, from 0, that go from each document that loses any.
 
     A line goes if a similar one, directly or through others, stands earlier in the
-    order of (doc_id, line), null ids first.  Rows of one id count as one
-    document; blank lines are never dropped; null and empty texts have no lines.
+    order of (doc_id, line), null ids first.  Rows of one id are told apart by
+    ``text_key``, equal rows count as one document; blank lines are never dropped; null and empty texts have no lines.
     """
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    place = F.struct("doc_id", "line")
+    place = F.struct("doc_id", "line", "text_key")
     firsts = cut(_occurrences(docs).groupBy("node", "more").agg(F.min(place).alias("first"), F.max(place).alias("last")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,6 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                 lines = dict(_lines(t.as_py()))
                 for w in wanted:
                     line = lines.get(w["line"])
-                    # an id that is repeated brings several texts: only the node's line counts
                     if line is not None and digest(line)[0] == w["node"]:
                         node.append(w["node"])
                         text.append(line)
@@ -184,10 +184,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text) of lines, each from the first document that holds it."""
-        wanted = nodes.join(firsts, "node").groupBy(F.col("first.doc_id").alias("w_id")).agg(F.collect_set(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
+        wanted = nodes.join(firsts, "node").groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.text_key").alias("w_key")).agg(F.collect_set(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
         wanted = cut(wanted)
         few = wanted.count() <= BROADCAST_DOCS and wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= 4 * BROADCAST_DOCS
-        lines = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "wanted").mapInArrow(fetch, "node long, text string")
+        lines = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (text_key(F.col("text")) == F.col("w_key"))).select("text", "wanted").mapInArrow(fetch, "node long, text string")
         return cut(lines.dropDuplicates(["node"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -203,9 +203,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     named = firsts.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").where((F.col("first") != F.col("last")) | F.col("c_node").isNotNull())
     named = cut(named.select("node", "more", "first", F.coalesce("comp", "node").alias("comp")))
     keeper = named.groupBy("comp").agg(F.min("first").alias("keep"))
-    of_line = named.join(keeper, "comp").select(F.col("node").alias("k_node"), F.col("more").alias("k_more"), F.col("keep.doc_id").alias("k_id"), F.col("keep.line").alias("k_line"))
-    gone = _occurrences(docs).join(of_line, (F.col("node") == F.col("k_node")) & (F.col("more") == F.col("k_more"))).where(~(F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("line") == F.col("k_line"))))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    of_line = named.join(keeper, "comp").select(F.col("node").alias("k_node"), F.col("more").alias("k_more"), F.col("keep.doc_id").alias("k_id"), F.col("keep.line").alias("k_line"), F.col("keep.text_key").alias("k_key"))
+    gone = _occurrences(docs).join(of_line, (F.col("node") == F.col("k_node")) & (F.col("more") == F.col("k_more"))).where(~(F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("line") == F.col("k_line")) & (F.col("text_key") == F.col("k_key"))))
+    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -213,15 +213,15 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is such a column, is counted again for texts that change.
     """
-    gone = dropped.select(F.col("doc_id").alias("d_id"), F.col("dropped").alias("d_lines"))
-    numbers, key, text = gone["d_lines"], gone["d_id"], docs["text"]
+    gone = dropped.select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), F.col("dropped").alias("d_lines"))
+    numbers, text = gone["d_lines"], docs["text"]
 
     @F.arrow_udf("string")
     def rest(texts: pa.Array, lines: pa.Array) -> pa.Array:
         return pa.array([t if d is None else "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in set(d)) for t, d in zip(texts.to_pylist(), lines.to_pylist())], pa.string())
 
     name = spare(docs, "rest")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(key), "left").select(*[docs[c] for c in docs.columns], numbers.isNotNull().alias(spare(docs, "changed")), F.when(numbers.isNull(), text).otherwise(rest(text, numbers)).alias(name))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d_id"]) & (text_key(text) == gone["d_key"]), "left").select(*[docs[c] for c in docs.columns], numbers.isNotNull().alias(spare(docs, "changed")), F.when(numbers.isNull(), text).otherwise(rest(text, numbers)).alias(name))
     changed = F.col(spare(docs, "changed"))
     left = left.where(~changed | F.regexp_like(F.col(name), F.lit(r"\S")))
     new = {"text": F.col(name)}
@@ -234,7 +234,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines: how many it has, how many stay, and the numbers of those that go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = dropped_lines(docs)
-    lines = docs.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))).cast("long").alias("n_lines"))
-    joined = lines.join(gone.withColumnRenamed("doc_id", "g_id"), F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
+    lines = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))).cast("long").alias("n_lines"))
+    joined = lines.join(gone.withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"}), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocline.llm.common import cut, table
+from stratocline.llm.common import cut, table, text_key
 from stratocline.llm.hashing import mix64, shingle_sets
 from stratocline.llm.linking import band_keys, buckets, first_shared, link
 
@@ -125,9 +125,9 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, sketch, keys) per row; all but the id null or 0 for texts without words."""
+    """(doc_id, text_key, node, n, sketch, keys) per row; all but the first two null or 0 for texts without words."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "node", "n", "sketch", "keys"]
+    names = ["doc_id", "text_key", "node", "n", "sketch", "keys"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,11 +138,11 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 keys = band_keys(registers, BANDS, ROWS)
                 full = [len(x) > 0 for x in sets]
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([set_id(x) if f else None for x, f in zip(sets, full)], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                    b.column(0), b.column(2), pa.array([set_id(x) if f else None for x, f in zip(sets, full)], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([r.tobytes() if f else None for r, f in zip(registers, full)], pa.binary()), pa.array([k.tobytes() if f else None for k, f in zip(keys, full)], pa.binary()),
                 ], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, node long, n long, sketch binary, keys binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(build, f"doc_id {kind}, text_key long, node long, n long, sketch binary, keys binary")
 
 
 def _similar(a: set, b: set, percent: int) -> bool:
@@ -164,11 +164,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     null id links others but names no component: it has the component's smallest
     id, null if there is none, and is never kept unless its component has no id.
     """
+    return judged(docs, width=width, percent=percent).drop("text_key")
+
+
+def judged(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """As ``near_duplicates``, with the ``text_key`` of each row, which tells rows of one id apart."""
     docs = docs.select("doc_id", "text")
     rows = cut(sketched(docs, width))
-    facts = F.min(F.struct("doc_id", "n", "sketch", "keys"))  # nulls come first in a struct, so ids are told apart below
+    facts = F.min(F.struct("doc_id", "n", "sketch", "keys", "text_key"))  # nulls come first in a struct, so ids are told apart below
     named = rows.where(F.col("node").isNotNull())
-    nodes = cut(named.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "sketch", "keys"))), facts).alias("f")).select("node", F.col("f.doc_id").alias("first"), "f.n", "f.sketch", "f.keys"))
+    repeats = bool(named.groupBy("doc_id", "text_key").count().where(F.col("count") > 1).take(1))  # rows that are equal
+    nodes = cut(named.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "sketch", "keys", "text_key"))), facts).alias("f")).select("node", F.col("f.doc_id").alias("first"), F.col("f.text_key").alias("first_key"), "f.n", "f.sketch", "f.keys"))
 
     @F.pandas_udf("boolean")
     def possible(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -206,12 +212,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(made, pa.binary())], names=["node", "payload"])
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """The rows of distinct (n_id); texts are shuffled only where the ids are too many to go to all tasks."""
-        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("n_id")), "left_semi")
+        """The rows of distinct (n_id, n_key); texts are shuffled only where the ids are too many to go to all tasks."""
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("n_id")) & (text_key(F.col("text")) == F.col("n_key")), "left_semi")
 
     def payload(wanted: DataFrame) -> DataFrame:
-        wanted = cut(wanted.join(nodes.select("node", F.col("first").alias("n_id")), "node"))
-        made = texts_of(wanted.select("n_id").distinct()).select("text").mapInArrow(packed, "node long, payload binary")
+        wanted = cut(wanted.join(nodes.select("node", F.col("first").alias("n_id"), F.col("first_key").alias("n_key")), "node"))
+        made = texts_of(wanted.select("n_id", "n_key").distinct()).select("text").mapInArrow(packed, "node long, payload binary")
         return wanted.select("node").join(made.dropDuplicates(["node"]), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,25 +232,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = [nodes.select(F.col("node").alias(x), F.col("first").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
+        side = [nodes.select(F.col("node").alias(x), F.col("first").alias(f"id_{x}"), F.col("first_key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
         near = pairs.join(side[0], "a").join(side[1], "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        near = near.where(possible("s_a", "s_b", "n_a", "n_b")).select("a", "b", "id_a", "id_b")
+        near = near.where(possible("s_a", "s_b", "n_a", "n_b")).select("a", "b", "id_a", "id_b", "key_a", "key_b")
         near = cut(near)
-        ids = near.select(F.col("id_a").alias("n_id")).unionByName(near.select(F.col("id_b").alias("n_id"))).distinct()
-        wanted = texts_of(ids)
-        # an id that is repeated brings several texts: a pair is a link if any of them are
-        text = [wanted.select(F.col("doc_id").alias(f"t_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        full = near.join(text[0], F.col("id_a").eqNullSafe(F.col("t_a"))).select("a", "b", "id_b", "text_a")
-        full = full.join(text[1], F.col("id_b").eqNullSafe(F.col("t_b"))).select("a", "b", "text_a", "text_b")
+        ids = near.select(F.col("id_a").alias("n_id"), F.col("key_a").alias("n_key")).unionByName(near.select(F.col("id_b").alias("n_id"), F.col("key_b").alias("n_key"))).distinct()
+        wanted = texts_of(ids).withColumn("key", text_key(F.col("text")))
+        if repeats:
+            wanted = wanted.dropDuplicates(["doc_id", "key"])
+        text = [wanted.select(F.col("doc_id").alias(f"t_{x}"), F.col("key").alias(f"k_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        full = near.join(text[0], F.col("id_a").eqNullSafe(F.col("t_a")) & (F.col("key_a") == F.col("k_a"))).select("a", "b", "id_b", "key_b", "text_a")
+        full = full.join(text[1], F.col("id_b").eqNullSafe(F.col("t_b")) & (F.col("key_b") == F.col("k_b"))).select("a", "b", "text_a", "text_b")
         return full.mapInArrow(verify, "a long, b long").distinct()
 
     comps = link(buckets(nodes, BANDS), confirm, payload, compare)
     labelled = cut(nodes.select("node", "first").join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
     lowest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"), F.min("node").alias("any_node"))
     of_node = labelled.join(lowest, "comp").select(F.col("node").alias("l_node"), "component_id")
-    out = rows.select("doc_id", "node", "n").join(of_node, F.col("node") == F.col("l_node"), "left")
+    out = rows.select("doc_id", "text_key", "node", "n").join(of_node, F.col("node") == F.col("l_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from stratocline.llm import registry
+from stratocline.llm import registry, setsketch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,6 +33,30 @@ def test_stages(spark, odd_docs):
     assert 1 in near and 2 not in near and {4, 5, 6, 10, 11} <= near and 12 not in near
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, tmp_path):
+    def words(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    kind = "doc_id long, text string"
+    near = [(1, words("a")), (None, words("a")), (None, words("b")), (None, words("c")), (5, words("a")), (5, words("d"))]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(near, kind), DATA).collect()
+    assert sorted(r.text for r in left) == sorted(words(x) for x in "abcd")
+
+    # equal sets of shingles would link the texts of id 8 only by the other text of that id
+    other = [(7, words("e")), (8, words("f")), (8, words("e") + " more"), (9, words("f") + " more")]
+    got = setsketch.near_duplicates(spark.createDataFrame(other, kind))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(7, 7), (8, 7), (8, 8), (9, 8)]
+
+    spark.createDataFrame([(1, words("q"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leaks = [(None, words("q")), (None, words("b")), (None, None), (3, words("c"))]
+    left = corpus_pipeline.decontaminated(spark, spark.createDataFrame(leaks, kind), str(tmp_path)).collect()
+    assert Counter(r.text for r in left) == Counter([words("b"), None, words("c")])
+
+    texts = [(1, words("x")), (None, "first line of its own\n" + words("x")), (None, words("y") + "\nanother line of its own"), (4, words("z") + "\n" + words("x")), (4, words("u") + "\n" + words("v"))]
+    left = corpus_pipeline.lines(spark, spark.createDataFrame(texts, kind), DATA).collect()
+    assert {r.text for r in left} == {texts[1][1], texts[2][1], words("z"), texts[4][1]}
+
+
 def test_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA)
