@@ -128,6 +128,18 @@ def test_article_without_the_rest():
     assert page_text.blocks(None) == ([], [], []) and page_text.blocks("plain &lt;text")[1] == ["plain <text"]
 
 
+def test_main_text_is_not_taken_for_marked():
+    text = ["Long story", "It goes on"]
+    body = "<h1>Long story</h1><p>It goes on</p>"
+    for wrapper in ('div style="overflow:hidden"', 'div class="layout sidebar-right"', 'div title="The hidden costs"', 'div data-id="comment"', "form", 'div class="search"', 'a href="/en/hidden-valleys"'):
+        assert page_text.blocks(f"<{wrapper}><article>{body}</article></{wrapper.split()[0]}>")[0] == text, wrapper
+        if wrapper not in ("form", 'div class="search"'):
+            assert page_text.blocks(f"<article><{wrapper}>{body}</{wrapper.split()[0]}></article>")[0] == text, wrapper
+    assert page_text.blocks('<article><section id="search"><p>a</p></section><h2 id="related-work">b</h2><svg/><p>c</p><math display="x"/><p>d</p></article>')[0] == ["a", "b", "c", "d"]
+    for out in ("<div hidden>", '<div class="site-footer">', '<div class="comment-list"><article>', '<div class="related-posts"><article>', '<div class="cookie-notice">', '<nav><article>', '<div aria-hidden="true">', '<div class="x ad">'):
+        assert page_text.blocks(f"{out}gone")[0] == [] == page_text.blocks(f"{out}gone")[1], out
+
+
 def test_suffix_array_orders_prefixes():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 4, 300)
