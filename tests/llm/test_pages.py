@@ -173,6 +173,20 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark, monkeypatch, tokens):
     assert got[53].text == "" and got[None].n_chars == 0 and got[0].n_chars == len(got[0].text)
 
 
+@pytest.mark.parametrize("tokens", [400_000, 40])
+def test_shared_text_is_not_boilerplate(spark, monkeypatch, tokens):
+    monkeypatch.setattr(page_text, "SHARD_TOKENS", tokens)
+    body = "\n".join(" ".join(f"k{j}x{i}" for i in range(20)) for j in range(3))
+    story = "".join(f"<p>{x}</p>" for x in body.split("\n"))
+    # one text under other menus, and under other adverts in the open
+    rows = [(i, f"<nav>menu {i} of the site with links</nav>{story}") for i in range(8)] + [(i, f"<div>offer {i} only today for you and {i}</div>{story}") for i in range(8, 16)]
+    # a phrase and a heading that two pages share
+    rows += [(i, f"<p>In brief</p><p>at the end of the day we saw page {i} and its {i} words</p>") for i in (20, 21)]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame([(i, f"http://h.com/{i}", h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert all(got[i] == body for i in range(8)) and all(got[i].endswith(body) for i in range(8, 16))
+    assert all(got[i] == f"In brief\nat the end of the day we saw page {i} and its {i} words" for i in (20, 21))
+
+
 def test_text_of_odd_pages(spark, odd_pages):
     got = page_text.extract(odd_pages).collect()
     assert len(got) == odd_pages.count() and next(r for r in got if r.page_id == 5).text == " ".join(["word"] * 50_000)
