@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Where the setting is missing (a local session, as in tests) a temporary folder takes its place.
+    A local session (as in tests) that does not name one gets a temporary folder; a cluster must name it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
     if not folder:
-        if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="stratocline-checkpoint-")
-    if current.isEmpty():
-        context.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="stratocline-")
+        _LOCAL[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
+_LOCAL: dict[str, str | None] = {}  # temporary folders of local sessions
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a written table in the shared folder: its lineage ends here, and a lost executor costs no step before.
+
+    The shuffle files behind it go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stratocline-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``cut`` has written and that nothing reads any more."""
+    session = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("stratocline-"):
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key(text: Column) -> Column:

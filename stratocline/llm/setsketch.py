@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocline.llm.common import cut, table, text_key
-from stratocline.llm.hashing import mix64, shingle_sets
-from stratocline.llm.linking import band_keys, buckets, first_shared, link
+from stratocline.llm.hashing import mix64, shingle_sets, slices
+from stratocline.llm.linking import PACKED, band_keys, bucket_key, buckets, first_shared, link, packed, ranges, shared
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 IN_BLOCK = 4096  # shingles of a document whose set goes to the blocks of its buckets with its sketch
-BROADCAST_IDS = 2_000_000  # ids of candidate documents (some 16 bytes each) that may be broadcast
+BROADCAST_IDS = 250_000  # ids of candidate documents (some 100 bytes each in a hash table) that may be broadcast
 DOUBT = 10.0  # by which the log likelihood of the best similarity must exceed the threshold's for a pair to be dropped
 HEAD = 8 + 2 * REGISTERS  # bytes of a set's size and sketch
 _GOLD, _SALT = 0x9E3779B97F4A7C15, np.uint64(0x5851F42D4C957F2D)
@@ -101,48 +101,33 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thr
     return best, able
 
 
-def shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of pairs of sorted arrays that are not empty: how many values of the second are in the first."""
-    out = np.zeros(len(x), np.int64)
-    order = np.argsort(x, kind="stable")
-    for run in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else ():
-        a = sets[x[run[0]]]
-        for s in range(0, len(run), 256):
-            part = run[s : s + 256]
-            others = [sets[j] for j in y[part]]
-            values = np.concatenate(others)
-            hit = a[np.minimum(np.searchsorted(a, values), len(a) - 1)] == values
-            out[part] = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
-    return out
-
-
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit digest of a set in two halves."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, node, n, sketch, keys) per row; all but the first two null or 0 for texts without words."""
+    """(doc_id, text_key, hi, lo, n, sketch) per row: digest, size and sketch of its set; null, null, 0, null for texts without words."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "text_key", "node", "n", "sketch", "keys"]
+    names = ["doc_id", "text_key", "hi", "lo", "n", "sketch"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 1024):
-                b = whole.slice(s, 1024)
-                sets = shingle_sets([_raw(t) for t in b.column(1).to_pylist()], width)
+            for b in slices(whole, 1):
+                sets = shingle_sets([_raw(t.as_py()) for t in b.column(1)], width)
                 registers = sketches(sets)
-                keys = band_keys(registers, BANDS, ROWS)
-                full = [len(x) > 0 for x in sets]
+                ids = [set_id(x) if len(x) else (None, None) for x in sets]
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), b.column(2), pa.array([set_id(x) if f else None for x, f in zip(sets, full)], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([r.tobytes() if f else None for r, f in zip(registers, full)], pa.binary()), pa.array([k.tobytes() if f else None for k, f in zip(keys, full)], pa.binary()),
+                    b.column(0), b.column(2), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([r.tobytes() if len(x) else None for r, x in zip(registers, sets)], pa.binary()),
                 ], names=names)
 
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(build, f"doc_id {kind}, text_key long, node long, n long, sketch binary, keys binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(build, f"doc_id {kind}, text_key long, hi long, lo long, n long, sketch binary")
 
 
 def _similar(a: set, b: set, percent: int) -> bool:
@@ -171,10 +156,19 @@ def judged(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """As ``near_duplicates``, with the ``text_key`` of each row, which tells rows of one id apart."""
     docs = docs.select("doc_id", "text")
     rows = cut(sketched(docs, width))
-    facts = F.min(F.struct("doc_id", "n", "sketch", "keys", "text_key"))  # nulls come first in a struct, so ids are told apart below
-    named = rows.where(F.col("node").isNotNull())
+    facts = F.min(F.struct("doc_id", "n", "sketch", "text_key"))  # nulls come first in a struct, so ids are told apart below
+    named = rows.where(F.col("hi").isNotNull())
     repeats = bool(named.groupBy("doc_id", "text_key").count().where(F.col("count") > 1).take(1))  # rows that are equal
-    nodes = cut(named.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "sketch", "keys", "text_key"))), facts).alias("f")).select("node", F.col("f.doc_id").alias("first"), F.col("f.text_key").alias("first_key"), "f.n", "f.sketch", "f.keys"))
+    one = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "sketch", "text_key"))), facts)
+    # equal sets are one node; written, so that its number stays
+    nodes = cut(named.groupBy("hi", "lo").agg(one.alias("f")).select(F.monotonically_increasing_id().alias("node"), "hi", "lo", F.col("f.doc_id").alias("first"), F.col("f.text_key").alias("first_key"), "f.n", "f.sketch"))
+    parts = ranges(nodes.count() * BANDS)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                registers = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                yield from packed(b.column(0).to_numpy(zero_copy_only=False), band_keys(registers, BANDS, ROWS), parts)
 
     @F.pandas_udf("boolean")
     def possible(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -188,7 +182,7 @@ def judged(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
         rows = np.frombuffer(b"".join(p[:HEAD] for p in payloads), np.uint16).reshape(len(payloads), HEAD // 2)
         size = np.ascontiguousarray(rows[:, :4]).view(np.int64).ravel()
         good = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
-        good &= first_shared(band_keys(rows[:, 4:], BANDS, ROWS), x, y, key)
+        good &= first_shared(bucket_key(band_keys(rows[:, 4:], BANDS, ROWS).ravel(), parts).reshape(len(rows), BANDS), x, y, key)
         at = np.flatnonzero(good)
         left, right = rows[x[at], 4:], rows[y[at], 4:]
         # far fewer equal registers than the threshold needs: the likelihood would say the same
@@ -204,21 +198,22 @@ def judged(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
             good[at] = 100 * both >= percent * (size[x[at]] + size[y[at]] - both)
         return good
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                sets = [x for x in shingle_sets([_raw(t) for t in whole.column(0).slice(s, 256).to_pylist()], width) if len(x)]
+            for b in slices(whole, 0):
+                sets = [x for x in shingle_sets([_raw(t.as_py()) for t in b.column(0)], width) if len(x)]
                 made = [np.int64(len(x)).tobytes() + r.tobytes() + (np.sort((x >> np.uint64(32)).astype(np.uint32)).tobytes() if len(x) <= IN_BLOCK else b"") for x, r in zip(sets, sketches(sets))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(made, pa.binary())], names=["node", "payload"])
+                ids = [set_id(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1)] + [pa.array(made, pa.binary())], names=["hi", "lo", "payload"])
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """The rows of distinct (n_id, n_key); texts are shuffled only where the ids are too many to go to all tasks."""
         return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("n_id")) & (text_key(F.col("text")) == F.col("n_key")), "left_semi")
 
     def payload(wanted: DataFrame) -> DataFrame:
-        wanted = cut(wanted.join(nodes.select("node", F.col("first").alias("n_id"), F.col("first_key").alias("n_key")), "node"))
-        made = texts_of(wanted.select("n_id", "n_key").distinct()).select("text").mapInArrow(packed, "node long, payload binary")
-        return wanted.select("node").join(made.dropDuplicates(["node"]), "node")
+        wanted = cut(nodes.join(wanted, "node").select("node", "hi", "lo", F.col("first").alias("n_id"), F.col("first_key").alias("n_key")))
+        made = texts_of(wanted.select("n_id", "n_key").distinct()).select("text").mapInArrow(loads, "hi long, lo long, payload binary")
+        return wanted.select("node", "hi", "lo").join(made.dropDuplicates(["hi", "lo"]), ["hi", "lo"]).select("node", "payload")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -245,12 +240,12 @@ def judged(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
         full = full.join(text[1], F.col("id_b").eqNullSafe(F.col("t_b")) & (F.col("key_b") == F.col("k_b"))).select("a", "b", "text_a", "text_b")
         return full.mapInArrow(verify, "a long, b long").distinct()
 
-    comps = link(buckets(nodes, BANDS), confirm, payload, compare)
-    labelled = cut(nodes.select("node", "first").join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
-    lowest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"), F.min("node").alias("any_node"))
-    of_node = labelled.join(lowest, "comp").select(F.col("node").alias("l_node"), "component_id")
-    out = rows.select("doc_id", "text_key", "node", "n").join(of_node, F.col("node") == F.col("l_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    comps = link(cut(buckets(nodes.select("node", "sketch").mapInArrow(keyed, PACKED))), confirm, payload, compare)
+    labelled = cut(nodes.select("node", "hi", "lo", "first").join(comps, "node", "left").select("node", "hi", "lo", "first", F.coalesce("comp", "node").alias("comp")))
+    lowest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
+    of_node = labelled.join(lowest, "comp").select(F.col("hi").alias("l_hi"), F.col("lo").alias("l_lo"), "component_id")
+    out = rows.select("doc_id", "text_key", "hi", "lo", "n").join(of_node, (F.col("hi") == F.col("l_hi")) & (F.col("lo") == F.col("l_lo")), "left")
+    component = F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
