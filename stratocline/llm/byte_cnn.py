@@ -7,7 +7,7 @@ each chunk; its maximum and mean over all chunks are combined into one probabili
 Nothing but the bytes of the text enters a score.
 
 Fitting runs on the driver over a bounded sample of labelled rows: per class at
-most ``per_class`` rows (the smallest hashes of their ids) of at most
+most ``per_class`` ids (of the smallest hashes), one text each (the smallest), of at most
 ``max_fit_bytes`` bytes.  Scoring runs over all rows inside the tasks, in slices of
 a fixed number of segments, so that memory does not grow with a text's length.
 """
@@ -17,14 +17,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocline.llm.common import table
+from stratocline.llm.hashing import slices
 
 SEGMENT, KERNEL, STRIDE, EMBED, FILTERS, HIDDEN = 128, 6, 2, 6, 24, 12
-SLICE = 2048  # segments that are convolved at once
+SLICE = 512  # segments that are convolved at once
 PER_CLASS, MAX_FIT_BYTES, EPOCHS, BATCH, SEED = 900, 32_768, 8, 24, 7
 
 THRESHOLD = 0.5  # below which a document is rejected
@@ -176,18 +177,20 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max
         one = usable.where(F.col("quality") == label).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("y")).distinct().orderBy(F.xxhash64("l_id"), "l_id").limit(per_class)
         sample = one if sample is None else sample.unionByName(one)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_fit_bytes)
-    # at most 2 * per_class ids: a proven bound for the broadcast
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).orderBy(*order, "y").select("text", "y").collect()
+    # at most 2 * per_class ids: a proven bound for the broadcast, and one text of each for what is collected
+    one = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = one.orderBy(*order, "y").select("text", "y").collect()
     return fit([(r.text.encode("utf-8", "replace"), r.y) for r in rows], **options)
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``name``; null and empty texts are scored as empty."""
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(score_texts(model, texts.tolist()))
+            parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0)
+            yield pa.array(np.concatenate([np.empty(0), *[score_texts(model, x.column(0).to_pylist()) for x in parts]]))
 
     return docs.withColumn(name, probability(F.col(text_col)))
 
