@@ -10,7 +10,9 @@ target by at most about twice the largest document.
 Scale: one source may hold any share of the rows.  The running sum is never a
 window over a source: rows are range-partitioned by (source, size, doc_id), each
 partition is numbered on its own, and the rows before it in its source are
-added from a table with one row per partition and source.
+added from a table with one row per partition and source.  The table of sources
+goes through windows in one task, some 50 bytes a source: millions of sources are
+its bound.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratocline.llm.common import cut, table, word_count
+from stratocline.llm.common import cut, spare, table, text_key, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -61,6 +63,27 @@ def offset_of(source: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _counted(sized: DataFrame, weights: Sequence[int], max_repeats: int, seed: int) -> DataFrame:
+    """Rows of (doc_id, source, size, tie, ...) with ``source_size``, ``target`` and ``copies``."""
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    # the written table fixes which partition and place a row is in, whatever is lost or run again
+    ranged = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
+    targets = source_targets(ranged, weights, max_repeats)
+    # a source's rows are together in a partition: their numbers follow from the first one's place
+    counts = ranged.groupBy("source", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("source").alias("s_source"), F.col("part").alias("s_part"), "first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    at = starts.join(targets, F.col("s_source").eqNullSafe(F.col("source"))).drop("source")
+    rows = ranged.join(at, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("part") == F.col("s_part")))
+    rate = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
+    u = offset_of(F.col("source"), seed)
+    rank = (F.col("start") + F.col("place") - F.col("first") + 1).cast("double")
+    copies = F.coalesce(F.floor(u + rank * rate) - F.floor(u + (rank - F.lit(1.0)) * rate), F.lit(0)).cast("long")
+    return rows.withColumn("copies", copies)
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -78,42 +101,31 @@ def mix(
     documents of their own; an empty table gives an empty result.  Sources of
     size 0 have target 0 and take nothing.  Other columns are ignored.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the checkpoint fixes which partition a row is in, whatever is lost or run again
-    ranged = cut(sized.repartitionByRange(parts, F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
-    targets = source_targets(ranged, weights, max_repeats)
-    counts = ranged.groupBy("source", "part").agg(F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("source").alias("s_source"), F.col("part").alias("s_part"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
-    # source and part together are at most a partition's rows: the window below sorts what is sorted already
-    within = Window.partitionBy("part", "source").orderBy("size", F.col("doc_id").asc_nulls_first())
-    numbered = ranged.withColumn("row", F.row_number().over(within))
-    at = starts.join(targets, F.col("s_source").eqNullSafe(F.col("source"))).drop("source")
-    rows = numbered.join(at, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("part") == F.col("s_part")))
-    rate = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
-    u = offset_of(F.col("source"), seed)
-    rank = (F.col("start") + F.col("row")).cast("double")
-    copies = F.coalesce(F.floor(u + rank * rate) - F.floor(u + (rank - F.lit(1.0)) * rate), F.lit(0)).cast("long")
-    return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.lit(0).alias("tie"))
+    rows = _counted(sized, weights, max_repeats, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    max_repeats: int = MAX_REPEATS,
+    seed: int = SEED,
+) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, numbered by ``copy_no`` from 1.
 
-    Rows of one id count as one choice here: all rows of an id that is repeated get
-    the copies of its first row in order.  A null id is kept apart by its source and size.
+    Rows are told apart as in ``mix``, those of one id, source and size by their texts.  Where ``docs``
+    has a column ``copy_no``, it is kept and the number's name gets underscores.
     """
-    id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    chosen = (
-        mix(docs, **options)
-        .where("copies > 0")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-        .agg(F.max("copies").alias("__copies"))
-    )
-    on = docs[id_col].eqNullSafe(chosen["__id"]) & docs[source_col].eqNullSafe(chosen["__source"]) & (word_count(docs[text_col]) == chosen["__size"])
-    number = F.explode(F.sequence(F.lit(1), chosen["__copies"].cast("int"))).alias("copy_no")
-    return docs.join(chosen, on).select(*[docs[c] for c in docs.columns if c != "copy_no"], number)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), text_key(F.col(text_col)).alias("tie"), row)
+    taken = _counted(sized, weights, max_repeats, seed).where("copies > 0")
+    number = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(spare(docs, "copy_no"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], number)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
