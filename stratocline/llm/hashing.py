@@ -13,7 +13,8 @@ import xxhash
 SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
-PIECE = 1 << 20  # bytes that are hashed at once
+PIECE = 1 << 18  # bytes that are hashed at once
+SLICE = 1 << 20  # bytes of texts that an operator works on at once
 _CACHED = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -96,12 +97,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of at most some ``PIECE`` bytes of a text column, one row at least; what a batch needs besides follows its bytes."""
+    """A batch in slices of at most some ``SLICE`` bytes of a text column, one row at least; what a batch needs besides follows its bytes."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
     end = np.cumsum(size)
     start = 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + PIECE, "right")))
+        stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + SLICE, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

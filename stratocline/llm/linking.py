@@ -37,6 +37,7 @@ RANGE = 1 << 18  # entries that a range of keys holds on average
 SMALL = 8  # members of a bucket whose pairs are listed one by one
 BLOCK = 1024  # members of a bucket's largest component in one block, and twice the strays
 PAIRS_AT_ONCE = 40_000  # pairs that are compared in one call
+HELD_BYTES = 4 << 20  # payloads of blocks that wait to be compared together
 _HEAD = np.dtype([("key", "<u4"), ("node", "<i8")])
 _NEAR = np.dtype([("key", "<i8"), ("node", "<i8"), ("near", "<i8")])
 _PACKED = pa.schema([("part", pa.int32()), ("heads", pa.binary()), ("near", pa.binary())])
@@ -199,7 +200,7 @@ def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list = [[], [], [], [], [], 0]  # left, right, key, node, payload of pairs still to compare, and how many
+        waiting: list = [[], [], [], [], [], 0, 0]  # left, right, key, node, payload of pairs still to compare, how many, and the payloads' bytes
 
         def compared() -> Iterator[pa.RecordBatch]:
             if waiting[5]:
@@ -209,7 +210,7 @@ def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
                     good = compare(waiting[4], x, y, key[s : s + PAIRS_AT_ONCE])
                     x, y = node[x[good]], node[y[good]]
                     yield _batch(schema, np.minimum(x, y), np.maximum(x, y))
-            waiting[:] = [[], [], [], [], [], 0]
+            waiting[:] = [[], [], [], [], [], 0, 0]
 
         def add(name: tuple[int, int, int], held: list) -> None:
             node, comp, stray = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2))
@@ -230,6 +231,7 @@ def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
                     w.append(value)
                 waiting[4].extend(p for h in held for p in h[3])
                 waiting[5] += len(x)
+                waiting[6] += sum(len(p) for h in held for p in h[3])
 
         held: list = []  # pieces of the block that is not complete yet
         name = None
@@ -243,7 +245,7 @@ def block_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
                 if tuple(names[s]) != name and held:
                     add(name, held)
                     held = []
-                    if waiting[5] >= PAIRS_AT_ONCE or len(waiting[4]) >= 8 * BLOCK:
+                    if waiting[5] >= PAIRS_AT_ONCE or waiting[6] >= HELD_BYTES:
                         yield from compared()
                 name = tuple(names[s])
                 held.append((node[s:e], comp[s:e], stray[s:e], b.column(7).slice(s, e - s).to_pylist(), part[s:e]))
