@@ -84,7 +84,7 @@ def read_product(spark: SparkSession, folder: str, *, packed: bool = False) -> D
 def write_reconstruction(rows: DataFrame, folder: str, *, csv: bool = False) -> None:
     """Station reconstructions; as CSV with four decimals."""
     if csv:
-        fixed = [F.format_number(F.col(c), "0.0000").alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+        fixed = [F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
         rows.select(*fixed).write.mode("overwrite").option("header", True).csv(folder)
     else:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(folder)

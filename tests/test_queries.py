@@ -28,19 +28,36 @@ def plain(v):
     return str(v)
 
 
+def near(a, b):
+    """Equal, or numbers one unit of the fourth place apart: a mean of doubles at a tie may be rounded either way."""
+    if a == b:
+        return True
+    return all(isinstance(v, float) and not math.isnan(v) for v in (a, b)) and abs(a - b) < 1.01e-4
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     want = duck.execute(ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(df.columns)
-    rows = sorted(tuple(plain(v) for v in r) for r in want.fetchall())
-    assert sorted(tuple(plain(v) for v in r) for r in df.select(*names).collect()) == rows
+
+    def ordered(rows):
+        # what is not a double tells rows apart first
+        return sorted(([tuple(r), tuple(plain(v) for v in r)] for r in rows), key=lambda r: ([p for v, p in zip(*r) if not isinstance(v, float)], r[1]))
+
+    got, rows = ordered(df.select(*names).collect()), ordered(want.fetchall())
+    assert len(got) == len(rows)
+    odd = [(x[0], y[0]) for x, y in zip(got, rows) if x[1] != y[1]]
+    assert len(odd) <= len(rows) // 100 and all(near(v, w) for x, y in odd for v, w in zip(x, y)), odd[:5]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_fitting_queries_run(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    """Rows come, no row stands twice, and numbers are finite where they are not null."""
+    rows = [tuple(r) for r in QUERIES[name](spark, DATA.replace("0.001", "0.01")).collect()]
+    assert rows and len({repr(r) for r in rows}) == len(rows)
+    assert all(math.isfinite(v) for r in rows for v in r if isinstance(v, float))
 
 
 def test_entry(spark):
