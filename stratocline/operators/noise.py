@@ -36,13 +36,13 @@ def gaussian_weights(stations: DataFrame, length: float, reach: float = 6.0) ->
 
 
 def dense_weights(xy: np.ndarray, length: float) -> np.ndarray:
-    """The same as a matrix; where a row has no neighbour, the spectral radius bounds the scale instead."""
+    """The same as a matrix: rows with any weight sum to 1 before the scale; where a station has no neighbour, the spectral radius decides on the scale."""
     d2 = ((xy[:, None] - xy[None]) ** 2).sum(-1)
     k = np.exp(-d2 / (2 * length * length))
     np.fill_diagonal(k, 0)
     total = k.sum(1)
-    w = k / np.maximum(total, 1e-10)[:, None]
-    if (total > 1e-10).all():
+    w = k / np.where(total > 0, total, 1)[:, None]
+    if (total > 0).all():
         return w / SHRINK
     radius = spectral_radius(w)
     return w / (radius + 0.01) if radius >= 1 else w
@@ -169,12 +169,16 @@ def fit_arma(x: np.ndarray) -> tuple[float, float, float]:
         return 0.0, 0.0, float(x.var()) if len(x) else 0.0
     axis = np.linspace(-0.95, 0.95, COARSE)
     p, q = np.meshgrid(axis, axis, indexing="ij")
-    i = css(x, p, q).argmin()
-    near = np.linspace(-REACH, REACH, FINE)
-    p, q = np.meshgrid(np.clip(p.flat[i] + near, -EDGE, EDGE), np.clip(q.flat[i] + near, -EDGE, EDGE), indexing="ij")
     c = css(x, p, q)
     i = c.argmin()
-    return float(p.flat[i]), float(q.flat[i]), float(c.flat[i] / len(x))
+    best = float(p.flat[i]), float(q.flat[i]), float(c.flat[i] / len(x))
+    # the bounds of the fine lattice end at the edge, its points are spread between them
+    sides = [np.linspace(max(v - REACH, -EDGE), min(v + REACH, EDGE), FINE) for v in best[:2]]
+    p, q = np.meshgrid(*sides, indexing="ij")
+    c = css(x, p, q)
+    i = c.argmin()
+    fine = float(p.flat[i]), float(q.flat[i]), float(c.flat[i] / len(x))
+    return fine if fine[2] < best[2] else best
 
 
 def arma_model(residuals: DataFrame, keys: list[str]) -> DataFrame:

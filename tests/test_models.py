@@ -88,6 +88,23 @@ def test_sparse_weights_equal_dense_ones(spark):
     assert np.allclose(got, noise.dense_weights(xy, 40.0), atol=1e-9)
 
 
+def test_weights_of_isolated_stations():
+    """A station far from all has no weights; one that hardly has a neighbour has its row sum to 1 before the scale."""
+    near = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]])
+    w = noise.dense_weights(np.vstack([near, [[1e9, 1e9]]]), 20.0)
+    assert (w[3] == 0).all() and (w[:, 3] == 0).all() and np.allclose(w[:3].sum(1), w[0].sum())
+    w = noise.dense_weights(np.vstack([near, [[200.0, 0.0]]]), 20.0)
+    assert np.allclose(w.sum(1), 1 / 1.01)
+
+
+def test_arma_fit_near_the_edge():
+    x = noise.arma_series(np.random.default_rng(9).normal(size=3000), 0.97, -0.2)
+    phi, theta, _ = noise.fit_arma(x)
+    low, high = max(0.95 - noise.REACH, -noise.EDGE), min(0.95 + noise.REACH, noise.EDGE)
+    steps = (phi - low) / (high - low) * (noise.FINE - 1)
+    assert abs(phi - 0.97) < 0.02 and abs(steps - round(steps)) < 1e-6
+
+
 def test_spatial_fit_finds_lambda():
     rng = np.random.default_rng(6)
     xy = rng.uniform(0, 300, size=(80, 2))
