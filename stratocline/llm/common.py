@@ -23,14 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="stratocline-")
-        _LOCAL[spark.sparkContext.applicationId] = folder
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="stratocline-")
+        folder = _LOCAL[application]
     return folder.rstrip("/")
 
 
-_LOCAL: dict[str, str | None] = {}  # temporary folders of local sessions
+_LOCAL: dict[str, str] = {}  # temporary folders of local sessions
 #: While a table is written: its shuffle files go as soon as it is there, and Python workers get small batches.
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
