@@ -293,8 +293,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = write_packages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return resolve_revisits(cut(read_packages(packages, payload=False).drop("payload")))
+    pages = table(spark, sf_dir, "pages")
+    packages = write_packages(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return resolve_revisits(cut(read_packages(packages, id_type=dict(pages.dtypes)["page_id"], payload=False).drop("payload")))
 
 
 OP3_SQL = r"""

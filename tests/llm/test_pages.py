@@ -68,6 +68,13 @@ def test_records_come_back(spark, odd_pages, tmp_path, monkeypatch):
     assert got == sorted((i or 0, len(p), warc_zip.payload_digest(p)) for i, p in want)
 
 
+def test_text_ids_come_back(spark, tmp_path):
+    rows = [("b", "http://a.com/", "<p>x</p>"), ("a", "http://b.com/", "<p>x</p>"), ("c", None, None)]
+    spark.createDataFrame(rows, "page_id string, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc_zip.op3_warc(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("response", None), "b": ("revisit", "a"), "c": ("response", None)}
+
+
 def test_small_payloads_are_all_responses(spark, odd_pages, tmp_path):
     packages = warc_zip.write_packages(odd_pages, f"file://{tmp_path}/w", min_revisit_bytes=100)
     assert {r.record_type for r in warc_zip.read_packages(packages).collect()} == {"response"}
