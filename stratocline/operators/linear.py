@@ -1,8 +1,10 @@
 """Principal-component regression by month: decomposition, selection of components, station fits, prediction.
 
 A (gcm, var, month) group is a matrix of at most some hundred years by a few hundred
-cells, so decomposition is one task per group; station fits are one task per station
-and month.  Projection onto loadings and prediction are joins and sums.
+cells, so decomposition is one task per group.  Selection needs the errors of all stations
+of a month at once: its observations (12,000 stations by 125 years are 12 MB) and their fits
+are one task too.  Projection onto loadings, moving means, prediction and residuals, whose
+length is that of the run, are windows, joins and sums.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratocline.functions import scalars as S
+from stratocline.operators.moving import frame, moving_mean
+
 # Fixed values of the selection: share of variance that starts the set, size of the pool,
 # least share in the pool, needed gain, most rounds, least years to fit and to validate.
 START_SHARE, POOL, LEAST_SHARE, GAIN, MAX_ROUNDS, MIN_FIT, MIN_VAL = 0.10, 20, 1e-5, 0.99, 16, 20, 5
@@ -39,21 +44,36 @@ def ols(x: np.ndarray, y: np.ndarray, intercept: bool = True) -> tuple[np.ndarra
     return beta, float(np.sqrt(np.mean(r**2))), float(r @ r / max(len(y) - a.shape[1], 1))
 
 
+def _matrix(pdf: pd.DataFrame, rows: str) -> pd.DataFrame:
+    """Times by cells, of the cells that have a value at every time."""
+    return pdf.pivot(index=rows, columns="cell", values="value").sort_index(axis=1).dropna(axis=1) if len(pdf) else pd.DataFrame()
+
+
 def pca_model(field: DataFrame, keys: list[str], components: int | None = None) -> DataFrame:
-    """(keys, pc, share, mean, loading array by cell) of a field (keys, t, cell, value) without gaps."""
-    schema = ", ".join(f"{k} {dict(field.dtypes)[k]}" for k in keys) + ", pc int, share double, mean array<double>, loading array<double>"
+    """(keys, pc, share, cell array, mean and loading arrays in its order) of a field (keys, t, cell, value).
+
+    Cells with a gap are left out; fewer than two times or no whole cell give no components.
+    """
+    types = dict(field.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", pc int, share double, cell array<{types['cell']}>, mean array<double>, loading array<double>"
 
     def fit(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="t", columns="cell", values="value").sort_index(axis=1).dropna()
-        if len(x) < 2:
-            return pd.DataFrame(columns=[*keys, "pc", "share", "mean", "loading"])
+        x = _matrix(pdf, "t")
+        if len(x) < 2 or x.shape[1] == 0:
+            return pd.DataFrame(columns=[*keys, "pc", "share", "cell", "mean", "loading"])
         _, loadings, share, mean = decompose(x.to_numpy(float))
         n = min(components or len(share), len(share))
-        return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key)}, "pc": range(1, n + 1), "share": share[:n], "mean": [mean] * n, "loading": list(loadings[:n])})
+        return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key)}, "pc": range(1, n + 1), "share": share[:n], "cell": [x.columns.to_numpy()] * n, "mean": [mean] * n, "loading": list(loadings[:n])})
 
     return field.select(*keys, "t", "cell", "value").groupBy(*keys).applyInPandas(fit, schema)
 
 
+def loadings_of(pca: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pc, cell, weight, mean) of the components of ``pca_model``."""
+    rows = pca.select(*keys, "pc", F.explode(F.arrays_zip("cell", "loading", "mean")).alias("z"))
+    return rows.select(*keys, "pc", "z.cell", F.col("z.loading").alias("weight"), "z.mean")
+
+
 def project(field: DataFrame, loadings: DataFrame, keys: list[str]) -> DataFrame:
     """Scores (keys, t, pc, score) of a field (keys, t, cell, value) on loadings (keys, pc, cell, mean, weight): a join and a sum."""
     joined = field.join(loadings, [*keys, "cell"])
@@ -117,33 +137,40 @@ def select_components(scores: np.ndarray, share: np.ndarray, y: np.ndarray, cal:
     return chosen
 
 
-MODEL = "pc array<int>, beta array<double>, n_fit int, rmse_train double, rmse_val double, r2_train double, sigma2 double, mu double"
+MODEL = "pc array<int>, beta array<double>, n_fit int, rmse_train double, rmse_val double, rmse_test double, r2_train double, sigma2 double, mu double, offset double, share double"
 
 
-def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], keys: list[str] = ["month"], *, min_years: int = 30, min_fit: int = MIN_FIT) -> DataFrame:
+def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], keys: list[str] = ["month"], *, log: bool = False, min_years: int = 30, min_fit: int = MIN_FIT) -> DataFrame:
     """Station models (keys, id, chosen components, coefficients, errors): a cogroup per month.
 
-    obs: (keys, id, year, value); field: (keys, year, cell, value).  Months with fewer
-    than ``min_years`` common years give no models; stations with fewer than ``min_fit``
-    calibration values give none either.
+    obs: (keys, id, year, value); field: (keys, year, cell, value) of the whole calibration
+    period, which is decomposed as ``pca_model`` does.  With ``log`` a station's values go
+    through ln(value + offset), offset = 1 - least value, else offset is null.  ``mu`` is the
+    station's mean after the link, errors are those of the linked values, sigma2 is the mean
+    squared residual of the fit, share the variance that the chosen components hold.
+    Months with fewer than ``min_years`` common years give no models; stations with fewer
+    than ``min_fit`` calibration values give none either.
     """
     types = dict(obs.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types['id']}, {MODEL}"
-    cal_years, val_years = set(roles.get("cal", ())), set(roles.get("val", ()))
+    role_years = {role: set(roles.get(role, ())) for role in ("cal", "val", "test")}
     columns = [*keys, "id", *[c.split()[0] for c in MODEL.split(", ")]]
 
     def fit(key: tuple[Any, ...], o: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        x = f.pivot(index="year", columns="cell", values="value").dropna(axis=1) if len(f) else pd.DataFrame()
+        x = _matrix(f, "year")
         y = o.pivot_table(index="year", columns="id", values="value", aggfunc="first") if len(o) else pd.DataFrame()
         years = x.index.intersection(y.index)
         if len(years) < min_years or x.shape[1] == 0:
             return pd.DataFrame(columns=columns)
         y = y.loc[years]
         y = y.loc[:, y.notna().sum() >= max(min(10, min_years), int(0.15 * len(years)))]
-        scores, _, share, _ = decompose(x.loc[years].to_numpy(float))
-        mu = y.mean().to_numpy()
-        centred = y.to_numpy(float) - mu
-        cal, val = np.array([t in cal_years for t in years]), np.array([t in val_years for t in years])
+        scores, _, share, _ = decompose(x.to_numpy(float))
+        scores = scores[x.index.get_indexer(years)]
+        offset = 1 - y.min().to_numpy() if log else np.full(y.shape[1], np.nan)
+        linked = np.log(y.to_numpy(float) + offset) if log else y.to_numpy(float)
+        mu = np.nanmean(linked, axis=0) if y.shape[1] else np.empty(0)
+        centred = linked - mu
+        cal, val, test = (np.array([t in role_years[role] for t in years]) for role in ("cal", "val", "test"))
         chosen = select_components(scores, share, centred, cal, val, partial(_validation_error, min_fit=min_fit))
         rows = []
         for s, name in enumerate(y.columns):
@@ -154,26 +181,102 @@ def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], key
             beta, error, _ = ols(scores[use][:, chosen], own[use])
             res = own - np.column_stack([np.ones(len(scores)), scores[:, chosen]]) @ beta
             spread = own[use].var()
-            late = v & val
-            rows.append([*key, name, [c + 1 for c in chosen], beta.tolist(), int(use.sum()), error, float(np.sqrt(np.mean(res[late] ** 2))) if late.any() else None, float(1 - np.mean(res[use] ** 2) / spread) if spread else None, float(np.mean(res[use] ** 2)), float(mu[s])])
+            late, last = (float(np.sqrt(np.mean(res[v & part] ** 2))) if (v & part).any() else None for part in (val, test))
+            rows.append([*key, name, [c + 1 for c in chosen], beta.tolist(), int(use.sum()), error, late, last, float(1 - np.mean(res[use] ** 2) / spread) if spread else None, float(np.mean(res[use] ** 2)), float(mu[s]), float(offset[s]) if log else None, float(share[chosen].sum())])
         return pd.DataFrame(rows, columns=columns)
 
     return obs.select(*keys, "id", "year", "value").groupBy(*keys).cogroup(field.select(*keys, "year", "cell", "value").groupBy(*keys)).applyInPandas(fit, schema)
 
 
+def fallback_roles(years: list[int], n_val: int = 50, n_test: int = 15, seed: int = 2026) -> dict[str, list[int]]:
+    """A seeded split of the years at hand: at most half of them validate, at most a third of the rest test."""
+    years = sorted(years)
+    n_val = min(n_val, len(years) // 2)
+    n_test = min(n_test, (len(years) - n_val) // 3)
+    order = np.random.default_rng(seed).permutation(len(years))
+    parts = {"val": order[:n_val], "test": order[n_val : n_val + n_test], "cal": order[n_val + n_test :]}
+    return {role: sorted(int(years[i]) for i in at) for role, at in parts.items()}
+
+
+def fitted(scores: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, t, fit): intercept and chosen components of scores (keys, t, pc, score), a join and a partial sum."""
+    chosen = models.select(*keys, "id", F.col("beta")[0].alias("b0"), F.posexplode("pc").alias("k", "pc"), "beta")
+    weights = chosen.select(*keys, "id", "b0", "pc", F.expr("beta[k + 1]").alias("weight"))
+    summed = scores.join(weights, [*keys, "pc"]).groupBy(*keys, "id", "t").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.first("b0").alias("b0"))
+    return summed.select(*keys, "id", "t", (F.col("b0") + F.col("s")).alias("fit"))
+
+
+def _unlinked(models: DataFrame, g: Column) -> Column:
+    """``g`` itself, or back through the log link, with the half variance that keeps the mean, where the model has an offset."""
+    back = S.inverse_log_link(g + F.coalesce("sigma2", F.lit(0.0)) / 2, F.col("offset"))
+    return F.when(F.col("offset").isNull(), g).otherwise(back) if "offset" in models.columns else g
+
+
 def predict(scores: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, t, value) of scores (keys, t, pc, score): chosen components joined with coefficients and summed."""
-    chosen = models.select(*keys, "id", "mu", F.col("beta")[0].alias("b0"), F.posexplode("pc").alias("k", "pc"), "beta")
-    weights = chosen.select(*keys, "id", "mu", "b0", "pc", F.expr("beta[k + 1]").alias("weight"))
-    summed = scores.join(weights, [*keys, "pc"]).groupBy(*keys, "id", "t").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.first("mu").alias("mu"), F.first("b0").alias("b0"))
-    return summed.select(*keys, "id", "t", (F.col("mu") + F.col("b0") + F.col("s")).alias("value"))
+    """(keys, id, t, value) of scores (keys, t, pc, score) within the calibration climate."""
+    rest = models.select(*keys, "id", "mu", *[c for c in ("sigma2", "offset") if c in models.columns])
+    out = fitted(scores, models, keys).join(rest, [*keys, "id"])
+    return out.select(*keys, "id", "t", _unlinked(models, F.col("fit") + F.col("mu")).alias("value"))
+
+
+def moving_change(field: DataFrame, keys: list[str], calibration: Column, k: int = 30, *, log: bool = False) -> DataFrame:
+    """(keys, t, cell, value, shift): the field less its moving mean, and the moving mean less the calibration mean.
+
+    With ``log`` both means are of ln(value + 1 + least calibration value of the cell), and
+    the field loses that mean, as the published method has it.  ``calibration`` is a
+    condition on the rows; a cell without calibration rows has a null shift.  One
+    partitioning and one sort, frames of ``k`` rows.
+    """
+    whole, v = Window.partitionBy(*keys, "cell"), F.col("value")
+    linked = F.ln(v + 1 + F.min(F.when(calibration, v)).over(whole)) if log else v
+    moved = field.withColumn("__g", linked).withColumn("__m", moving_mean(F.col("__g"), frame([*keys, "cell"], ["t"], k)))
+    base = F.avg(F.when(calibration, F.col("__g"))).over(whole)
+    return moved.select(*keys, "t", "cell", (v - F.col("__m")).alias("value"), (F.col("__m") - base).alias("shift"))
+
+
+def predict_transient(field: DataFrame, loadings: DataFrame, models: DataFrame, places: DataFrame, keys: list[str], calibration: Column, k: int = 30, *, log: bool = False) -> DataFrame:
+    """(keys, id, t, value) of a whole run (keys, t, cell, value), with the model's own slow change added.
+
+    Scores are those of the field less its moving mean; each station gets the shift of the
+    cell that ``places`` (id, cell) names.  A time at which that cell has no shift gives
+    null.  Shifts are kept only for cells with stations, before they meet the predictions.
+    """
+    moved = moving_change(field, keys, calibration, k, log=log)
+    scores = project(moved, loadings.withColumn("mean", F.lit(0.0)), keys)
+    rest = models.select(*keys, "id", "mu", *[c for c in ("sigma2", "offset") if c in models.columns])
+    shifts = moved.select(*keys, "t", "cell", "shift").join(places.select("id", "cell"), "cell").select(*keys, "id", "t", "shift")
+    out = fitted(scores, models, keys).join(rest, [*keys, "id"]).join(shifts, [*keys, "id", "t"], "left")
+    return out.select(*keys, "id", "t", _unlinked(models, F.col("fit") + F.col("mu") + F.col("shift")).alias("value"))
+
+
+def residuals(obs: DataFrame, scores: DataFrame, models: DataFrame, keys: list[str], years: list[int], least: int = MIN_FIT) -> DataFrame:
+    """(keys, id, t, value): linked observations of ``years`` less what the stored models fit; stations with ``least`` or more."""
+    rows = obs.where(F.col("year").isin(*years) & F.col("value").isNotNull()).select(*keys, "id", F.col("year").alias("t"), F.col("value").alias("o"))
+    joined = rows.join(models.select(*keys, "id", "mu", "offset"), [*keys, "id"]).join(fitted(scores, models, keys), [*keys, "id", "t"])
+    linked = F.when(F.col("offset").isNull(), F.col("o")).otherwise(S.log_link(F.col("o"), F.col("offset")))
+    out = joined.select(*keys, "id", "t", (linked - F.col("mu") - F.col("fit")).alias("value"))
+    return out.withColumn("__n", F.count("value").over(Window.partitionBy(*keys, "id"))).where(F.col("__n") >= least).drop("__n")
+
+
+def diagnostics(models: DataFrame, keys: list[str] = ["month"]) -> DataFrame:
+    """One row per month: stations, components, their share in percent, medians of errors and of R2."""
+    median = [F.median(c).alias(c) for c in ("rmse_train", "rmse_test", "r2_train")]
+    return models.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stations"), F.max(F.size("pc")).alias("n_pc"), (100 * F.max("share")).alias("ev_pct"), *median)
 
 
 def monte_carlo_interval(df: DataFrame, keys: list[str], mse: Column, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Quantiles of value + N(0, mse) over ``draws`` seeded draws per row, summed up where they are made."""
-    drawn = df.select(*keys, "value", mse.alias("mse"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    # a normal draw that depends on the row and the seed alone, not on partitions
-    u1, u2 = ((F.pmod(F.xxhash64(*keys, "draw", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (1, 2))
-    noise = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * np.pi * u2) * F.sqrt("mse")
-    q = F.percentile(F.col("value") + noise, F.array(F.lit(0.025), F.lit(0.975)))
-    return drawn.groupBy(*keys, "value").agg(q.alias("q")).select(*keys, "value", F.col("q")[0].alias("pi_lo"), F.col("q")[1].alias("pi_hi"))
+    """2.5 and 97.5 % quantiles of value + N(0, mse) over ``draws`` seeded draws, made and sorted within the row: no shuffle."""
+
+    def uniform(draw: Column, i: int) -> Column:
+        # depends on the row and the seed alone, not on partitions
+        return (F.pmod(F.xxhash64(*keys, draw, F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda n: F.sqrt(-2 * F.ln(uniform(n, 1))) * F.cos(2 * np.pi * uniform(n, 2)))
+    rows = df.select(*keys, "value", mse.alias("mse"), F.sort_array(drawn).alias("z"))
+
+    def quantile(p: float) -> Column:
+        low, part = divmod(p * (draws - 1), 1)
+        a, b = (F.element_at("z", min(int(low) + i, draws)) for i in (1, 2))
+        return F.col("value") + F.sqrt("mse") * (a + (b - a) * part)
+
+    return rows.select(*keys, "value", quantile(0.025).alias("pi_lo"), quantile(0.975).alias("pi_hi"))

@@ -152,6 +152,27 @@ def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_tim
     return best.select(*keys, "b.lambda", "b.length", "b.objective", "b.n_stations")
 
 
+def innovations(residuals: DataFrame, models: DataFrame, keys: list[str], min_times: int = 2) -> DataFrame:
+    """(keys, id, t, value): residuals less lambda times the weighted residuals of the neighbours; gaps count as zero there and stay gaps.
+
+    residuals: (keys, id, x, y, t, value); models: (keys, lambda, length).  Stations with fewer than ``min_times`` values take no part, as in the fit.
+    """
+    types = dict(residuals.dtypes)
+
+    def filter_out(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf.pivot_table(index="t", columns="id", values="value", aggfunc="first")
+        n = n.loc[:, n.notna().sum() >= min_times]
+        if n.shape[1] < 2:
+            return pd.DataFrame(columns=[*keys, "id", "t", "value"])
+        at = pdf.groupby("id")[["x", "y"]].first().loc[n.columns].to_numpy(float)
+        e = n - pdf["lambda"].iloc[0] * n.fillna(0.0).to_numpy() @ dense_weights(at, pdf["length"].iloc[0]).T
+        long = e.stack().rename("value").reset_index()
+        return long.assign(**dict(zip(keys, key)))[[*keys, "id", "t", "value"]].dropna()
+
+    joined = residuals.join(models.select(*keys, "lambda", "length"), keys)
+    return joined.groupBy(*keys).applyInPandas(filter_out, ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + ", value double")
+
+
 def css(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Conditional sums of squares of an ARMA(1,1) series, over a whole lattice of coefficients at once."""
     e = np.zeros(np.broadcast(phi, theta).shape)

@@ -100,11 +100,11 @@ def q_full_outer_diff(spark, d):
     return selection.outer_diff(a, b, ["id", "year", "month"], 0.005).select("id", "year", "month", "found", "differs")
 
 
-_AXES = "la AS (SELECT CAST(unnest(range(8)) AS INT) AS i), lo AS (SELECT CAST(unnest(range(12)) AS INT) AS j)"
-_NEAR = f"near AS (SELECT m.id, m.lat, m.lon, (SELECT arg_min(i, abs(15.0 + 8 * i - m.lat) * 1000000 + i) FROM la) AS lat_idx, (SELECT arg_min(j, abs(-170.0 + 10 * j - m.lon) * 1000000 + j) FROM lo) AS lon_idx FROM meta m)"
+SQL_AXES = "la AS (SELECT CAST(unnest(range(8)) AS INT) AS i), lo AS (SELECT CAST(unnest(range(12)) AS INT) AS j)"
+SQL_NEAR = f"near AS (SELECT m.id, m.lat, m.lon, (SELECT arg_min(i, abs(15.0 + 8 * i - m.lat) * 1000000 + i) FROM la) AS lat_idx, (SELECT arg_min(j, abs(-170.0 + 10 * j - m.lon) * 1000000 + j) FROM lo) AS lon_idx FROM meta m)"
 
 
-@query(f"WITH {V.SQL_META}, {V.SQL_ESM}, {_AXES}, {_NEAR} SELECT n.id, n.lat_idx, n.lon_idx, e.year, e.month, round(e.value, 4) AS value FROM near n JOIN esm e ON e.lat_idx = n.lat_idx AND e.lon_idx = n.lon_idx")
+@query(f"WITH {V.SQL_META}, {V.SQL_ESM}, {SQL_AXES}, {SQL_NEAR} SELECT n.id, n.lat_idx, n.lon_idx, e.year, e.month, round(e.value, 4) AS value FROM near n JOIN esm e ON e.lat_idx = n.lat_idx AND e.lon_idx = n.lon_idx")
 def q_nearest_axis_join(spark, d):
     return grids.at_nearest_cell(V.meta(spark, d), V.esm(spark, d), V.LAT_AXIS, V.LON_AXIS, []).select("id", "lat_idx", "lon_idx", "year", "month", r("value").alias("value"))
 
@@ -243,7 +243,7 @@ def q_landmask(spark, d):
     return grids.masked(V.esm(spark, d), mask, "value").select("year", "month", "cell", r("value").alias("value"))
 
 
-@query(f"""WITH {V.SQL_ESM}, {_CELLS}, {_AXES}, n AS (SELECT c.cell AS target, CASE WHEN c.lat BETWEEN 15 AND 71 THEN (SELECT arg_min(i, abs(15.0 + 8 * i - c.lat) * 1000000 + i) FROM la) END AS lat_idx,
+@query(f"""WITH {V.SQL_ESM}, {_CELLS}, {SQL_AXES}, n AS (SELECT c.cell AS target, CASE WHEN c.lat BETWEEN 15 AND 71 THEN (SELECT arg_min(i, abs(15.0 + 8 * i - c.lat) * 1000000 + i) FROM la) END AS lat_idx,
 CASE WHEN c.lon BETWEEN -170 AND -60 THEN (SELECT arg_min(j, abs(-170.0 + 10 * j - c.lon) * 1000000 + j) FROM lo) END AS lon_idx FROM cells c)
 SELECT n.target, e.year, e.month, round(e.value, 4) AS value FROM n LEFT JOIN esm e ON e.lat_idx = n.lat_idx AND e.lon_idx = n.lon_idx""")
 def q_regrid_nearest(spark, d):

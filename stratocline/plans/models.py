@@ -1,18 +1,18 @@
-"""Queries whose results are fits or draws: no SQL, tests hold them against closed forms."""
+"""Queries whose results are fits or draws, held against closed forms by tests, and those on given models, which SQL states."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocline.functions.scalars import albers
-from stratocline.operators import linear, noise, sibson
+from stratocline.functions.scalars import albers, normal_interval
+from stratocline.operators import grids, linear, noise, sibson
 from stratocline.plans import views as V
-from stratocline.plans.basic import SMALL_GRID, query, r
+from stratocline.plans.basic import SMALL_GRID, SQL_AXES, SQL_NEAR, query, r
 
 # the tables span seven years: every third month of all years together stands for one
 # calendar month, and each of its months for a year, so that groups have the length that fits need
 _INDEX = {y: [y * 12 + m for m in range(1, 13)] for y in range(1990, 2010)}
-ROLES = {"val": _INDEX[1996] + _INDEX[1998], "cal": [i for y in _INDEX if y not in (1996, 1998) for i in _INDEX[y]]}
+ROLES = {"val": _INDEX[1996] + _INDEX[1998][:6], "test": _INDEX[1998][6:], "cal": [i for y in _INDEX if y not in (1996, 1998) for i in _INDEX[y]]}
 
 
 def _as_years(df):
@@ -23,8 +23,14 @@ def _field(spark, d):
     return _as_years(V.esm(spark, d)).select("month", "year", "cell", "value")
 
 
-def _models(spark, d):
-    return linear.calibrate(_as_years(V.obs(spark, d)), _field(spark, d), ROLES, min_years=25, min_fit=15)
+def _models(spark, d, log=False):
+    return linear.calibrate(_as_years(V.obs(spark, d)), _field(spark, d), ROLES, log=log, min_years=25, min_fit=15)
+
+
+def _scores(spark, d):
+    """Scores of the calibration field on the components that the models are fitted on."""
+    field = _field(spark, d).withColumnRenamed("year", "t")
+    return linear.project(field, linear.loadings_of(linear.pca_model(field, ["month"]), ["month"]), ["month"])
 
 
 @query("SELECT CAST(i AS INT) AS dim, round(var_samp(v), 6) AS variance FROM (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY i")
@@ -53,17 +59,75 @@ def q_stepwise(spark, d):
     return m.select("month", F.explode("pc").alias("pc")).groupBy("month", "pc").agg(F.count(F.lit(1)).alias("stations"))
 
 
+@query()
+def q_calibrate_log(spark, d):
+    """Station models through the log link, with their offsets and validation and test errors."""
+    m = _models(spark, d, log=True)
+    return m.select("month", "id", r("offset", 2).alias("offset"), r("mu").alias("mu"), r("rmse_val").alias("rmse_val"), r("rmse_test").alias("rmse_test"), r("sigma2", 6).alias("sigma2"))
+
+
+@query()
+def q_calibration_diagnostics(spark, d):
+    """Stations, components, variance held and median errors by month."""
+    return linear.diagnostics(_models(spark, d)).select("month", "n_stations", "n_pc", r("ev_pct", 3).alias("ev_pct"), r("rmse_train", 3).alias("rmse_train"), r("rmse_test", 3).alias("rmse_test"), r("r2_train").alias("r2_train"))
+
+
+@query()
+def q_model_residuals(spark, d):
+    """Observations of the calibration years less what the models fit."""
+    return _residuals(spark, d).select("month", "id", "t", r("value", 3).alias("value"))
+
+
 @query()
 def q_predict(spark, d):
     """Projection, coefficients and 95 % bounds of all station models."""
-    field = _field(spark, d)
     models = _models(spark, d)
-    pca = linear.pca_model(field.withColumnRenamed("year", "t"), ["month"])
-    loadings = pca.select("month", "pc", F.posexplode("loading").alias("cell", "weight"), "mean").select("month", "pc", "cell", "weight", F.expr("mean[cell]").alias("mean"))
-    scores = linear.project(field.withColumnRenamed("year", "t"), loadings, ["month"])
-    out = linear.predict(scores, models, ["month"]).join(models.select("month", "id", "sigma2"), ["month", "id"])
-    half = 1.96 * F.sqrt("sigma2")
-    return out.select("id", F.col("t").alias("year"), "month", r("value", 3).alias("value"), r(F.col("value") - half, 3).alias("pi_lo"), r(F.col("value") + half, 3).alias("pi_hi"))
+    out = linear.predict(_scores(spark, d), models, ["month"]).join(models.select("month", "id", "sigma2"), ["month", "id"])
+    lo, hi = normal_interval(F.col("value"), F.col("sigma2"))
+    return out.select("id", F.col("t").alias("year"), "month", r("value", 3).alias("value"), r(lo, 3).alias("pi_lo"), r(hi, 3).alias("pi_hi"))
+
+
+def _fixed_models(spark, d, log):
+    """Models given by formulas, so that SQL can state the projection: two components, coefficients by station."""
+    k = F.col("id")
+    beta = F.array(F.lit(0.5), *[((k * i) % 5 - 2) / 100.0 for i in (1, 2)])
+    offset = (1 + k % 3).cast("double") if log else F.lit(None).cast("double")
+    rows = V.meta(spark, d).select("id", (2 + (k % 7) / 10.0).alias("mu"), beta.alias("beta"), F.array(F.lit(1), F.lit(2)).alias("pc"), F.lit(0.04).alias("sigma2"), offset.alias("offset"))
+    return rows.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+
+
+def _transient(spark, d, log):
+    field = V.esm(spark, d).withColumnRenamed("year", "t")
+    weights = field.select("month", "cell").distinct().withColumn("pc", F.explode(F.array(F.lit(1), F.lit(2))))
+    weights = weights.withColumn("weight", ((F.col("cell") * (F.col("pc") + 3)) % 11 - 5) / 100.0)
+    lat, lon = (grids.nearest_index(F.col(c), axis) for c, axis in (("lat", V.LAT_AXIS), ("lon", V.LON_AXIS)))
+    places = V.meta(spark, d).select("id", (lat * len(V.LON_AXIS) + lon).alias("cell"))
+    out = linear.predict_transient(field, weights, _fixed_models(spark, d, log), places, ["month"], F.col("t") <= 1998, log=log)
+    return out.select("id", F.col("t").alias("year"), "month", r("value").alias("value"))
+
+
+def _transient_sql(g: str, back: str) -> str:
+    frame = "PARTITION BY cell, month ORDER BY year ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING"
+    return (
+        f"WITH {V.SQL_META}, {V.SQL_ESM}, {SQL_AXES}, {SQL_NEAR}, l AS (SELECT *, {g} AS g FROM esm), "
+        f"m AS (SELECT year, month, cell, value - avg(g) OVER ({frame}) AS a, avg(g) OVER ({frame}) - avg(CASE WHEN year <= 1998 THEN g END) OVER (PARTITION BY cell, month) AS shift FROM l), "
+        "s AS (SELECT year, month, sum(a * ((cell * 4) % 11 - 5) / 100.0::DOUBLE) AS s1, sum(a * ((cell * 5) % 11 - 5) / 100.0::DOUBLE) AS s2 FROM m GROUP BY year, month), "
+        "p AS (SELECT n.id, s.year, s.month, 0.5::DOUBLE + s1 * (n.id % 5 - 2) / 100.0::DOUBLE + s2 * ((n.id * 2) % 5 - 2) / 100.0::DOUBLE + 2 + (n.id % 7) / 10.0::DOUBLE + m.shift AS g "
+        "FROM near n CROSS JOIN s LEFT JOIN m ON m.cell = n.lat_idx * 12 + n.lon_idx AND m.year = s.year AND m.month = s.month) "
+        f"SELECT id, year, month, round({back}, 4) AS value FROM p"
+    )
+
+
+@query(_transient_sql("value", "g"))
+def q_predict_transient(spark, d):
+    """A whole run through given models: scores of the field less its moving mean, the model's slow change at the nearest cell."""
+    return _transient(spark, d, False)
+
+
+@query(_transient_sql("ln(value + 1 + min(CASE WHEN year <= 1998 THEN value END) OVER (PARTITION BY cell, month))", "exp(g + 0.04::DOUBLE / 2) - (1 + id % 3)"))
+def q_predict_transient_log(spark, d):
+    """The same through the log link and back."""
+    return _transient(spark, d, True)
 
 
 def _places(spark, d):
@@ -102,31 +166,40 @@ def q_station_sets(spark, d):
 
 
 def _residuals(spark, d):
-    p = V.pairs(spark, d).select("id", "year", "month", ((F.col("o") - F.col("e")) / 1000).alias("value"))
-    return p.join(_places(spark, d), "id")
+    """Residuals (month, id, t, value) of the station models in the calibration years."""
+    return linear.residuals(_as_years(V.obs(spark, d)), _scores(spark, d), _models(spark, d), ["month"], ROLES["cal"], 15)
+
+
+def _placed_residuals(spark, d):
+    return _residuals(spark, d).withColumn("value", F.col("value") / 1000).join(_places(spark, d), "id")
 
 
 @query()
 def q_sem_fit(spark, d):
-    rows = _residuals(spark, d).select("month", "id", "x", "y", F.col("year").alias("t"), "value")
-    return noise.sem_model(rows, ["month"], (250.0, 500.0, 1000.0)).select("month", r("lambda").alias("lambda"), "length", r("objective", 3).alias("objective"), "n_stations")
+    """Spatial dependence of the residuals of the station models, by month."""
+    return noise.sem_model(_placed_residuals(spark, d), ["month"], (250.0, 500.0, 1000.0)).select("month", r("lambda").alias("lambda"), "length", r("objective", 3).alias("objective"), "n_stations")
 
 
 @query()
 def q_arma_fit(spark, d):
-    rows = _residuals(spark, d).select("id", (F.col("year") * 12 + F.col("month")).alias("t"), "value")
-    return noise.arma_model(rows, ["id"]).select("id", r("phi").alias("phi"), r("theta").alias("theta"), r("variance", 6).alias("variance"))
+    """Serial dependence of what the spatial model leaves, by month and station."""
+    rows = _placed_residuals(spark, d)
+    left = noise.innovations(rows, noise.sem_model(rows, ["month"], (500.0,)), ["month"])
+    return noise.arma_model(left, ["month", "id"]).select("month", "id", r("phi").alias("phi"), r("theta").alias("theta"), r("variance", 6).alias("variance"))
 
 
 @query()
 def q_noise_realization(spark, d):
-    """Seeded noise of each station, spread in space, on the observations of one year."""
-    rows = _residuals(spark, d).select("month", "id", "x", "y", F.col("year").alias("t"), "value")
+    """Predictions with a seeded realization of each station's noise, spread in space."""
+    rows = _placed_residuals(spark, d)
     sem = noise.sem_model(rows, ["month"], (500.0,))
-    arma = noise.arma_model(rows.select("month", "id", "t", "value"), ["month", "id"])
-    u = noise.spread_noise(noise.simulate(arma, ["month", "id"], 7), _places(spark, d), sem, ["month"])
-    base = V.obs(spark, d).withColumn("t", F.col("year") - 1995).join(u, ["month", "id", "t"])
-    return noise.realization(base, "tas", ["id", "month"]).select("id", "year", "month", r("value_real", 3).alias("value_real"))
+    arma = noise.arma_model(noise.innovations(rows, sem, ["month"]), ["month", "id"])
+    base = linear.predict(_scores(spark, d), _models(spark, d), ["month"]).withColumnRenamed("t", "year")
+    # pseudo-years follow each other by three: steps of the series from the first one on
+    base = base.withColumn("t", F.floor((F.col("year") - 1990 * 12) / 3).cast("int"))
+    u = noise.spread_noise(noise.simulate(arma, ["month", "id"], 80), _places(spark, d), sem, ["month"])
+    out = noise.realization(base.join(u.withColumn("u", F.col("u") * 1000), ["month", "id", "t"]), "tas", ["id", "month"])
+    return out.select("id", "year", "month", r("value_real", 3).alias("value_real"))
 
 
 @query()

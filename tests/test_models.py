@@ -1,5 +1,7 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from stratocline.operators import linear, noise, selection, sibson
 
@@ -51,12 +53,95 @@ def test_calibrate_and_predict_recover_a_linear_signal(spark):
     f, o = spark.createDataFrame(field), spark.createDataFrame(obs)
     m = linear.calibrate(o, f, roles)
     assert all(r.r2_train > 0.999 for r in m.collect()) and m.count() == 3
-    pca = linear.pca_model(f.withColumnRenamed("year", "t"), ["month"])
-    loadings = pca.selectExpr("month", "pc", "posexplode(loading) as (cell, weight)", "mean").selectExpr("month", "pc", "cell", "weight", "mean[cell] as mean")
+    loadings = linear.loadings_of(linear.pca_model(f.withColumnRenamed("year", "t"), ["month"]), ["month"])
     got = linear.predict(linear.project(f.withColumnRenamed("year", "t"), loadings, ["month"]), m, ["month"]).toPandas().merge(obs.rename(columns={"year": "t", "value": "want"}), on=["month", "id", "t"])
     assert len(got) == len(obs) and np.abs(got["value"] - got["want"]).max() < 0.1
 
 
+def _run(rng, years=90, cells=6, log=False):
+    """A field with a slow rise, and stations that follow it; cells have ids with gaps."""
+    t = np.arange(1900, 1900 + years)
+    signal, rise = rng.normal(size=years), np.linspace(0, 2, years)
+    names = [3 * c + 5 for c in range(cells)]
+    x = 6 + signal[:, None] * (np.arange(cells) + 1) / 4 + rise[:, None] + 0.05 * rng.normal(size=(years, cells))
+    y = np.column_stack([3 + k + 2 * signal + 0.05 * rng.normal(size=years) for k in range(3)])
+    if log:
+        y = np.exp(y / 4)
+    y[3, 1] = np.nan
+    field = pd.DataFrame([(1, int(a), names[c], float(x[i, c])) for i, a in enumerate(t) for c in range(cells)], columns=["month", "year", "cell", "value"])
+    obs = pd.DataFrame([(1, k, int(a), float(y[i, k])) for i, a in enumerate(t) for k in range(3) if not np.isnan(y[i, k])], columns=["month", "id", "year", "value"])
+    return t, names, x, y, field, obs
+
+
+def _plain_moving_mean(x, k):
+    return np.array([x[max(0, i - k // 2) : i + (k - 1) // 2 + 1].mean(0) for i in range(len(x))])
+
+
+@pytest.mark.parametrize("log", [False, True])
+def test_transient_run_equals_a_plain_loop(spark, log):
+    """Calibration on the first years, projection of all of them, against the same definition in arrays."""
+    t, names, x, y, field, obs = _run(np.random.default_rng(11), log=log)
+    n, k = 60, 30
+    cal = t < 1900 + n
+    roles = {"cal": t[:40].tolist(), "val": t[40:52].tolist(), "test": t[52:n].tolist()}
+    f, o = spark.createDataFrame(field), spark.createDataFrame(obs)
+    early = f.where(f.year < 1900 + n)
+    models = linear.calibrate(o.where(o.year < 1900 + n), early, roles, log=log).cache()
+    loadings = linear.loadings_of(linear.pca_model(early.withColumnRenamed("year", "t"), ["month"]), ["month"])
+    places = spark.createDataFrame([(i, names[i + 1]) for i in range(3)], "id long, cell long")
+    got = {(r.id, r.t): r.value for r in linear.predict_transient(f.withColumnRenamed("year", "t"), loadings, models, places, ["month"], F.col("t") < 1900 + n, k, log=log).collect()}
+    assert len(got) == 3 * len(t)
+
+    g = np.log(x + 1 + x[cal].min(0)) if log else x
+    moving = _plain_moving_mean(g, k)
+    _, vt, _, _ = linear.decompose(x[cal])
+    for m in models.collect():
+        s = m.id
+        assert (m.offset is None) != log and m.rmse_test is not None
+        own = y[cal][:, s]
+        linked = np.log(own + m.offset) if log else own
+        assert not log or abs(m.offset - (1 - np.nanmin(own))) < 1e-12
+        assert abs(m.mu - np.nanmean(linked)) < 1e-9
+        scores = (x - moving) @ vt[[c - 1 for c in m.pc]].T
+        want = m.beta[0] + scores @ np.array(m.beta[1:]) + m.mu + (moving - g[cal].mean(0))[:, s + 1]
+        if log:
+            want = np.exp(want + m.sigma2 / 2) - m.offset
+        assert np.allclose([got[s, a] for a in t], want, rtol=1e-8)
+
+
+def test_residuals_of_stored_models(spark, tmp_path):
+    from stratocline.sources import model_tables
+
+    t, _, x, y, field, obs = _run(np.random.default_rng(12), years=60, log=True)
+    roles = linear.fallback_roles(t.tolist(), 12, 6)
+    assert [len(roles[k]) for k in ("val", "test", "cal")] == [12, 6, 42] and sorted(sum(roles.values(), [])) == t.tolist()
+    f, o = spark.createDataFrame(field), spark.createDataFrame(obs)
+    pca = linear.pca_model(f.withColumnRenamed("year", "t"), ["month"])
+    model_tables.write_models(linear.calibrate(o, f, roles, log=True), str(tmp_path / "pcr"))
+    model_tables.write_models(pca, str(tmp_path / "pca"))
+    models, pca = (model_tables.read_models(spark, str(tmp_path / n)) for n in ("pcr", "pca"))
+    scores = linear.project(f.withColumnRenamed("year", "t"), linear.loadings_of(pca, ["month"]), ["month"])
+    rows = linear.residuals(o, scores, models, ["month"], roles["cal"]).toPandas()
+    for m in models.collect():
+        own = rows[rows["id"] == m.id]["value"]
+        assert len(own) == m.n_fit and abs((own**2).mean() - m.sigma2) < 1e-9 * max(1, m.sigma2)
+    one = linear.diagnostics(models).collect()
+    assert len(one) == 1 and one[0].n_stations == 3 and 0 < one[0].ev_pct <= 100
+
+
+def test_innovations_equal_those_of_the_fit(spark):
+    rng = np.random.default_rng(13)
+    xy = rng.uniform(0, 100, size=(12, 2))
+    n = rng.normal(size=(30, 12))
+    n[rng.random(n.shape) < 0.1] = np.nan
+    rows = [(1, s, float(xy[s, 0]), float(xy[s, 1]), i, float(n[i, s])) for i in range(30) for s in range(12) if not np.isnan(n[i, s])]
+    df = spark.createDataFrame(rows, "month int, id int, x double, y double, t int, value double")
+    model = noise.sem_model(df, ["month"], (40.0,))
+    want = noise.fit_sem(n, xy, 40.0)[2]
+    got = noise.innovations(df, model, ["month"]).collect()
+    assert len(got) == len(rows) and all(abs(want[r.t, r.id] - r.value) < 1e-6 for r in got)
+
+
 def test_too_few_years_give_no_models(spark):
     o = spark.createDataFrame([(1, 1, 1900, 1.0)], "month int, id int, year int, value double")
     f = spark.createDataFrame([(1, 1900, 0, 1.0)], "month int, year int, cell int, value double")
