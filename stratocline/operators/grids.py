@@ -101,3 +101,10 @@ def point_in_rings(lat: Column, lon: Column, ring: Sequence[tuple[float, float]]
         at = (lat - a_lat) * ((b_lon - a_lon) / (b_lat - a_lat)) + a_lon
         crossings = crossings + F.when(spans & (lon < at), 1).otherwise(0)
     return crossings % 2 == 1
+
+
+def resample_mask(cells: DataFrame, share: DataFrame, lat_axis: Sequence[float], lon_axis: Sequence[float]) -> DataFrame:
+    """(cell, is_land): whether the nearest value of (lat_idx, lon_idx, share) is above a half; false beyond the axes and for null."""
+    lat, lon = (nearest_index_within(F.col(c), axis) for c, axis in (("lat", lat_axis), ("lon", lon_axis)))
+    placed = cells.select("cell", lat.alias("lat_idx"), lon.alias("lon_idx"))
+    return placed.join(share, ["lat_idx", "lon_idx"], "left").select("cell", F.coalesce(F.col("share") > 0.5, F.lit(False)).alias("is_land"))

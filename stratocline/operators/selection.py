@@ -81,3 +81,9 @@ def outer_diff(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) ->
     found = F.when(F.col("__l").isNull(), "right_only").when(F.col("__r").isNull(), "left_only").otherwise("both")
     joined = left.join(right, keys, "full_outer")
     return joined.select(*keys, "left_value", "right_value", found.alias("found"), (F.abs(F.col("left_value") - F.col("right_value")) > tolerance).alias("differs"))
+
+
+def station_union(rows: DataFrame) -> DataFrame:
+    """One row per station of (id, month, lat, lon): the coordinates of its last month, in one partial aggregate."""
+    last = rows.groupBy("id").agg(F.max(F.struct("month", "lat", "lon")).alias("z"))
+    return last.select("id", "z.month", "z.lat", "z.lon")

@@ -543,3 +543,29 @@ def q_size_estimate(spark, d):
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(v).alias("var")) for n, v in _SIZES])))
     months = F.col("n") * 22000 * 12
     return rows.select("var", months.alias("station_months"), r(months * 4 / 1e9, 3).alias("station_gb"), r(F.lit(350 * 600 * 22000 * 12).cast("long") * 4 / 1e9, 3).alias("grid_gb"))
+
+
+@query(f"WITH {V.SQL_OBS}, {V.SQL_META}, n AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT DISTINCT id FROM obs)) SELECT id, CAST(rank AS INT) AS rank FROM n WHERE rank <= 100")
+def q_first_stations(spark, d):
+    """The first hundred stations with observations in the order of their ids: the report's own limit."""
+    ids = V.obs(spark, d).select("id").distinct().orderBy("id").limit(100)
+    return ids.select("id", F.row_number().over(Window.orderBy("id")).alias("rank"))
+
+
+@query(f"WITH {V.SQL_OBS}, {V.SQL_META} SELECT id, CAST(max(o.month) AS INT) AS month, round(arg_max(m.lat + o.month / 100.0::DOUBLE, o.month), 4) AS lat, round(arg_max(m.lon, o.month), 4) AS lon FROM obs o JOIN meta m USING (id) GROUP BY id")
+def q_station_union(spark, d):
+    """Stations of all monthly models together; the last month's coordinates count."""
+    rows = V.obs(spark, d).select("id", "month").distinct().join(V.meta(spark, d), "id").withColumn("lat", F.col("lat") + F.col("month") / 100.0)
+    return selection.station_union(rows).select("id", "month", r("lat").alias("lat"), r("lon").alias("lon"))
+
+
+@query(
+    f"WITH {_CELLS}, {SQL_AXES}, n AS (SELECT cell, CASE WHEN lat BETWEEN 15 AND 71 THEN (SELECT arg_min(i, abs(15.0 + 8 * i - lat) * 1000000 + i) FROM la) END AS i, "
+    "CASE WHEN lon BETWEEN -170 AND -60 THEN (SELECT arg_min(j, abs(-170.0 + 10 * j - lon) * 1000000 + j) FROM lo) END AS j FROM cells) "
+    "SELECT cell, coalesce((i * 5 + j * 3) % 4 / 3.0::DOUBLE > 0.5, FALSE) AS is_land FROM n"
+)
+def q_mask_resample(spark, d):
+    """A share of land on a coarse grid, taken by the nearest cell: land above a half, none beyond the mask's extent."""
+    share = spark.range(96).select(F.floor(F.col("id") / 12).cast("int").alias("lat_idx"), (F.col("id") % 12).cast("int").alias("lon_idx"))
+    share = share.withColumn("share", (F.col("lat_idx") * 5 + F.col("lon_idx") * 3) % 4 / 3.0)
+    return grids.resample_mask(SMALL_GRID.cells(spark), share, V.LAT_AXIS, V.LON_AXIS).select("cell", "is_land")
