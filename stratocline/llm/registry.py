@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratocline.llm import byte_cnn, decontaminate, line_dedup, media, mixing, page_text, setsketch, token_tree, url_filter, warc_zip
+from stratocline.llm import byte_cnn, decontaminate, filter_audit, line_dedup, media, mixing, page_text, setsketch, token_tree, url_filter, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_tree.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_page_text": page_text.op8_page_text,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": byte_cnn.op10_quality,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
