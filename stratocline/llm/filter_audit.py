@@ -18,8 +18,8 @@ table, so that the texts are scanned once; steps (600) and subsets (32) are fixe
 
 Edges: a null text is the empty text, which fails A only (and E where a smaller id has it too). A null
 ``doc_id`` is neither smaller than another nor greater, so it never fails E. Rows that share the smallest id of a text
-pass E together.  A null part is the empty string.  Labels that repeat an id count once, as 1 if any row says so. No
-documents give no rows.
+pass E together.  A null part is the empty string.  Labels that repeat an id count once, as 1 if any row says so;
+labels without an id belong to no document. No documents give no rows.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratocline.llm import byte_cnn, decontaminate, embedding_join, filter_audit, line_dedup, media, mixing, page_text, setsketch, token_tree, url_filter, warc_zip
+from stratocline.llm import byte_cnn, decontaminate, embedding_join, filter_audit, line_dedup, media, mixing, page_text, setsketch, token_align, token_tree, url_filter, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_tree.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_page_text": page_text.op8_page_text,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": byte_cnn.op10_quality,
+    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_embedding_dedup": embedding_join.op12_embedding_dedup,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -25,6 +26,7 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_embedding_dedup": embedding_join.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
