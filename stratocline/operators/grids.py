@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATIONS = 200_000  # stations whose coordinates may go into each task (16 bytes each)
+from stratocline.operators.nearest import k_nearest
 
 
 @dataclass(frozen=True)
@@ -65,25 +64,8 @@ def masked(df: DataFrame, mask: DataFrame, value: str) -> DataFrame:
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "cell") -> DataFrame:
-    """(point id, id): the station nearest in the plane of columns x and y, the smallest id of equally near ones.
-
-    Station coordinates go into the tasks after a check of their number; points stay where they are.
-    """
-    rows = stations.select("id", "x", "y").orderBy("id").limit(MAX_STATIONS + 1).toPandas()
-    if len(rows) > MAX_STATIONS:
-        raise ValueError(f"more than {MAX_STATIONS} stations: split them by region first")
-    ids, xy = rows["id"].to_numpy(), rows[["x", "y"]].to_numpy(float)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            px, py = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            best = np.empty(len(px), np.int64)
-            for s in range(0, len(px), 1024):
-                best[s : s + 1024] = ((px[s : s + 1024, None] - xy[None, :, 0]) ** 2 + (py[s : s + 1024, None] - xy[None, :, 1]) ** 2).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[best])], names=[point_id, "id"])
-
-    kinds = dict(points.dtypes)[point_id], dict(stations.dtypes)["id"]
-    return points.select(point_id, F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(find, f"{point_id} {kinds[0]}, id {kinds[1]}")
+    """(point id, id): the station nearest in the plane of columns x and y, the smallest id of equally near ones."""
+    return k_nearest(points, stations.select("id", "x", "y"), 1, point_id).select(point_id, F.col("near")[0]["id"].alias("id"))
 
 
 def merge_locations(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -1,10 +1,14 @@
 """Natural-neighbour (Sibson) interpolation by clipping Voronoi cells with half-planes.
 
-The cell of a query point among its k nearest stations is a box cut by bisectors;
+The cell of a query point among its nearest stations is a box cut by bisectors;
 what a station would lose to the query is that cell cut by the station's bisectors
-with the others.  Areas are weights.  k grows until the farthest candidate can no
-longer cut the cell.  Queries outside the hull, or on a station, take the nearest one.
-Queries are independent, so cells are mapped where they lie with the stations beside them.
+with the others.  Areas are weights.  Nearer stations come first, and are enough when the next one can no
+longer cut the cell and those taken surround the query; few queries need another round with more of them.
+Queries outside the hull, or on a station, take the nearest one.  As published, a query keeps the weights of
+its ``KEPT`` greatest neighbours as they are, not scaled again.
+
+Weights depend on the natural neighbours alone, so a station that does not report changes only the queries that have it among
+theirs: the full network is weighed once, and for a set of reporting stations only these queries again.
 """
 
 from __future__ import annotations
@@ -13,13 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratocline.operators.grids import MAX_STATIONS, merge_locations
+from stratocline.operators.grids import merge_locations
+from stratocline.operators.nearest import Tree, k_nearest, tree
+from stratocline.operators.steps import written
 
 NEIGHBOURS = 24
-CELLS_AT_ONCE = 4096  # cells that one task weighs among one set of stations
+BOX = 1e3  # half the side of the box that is cut, in widths of the network: cells of queries beside the hull are long
+ROUNDS = (64, 1024)  # nearest stations that a query is weighed among; then all
+KEPT, LEAST_VALID = 20, 4  # fixed values: neighbours that keep their weights, stations that a time needs
+DIGITS = 6  # stations whose coordinates agree to so many decimals are one place
 
 
 def cut_by(poly: np.ndarray, normal: np.ndarray, level: float) -> np.ndarray:
@@ -76,25 +85,27 @@ def in_hull(corners: np.ndarray, q: np.ndarray) -> bool:
     return bool((edge[:, 0] * to[:, 1] - edge[:, 1] * to[:, 0] >= -1e-9 * np.abs(edge).max()).all())
 
 
-def weights_at(q: np.ndarray, stations: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes, weights) of the natural neighbours of a query."""
-    d2 = ((stations - q) ** 2).sum(1)
-    order = np.argsort(d2, kind="stable")
-    scale = float(np.ptp(stations, axis=0).max()) or 1.0
-    if d2[order[0]] < (1e-6 * max(scale, 1.0)) ** 2 * 1e-6 or not in_hull(corners, q):
-        return order[:1], np.ones(1)
-    local = (stations - q) / scale
-    k = min(NEIGHBOURS, len(stations))
+def cell_weights(near: np.ndarray, distance: np.ndarray, complete: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """(indexes, weights) of the natural neighbours of the origin among points at distances of about 1 at most, nearest first.
+
+    None where points beyond those given might matter, which ``complete`` denies.
+    """
+    k = min(NEIGHBOURS, len(near))
     while True:
-        near = local[order[:k]]
-        cell = np.array([[-4.0, -4.0], [4.0, -4.0], [4.0, 4.0], [-4.0, 4.0]])
-        for s in near:
+        cell = BOX * np.array([[-1.0, -1.0], [1.0, -1.0], [1.0, 1.0], [-1.0, 1.0]])
+        for s in near[:k]:
             cell = cut_by(cell, *bisector(np.zeros(2), s))
         radius = float(np.sqrt((cell**2).sum(1).max())) if len(cell) else 0.0
-        if k == len(stations) or np.sqrt(d2[order[k - 1]]) / scale >= 2 * radius:
+        if distance[k - 1] >= 2 * radius:
+            break
+        if k == len(near):
+            if not complete:
+                return None
             break
-        k = min(2 * k, len(stations))
-    touching = [i for i, s in enumerate(near) if np.sqrt(s @ s) <= 2 * radius + 1e-12]
+        k = min(2 * k, len(near))
+    # natural neighbours are those whose bisectors bound the cell; inside it no other station's region has a part
+    reach, level = (near[:k] @ cell.T).max(1) if len(cell) else np.zeros(k), distance[:k] ** 2 / 2
+    touching = np.flatnonzero(reach >= level - 1e-9 * (level + radius * distance[:k]))
     lost = np.zeros(len(touching))
     for n, i in enumerate(touching):
         part = cell
@@ -103,32 +114,123 @@ def weights_at(q: np.ndarray, stations: np.ndarray, corners: np.ndarray) -> tupl
                 part = cut_by(part, *bisector(near[i], near[j]))
         lost[n] = area(part)
     if lost.sum() <= 0:
-        return order[:1], np.ones(1)
+        return np.zeros(1, np.int64), np.ones(1)
     keep = lost > 0
-    return order[touching][keep], lost[keep] / lost.sum()
+    return touching[keep], lost[keep] / lost.sum()
 
 
-def sibson_weights(points: DataFrame, stations: DataFrame, point_id: str = "cell") -> DataFrame:
-    """(point id, id, w) of points (point id, x, y) among stations (id, x, y) at distinct places."""
-    rows = stations.select("id", "x", "y").orderBy("id").limit(MAX_STATIONS + 1).toPandas()
-    if len(rows) > MAX_STATIONS:
-        raise ValueError(f"more than {MAX_STATIONS} stations: split them by region first")
-    ids, xy = rows["id"].to_numpy(), rows[["x", "y"]].to_numpy(float)
-    corners = hull(xy)
+def weights_at(q: np.ndarray, stations: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes, weights) of the natural neighbours of a query among all stations, of which ``corners`` is the hull."""
+    d2 = ((stations - q) ** 2).sum(1)
+    order = np.argsort(d2, kind="stable")
+    scale = float(np.ptp(stations, axis=0).max()) or 1.0
+    if on_place(d2[order[0]], scale) or not in_hull(corners, q):
+        return order[:1], np.ones(1)
+    i, w = cell_weights((stations[order] - q) / scale, np.sqrt(d2[order]) / scale, True)
+    return order[i], w
+
+
+def on_place(d2: float, scale: float) -> bool:
+    return d2 < (1e-6 * max(scale, 1.0)) ** 2 * 1e-6
+
+
+def surrounds(near: np.ndarray) -> bool:
+    """Whether no half-plane through the origin is free of the points."""
+    turn = np.sort(np.arctan2(near[:, 1], near[:, 0]))
+    return len(turn) > 2 and max(np.diff(turn).max(), 2 * np.pi - (turn[-1] - turn[0])) <= np.pi + 1e-9
+
+
+def hull_of(stations: DataFrame) -> np.ndarray:
+    """The convex hull of (x, y): each task sends its own, whose corners are few."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corners = np.empty((0, 2))
         for b in batches:
-            cells, x, y = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            out_cell, out_id, out_w = [], [], []
-            for c, qx, qy in zip(cells, x, y):
-                i, w = weights_at(np.array([qx, qy]), xy, corners)
-                out_cell.extend([c] * len(i))
-                out_id.extend(ids[i])
-                out_w.extend(w)
-            yield pa.RecordBatch.from_arrays([pa.array(out_cell, b.column(0).type), pa.array(out_id), pa.array(out_w, pa.float64())], names=[point_id, "id", "w"])
+            corners = hull(np.vstack([corners, np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(corners[:, i])) for i in (0, 1)], names=["x", "y"])
 
-    kinds = dict(points.dtypes)[point_id], dict(stations.dtypes)["id"]
-    return points.select(point_id, F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(build, f"{point_id} {kinds[0]}, id {kinds[1]}, w double")
+    rows = stations.select(F.col("x").cast("double"), F.col("y").cast("double")).where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(build, "x double, y double").collect()
+    return hull(np.array([tuple(r) for r in rows], float).reshape(-1, 2))
+
+
+def _weigh(rows: DataFrame, keys: list[str], corners: np.ndarray, scale: float, complete: bool, kind: str) -> DataFrame:
+    """(keys, id, w) of rows (keys, x, y, near[, gone]): all natural neighbours; one row without id where ``near`` does not suffice.
+
+    ``gone`` lists stations of ``near`` that do not report; then the hull may be smaller than ``corners``.
+    """
+    names = [*keys, "id", "w"]
+    types = dict(rows.dtypes)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {c: i for i, c in enumerate(b.schema.names)}
+            take, ids, weights = [], [], []
+            gone = b.column(at["gone"]).to_pylist() if "gone" in at else [None] * b.num_rows
+            for n, (qx, qy, missing) in enumerate(zip(b.column(at["x"]).to_pylist(), b.column(at["y"]).to_pylist(), gone)):
+                near = b.column(at["near"])[n].values
+                own = near.field("id")
+                xy = np.column_stack([near.field(c).to_numpy(zero_copy_only=False) for c in "xy"])
+                if missing:
+                    there = np.flatnonzero(~np.isin(np.array(own.to_pylist(), object), np.array(missing, object)))
+                    own, xy = own.take(pa.array(there)), xy[there]
+                made: tuple | None = None
+                if len(xy):
+                    d = np.sqrt(((xy - [qx, qy]) ** 2).sum(1))
+                    if on_place(float(d[0] ** 2), scale) or not in_hull(corners, np.array([qx, qy])):
+                        made = np.zeros(1, np.int64), np.ones(1)
+                    else:
+                        local = (xy - [qx, qy]) / scale
+                        if "gone" in at and not surrounds(local):
+                            made = (np.zeros(1, np.int64), np.ones(1)) if complete else None
+                        else:
+                            made = cell_weights(local, d / scale, complete)
+                elif complete:
+                    continue
+                if made is None:
+                    take.append(n)
+                    ids.append(None)
+                    weights.append(None)
+                else:
+                    take += [n] * len(made[0])
+                    ids += own.take(pa.array(made[0])).to_pylist()
+                    weights += made[1].tolist()
+            own_type = b.schema.field("near").type.value_type.field("id").type
+            kept = [b.column(at[c]).take(pa.array(take, pa.int64())) for c in keys]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, own_type), pa.array(weights, pa.float64())], names=names)
+
+    return rows.mapInArrow(build, ", ".join(f"{k} {types[k]}" for k in keys) + f", id {kind}, w double")
+
+
+def natural_neighbours(points: DataFrame, stations: DataFrame, point_id: str = "cell", known: Tree | None = None, corners: np.ndarray | None = None) -> DataFrame:
+    """(point id, id, w): all natural neighbours of points (point id, x, y) among stations (id, x, y) at distinct places.
+
+    ``known`` and ``corners`` are the tree and the hull of the same tables.
+    """
+    made, corners, kind = known or tree(points, stations), hull_of(stations) if corners is None else corners, dict(stations.dtypes)["id"]
+    count, out, todo = int(made.stations.sum()), None, points.select(point_id, "x", "y")
+    for k in (*ROUNDS, count):
+        near = k_nearest(todo, stations.select("id", "x", "y"), max(1, min(k, count)), point_id, made)
+        weighed = _weigh(near, [point_id], corners, made.side, k >= count, kind)
+        if k >= count:
+            return weighed if out is None else out.unionByName(weighed)
+        weighed = written(weighed)
+        found = weighed.where(F.col("id").isNotNull())
+        out = found if out is None else out.unionByName(found)
+        left = weighed.where(F.col("id").isNull()).select(point_id)
+        if left.isEmpty():
+            return out
+        todo = points.select(point_id, "x", "y").join(left, point_id)
+
+
+def truncated(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``KEPT`` greatest weights of each query, the smaller id first of equal ones."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "id"))
+    return weights.withColumn("__rank", rank).where(F.col("__rank") <= KEPT).drop("__rank")
+
+
+def sibson_weights(points: DataFrame, stations: DataFrame, point_id: str = "cell") -> DataFrame:
+    """(point id, id, w) of points (point id, x, y) among stations (id, x, y) at distinct places, the greatest ``KEPT`` of each point."""
+    return truncated(natural_neighbours(points, stations, point_id), [point_id])
 
 
 def interpolate(values: DataFrame, weights: DataFrame, point_id: str = "cell") -> DataFrame:
@@ -140,57 +242,78 @@ def interpolate(values: DataFrame, weights: DataFrame, point_id: str = "cell") -
     return joined.groupBy(point_id, "t").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
 
 
-def set_weights(points: DataFrame, sets: DataFrame, point_id: str = "cell") -> DataFrame:
-    """(station_set, point id, id, w) of all points (point id, x, y) among the stations of each set (station_set, id, x, y).
+def places_of(stations: DataFrame) -> DataFrame:
+    """(id, place, px, py): stations (id, x, y) with coordinates and the station of the smallest id at their place, whose coordinates count."""
+    rows = stations.where("x IS NOT NULL AND y IS NOT NULL").select("id", F.col("x").cast("double"), F.col("y").cast("double"))
+    rows = rows.withColumn("__x", F.rint(F.col("x") * 10**DIGITS)).withColumn("__y", F.rint(F.col("y") * 10**DIGITS))
+    first = rows.groupBy(F.col("__x").alias("__fx"), F.col("__y").alias("__fy")).agg(F.min(F.struct("id", "x", "y")).alias("f"))
+    joined = rows.join(first, (F.col("__x") == F.col("__fx")) & (F.col("__y") == F.col("__fy")))
+    return joined.select("id", F.col("f.id").alias("place"), F.col("f.x").alias("px"), F.col("f.y").alias("py"))
 
-    A task has one set's stations and a block of points.
-    """
 
-    def build(members: pa.Table, block: pa.Table) -> pa.Table:
-        if len(members) > MAX_STATIONS:
-            raise ValueError(f"more than {MAX_STATIONS} stations: split them by region first")
-        members = members.sort_by("id")
-        ids, xy = members["id"], np.column_stack([members[c].to_numpy() for c in "xy"])
-        take, place, weight = [], [], []
-        corners = hull(xy) if len(block) else None
-        for n, q in enumerate(np.column_stack([block[c].to_numpy() for c in "xy"])):
-            i, w = weights_at(q, xy, corners)
-            take.extend(i)
-            place.extend([n] * len(i))
-            weight.extend(w)
-        first = pa.chunked_array([members["station_set"].combine_chunks().take(pa.array(np.zeros(len(take), np.int64)))])
-        return pa.table({"station_set": first, point_id: block[point_id].take(pa.array(place, pa.int64())), "id": ids.take(pa.array(take, pa.int64())), "w": pa.array(weight, pa.float64())})
-
-    kinds = dict(points.dtypes)[point_id], dict(sets.dtypes)["id"]
-    points = points.select(point_id, F.col("x").cast("double"), F.col("y").cast("double"))
-    blocks = F.ceil(F.lit(points.count()) / CELLS_AT_ONCE).cast("int")
-    numbered = points.withColumn("block", F.pmod(F.xxhash64(point_id), blocks).cast("int"))
-    named = sets.select("station_set", "id", F.col("x").cast("double"), F.col("y").cast("double"))
-    left = named.join(F.broadcast(numbered.select("block").distinct()))
-    right = numbered.withColumnRenamed("block", "p_block").join(named.select(F.col("station_set").alias("p_set")).distinct())
-    # rows are few and the work on them long: a number of its own, so that partitions are not made into one for their size
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(tasks, "station_set", "block"), right.repartition(tasks, "p_set", "p_block")
-    return left.groupBy("station_set", "block").cogroup(right.groupBy("p_set", "p_block")).applyInArrow(build, f"station_set long, {point_id} {kinds[0]}, id {kinds[1]}, w double")
+def station_sets(values: DataFrame) -> DataFrame:
+    """(t, station_set, n): times that share a set of reporting stations share a number, and so one set of weights.
+
+    The number comes from sums over the distinct ids, without a list of them.
+    """
+    rows = values.where(F.col("value").isNotNull()).select("t", "id").distinct()
+    one = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"))
+    return one.select("t", F.xxhash64("n", "a", "b").alias("station_set"), "n")
+
+
+def affected_points(neighbours: DataFrame, network: DataFrame, members: DataFrame, point_id: str = "cell") -> tuple[DataFrame, DataFrame]:
+    """(station_set, point id) whose natural neighbours (point id, id, w) in the network (id) do not all report in the set (station_set, id), and (station_set, id) of all that do not."""
+    # as many rows as a dense table of sets by stations has gaps
+    every = members.select("station_set").distinct().join(network.select("id"))
+    missing = every.join(members.select("station_set", "id"), ["station_set", "id"], "left_anti")
+    return missing.join(neighbours, "id").select("station_set", point_id).distinct(), missing
+
+
+def set_weights(points: DataFrame, network: DataFrame, affected: DataFrame, missing: DataFrame, point_id: str, known: Tree, corners: np.ndarray) -> DataFrame:
+    """(station_set, point id, id, w) of affected points among the stations of the network (id, x, y) that are not missing from the set."""
+    kind, keys = dict(network.dtypes)["id"], ["station_set", point_id]
+    count, out, todo = int(known.stations.sum()), None, affected
+    for k in (*ROUNDS, count):
+        cells = points.select(point_id, "x", "y").join(todo.select(point_id).distinct(), point_id)
+        near = written(k_nearest(cells, network.select("id", "x", "y"), max(1, min(k, count)), point_id, known))
+        listed = near.select(point_id, F.explode("near.id").alias("id")).join(missing, "id").join(todo, keys)
+        gone = listed.groupBy(*keys).agg(F.collect_list("id").alias("gone"))  # of the nearest k
+        rows = todo.join(near, point_id).join(gone, keys, "left").select(*keys, "x", "y", "near", F.coalesce("gone", F.array().cast(f"array<{kind}>")).alias("gone"))
+        weighed = written(_weigh(rows, keys, corners, known.side, k >= count, kind))
+        found = weighed.where(F.col("id").isNotNull())
+        out = found if out is None else out.unionByName(found)
+        left = weighed.where(F.col("id").isNull()).select(*keys)
+        if k >= count or left.isEmpty():
+            return truncated(out, keys)
+        todo = left
 
 
 def interpolate_reported(values: DataFrame, points: DataFrame, stations: DataFrame, point_id: str = "cell") -> DataFrame:
     """(point id, t, value) of values (id, t, value), each time by the natural neighbours among the stations (id, x, y) that report at it.
 
-    Nulls and stations without a place do not report; times that share a set of stations share its weights.
+    Nulls and stations without a place do not report.  Stations at one place are one, with their mean value.  A time at which
+    fewer than ``LEAST_VALID`` stations report gives null everywhere.  The network of all places that ever report is weighed
+    once; times that share a set of places share what is weighed again for it.
     """
-    there = values.where(F.col("value").isNotNull()).join(stations.select("id", "x", "y"), "id")
-    sets = station_sets(there).select("t", "station_set")
+    placed = places_of(stations)
+    there = values.where(F.col("value").isNotNull()).join(placed.select("id", "place"), "id")
+    valid = values.select("t").distinct().join(there.groupBy("t").agg(F.count(F.lit(1)).alias("valid")), "t", "left")
+    few = valid.where(F.coalesce("valid", F.lit(0)) < LEAST_VALID).select("t")
+    merged = written(there.join(few, "t", "left_anti").groupBy("t", F.col("place").alias("id")).agg(F.avg("value").alias("value")))
+    network = written(placed.where(F.col("id") == F.col("place")).select("id", F.col("px").alias("x"), F.col("py").alias("y")).join(merged.select("id").distinct(), "id", "left_semi"))
+    known, corners = tree(points, network), hull_of(network)
+    neighbours = written(natural_neighbours(points, network, point_id, known, corners))
+    sets = written(station_sets(merged).select("t", "station_set"))
     one = sets.groupBy("station_set").agg(F.min("t").alias("t"))
-    members = there.join(one, "t").select("station_set", "id", "x", "y").dropDuplicates(["station_set", "id"])
-    weights = set_weights(points, members, point_id)
-    joined = there.select("id", "t", "value").join(sets, "t").join(weights, ["station_set", "id"])
-    return joined.groupBy(point_id, "t").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
-
-
-def station_sets(values: DataFrame) -> DataFrame:
-    """(t, station_set, n): times that share a set of reporting stations share a hash, and so one set of weights."""
-    return values.where(F.col("value").isNotNull()).groupBy("t").agg(F.xxhash64(F.sort_array(F.collect_set("id"))).alias("station_set"), F.count(F.lit(1)).alias("n"))
+    members = merged.select("t", "id").join(one, "t").select("station_set", "id")
+    affected, missing = map(written, affected_points(neighbours, network, members, point_id))
+    total: Column = F.sum(F.col("w") * F.col("value")).alias("value")
+    out = merged.join(truncated(neighbours, [point_id]), "id").groupBy(point_id, "t").agg(total)
+    if not affected.isEmpty():
+        again = set_weights(points, network, affected, missing, point_id, known, corners)
+        out = out.join(affected.join(sets, "station_set").select(point_id, "t"), [point_id, "t"], "left_anti")
+        out = out.unionByName(merged.join(sets, "t").join(again, ["station_set", "id"]).groupBy(point_id, "t").agg(total))
+    return out.unionByName(few.join(points.select(point_id)).select(point_id, "t", F.lit(None).cast("double").alias("value")))
 
 
 def grid_values(values: DataFrame, stations: DataFrame, cells: DataFrame) -> DataFrame:
@@ -201,21 +324,9 @@ def grid_values(values: DataFrame, stations: DataFrame, cells: DataFrame) -> Dat
 
 
 def inverse_distance(points: DataFrame, stations: DataFrame, k: int = 8, power: float = 2.0, point_id: str = "cell") -> DataFrame:
-    """(point id, value) from the ``k`` nearest stations (id, x, y, value), as an alternative to natural neighbours."""
-    rows = stations.where(F.col("value").isNotNull()).select("id", "x", "y", "value").orderBy("id").limit(MAX_STATIONS + 1).toPandas()
-    if len(rows) > MAX_STATIONS:
-        raise ValueError(f"more than {MAX_STATIONS} stations: split them by region first")
-    xy, v = rows[["x", "y"]].to_numpy(float), rows["value"].to_numpy(float)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            px, py = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            out = np.full(len(px), np.nan)
-            for i in range(len(px) if len(v) else 0):
-                d2 = (xy[:, 0] - px[i]) ** 2 + (xy[:, 1] - py[i]) ** 2
-                near = np.argsort(d2, kind="stable")[:k]
-                w = 1 / np.maximum(d2[near], 1e-18) ** (power / 2)
-                out[i] = (w * v[near]).sum() / w.sum()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, from_pandas=True)], names=[point_id, "value"])
-
-    return points.select(point_id, F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(build, f"{point_id} {dict(points.dtypes)[point_id]}, value double")
+    """(point id, value) from the ``k`` nearest stations (id, x, y, value), as an alternative to natural neighbours; null where there is none."""
+    near = k_nearest(points, stations.where(F.col("value").isNotNull()), k, point_id)
+    weight = lambda s: 1 / F.pow(F.greatest(s["d2"], F.lit(1e-18)), F.lit(power / 2))
+    total = F.aggregate("near", F.lit(0.0), lambda t, s: t + weight(s))
+    found = near.select(F.col(point_id).alias("__p"), (F.aggregate("near", F.lit(0.0), lambda t, s: t + weight(s) * s["value"]) / total).alias("value"))
+    return points.select(point_id).join(found, F.col(point_id) == F.col("__p"), "left").select(point_id, "value")

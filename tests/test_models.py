@@ -241,8 +241,7 @@ def test_grids_and_intervals_cover_all_months(spark):
     assert sorted(models.q_mc_pi(spark, d).select(keys).collect()) == sorted(o.select(keys).collect())
 
 
-def test_gaps_take_the_neighbours_that_report(spark, monkeypatch):
-    monkeypatch.setattr(sibson, "CELLS_AT_ONCE", 7)
+def test_gaps_take_the_neighbours_that_report(spark):
     rng = np.random.default_rng(4)
     xy = rng.uniform(0, 100, size=(60, 2))
     stations = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
