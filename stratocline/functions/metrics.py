@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
+def exact_mean(v: Column, digits: int = 4, window: WindowSpec | None = None) -> Column:
+    """The mean of values taken to ``digits`` decimals: whole numbers are summed and divided once, so that no order of rows changes it."""
+    total, n = F.sum(F.rint(v * float(10**digits)).cast("long")), F.count(v)
+    return (total / n if window is None else total.over(window) / n.over(window)) / float(10**digits)
+
+
 def mean_bias(p: Column, o: Column) -> Column:
     return F.avg(p - o)
 

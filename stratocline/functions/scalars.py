@@ -74,10 +74,6 @@ def inverse_log_link(g: Column, offset: Column) -> Column:
     return F.exp(g) - offset
 
 
-def mean_correction(g: Column, station_mean: Column, moving_mean: Column, calibration_mean: Column) -> Column:
-    return g + station_mean + moving_mean - calibration_mean
-
-
 def normal_interval(v: Column, variance: Column) -> tuple[Column, Column]:
     half = F.lit(Z95) * F.sqrt(variance)
     return v - half, v + half
@@ -91,7 +87,8 @@ def lognormal_interval(v: Column, offset: Column, variance: Column) -> tuple[Col
 
 
 def clip_zero(v: Column) -> Column:
-    return F.greatest(v, F.lit(0.0))
+    """Not below zero; null stays null."""
+    return F.when(v < 0, F.lit(0.0)).otherwise(v)
 
 
 def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
@@ -117,6 +114,11 @@ def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
 
 
+def half_even(v: Column, digits: int) -> Column:
+    """Rounded to decimals, ties to the even digit."""
+    return F.rint(v * float(10**digits)) / float(10**digits)
+
+
 def pack_hundredths(v: Column) -> Column:
     """A value as a 16-bit integer of hundredths, the fill value for null."""
     return F.coalesce(F.round(v * 100).cast("smallint"), F.lit(MISSING_PACKED).cast("smallint"))

@@ -145,7 +145,7 @@ def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], key
 
     obs: (keys, id, year, value); field: (keys, year, cell, value) of the whole calibration
     period, which is decomposed as ``pca_model`` does.  With ``log`` a station's values go
-    through ln(value + offset), offset = 1 - least value, else offset is null.  ``mu`` is the
+    through ln(value + offset), offset = 1 + least value, else offset is null.  ``mu`` is the
     station's mean after the link, errors are those of the linked values, sigma2 is the mean
     squared residual of the fit, share the variance that the chosen components hold.
     Months with fewer than ``min_years`` common years give no models; stations with fewer
@@ -166,7 +166,7 @@ def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], key
         y = y.loc[:, y.notna().sum() >= max(min(10, min_years), int(0.15 * len(years)))]
         scores, _, share, _ = decompose(x.to_numpy(float))
         scores = scores[x.index.get_indexer(years)]
-        offset = 1 - y.min().to_numpy() if log else np.full(y.shape[1], np.nan)
+        offset = 1 + y.min().to_numpy() if log else np.full(y.shape[1], np.nan)
         linked = np.log(y.to_numpy(float) + offset) if log else y.to_numpy(float)
         mu = np.nanmean(linked, axis=0) if y.shape[1] else np.empty(0)
         centred = linked - mu
@@ -207,8 +207,8 @@ def fitted(scores: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _unlinked(models: DataFrame, g: Column) -> Column:
-    """``g`` itself, or back through the log link, with the half variance that keeps the mean, where the model has an offset."""
-    back = S.inverse_log_link(g + F.coalesce("sigma2", F.lit(0.0)) / 2, F.col("offset"))
+    """``g`` itself, or back through the log link, with the half variance that keeps the mean and not below zero, where the model has an offset."""
+    back = S.clip_zero(S.inverse_log_link(g + F.coalesce("sigma2", F.lit(0.0)) / 2, F.col("offset")))
     return F.when(F.col("offset").isNull(), g).otherwise(back) if "offset" in models.columns else g
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratocline.functions.metrics import exact_mean
+
 
 def frame(keys: list[str], order: list[str], k: int):
     """``k`` rows: k // 2 before, (k - 1) // 2 after, fewer at the edges."""
@@ -68,5 +70,7 @@ def delta_change(df: DataFrame, keys: list[str], order: list[str], value: str, c
     return df.withColumn(out, moving_mean(F.col("__v"), frame(keys, order, k)) - base).drop("__v")
 
 
-def anomaly(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
+def anomaly(df: DataFrame, keys: list[str], value: str, out: str, digits: int | None = None) -> DataFrame:
+    """``value`` less the mean of its key; with ``digits`` that mean is the same for any order of rows."""
+    whole = Window.partitionBy(*keys)
+    return df.withColumn(out, F.col(value) - (F.avg(value).over(whole) if digits is None else exact_mean(F.col(value), digits, whole)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,20 +17,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def half_even_sql(sql: str) -> str:
+    """SQL whose ``round(value, digits)`` take ties to the even digit, by the same steps as ``scalars.half_even``."""
+    out, at = "", 0
+    while (found := re.search(r"\bround\(", sql[at:])) is not None:
+        start = at + found.end()
+        depth, comma, i = 1, None, start
+        while depth:
+            depth += (sql[i] == "(") - (sql[i] == ")")
+            if depth == 1 and sql[i] == ",":
+                comma = i
+            i += 1
+        out += sql[at : at + found.start()]
+        if comma is None:
+            out += f"round({half_even_sql(sql[start : i - 1])})"
+        else:
+            scale = f"1e{int(sql[comma + 1 : i - 1])}::DOUBLE"
+            out += f"(round_even(({half_even_sql(sql[start:comma])}) * {scale}, 0) / {scale})"
+        at = i
+    return out + sql[at:]
+
+
 def query(sql: str | None = None):
-    """Registers a function by its name, with its SQL."""
+    """Registers a function by its name, with its SQL, in which ``round`` takes ties to the even digit."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = half_even_sql(sql)
         return f
 
     return add
 
 
 def r(c, digits: int = 4):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return S.half_even(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _mean(c: str):
+    """Means of monthly means, which have no end of decimals: the same for any order of rows."""
+    return M.exact_mean(F.col(c), 9)
 
 
 @query(f"WITH {V.SQL_OBSQ} SELECT id, year, month, round(value, 4) AS value FROM obs")
@@ -344,33 +371,33 @@ def q_vc_eval(spark, d):
     return b.agg(r(F.median("b"), 3).alias("median"), r(F.avg(F.abs("b")), 3).alias("mae"), r(F.sqrt(F.avg(F.col("b") * F.col("b"))), 3).alias("rmse"), r(F.avg("b"), 3).alias("mean"), r(F.stddev_pop("b"), 3).alias("std"))
 
 
-@query(f"WITH {V.SQL_OBS} SELECT id, year, round(avg(value), 3) AS value, count(value) AS months FROM obs GROUP BY id, year")
+@query(f"WITH {V.SQL_OBS} SELECT id, year, round({V.sql_mean('value', 9)}, 3) AS value, count(value) AS months FROM obs GROUP BY id, year")
 def q_yearly_rollup(spark, d):
-    return V.obs(spark, d).groupBy("id", "year").agg(r(F.avg("value"), 3).alias("value"), F.count("value").alias("months"))
+    return V.obs(spark, d).groupBy("id", "year").agg(r(_mean("value"), 3).alias("value"), F.count("value").alias("months"))
 
 
-@query(f"WITH {V.SQL_OBS} SELECT id, CAST(floor(year / 10.0) * 10 AS INT) AS decade, round(avg(value), 3) AS value FROM obs GROUP BY ALL")
+@query(f"WITH {V.SQL_OBS} SELECT id, CAST(floor(year / 10.0) * 10 AS INT) AS decade, round({V.sql_mean('value', 9)}, 3) AS value FROM obs GROUP BY ALL")
 def q_decadal_rollup(spark, d):
-    return V.obs(spark, d).groupBy("id", S.decade(F.col("year")).alias("decade")).agg(r(F.avg("value"), 3).alias("value"))
+    return V.obs(spark, d).groupBy("id", S.decade(F.col("year")).alias("decade")).agg(r(_mean("value"), 3).alias("value"))
 
 
 _PERIODS = (("early", 1995, 1997), ("middle", 1996, 1999), ("late", 1999, 2001))
 _BANDS = (("south", 15.0, 30.0), ("mid", 30.0, 45.0), ("north", 45.0, 60.0), ("arctic", 60.0, 75.0))
 
 
-@query(f"WITH {V.SQL_OBS}, {V.SQL_META}, p(period, y0, y1) AS (VALUES {', '.join(map(str, _PERIODS))}), b(band, l0, l1) AS (VALUES {', '.join(map(str, _BANDS))}) SELECT period, band, round(avg(value), 3) AS value, count(*) AS n FROM obs JOIN meta USING (id) JOIN p ON year BETWEEN y0 AND y1 JOIN b ON lat >= l0 AND lat < l1 GROUP BY period, band")
+@query(f"WITH {V.SQL_OBS}, {V.SQL_META}, p(period, y0, y1) AS (VALUES {', '.join(map(str, _PERIODS))}), b(band, l0, l1) AS (VALUES {', '.join(map(str, _BANDS))}) SELECT period, band, round({V.sql_mean('value', 9)}, 3) AS value, count(*) AS n FROM obs JOIN meta USING (id) JOIN p ON year BETWEEN y0 AND y1 JOIN b ON lat >= l0 AND lat < l1 GROUP BY period, band")
 def q_period_bands(spark, d):
     periods = F.explode(F.array_compact(F.array(*[F.when(F.col("year").between(a, b), F.lit(n)) for n, a, b in _PERIODS])))
     band = F.coalesce(*[F.when((F.col("lat") >= a) & (F.col("lat") < b), F.lit(n)) for n, a, b in _BANDS])
     rows = V.obs(spark, d).join(V.meta(spark, d), "id").withColumn("band", band).where("band IS NOT NULL").withColumn("period", periods)
-    return rows.groupBy("period", "band").agg(r(F.avg("value"), 3).alias("value"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("period", "band").agg(r(_mean("value"), 3).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.SQL_ESM}, w AS (SELECT cell, CASE WHEN year <= 1996 THEN 'a' WHEN year <= 1998 THEN 'b' ELSE 'c' END AS win, avg(value) AS m FROM esm GROUP BY ALL) SELECT cell, win, round(m, 4) AS mean, round(m - avg(m) OVER (PARTITION BY cell), 4) AS anomaly FROM w")
+@query(f"WITH {V.SQL_ESM}, w AS (SELECT cell, CASE WHEN year <= 1996 THEN 'a' WHEN year <= 1998 THEN 'b' ELSE 'c' END AS win, {V.sql_mean('value', 9)} AS m FROM esm GROUP BY ALL) SELECT cell, win, round(m, 4) AS mean, round(m - {V.sql_mean('m', 9, 'OVER (PARTITION BY cell)')}, 4) AS anomaly FROM w")
 def q_window_anomaly(spark, d):
     win = F.when(F.col("year") <= 1996, "a").when(F.col("year") <= 1998, "b").otherwise("c")
-    m = V.esm(spark, d).groupBy("cell", win.alias("win")).agg(F.avg("value").alias("m"))
-    return moving.anomaly(m, ["cell"], "m", "x").select("cell", "win", r("m").alias("mean"), r("x").alias("anomaly"))
+    m = V.esm(spark, d).groupBy("cell", win.alias("win")).agg(_mean("value").alias("m"))
+    return moving.anomaly(m, ["cell"], "m", "x", 9).select("cell", "win", r("m").alias("mean"), r("x").alias("anomaly"))
 
 
 @query("""WITH g AS (SELECT CAST(l_orderkey % 2 AS INT) AS gcm, CAST(year(l_shipdate) AS INT) AS year, CAST(l_partkey % 96 AS INT) AS cell, avg(l_quantity) AS value, var_pop(l_quantity) AS s2 FROM lineitem GROUP BY ALL),
@@ -458,13 +485,13 @@ def q_gauss_weights(spark, d):
     return gaussian_weights(s, 5.0).select("i", "j", r("w", 6).alias("w"))
 
 
-@query("SELECT event_type, count(value) AS n, count(DISTINCT user_id) AS users, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(value), 4) AS mean, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 4) AS missing FROM events GROUP BY event_type")
+@query(f"SELECT event_type, count(value) AS n, count(DISTINCT user_id) AS users, round(min(value), 4) AS least, round(max(value), 4) AS most, round({V.sql_mean('value')}, 4) AS mean, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 4) AS missing FROM events GROUP BY event_type")
 def q_profile_columns(spark, d):
     e = V.table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("value").alias("n"), F.count_distinct("user_id").alias("users"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"), r(F.avg("value")).alias("mean"), r(F.avg(F.col("value").isNull().cast("double"))).alias("missing"))
+    return e.groupBy("event_type").agg(F.count("value").alias("n"), F.count_distinct("user_id").alias("users"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"), r(M.exact_mean(F.col("value"))).alias("mean"), r(F.avg(F.col("value").isNull().cast("double"))).alias("missing"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(value) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query(f"SELECT date_trunc('hour', ts) AS start, event_type, count(value) AS n, round({V.sql_mean('value')}, 4) AS mean FROM events GROUP BY ALL")
 def q_tumbling_events(spark, d):
     from stratocline.streaming.tumbling import tumbling_means
 
@@ -483,18 +510,18 @@ def q_point_in_polygon(spark, d):
     return V.meta(spark, d).select("id", grids.point_in_rings(F.col("lat"), F.col("lon"), ring).alias("inside"))
 
 
-@query(f"WITH {V.SQL_OBS} SELECT year, month, count(value) AS n, round(avg(value), 3) AS mean FROM obs WHERE value IS NOT NULL GROUP BY year, month HAVING count(value) >= CAST(0.05 * (SELECT count(DISTINCT id) FROM obs) AS INT)")
+@query(f"WITH {V.SQL_OBS} SELECT year, month, count(value) AS n, round({V.sql_mean('value', 9)}, 3) AS mean FROM obs WHERE value IS NOT NULL GROUP BY year, month HAVING count(value) >= CAST(0.05 * (SELECT count(DISTINCT id) FROM obs) AS INT)")
 def q_timestep_counts(spark, d):
     o = V.obs(spark, d)
     least = o.agg((0.05 * F.count_distinct("id")).cast("int").alias("least"))
-    g = o.groupBy("year", "month").agg(F.count("value").alias("n"), r(F.avg("value"), 3).alias("mean"))
+    g = o.groupBy("year", "month").agg(F.count("value").alias("n"), r(_mean("value"), 3).alias("mean"))
     return g.join(F.broadcast(least), F.col("n") >= F.col("least")).select("year", "month", "n", "mean")
 
 
-@query(f"WITH {V.SQL_ESM} SELECT year, month, round(avg(value), 4) AS mean, count(value) AS cells FROM esm WHERE lat_idx BETWEEN 2 AND 5 AND lon_idx BETWEEN 3 AND 8 GROUP BY year, month")
+@query(f"WITH {V.SQL_ESM} SELECT year, month, round({V.sql_mean('value', 9)}, 4) AS mean, count(value) AS cells FROM esm WHERE lat_idx BETWEEN 2 AND 5 AND lon_idx BETWEEN 3 AND 8 GROUP BY year, month")
 def q_regional_mean(spark, d):
     inside = F.col("lat_idx").between(2, 5) & F.col("lon_idx").between(3, 8)
-    return V.esm(spark, d).where(inside).groupBy("year", "month").agg(r(F.avg("value")).alias("mean"), F.count("value").alias("cells"))
+    return V.esm(spark, d).where(inside).groupBy("year", "month").agg(r(_mean("value")).alias("mean"), F.count("value").alias("cells"))
 
 
 @query(f"WITH {V.SQL_PAIRS}, x AS (SELECT abs(p - o) AS a FROM pairs) SELECT round(quantile_cont(a, 0.95), 2) AS p95, round(quantile_cont(a, 0.99), 2) AS p99, round(max(a), 2) AS most, round(avg(CASE WHEN a <= 5000 THEN 1.0 ELSE 0.0 END), 4) AS within FROM x")

@@ -124,7 +124,7 @@ def q_predict_transient(spark, d):
     return _transient(spark, d, False)
 
 
-@query(_transient_sql("ln(value + 1 + min(CASE WHEN year <= 1998 THEN value END) OVER (PARTITION BY cell, month))", "exp(g + 0.04::DOUBLE / 2) - (1 + id % 3)"))
+@query(_transient_sql("ln(value + 1 + min(CASE WHEN year <= 1998 THEN value END) OVER (PARTITION BY cell, month))", "CASE WHEN exp(g + 0.04::DOUBLE / 2) < 1 + id % 3 THEN 0 ELSE exp(g + 0.04::DOUBLE / 2) - (1 + id % 3) END"))
 def q_predict_transient_log(spark, d):
     """The same through the log link and back."""
     return _transient(spark, d, True)
