@@ -4,7 +4,7 @@ Vectors of cosine ``c`` or more lie, at unit length, within the squared distance
 spreads any vector's length over all axes, which are then split into blocks of ``WIDTH``.  If every block of a pair exceeded its
 share of that squared distance, in proportion to its axes, so would the sum: so each pair wanted is
 within its share in some block.  Each block is a range join by its own: cells as wide as the radius on its first
-axis, a vector at home in one cell and a guest in all that its radius reaches; inside a cell both sides are
+axis, a vector at home in one cell and a guest in all that its radius reaches upwards; inside a cell both sides are
 sorted by the second axis, and windows of it are compared in the whole block by matrix products.  What is within a block's share is
 verified on the vectors as given, in double precision.  A pair counts in the first block that finds it.
 
@@ -40,7 +40,7 @@ from stratocline.llm.linking import components
 
 WIDTH = 16  # axes of a block
 PART = 8192  # nodes of a cell in one part, on average
-ROWS, COLUMNS = 256, 4096  # of a matrix product
+ROWS, COLUMNS = 256, 1024  # of a matrix product
 SLACK = 1e-5  # beyond a block's share, for single precision
 _SEED = 20_240_611
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,22 +103,20 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def near_pairs(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of two sides, sorted by their second axis, within the squared distance ``most``."""
-    at = min(1, x.shape[1] - 1)
+    at, limit = min(1, x.shape[1] - 1), np.float32(most + SLACK)
     reach = np.sqrt(most) + SLACK
     a, b = (np.ascontiguousarray(v, np.float32) for v in (x, y))
-    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    # |a - b|^2 as one product: both sides bring the squared length of the other kind of row
+    aa, bb = (a * a).sum(1, keepdims=True), (b * b).sum(1, keepdims=True)
+    a, b = np.hstack([-2 * a, aa, np.ones_like(aa)]), np.hstack([b, np.ones_like(bb), bb])
     low, high = np.searchsorted(y[:, at], x[:, at] - reach, "left"), np.searchsorted(y[:, at], x[:, at] + reach, "right")
     for s in range(0, len(x), ROWS):
         e = min(s + ROWS, len(x))
         for c in range(low[s], high[e - 1], COLUMNS):
             d = min(c + COLUMNS, high[e - 1])
-            # |a - b|^2 <= most, as a product to which only a bound is compared
-            m = a[s:e] @ b[c:d].T
-            m *= -2
-            m += aa[s:e, None]
-            m += bb[None, c:d]
-            i, j = np.nonzero(m <= most + SLACK)
-            if len(i):
+            near = a[s:e] @ b[c:d].T <= limit
+            if near.any():
+                i, j = np.nonzero(near)
                 yield i + s, j + c
 
 
@@ -167,7 +165,7 @@ def encoded(vectors: DataFrame) -> DataFrame:
 
 
 def cells(nodes: DataFrame, cosine: float, width: int = WIDTH) -> DataFrame:
-    """(node, size, block, cell, home) for the cells of each node: one at home and, in each block, those within its radius."""
+    """(node, size, block, cell, home) for the cells of each node: one at home and, in each block, as a guest those from there on within its radius."""
     names = ["node", "size", "block", "cell", "home"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +178,7 @@ def cells(nodes: DataFrame, cosine: float, width: int = WIDTH) -> DataFrame:
                 for k, ((a, _), share) in enumerate(zip(spans(int(size), width), shares(int(size), cosine, width))):
                     reach = np.sqrt(share) + SLACK
                     cell = np.floor(x[:, a] / reach).astype(np.int64)
-                    low, high = np.floor((x[:, a] - reach) / reach).astype(np.int64), np.floor((x[:, a] + reach) / reach).astype(np.int64)
+                    low, high = cell, np.floor((x[:, a] + reach) / reach).astype(np.int64)
                     count = high - low + 1
                     who = np.repeat(np.arange(len(at)), count)
                     guest = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(who))
@@ -227,7 +225,8 @@ def linked(rows: DataFrame, cosine: float, width: int = WIDTH) -> DataFrame:
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for i, j in near_pairs(x[:, a:b], y[:, a:b], share[block]):
-            keep = n_x[i] < n_y[j]  # each pair once: the guest has the smaller number
+            # each pair once: the guest comes first on the block's first axis
+            keep = (x[i, a] < y[j, a]) | ((x[i, a] == y[j, a]) & (n_x[i] < n_y[j]))
             i, j = i[keep], j[keep]
             for s in range(0, len(i), 16_384):
                 p, q = i[s : s + 16_384], j[s : s + 16_384]
