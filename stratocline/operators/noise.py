@@ -1,42 +1,67 @@
-"""Residual noise: spatial-error weights and fits, ARMA(1,1) fits, seeded realizations."""
+"""Residual noise: spatial-error weights and fits, ARMA(1,1) fits, seeded realizations.
+
+Spatial weights are sparse: a station has the neighbours within ``REACH_LENGTHS`` lengths.  A task holds the weights of one
+group as index arrays and the values of all stations over a block of ``BLOCK`` times, however long the run is.  A fit needs, of each station, three sums over
+its times (the residual variance is quadratic in lambda) and the log determinant of I - lambda W: from eigenvalues up to ``DENSE`` stations, beyond
+from Chebyshev traces, estimated by seeded probes over sparse products.  (I - lambda W) u = e is solved by Chebyshev iteration to a bounded residual.
+"""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from stratocline.operators.steps import written
 
 # Length scales tried, bounds of lambda, shrinkage of the weights, penalty, lattices of the ARMA fit.
 LENGTHS_KM = (25.0, 50.0, 75.0, 100.0)
 LAMBDA_BOUNDS = (0.0, 0.9)
 SHRINK, PENALTY = 1.01, 0.1
+REACH_LENGTHS = 7.0  # beyond it a kernel is below 1e-10
+BLOCK = 64  # times in one task's block
+DENSE = 1500  # stations up to which eigenvalues give the log determinant
+PROBES, MOMENTS = 64, 64  # random vectors and Chebyshev traces of its estimate
+RESIDUAL = 1e-11  # of a solve, relative to its right side
 COARSE, FINE, REACH, EDGE, MIN_SERIES = 39, 21, 0.1, 0.99, 12
 
 
-def gaussian_weights(stations: DataFrame, length: float, reach: float = 6.0) -> DataFrame:
-    """(i, j, w): exp(-d2 / 2 h2) of stations (id, x, y) within ``reach`` lengths, rows summing to 1 / 1.01.
+def weights_by(stations: DataFrame, keys: list[str], length: Column, reach: float = REACH_LENGTHS) -> DataFrame:
+    """(keys, i, j, w, s): row-normalized weights exp(-d2 / 2 h2) of stations (keys, id, x, y) and their symmetric form.
 
-    Neighbours meet by the squares of side reach * length that they lie in, so the
-    join is on equal keys and a station meets only those of nine squares.
+    ``length`` is constant for equal keys.  Neighbours meet by the squares of side reach * length that they lie in, so the
+    join is on equal keys and a station meets only those of nine squares.  Rows sum to 1 / 1.01, where the shrinkage
+    follows the spectral radius 1 that any station with a neighbour implies; a station without one has no rows.
     """
-    side = reach * length
-    here = stations.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    rows = stations.withColumn("__h", length.cast("double"))
+    side = F.col("__h") * reach
+    square = [F.floor(F.col(c) / side).alias(f"c{c}") for c in "xy"]
+    here = rows.select(*keys, "__h", F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *square)
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("n")
-    there = stations.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), around)
-    there = there.select("j", "xj", "yj", (F.floor(F.col("xj") / side) + F.col("n.a")).alias("cx"), (F.floor(F.col("yj") / side) + F.col("n.b")).alias("cy"))
+    there = rows.select(*keys, F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *square, around)
+    there = there.select(*keys, "j", "xj", "yj", (F.col("cx") + F.col("n.a")).alias("cx"), (F.col("cy") + F.col("n.b")).alias("cy"))
     d2 = F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2)
-    near = here.join(there, ["cx", "cy"]).where((F.col("i") != F.col("j")) & (d2 <= side * side))
-    k = near.select("i", "j", F.exp(-d2 / (2 * length * length)).alias("k"))
-    return k.select("i", "j", (F.col("k") / F.sum("k").over(Window.partitionBy("i")) / SHRINK).alias("w"))
+    near = here.join(there, [*keys, "cx", "cy"]).where((F.col("i") != F.col("j")) & (d2 <= side * side))
+    k = near.select(*keys, "i", "j", F.exp(-d2 / (2 * F.col("__h") * F.col("__h"))).alias("k"))
+    total = lambda c: F.sum("k").over(Window.partitionBy(*keys, c))
+    k = k.withColumn("__i", total("i")).withColumn("__j", total("j"))
+    return k.select(*keys, "i", "j", (F.col("k") / F.col("__i") / SHRINK).alias("w"), (F.col("k") / F.sqrt(F.col("__i") * F.col("__j"))).alias("s"))
+
+
+def gaussian_weights(stations: DataFrame, length: float, reach: float = REACH_LENGTHS) -> DataFrame:
+    """(i, j, w) of one network of stations (id, x, y) and one length."""
+    return weights_by(stations, [], F.lit(length), reach).select("i", "j", "w")
 
 
 def dense_weights(xy: np.ndarray, length: float) -> np.ndarray:
-    """The same as a matrix: rows with any weight sum to 1 before the scale; where a station has no neighbour, the spectral radius decides on the scale."""
+    """The weights of all pairs as a matrix: rows with any weight sum to 1 before the scale; where a station has no neighbour, the spectral radius decides on the scale."""
     d2 = ((xy[:, None] - xy[None]) ** 2).sum(-1)
     k = np.exp(-d2 / (2 * length * length))
     np.fill_diagonal(k, 0)
@@ -45,7 +70,7 @@ def dense_weights(xy: np.ndarray, length: float) -> np.ndarray:
     if (total > 0).all():
         return w / SHRINK
     radius = spectral_radius(w)
-    return w / (radius + 0.01) if radius >= 1 else w
+    return w / (radius + 0.01) if radius >= 1 - 1e-6 else w
 
 
 def spectral_radius(w: np.ndarray, rounds: int = 100, tolerance: float = 1e-8) -> float:
@@ -129,48 +154,192 @@ def fit_sem(n: np.ndarray, xy: np.ndarray, length: float) -> tuple[float, float,
     return lam, value, np.where(np.isnan(n), np.nan, filled - lam * filled @ w.T)
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """A square matrix by rows: ids in order, where each row starts, columns and values."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        """The product with (rows, times)."""
+        out = np.zeros_like(x)
+        some = np.flatnonzero(np.diff(self.start))
+        if len(some):
+            for c in range(0, x.shape[1], 8):
+                out[some, c : c + 8] = np.add.reduceat(self.value[:, None] * x[self.column, c : c + 8], self.start[some])
+        return out
+
+
+def sparse(ids: np.ndarray, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> Sparse:
+    """From entries whose rows and columns are among ``ids``."""
+    ids = np.unique(ids)
+    row, column = np.searchsorted(ids, i), np.searchsorted(ids, j)
+    order = np.lexsort((column, row))
+    return Sparse(ids, np.searchsorted(row[order], np.arange(len(ids) + 1)), column[order], value[order])
+
+
+def solve(w: Sparse, lam: float, e: np.ndarray, radius: float = 1 / SHRINK) -> np.ndarray:
+    """u with (I - lam W) u = e for (stations, times), by Chebyshev iteration: eigenvalues of W are real and within ``radius``."""
+    d = abs(lam) * radius
+    if d == 0:
+        return e.copy()
+    bound = RESIDUAL * np.maximum(np.abs(e).max(0, initial=0.0), 1e-300)
+    u, r = np.zeros_like(e), e.copy()
+    rho, step = d, np.zeros_like(e)
+    for n in range(10_000):
+        # the interval of eigenvalues of I - lam W is 1 - d to 1 + d
+        if n == 0:
+            step = r.copy()
+        else:
+            now = 1 / (2 / d - rho)
+            step, rho = now * rho * step + 2 * now / d * r, now
+        u += step
+        r = e - u + lam * (w @ u)
+        if (np.abs(r).max(0, initial=0.0) <= bound).all():
+            return u
+    raise ArithmeticError("the spatial solve does not converge")
+
+
+def chebyshev_traces(s: Sparse, probes: int = PROBES, moments: int = MOMENTS, seed: int = 812) -> tuple[np.ndarray, np.ndarray]:
+    """(traces of T_0 .. of a symmetric matrix with eigenvalues in -1 .. 1, their standard errors); the first three are exact."""
+    n = len(s.ids)
+    z = np.random.default_rng([seed, n]).choice([-1.0, 1.0], (n, probes))
+    before, now = z, s @ z
+    sums = np.zeros((2 * moments, probes))
+    sums[0], sums[1] = n, (z * now).sum(0)
+    for k in range(1, moments):
+        # products of neighbours give the traces of twice their order
+        sums[2 * k] = 2 * (now * now).sum(0) - n
+        after = 2 * (s @ now) - before
+        sums[2 * k + 1] = 2 * (now * after).sum(0) - sums[1]
+        before, now = now, after
+    mean, error = sums.mean(1), sums.std(1, ddof=1) / np.sqrt(probes)
+    for k, exact in ((0, float(n)), (1, 0.0), (2, 2 * float((s.value**2).sum()) - n)):
+        mean[k], error[k] = exact, 0.0
+    return mean, error
+
+
+def log_determinant(traces: np.ndarray, lam: float) -> float:
+    """log det(I - lam S) from Chebyshev traces: log(1 - lam x) is a series in T_k(x) with powers of r, lam = 2 r / (1 + r^2)."""
+    if lam == 0:
+        return 0.0
+    r = (1 - np.sqrt(1 - lam * lam)) / lam
+    k = np.arange(1, len(traces))
+    return float(-np.log1p(r * r) * traces[0] - 2 * (r**k / k * traces[1:]).sum())
+
+
+def network_log_det(s: Sparse):
+    """The function lambda -> log det(I - lambda W), W the shrunk weights that are similar to ``s`` / 1.01."""
+    if len(s.ids) <= DENSE:
+        full = np.zeros((len(s.ids), len(s.ids)))
+        full[np.repeat(np.arange(len(s.ids)), np.diff(s.start)), s.column] = s.value
+        eig = np.linalg.eigvalsh((full + full.T) / 2) / SHRINK
+        return lambda lam: float(np.log(np.abs(1 - lam * eig)).sum())
+    traces = chebyshev_traces(s)[0]
+    return lambda lam: log_determinant(traces, lam / SHRINK)
+
+
+def _taking_part(residuals: DataFrame, keys: list[str], min_times: int) -> DataFrame:
+    """One value per (keys, id, t), of stations with ``min_times`` values or more, where at least two take part."""
+    rows = residuals.where(F.col("value").isNotNull()).groupBy(*keys, "id", "t").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("value").alias("value"))
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "id"))).where(F.col("__n") >= min_times)
+    rows = rows.withColumn("__least", F.min("id").over(Window.partitionBy(*keys))).withColumn("__most", F.max("id").over(Window.partitionBy(*keys)))
+    return rows.where(F.col("__least") != F.col("__most")).select(*keys, "id", "x", "y", "t", "value")
+
+
+def _by_block(values: DataFrame, weights: DataFrame, keys: list[str], make: Callable, out: str) -> DataFrame:
+    """``make(weights as Sparse, values (stations, times), its gaps as NaN, extra of the weights)`` of each group's block of times, as (keys, id, t, ``out``).
+
+    values: (keys, id, t, value); weights: (keys, i, j, w, extra), of which a group has every row beside each of its blocks.
+    """
+    types = dict(values.dtypes)
+    names = [*keys, "id", "t", *[c.split()[0] for c in out.split(", ")]]
+    block = F.floor(F.col("t").cast("double") / BLOCK).cast("long")
+    rows = values.withColumn("__block", block)
+    spots = rows.select(*keys, "__block").distinct()
+    beside = spots.join(weights, keys)
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, "__block"]
+
+    def run(key: tuple, own: pa.Table, net: pa.Table) -> pa.Table:
+        ids, at = np.unique(own["id"].to_numpy(), return_inverse=True)
+        times, when = np.unique(own["t"].to_numpy(), return_inverse=True)
+        i, j = (net[c].to_numpy() for c in "ij")
+        w = sparse(np.concatenate([ids, i, j]), i, j, net["w"].to_numpy())
+        x = np.full((len(w.ids), len(times)), np.nan)
+        place = np.searchsorted(w.ids, ids)[at]
+        x[place, when] = own["value"].to_numpy()
+        made = make(w, x, net["extra"][0].as_py() if len(net) else 0.0)
+        made = made if isinstance(made, tuple) else (made,)
+        return pa.table({**{k: pa.repeat(v, len(own)) for k, v in zip(keys, key)}, "id": own["id"], "t": own["t"], **{c: m[place, when] for c, m in zip(names[len(keys) + 2 :], made)}})
+
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + f", {out}"
+    # every block beside weights has values; a network without neighbours has no weights
+    beside = beside.select(*[F.col(c).alias(f"w_{c}") for c in by], "i", "j", "w", "extra")
+    other = [f"w_{c}" for c in by]
+    return rows.repartition(tasks, *by).groupBy(*by).cogroup(beside.repartition(tasks, *other).groupBy(*other)).applyInArrow(run, schema)
+
+
 def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_times: int = 2) -> DataFrame:
-    """(keys, lambda, length, objective, n_stations): one task per group and length scale, then the least objective.
+    """(keys, lambda, length, objective, n_stations): the least objective of all length scales.
 
-    residuals: (keys, id, x, y, t, value), x and y in km.
+    residuals: (keys, id, x, y, t, value), x and y in km; gaps count as zero for their neighbours.
     """
     types = dict(residuals.dtypes)
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", length double, lambda double, objective double, n_stations int"
-    spread = residuals.withColumn("length", F.explode(F.array(*[F.lit(float(x)) for x in lengths])))
-
-    def fit(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf.pivot_table(index="t", columns="id", values="value", aggfunc="first")
-        n = n.loc[:, n.notna().sum() >= min_times]
-        if n.shape[1] < 2:
-            return pd.DataFrame(columns=[*keys, "length", "lambda", "objective", "n_stations"])
-        at = pdf.groupby("id")[["x", "y"]].first().loc[n.columns].to_numpy(float)
-        lam, value, _ = fit_sem(n.to_numpy(float), at, key[-1])
-        return pd.DataFrame([[*key, lam, value, n.shape[1]]], columns=[*keys, "length", "lambda", "objective", "n_stations"])
-
-    tried = spread.groupBy(*keys, "length").applyInPandas(fit, out)
-    best = tried.groupBy(*keys).agg(F.min(F.struct("objective", "length", "lambda", "n_stations")).alias("b"))
+    part = written(_taking_part(residuals, keys, min_times))
+    tried = F.explode(F.array(*[F.lit(float(x)) for x in lengths])).alias("length")
+    group = [*keys, "length"]
+    places = part.groupBy(*keys, "id").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("*", tried)
+    weights = written(weights_by(places, group, F.col("length")))
+    values = part.select(*keys, "id", "t", "value", tried)
+    lagged = _by_block(values, weights.select(*group, "i", "j", "w", F.lit(0.0).alias("extra")), group, lambda w, x, _: (np.nan_to_num(x), w @ np.nan_to_num(x)), "own double, lag double")
+    # the residual variance of a station is quadratic in lambda
+    sums = lagged.groupBy(*group, "id").agg(F.sum(F.col("own") * F.col("own")).alias("a"), F.sum(F.col("own") * F.col("lag")).alias("b"), F.sum(F.col("lag") * F.col("lag")).alias("c"), F.count(F.lit(1)).alias("n"))
+    span = values.groupBy(*group).agg(F.count_distinct("t").alias("times"))
+    sums = sums.join(span, group)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", length double, lambda double, objective double, n_stations int"
+
+    def fit(key: tuple[Any, ...], own: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=[*group, "lambda", "objective", "n_stations"])
+        a, b, c, n = (own[k].to_numpy(float) for k in "abcn")
+        times = int(own["times"].iloc[0])
+        log_det = network_log_det(sparse(own["id"].to_numpy(), net["i"].to_numpy(), net["j"].to_numpy(), net["s"].to_numpy(float)))
+
+        def objective(lam: float) -> float:
+            s2 = (a - 2 * lam * b + lam * lam * c) / np.maximum(n, 1)
+            if (s2 <= 0).any():
+                return 1e30
+            return times / 2 * float(np.log(s2).sum()) - times * log_det(lam) + float(n.sum()) / 2 - PENALTY * np.log(max(1 - lam, 1e-10))
+
+        lam, value = minimize_bounded(objective, *LAMBDA_BOUNDS)
+        return pd.DataFrame([[*key, lam, value, len(own)]], columns=[*group, "lambda", "objective", "n_stations"])
+
+    net = weights.select(*[F.col(c).alias(f"w_{c}") for c in group], "i", "j", "s")
+    fits = sums.groupBy(*group).cogroup(net.groupBy(*[f"w_{c}" for c in group])).applyInPandas(fit, schema)
+    best = fits.groupBy(*keys).agg(F.min(F.struct("objective", "length", "lambda", "n_stations")).alias("b"))
     return best.select(*keys, "b.lambda", "b.length", "b.objective", "b.n_stations")
 
 
+def _model_weights(places: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, w, extra): the weights of each model's length among places (keys, id, x, y), with its lambda."""
+    named = models.select(*keys, "lambda", "length")
+    weights = weights_by(places.join(named.select(*keys, "length"), keys), keys, F.col("length"))
+    return weights.join(named.select(*keys, F.col("lambda").alias("extra")), keys).select(*keys, "i", "j", "w", "extra")
+
+
 def innovations(residuals: DataFrame, models: DataFrame, keys: list[str], min_times: int = 2) -> DataFrame:
     """(keys, id, t, value): residuals less lambda times the weighted residuals of the neighbours; gaps count as zero there and stay gaps.
 
     residuals: (keys, id, x, y, t, value); models: (keys, lambda, length).  Stations with fewer than ``min_times`` values take no part, as in the fit.
     """
-    types = dict(residuals.dtypes)
-
-    def filter_out(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf.pivot_table(index="t", columns="id", values="value", aggfunc="first")
-        n = n.loc[:, n.notna().sum() >= min_times]
-        if n.shape[1] < 2:
-            return pd.DataFrame(columns=[*keys, "id", "t", "value"])
-        at = pdf.groupby("id")[["x", "y"]].first().loc[n.columns].to_numpy(float)
-        e = n - pdf["lambda"].iloc[0] * n.fillna(0.0).to_numpy() @ dense_weights(at, pdf["length"].iloc[0]).T
-        long = e.stack().rename("value").reset_index()
-        return long.assign(**dict(zip(keys, key)))[[*keys, "id", "t", "value"]].dropna()
-
-    joined = residuals.join(models.select(*keys, "lambda", "length"), keys)
-    return joined.groupBy(*keys).applyInPandas(filter_out, ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + ", value double")
+    part = _taking_part(residuals, keys, min_times)
+    places = part.groupBy(*keys, "id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    known = part.select(*keys, "id", "t", "value").join(models.select(*keys), keys, "left_semi")
+    return _by_block(known, _model_weights(places, models, keys), keys, lambda w, x, lam: x - lam * (w @ np.nan_to_num(x)), "value double")
 
 
 def css(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -239,20 +408,11 @@ def inverse_sem(e: np.ndarray, xy: np.ndarray, lam: float, length: float) -> np.
 
 
 def spread_noise(noise: DataFrame, stations: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """Spatially correlated noise (keys, id, t, u): one solve per group over all its stations."""
-    types = dict(noise.dtypes)
-    joined = noise.join(stations.select("id", "x", "y"), "id").join(models.select(*keys, "lambda", "length"), keys)
-
-    def solve(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf.pivot(index="t", columns="id", values="noise").fillna(0.0)
-        at = pdf.groupby("id")[["x", "y"]].first().loc[e.columns].to_numpy(float)
-        u = pd.DataFrame(inverse_sem(e.to_numpy(float), at, pdf["lambda"].iloc[0], pdf["length"].iloc[0]), index=e.index, columns=e.columns)
-        long = u.stack().rename("u").reset_index()
-        for k, v in zip(keys, key):
-            long[k] = v
-        return long[[*keys, "id", "t", "u"]]
-
-    return joined.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + ", u double")
+    """Spatially correlated noise (keys, id, t, u) of (keys, id, t, noise): sparse solves over all stations (id, x, y), a block of times in a task; gaps count as zero."""
+    rows = noise.join(stations.select("id"), "id", "left_semi").join(models.select(*keys), keys, "left_semi")
+    places = rows.select(*keys, "id").distinct().join(stations.select("id", "x", "y"), "id")
+    weights = _model_weights(places, models, keys)
+    return _by_block(rows.select(*keys, "id", "t", F.col("noise").alias("value")), weights, keys, lambda w, x, lam: solve(w, lam, np.nan_to_num(x)), "u double")
 
 
 def realization(df: DataFrame, variable: str, keys: list[str]) -> DataFrame:

@@ -173,6 +173,82 @@ def test_sparse_weights_equal_dense_ones(spark):
     assert np.allclose(got, noise.dense_weights(xy, 40.0), atol=1e-9)
 
 
+def test_sparse_weights_with_isolated_stations_equal_dense_ones(spark):
+    rng = np.random.default_rng(15)
+    xy = np.vstack([rng.uniform(0, 100, size=(20, 2)), [[5e4, 5e4], [-7e5, 0.0]]])
+    s = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
+    got = np.zeros((22, 22))
+    for r in noise.gaussian_weights(s, 40.0).collect():
+        got[r.i, r.j] = r.w
+    assert np.allclose(got, noise.dense_weights(xy, 40.0), atol=1e-9) and (got[20:] == 0).all()
+
+
+def _sparse(xy, length):
+    w = noise.dense_weights(xy, length)
+    k = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(-1) / (2 * length * length))
+    np.fill_diagonal(k, 0)
+    s = k / np.sqrt(np.outer(k.sum(1), k.sum(1)))
+    i, j = np.nonzero(w > 1e-12)
+    return w, noise.sparse(np.arange(len(xy)), i, j, w[i, j]), s, noise.sparse(np.arange(len(xy)), i, j, s[i, j])
+
+
+@pytest.mark.parametrize("lam", [0.0, 0.3, 0.9])
+def test_sparse_solve_equals_a_dense_one(lam):
+    rng = np.random.default_rng(16)
+    w, rows, _, _ = _sparse(rng.uniform(0, 300, size=(150, 2)), 40.0)
+    e = rng.normal(size=(150, 19))
+    e[:, 3] = 0
+    want = np.linalg.solve(np.eye(150) - lam * w, e)
+    assert np.abs(noise.solve(rows, lam, e) - want).max() < 1e-9
+
+
+def test_log_determinant_from_traces_is_within_its_error():
+    rng = np.random.default_rng(17)
+    _, _, s, rows = _sparse(rng.uniform(0, 900, size=(600, 2)), 40.0)
+    eig = np.linalg.eigvalsh((s + s.T) / 2)
+    traces, error = noise.chebyshev_traces(rows)
+    exact = np.array([np.cos(k * np.arccos(np.clip(eig, -1, 1))).sum() for k in range(len(traces))])
+    assert np.abs(traces[:3] - exact[:3]).max() < 1e-6 and (np.abs(traces - exact) <= 5 * error + 1e-6).all()
+    for lam in (0.2, 0.6, 0.9 / noise.SHRINK):
+        want = np.log(np.abs(1 - lam * eig)).sum()
+        r = (1 - np.sqrt(1 - lam * lam)) / lam
+        bound = 5 * 2 * (r ** np.arange(1, len(error)) / np.arange(1, len(error)) * error[1:]).sum() + 1e-6
+        assert abs(noise.log_determinant(exact, lam) - want) < 1e-6
+        assert abs(noise.log_determinant(traces, lam) - want) <= bound < 0.05 * abs(want) + 2
+
+
+def _spatial_rows(spark, n, xy, month=1):
+    return spark.createDataFrame([(month, s, float(xy[s, 0]), float(xy[s, 1]), i, float(n[i, s])) for i in range(len(n)) for s in range(len(xy)) if not np.isnan(n[i, s])], "month int, id int, x double, y double, t int, value double")
+
+
+def test_spatial_fit_by_sums_equals_the_dense_one(spark, monkeypatch):
+    monkeypatch.setattr(noise, "BLOCK", 7)
+    rng = np.random.default_rng(18)
+    xy = rng.uniform(0, 300, size=(80, 2))
+    n = noise.inverse_sem(rng.normal(size=(60, 80)), xy, 0.7, 50.0)
+    n[rng.random(n.shape) < 0.1] = np.nan
+    df = _spatial_rows(spark, n, xy)
+    lam, value, _ = noise.fit_sem(n, xy, 50.0)
+    got = noise.sem_model(df, ["month"], (50.0,)).first()
+    assert abs(got["lambda"] - lam) < 1e-4 and abs(got.objective - value) < 1e-3 and got.n_stations == 80
+    monkeypatch.setattr(noise, "DENSE", 10)
+    estimated = noise.sem_model(df, ["month"], (50.0,)).first()
+    assert abs(estimated["lambda"] - lam) < 0.05
+
+
+def test_spread_noise_equals_the_dense_solve(spark, monkeypatch):
+    monkeypatch.setattr(noise, "BLOCK", 16)
+    rng = np.random.default_rng(19)
+    xy = rng.uniform(0, 300, size=(40, 2))
+    e = rng.normal(size=(50, 40))
+    stations = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
+    rows = spark.createDataFrame([(m, s, i, float(e[i, s])) for m in (1, 2, 3) for i in range(50) for s in range(40)], "month int, id int, t int, noise double")
+    models = spark.createDataFrame([(1, 0.8, 50.0), (2, 0.0, 25.0)], "month int, lambda double, length double")
+    got = noise.spread_noise(rows, stations, models, ["month"]).collect()
+    want = {1: noise.inverse_sem(e, xy, 0.8, 50.0), 2: e}
+    assert len(got) == 2 * e.size and max(abs(r.u - want[r.month][r.t, r.id]) for r in got) < 1e-6
+
+
 def test_weights_of_isolated_stations():
     """A station far from all has no weights; one that hardly has a neighbour has its row sum to 1 before the scale."""
     near = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]])
