@@ -1,16 +1,15 @@
 """Principal-component regression by month: decomposition, selection of components, station fits, prediction.
 
 A (gcm, var, month) group is a matrix of at most some hundred years by a few hundred
-cells, so decomposition is one task per group.  Selection needs the errors of all stations
-of a month at once: its observations (12,000 stations by 125 years are 12 MB) and their fits
-are one task too.  Projection onto loadings, moving means, prediction and residuals, whose
+cells, so decomposition is one task per group.  Stations meet its scores in blocks and leave the sums
+of products of their years (moments) by role; every candidate set of components is a small solve on them, so that the
+selection is one pass over the moments and a mean per candidate for each round, and the fits are another pass.  Projection onto loadings, moving means, prediction and residuals, whose
 length is that of the run, are windows, joins and sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 from typing import Any
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stratocline.functions import scalars as S
 from stratocline.operators.moving import frame, moving_mean
+from stratocline.operators.steps import written
 
 # Fixed values of the selection: share of variance that starts the set, size of the pool,
 # least share in the pool, needed gain, most rounds, least years to fit and to validate.
@@ -140,11 +140,124 @@ def select_components(scores: np.ndarray, share: np.ndarray, y: np.ndarray, cal:
 MODEL = "pc array<int>, beta array<double>, n_fit int, rmse_train double, rmse_val double, rmse_test double, r2_train double, sigma2 double, mu double, offset double, share double"
 
 
-def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], keys: list[str] = ["month"], *, log: bool = False, min_years: int = 30, min_fit: int = MIN_FIT) -> DataFrame:
-    """Station models (keys, id, chosen components, coefficients, errors): a cogroup per month.
+MOMENTS = "n int, offset double, mu double, held array<int>, sums array<double>"
+STATION_BLOCKS = 64  # blocks that the stations of a month are dealt to
+ROLES = ("cal", "val", "test")
+
+
+def moments(obs: DataFrame, scores: DataFrame, roles: dict[str, list[int]], keys: list[str], *, log: bool = False, min_years: int = 30) -> DataFrame:
+    """(keys, id, n, offset, mu, held, sums) of obs (keys, id, year, value) and scores (keys, year, scores array).
+
+    Per role of ``ROLES`` the number of years held, and of its rows (1, scores, linked value less mu) the sums of products, a
+    matrix.  Years are those that scores have and any station of the month reports; stations with too few of them are left out.
+    """
+    types = dict(obs.dtypes)
+    role_years = {role: set(roles.get(role, ())) for role in ROLES}
+    known = obs.where(F.col("value").isNotNull()).groupBy(*keys, "id", "year").agg(F.first("value").alias("value"))
+    known = written(known.join(scores.select(*keys, "year"), [*keys, "year"], "left_semi"))
+    span = known.groupBy(*keys).agg(F.count_distinct("year").alias("years")).where(F.col("years") >= min_years)
+    rows = known.join(span, keys).withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(STATION_BLOCKS)))
+    by = [*keys, "__block"]
+    beside = scores.join(rows.select(*by).distinct(), keys).select(*[F.col(c).alias(f"s_{c}") for c in by], "year", "scores")
+
+    def build(key: tuple[Any, ...], own: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        x = {int(y): np.concatenate([[1.0], s]) for y, s in zip(net["year"], net["scores"])}
+        out = []
+        for name, rows_ in own.groupby("id", sort=True):
+            years, v = rows_["year"].to_numpy(), rows_["value"].to_numpy(float)
+            if len(v) < max(min(10, min_years), int(0.15 * rows_["years"].iloc[0])):
+                continue
+            offset = 1 + v.min() if log else None
+            linked = np.log(v + offset) if log else v
+            mu = linked.mean()
+            a = np.column_stack([np.array([x[int(y)] for y in years]), linked - mu])
+            part = [a[[int(y) in role_years[role] for y in years]] for role in ROLES]
+            out.append([*key[: len(keys)], name, len(v), offset, mu, [len(p) for p in part], np.concatenate([(p.T @ p).ravel() for p in part])])
+        return pd.DataFrame(out, columns=[*keys, "id", *[c.split()[0] for c in MOMENTS.split(", ")]])
+
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "id"]) + f", {MOMENTS}"
+    return rows.groupBy(*by).cogroup(beside.groupBy(*[f"s_{c}" for c in by])).applyInPandas(build, schema)
+
+
+def _stacked(held, sums) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of years (stations, roles) and moments (stations, roles, size, size)."""
+    n = np.stack([np.asarray(h) for h in held])
+    m = np.stack([np.asarray(v) for v in sums])
+    size = int(round((m.shape[1] / n.shape[1]) ** 0.5))
+    return n, m.reshape(len(n), n.shape[1], size, size)
+
+
+def _solved(n: np.ndarray, m: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients of the fits on the first role, mean squared errors (stations, roles)) from moments; NaN for a role without years."""
+    at = np.array([0, *[c + 1 for c in chosen]])
+    a, b = m[:, 0][:, at[:, None], at], m[:, 0][:, at, -1]
+    scale = np.sqrt(np.maximum(np.einsum("sii->si", a), 1e-300))
+    a, b = a / (scale[:, :, None] * scale[:, None]), b / scale
+    try:
+        beta = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+        if not np.isfinite(beta).all() or np.abs(beta).max(initial=0.0) > 1e8:
+            raise np.linalg.LinAlgError
+    except np.linalg.LinAlgError:  # components that are constant over a station's years
+        beta = (np.linalg.pinv(a, hermitian=True) @ b[:, :, None])[:, :, 0]
+    beta = beta / scale
+    left = m[:, :, -1, -1] - 2 * np.einsum("si,sri->sr", beta, m[:, :, at, -1]) + np.einsum("si,srij,sj->sr", beta, m[:, :, at[:, None], at], beta)
+    return beta, np.where(n > 0, np.maximum(left, 0.0) / np.maximum(n, 1), np.nan)
+
+
+def candidate_errors(found: DataFrame, tried: dict[tuple, list[list[int]]], keys: list[str], min_fit: int) -> dict[tuple, list[float]]:
+    """The mean validation error over stations of each candidate set, for every key: one pass over the moments, partial sums by task."""
+    types = dict(found.dtypes)
+    names = [*keys, "candidate", "total", "n"]
+
+    def errors(batches):
+        sums: dict[tuple, list[float]] = {}
+        for pdf in batches:
+            for key, own in pdf.groupby(keys):
+                own = own[[h[0] >= min_fit and h[1] >= MIN_VAL for h in own["held"]]]
+                if len(own) and key in tried:
+                    n, m = _stacked(own["held"], own["sums"])
+                    for c, chosen in enumerate(tried[key]):
+                        one = sums.setdefault((*key, c), [0.0, 0])
+                        one[0] += float(np.sqrt(_solved(n, m, chosen)[1][:, 1]).sum())
+                        one[1] += len(own)
+        yield pd.DataFrame([[*k, *v] for k, v in sums.items()], columns=names)
+
+    made = found.select(*keys, "held", "sums").mapInPandas(errors, ", ".join(f"{k} {types[k]}" for k in keys) + ", candidate int, total double, n long")
+    out = {key: [np.inf] * len(sets) for key, sets in tried.items()}
+    for r in made.groupBy(*keys, "candidate").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
+        out[tuple(r[k] for k in keys)][r["candidate"]] = r["total"] / r["n"]
+    return out
+
+
+def select_from_moments(found: DataFrame, shares: dict[tuple, np.ndarray], keys: list[str], min_fit: int = MIN_FIT) -> dict[tuple, list[int]]:
+    """The choice of ``select_components`` for every key, from moments: keys advance together, a pass for each round."""
+    chosen = {k: [int(i) for i in np.flatnonzero(share > START_SHARE)] or [0] for k, share in shares.items()}
+    pool = {k: [i for i in [i for i in range(len(share)) if i not in chosen[k]][:POOL] if share[i] >= LEAST_SHARE] for k, share in shares.items()}
+    best = {k: e[0] for k, e in candidate_errors(found, {k: [c] for k, c in chosen.items()}, keys, min_fit).items()}
+    open_ = set(chosen)
+    for _ in range(MAX_ROUNDS):
+        tried = {k: [[*chosen[k], i] for i in pool[k]] for k in open_ if pool[k]}
+        if not tried:
+            break
+        for k, now in candidate_errors(found, tried, keys, min_fit).items():
+            candidate = None
+            for i, e in zip(pool[k], now):
+                if e < GAIN * best[k]:
+                    candidate, best[k] = i, e
+            if candidate is None:
+                open_.discard(k)
+            else:
+                chosen[k].append(candidate)
+                pool[k].remove(candidate)
+        open_ &= set(tried)
+    return chosen
+
+
+def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], keys: list[str] = ["month"], *, log: bool = False, min_years: int = 30, min_fit: int = MIN_FIT, pca: DataFrame | None = None) -> DataFrame:
+    """Station models (keys, id, chosen components, coefficients, errors).
 
     obs: (keys, id, year, value); field: (keys, year, cell, value) of the whole calibration
-    period, which is decomposed as ``pca_model`` does.  With ``log`` a station's values go
+    period, which ``pca_model`` decomposes (or has decomposed: ``pca``).  With ``log`` a station's values go
     through ln(value + offset), offset = 1 + least value, else offset is null.  ``mu`` is the
     station's mean after the link, errors are those of the linked values, sigma2 is the mean
     squared residual of the fit, share the variance that the chosen components hold.
@@ -152,40 +265,37 @@ def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], key
     than ``min_fit`` calibration values give none either.
     """
     types = dict(obs.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types['id']}, {MODEL}"
-    role_years = {role: set(roles.get(role, ())) for role in ("cal", "val", "test")}
     columns = [*keys, "id", *[c.split()[0] for c in MODEL.split(", ")]]
-
-    def fit(key: tuple[Any, ...], o: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(f, "year")
-        y = o.pivot_table(index="year", columns="id", values="value", aggfunc="first") if len(o) else pd.DataFrame()
-        years = x.index.intersection(y.index)
-        if len(years) < min_years or x.shape[1] == 0:
-            return pd.DataFrame(columns=columns)
-        y = y.loc[years]
-        y = y.loc[:, y.notna().sum() >= max(min(10, min_years), int(0.15 * len(years)))]
-        scores, _, share, _ = decompose(x.to_numpy(float))
-        scores = scores[x.index.get_indexer(years)]
-        offset = 1 + y.min().to_numpy() if log else np.full(y.shape[1], np.nan)
-        linked = np.log(y.to_numpy(float) + offset) if log else y.to_numpy(float)
-        mu = np.nanmean(linked, axis=0) if y.shape[1] else np.empty(0)
-        centred = linked - mu
-        cal, val, test = (np.array([t in role_years[role] for t in years]) for role in ("cal", "val", "test"))
-        chosen = select_components(scores, share, centred, cal, val, partial(_validation_error, min_fit=min_fit))
-        rows = []
-        for s, name in enumerate(y.columns):
-            own, v = centred[:, s], ~np.isnan(centred[:, s])
-            use = v & cal
-            if use.sum() < min_fit:
-                continue
-            beta, error, _ = ols(scores[use][:, chosen], own[use])
-            res = own - np.column_stack([np.ones(len(scores)), scores[:, chosen]]) @ beta
-            spread = own[use].var()
-            late, last = (float(np.sqrt(np.mean(res[v & part] ** 2))) if (v & part).any() else None for part in (val, test))
-            rows.append([*key, name, [c + 1 for c in chosen], beta.tolist(), int(use.sum()), error, late, last, float(1 - np.mean(res[use] ** 2) / spread) if spread else None, float(np.mean(res[use] ** 2)), float(mu[s]), float(offset[s]) if log else None, float(share[chosen].sum())])
-        return pd.DataFrame(rows, columns=columns)
-
-    return obs.select(*keys, "id", "year", "value").groupBy(*keys).cogroup(field.select(*keys, "year", "cell", "value").groupBy(*keys)).applyInPandas(fit, schema)
+    timed = field.withColumnRenamed("year", "t")
+    # the starting components have shares above a tenth, so there are fewer than ten; the pool follows them
+    pca = written((pca_model(timed, keys) if pca is None else pca).where(F.col("pc") <= POOL + int(1 / START_SHARE)))
+    shares: dict[tuple, np.ndarray] = {}
+    for r in pca.select(*keys, "pc", "share").orderBy("pc").collect():  # at most thirty for each key
+        shares.setdefault(tuple(r[k] for k in keys), []).append(r["share"])
+    wide = written(project(timed, loadings_of(pca, keys), keys).groupBy(*keys, F.col("t").alias("year")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pc", "score"))), lambda z: z["score"]).alias("scores")))
+    # rows are few and the work on them long: as many files as tasks
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(moments(obs, wide, roles, keys, log=log, min_years=min_years).repartition(tasks, *keys, "id"))
+    present = {tuple(r) for r in found.select(*keys).distinct().collect()}
+    share_of = {k: np.array(v) for k, v in shares.items() if k in present}
+    chosen = select_from_moments(found, share_of, keys, min_fit)
+
+    def fit(batches):
+        for pdf in batches:
+            rows = []
+            for key, own in pdf.groupby(keys):
+                own = own[[h[0] >= min_fit for h in own["held"]]]
+                if not len(own):
+                    continue
+                n, m = _stacked(own["held"], own["sums"])
+                betas, errors_ = _solved(n, m, chosen[key])
+                spread = m[:, 0, -1, -1] / n[:, 0] - (m[:, 0, 0, -1] / n[:, 0]) ** 2
+                for row, years, beta, (error, late, last), v in zip(own.itertuples(index=False), n[:, 0], betas, errors_, spread):
+                    ends = [None if np.isnan(e) else e**0.5 for e in (late, last)]
+                    rows.append([*key, row.id, [c + 1 for c in chosen[key]], beta.tolist(), int(years), error**0.5, *ends, 1 - error / v if v > 0 else None, error, row.mu, row.offset if log else None, float(share_of[key][chosen[key]].sum())])
+            yield pd.DataFrame(rows, columns=columns)
+
+    return found.mapInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types['id']}, {MODEL}")
 
 
 def fallback_roles(years: list[int], n_val: int = 50, n_test: int = 15, seed: int = 2026) -> dict[str, list[int]]:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,19 +27,18 @@ LENGTHS_KM = (25.0, 50.0, 75.0, 100.0)
 LAMBDA_BOUNDS = (0.0, 0.9)
 SHRINK, PENALTY = 1.01, 0.1
 REACH_LENGTHS = 7.0  # beyond it a kernel is below 1e-10
-BLOCK = 64  # times in one task's block
+BLOCK = 512  # times in one task's block
 DENSE = 1500  # stations up to which eigenvalues give the log determinant
 PROBES, MOMENTS = 64, 64  # random vectors and Chebyshev traces of its estimate
 RESIDUAL = 1e-11  # of a solve, relative to its right side
 COARSE, FINE, REACH, EDGE, MIN_SERIES = 39, 21, 0.1, 0.99, 12
 
 
-def weights_by(stations: DataFrame, keys: list[str], length: Column, reach: float = REACH_LENGTHS) -> DataFrame:
-    """(keys, i, j, w, s): row-normalized weights exp(-d2 / 2 h2) of stations (keys, id, x, y) and their symmetric form.
+def kernel(stations: DataFrame, keys: list[str], length: Column, reach: float = REACH_LENGTHS) -> DataFrame:
+    """(keys, i, j, k): exp(-d2 / 2 h2) of stations (keys, id, x, y) within ``reach`` lengths of each other.
 
     ``length`` is constant for equal keys.  Neighbours meet by the squares of side reach * length that they lie in, so the
-    join is on equal keys and a station meets only those of nine squares.  Rows sum to 1 / 1.01, where the shrinkage
-    follows the spectral radius 1 that any station with a neighbour implies; a station without one has no rows.
+    join is on equal keys and a station meets only those of nine squares.
     """
     rows = stations.withColumn("__h", length.cast("double"))
     side = F.col("__h") * reach
@@ -49,15 +49,22 @@ def weights_by(stations: DataFrame, keys: list[str], length: Column, reach: floa
     there = there.select(*keys, "j", "xj", "yj", (F.col("cx") + F.col("n.a")).alias("cx"), (F.col("cy") + F.col("n.b")).alias("cy"))
     d2 = F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2)
     near = here.join(there, [*keys, "cx", "cy"]).where((F.col("i") != F.col("j")) & (d2 <= side * side))
-    k = near.select(*keys, "i", "j", F.exp(-d2 / (2 * F.col("__h") * F.col("__h"))).alias("k"))
-    total = lambda c: F.sum("k").over(Window.partitionBy(*keys, c))
-    k = k.withColumn("__i", total("i")).withColumn("__j", total("j"))
-    return k.select(*keys, "i", "j", (F.col("k") / F.col("__i") / SHRINK).alias("w"), (F.col("k") / F.sqrt(F.col("__i") * F.col("__j"))).alias("s"))
+    return near.select(*keys, "i", "j", F.exp(-d2 / (2 * F.col("__h") * F.col("__h"))).alias("k"))
 
 
 def gaussian_weights(stations: DataFrame, length: float, reach: float = REACH_LENGTHS) -> DataFrame:
-    """(i, j, w) of one network of stations (id, x, y) and one length."""
-    return weights_by(stations, [], F.lit(length), reach).select("i", "j", "w")
+    """(i, j, w) of one network of stations (id, x, y): the kernel with rows that sum to 1 / 1.01.
+
+    The shrinkage follows the spectral radius 1 that any station with a neighbour implies; a station without one has no rows.
+    """
+    total = F.sum("k").over(Window.partitionBy("i"))
+    return kernel(stations, [], F.lit(length), reach).select("i", "j", (F.col("k") / total / SHRINK).alias("w"))
+
+
+def rows_of(pairs: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The kernel (keys, i, j, k) with one row per station: (keys, i, js, ks), and columns that are constant for equal keys."""
+    packed = pairs.groupBy(*keys, "i", *more).agg(F.collect_list(F.struct("j", "k")).alias("z"))
+    return packed.select(*keys, "i", F.col("z.j").alias("js"), F.col("z.k").alias("ks"), *more)
 
 
 def dense_weights(xy: np.ndarray, length: float) -> np.ndarray:
@@ -181,6 +188,20 @@ def sparse(ids: np.ndarray, i: np.ndarray, j: np.ndarray, value: np.ndarray) ->
     return Sparse(ids, np.searchsorted(row[order], np.arange(len(ids) + 1)), column[order], value[order])
 
 
+def _listed(net: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, k) of rows with lists."""
+    js, ks = (net[c].combine_chunks() for c in ("js", "ks"))
+    j, k = (v.flatten().to_numpy(zero_copy_only=False) for v in (js, ks))
+    return np.repeat(net["i"].to_numpy(), pa.compute.list_value_length(js).to_numpy(zero_copy_only=False)), j, k
+
+
+def normalized(k: Sparse) -> tuple[Sparse, Sparse]:
+    """(weights whose rows sum to 1 / 1.01, the symmetric form that is similar to them without the shrinkage) of a kernel."""
+    row = np.repeat(np.arange(len(k.ids)), np.diff(k.start))
+    total = np.bincount(row, k.value, len(k.ids))
+    return replace(k, value=k.value / total[row] / SHRINK), replace(k, value=k.value / np.sqrt(total[row] * total[k.column]))
+
+
 def solve(w: Sparse, lam: float, e: np.ndarray, radius: float = 1 / SHRINK) -> np.ndarray:
     """u with (I - lam W) u = e for (stations, times), by Chebyshev iteration: eigenvalues of W are real and within ``radius``."""
     d = abs(lam) * radius
@@ -253,7 +274,7 @@ def _taking_part(residuals: DataFrame, keys: list[str], min_times: int) -> DataF
 def _by_block(values: DataFrame, weights: DataFrame, keys: list[str], make: Callable, out: str) -> DataFrame:
     """``make(weights as Sparse, values (stations, times), its gaps as NaN, extra of the weights)`` of each group's block of times, as (keys, id, t, ``out``).
 
-    values: (keys, id, t, value); weights: (keys, i, j, w, extra), of which a group has every row beside each of its blocks.
+    values: (keys, id, t, value); weights: (keys, i, js, ks, extra), the kernel, of which a group has every row beside each of its blocks.
     """
     types = dict(values.dtypes)
     names = [*keys, "id", "t", *[c.split()[0] for c in out.split(", ")]]
@@ -267,8 +288,8 @@ def _by_block(values: DataFrame, weights: DataFrame, keys: list[str], make: Call
     def run(key: tuple, own: pa.Table, net: pa.Table) -> pa.Table:
         ids, at = np.unique(own["id"].to_numpy(), return_inverse=True)
         times, when = np.unique(own["t"].to_numpy(), return_inverse=True)
-        i, j = (net[c].to_numpy() for c in "ij")
-        w = sparse(np.concatenate([ids, i, j]), i, j, net["w"].to_numpy())
+        i, j, k = _listed(net)
+        w = normalized(sparse(np.concatenate([ids, i, j]), i, j, k))[0] if len(k) else sparse(ids, ids[:0], ids[:0], k)
         x = np.full((len(w.ids), len(times)), np.nan)
         place = np.searchsorted(w.ids, ids)[at]
         x[place, when] = own["value"].to_numpy()
@@ -278,7 +299,7 @@ def _by_block(values: DataFrame, weights: DataFrame, keys: list[str], make: Call
 
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + f", {out}"
     # every block beside weights has values; a network without neighbours has no weights
-    beside = beside.select(*[F.col(c).alias(f"w_{c}") for c in by], "i", "j", "w", "extra")
+    beside = beside.select(*[F.col(c).alias(f"w_{c}") for c in by], "i", "js", "ks", "extra")
     other = [f"w_{c}" for c in by]
     return rows.repartition(tasks, *by).groupBy(*by).cogroup(beside.repartition(tasks, *other).groupBy(*other)).applyInArrow(run, schema)
 
@@ -293,21 +314,22 @@ def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_tim
     tried = F.explode(F.array(*[F.lit(float(x)) for x in lengths])).alias("length")
     group = [*keys, "length"]
     places = part.groupBy(*keys, "id").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("*", tried)
-    weights = written(weights_by(places, group, F.col("length")))
+    weights = written(rows_of(kernel(places, group, F.col("length")), group))
     values = part.select(*keys, "id", "t", "value", tried)
-    lagged = _by_block(values, weights.select(*group, "i", "j", "w", F.lit(0.0).alias("extra")), group, lambda w, x, _: (np.nan_to_num(x), w @ np.nan_to_num(x)), "own double, lag double")
+    lagged = _by_block(values, weights.withColumn("extra", F.lit(0.0)), group, lambda w, x, _: (np.nan_to_num(x), w @ np.nan_to_num(x)), "own double, lag double")
     # the residual variance of a station is quadratic in lambda
     sums = lagged.groupBy(*group, "id").agg(F.sum(F.col("own") * F.col("own")).alias("a"), F.sum(F.col("own") * F.col("lag")).alias("b"), F.sum(F.col("lag") * F.col("lag")).alias("c"), F.count(F.lit(1)).alias("n"))
     span = values.groupBy(*group).agg(F.count_distinct("t").alias("times"))
     sums = sums.join(span, group)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", length double, lambda double, objective double, n_stations int"
 
-    def fit(key: tuple[Any, ...], own: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame(columns=[*group, "lambda", "objective", "n_stations"])
-        a, b, c, n = (own[k].to_numpy(float) for k in "abcn")
-        times = int(own["times"].iloc[0])
-        log_det = network_log_det(sparse(own["id"].to_numpy(), net["i"].to_numpy(), net["j"].to_numpy(), net["s"].to_numpy(float)))
+    names = [*group, "lambda", "objective", "n_stations"]
+
+    def fit(key: tuple, own: pa.Table, net: pa.Table) -> pa.Table:
+        a, b, c, n = (own[k].to_numpy().astype(float) for k in "abcn")
+        times, ids = own["times"][0].as_py() if len(own) else 0, own["id"].to_numpy()
+        i, j, k = _listed(net)
+        log_det = network_log_det(normalized(sparse(ids, i, j, k))[1] if len(k) else sparse(ids, ids[:0], ids[:0], k))
 
         def objective(lam: float) -> float:
             s2 = (a - 2 * lam * b + lam * lam * c) / np.maximum(n, 1)
@@ -316,19 +338,21 @@ def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_tim
             return times / 2 * float(np.log(s2).sum()) - times * log_det(lam) + float(n.sum()) / 2 - PENALTY * np.log(max(1 - lam, 1e-10))
 
         lam, value = minimize_bounded(objective, *LAMBDA_BOUNDS)
-        return pd.DataFrame([[*key, lam, value, len(own)]], columns=[*group, "lambda", "objective", "n_stations"])
+        return pa.table({**{k: pa.repeat(v, 1) for k, v in zip(group, key)}, **dict(zip(names[len(group) :], (pa.array([lam]), pa.array([value]), pa.array([len(own)], pa.int32()))))})
 
-    net = weights.select(*[F.col(c).alias(f"w_{c}") for c in group], "i", "j", "s")
-    fits = sums.groupBy(*group).cogroup(net.groupBy(*[f"w_{c}" for c in group])).applyInPandas(fit, schema)
+    # every network beside sums has stations
+    tasks = int(residuals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    net, other = weights.select(*[F.col(c).alias(f"w_{c}") for c in group], "i", "js", "ks"), [f"w_{c}" for c in group]
+    fits = sums.repartition(tasks, *group).groupBy(*group).cogroup(net.repartition(tasks, *other).groupBy(*other)).applyInArrow(fit, schema)
     best = fits.groupBy(*keys).agg(F.min(F.struct("objective", "length", "lambda", "n_stations")).alias("b"))
     return best.select(*keys, "b.lambda", "b.length", "b.objective", "b.n_stations")
 
 
 def _model_weights(places: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j, w, extra): the weights of each model's length among places (keys, id, x, y), with its lambda."""
-    named = models.select(*keys, "lambda", "length")
-    weights = weights_by(places.join(named.select(*keys, "length"), keys), keys, F.col("length"))
-    return weights.join(named.select(*keys, F.col("lambda").alias("extra")), keys).select(*keys, "i", "j", "w", "extra")
+    """(keys, i, js, ks, extra): the kernel of each model's length among places (keys, id, x, y), with its lambda."""
+    named = models.select(*keys, F.col("lambda").alias("extra"), "length")
+    pairs = kernel(places.join(named.select(*keys, "length"), keys), keys, F.col("length"))
+    return rows_of(pairs, keys).join(named.select(*keys, "extra"), keys)
 
 
 def innovations(residuals: DataFrame, models: DataFrame, keys: list[str], min_times: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratocline.functions.scalars import albers, normal_interval
 from stratocline.operators import grids, linear, noise, sibson
+from stratocline.operators.steps import written
 from stratocline.plans import views as V
 from stratocline.plans.basic import SMALL_GRID, SQL_AXES, SQL_NEAR, query, r
 
@@ -24,13 +25,17 @@ def _field(spark, d):
 
 
 def _models(spark, d, log=False):
-    return linear.calibrate(_as_years(V.obs(spark, d)), _field(spark, d), ROLES, log=log, min_years=25, min_fit=15)
+    return written(_fits(spark, d, log))
+
+
+def _fits(spark, d, log=False):
+    return linear.calibrate(_as_years(V.obs(spark, d)), written(_field(spark, d)), ROLES, log=log, min_years=25, min_fit=15)
 
 
 def _scores(spark, d):
     """Scores of the calibration field on the components that the models are fitted on."""
-    field = _field(spark, d).withColumnRenamed("year", "t")
-    return linear.project(field, linear.loadings_of(linear.pca_model(field, ["month"]), ["month"]), ["month"])
+    field = written(_field(spark, d)).withColumnRenamed("year", "t")
+    return written(linear.project(field, linear.loadings_of(linear.pca_model(field, ["month"]), ["month"]), ["month"]))
 
 
 @query("SELECT CAST(i AS INT) AS dim, round(var_samp(v), 6) AS variance FROM (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY i")
@@ -171,7 +176,7 @@ def _residuals(spark, d):
 
 
 def _placed_residuals(spark, d):
-    return _residuals(spark, d).withColumn("value", F.col("value") / 1000).join(_places(spark, d), "id")
+    return written(_residuals(spark, d).withColumn("value", F.col("value") / 1000).join(_places(spark, d), "id"))
 
 
 @query()
@@ -184,7 +189,7 @@ def q_sem_fit(spark, d):
 def q_arma_fit(spark, d):
     """Serial dependence of what the spatial model leaves, by month and station."""
     rows = _placed_residuals(spark, d)
-    left = noise.innovations(rows, noise.sem_model(rows, ["month"], (500.0,)), ["month"])
+    left = noise.innovations(rows, written(noise.sem_model(rows, ["month"], (500.0,))), ["month"])
     return noise.arma_model(left, ["month", "id"]).select("month", "id", r("phi").alias("phi"), r("theta").alias("theta"), r("variance", 6).alias("variance"))
 
 
@@ -192,7 +197,7 @@ def q_arma_fit(spark, d):
 def q_noise_realization(spark, d):
     """Predictions with a seeded realization of each station's noise, spread in space."""
     rows = _placed_residuals(spark, d)
-    sem = noise.sem_model(rows, ["month"], (500.0,))
+    sem = written(noise.sem_model(rows, ["month"], (500.0,)))
     arma = noise.arma_model(noise.innovations(rows, sem, ["month"]), ["month", "id"])
     base = linear.predict(_scores(spark, d), _models(spark, d), ["month"]).withColumnRenamed("t", "year")
     # pseudo-years follow each other by three: steps of the series from the first one on

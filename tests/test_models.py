@@ -142,6 +142,43 @@ def test_innovations_equal_those_of_the_fit(spark):
     assert len(got) == len(rows) and all(abs(want[r.t, r.id] - r.value) < 1e-6 for r in got)
 
 
+@pytest.mark.parametrize("log", [False, True])
+def test_selection_and_fits_from_moments_equal_those_of_arrays(spark, monkeypatch, log):
+    """Two months, stations with gaps, one with too few years: chosen components, coefficients and errors by least squares on the years."""
+    monkeypatch.setattr(linear, "STATION_BLOCKS", 3)
+    rng = np.random.default_rng(21)
+    years, cells, stations = np.arange(1900, 1990), 14, 9
+    roles = {"cal": years[:55].tolist(), "val": years[55:75].tolist(), "test": years[75:].tolist()}
+    field, obs, want = [], [], {}
+    for month in (1, 2):
+        x = rng.normal(size=(len(years), cells)) * np.linspace(4, 0.5, cells)
+        scores, _, share, _ = linear.decompose(x)
+        y = 2 * scores[:, [0]] + 3 * scores[:, [5 + month]] + rng.normal(size=(len(years), stations))
+        y = np.exp(y / 20) if log else y
+        y[rng.random(y.shape) < 0.1] = np.nan
+        y[5:, 8] = np.nan
+        field += [(month, int(t), c, float(x[i, c])) for i, t in enumerate(years) for c in range(cells)]
+        obs += [(month, s, int(t), float(y[i, s])) for i, t in enumerate(years) for s in range(stations) if not np.isnan(y[i, s])]
+        y = y[:, :8]
+        offset = 1 + np.nanmin(y, 0)
+        g = np.log(y + offset) if log else y
+        centred = g - np.nanmean(g, 0)
+        cal, val = (np.isin(years, roles[k]) for k in ("cal", "val"))
+        chosen = linear.select_components(scores, share, centred, cal, val)
+        for s in range(8):
+            v = ~np.isnan(centred[:, s])
+            beta, error, _ = linear.ols(scores[v & cal][:, chosen], centred[v & cal, s])
+            res = centred[:, s] - np.column_stack([np.ones(len(years)), scores[:, chosen]]) @ beta
+            want[month, s] = ([c + 1 for c in chosen], beta, error, np.sqrt(np.mean(res[v & val] ** 2)), offset[s] if log else None, np.nanmean(g[:, s]))
+    o, f = spark.createDataFrame(obs, "month int, id int, year int, value double"), spark.createDataFrame(field, "month int, year int, cell int, value double")
+    got = linear.calibrate(o, f, roles, log=log).collect()
+    assert {(r.month, r.id) for r in got} == set(want) and len({tuple(r.pc) for r in got}) == 2
+    for r in got:
+        pc, beta, error, late, offset, mu = want[r.month, r.id]
+        assert r.pc == pc and np.allclose(r.beta, beta, atol=1e-9) and abs(r.rmse_train - error) < 1e-9 and abs(r.rmse_val - late) < 1e-9
+        assert (r.offset == offset or abs(r.offset - offset) < 1e-12) and abs(r.mu - mu) < 1e-9 and abs(r.sigma2 - error**2) < 1e-9
+
+
 def test_too_few_years_give_no_models(spark):
     o = spark.createDataFrame([(1, 1, 1900, 1.0)], "month int, id int, year int, value double")
     f = spark.createDataFrame([(1, 1900, 0, 1.0)], "month int, year int, cell int, value double")
