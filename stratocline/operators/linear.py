@@ -176,7 +176,8 @@ def moments(obs: DataFrame, scores: DataFrame, roles: dict[str, list[int]], keys
         return pd.DataFrame(out, columns=[*keys, "id", *[c.split()[0] for c in MOMENTS.split(", ")]])
 
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "id"]) + f", {MOMENTS}"
-    return rows.groupBy(*by).cogroup(beside.groupBy(*[f"s_{c}" for c in by])).applyInPandas(build, schema)
+    tasks, other = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), [f"s_{c}" for c in by]
+    return rows.repartition(tasks, *by).groupBy(*by).cogroup(beside.repartition(tasks, *other).groupBy(*other)).applyInPandas(build, schema)
 
 
 def _stacked(held, sums) -> tuple[np.ndarray, np.ndarray]:

@@ -402,7 +402,9 @@ def arma_model(residuals: DataFrame, keys: list[str]) -> DataFrame:
     def fit(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, *fit_arma(pdf.sort_values("t")["value"].to_numpy(float))]], columns=[*keys, "phi", "theta", "variance"])
 
-    return residuals.select(*keys, "t", "value").groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + ", phi double, theta double, variance double")
+    # rows are few and the work on them long: as many tasks as the session has partitions
+    tasks = int(residuals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return residuals.select(*keys, "t", "value").repartition(tasks, *keys).groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + ", phi double, theta double, variance double")
 
 
 def arma_series(eta: np.ndarray, phi: float, theta: float) -> np.ndarray:
@@ -423,7 +425,8 @@ def simulate(models: DataFrame, keys: list[str], steps: int, seed: int = 812) ->
         noise = arma_series(np.sqrt(max(m["variance"], 0.0)) * rng.standard_normal(steps), m["phi"], m["theta"])
         return pd.DataFrame({**{k: [v] * steps for k, v in zip(keys, key)}, "t": range(steps), "noise": noise})
 
-    return models.select(*keys, "phi", "theta", "variance").groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} {types[k]}" for k in keys) + ", t int, noise double")
+    tasks = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return models.select(*keys, "phi", "theta", "variance").repartition(tasks, *keys).groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} {types[k]}" for k in keys) + ", t int, noise double")
 
 
 def inverse_sem(e: np.ndarray, xy: np.ndarray, lam: float, length: float) -> np.ndarray:
