@@ -115,8 +115,8 @@ def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 
 def half_even(v: Column, digits: int) -> Column:
-    """Rounded to decimals, ties to the even digit."""
-    return F.rint(v * float(10**digits)) / float(10**digits)
+    """Rounded to decimals, ties to the even digit; zero has no sign."""
+    return F.rint(v * float(10**digits)) / float(10**digits) + F.lit(0.0)
 
 
 def pack_hundredths(v: Column) -> Column:

@@ -146,14 +146,14 @@ def q_nearest_station(spark, d):
     return grids.nearest_station(points, V.meta(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")))
 
 
-@query(f"WITH {V.SQL_ESM} SELECT year, month, cell, round(value - avg(value) OVER (PARTITION BY cell), 4) AS anomaly FROM esm")
+@query(f"WITH {V.SQL_ESM} SELECT year, month, cell, round(value - {V.sql_mean('value', 9, 'OVER (PARTITION BY cell)')}, 4) AS anomaly FROM esm")
 def q_anomaly(spark, d):
-    return moving.anomaly(V.esm(spark, d), ["cell"], "value", "a").select("year", "month", "cell", r("a").alias("anomaly"))
+    return moving.anomaly(V.esm(spark, d), ["cell"], "value", "a", 9).select("year", "month", "cell", r("a").alias("anomaly"))
 
 
-@query(f"WITH {V.SQL_OBSQ} SELECT id, year, month, round(value - avg(value) OVER (PARTITION BY id, month), 4) AS centred FROM obs")
+@query(f"WITH {V.SQL_OBSQ} SELECT id, year, month, round(value - {V.sql_mean('value', 9, 'OVER (PARTITION BY id, month)')}, 4) AS centred FROM obs")
 def q_center_station(spark, d):
-    return moving.anomaly(V.obs(spark, d, "l_quantity"), ["id", "month"], "value", "a").select("id", "year", "month", r("a").alias("centred"))
+    return moving.anomaly(V.obs(spark, d, "l_quantity"), ["id", "month"], "value", "a", 9).select("id", "year", "month", r("a").alias("centred"))
 
 
 def _moved(k: int) -> str:

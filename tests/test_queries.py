@@ -24,7 +24,7 @@ def plain(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)):
-        return f"{float(v):.6f}"
+        return f"{float(v) + 0.0:.6f}"  # zero has no sign
     return str(v)
 
 
