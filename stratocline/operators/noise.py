@@ -9,7 +9,7 @@ from Chebyshev traces, estimated by seeded probes over sparse products.  (I - la
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -28,6 +28,7 @@ LAMBDA_BOUNDS = (0.0, 0.9)
 SHRINK, PENALTY = 1.01, 0.1
 REACH_LENGTHS = 7.0  # beyond it a kernel is below 1e-10
 BLOCK = 512  # times in one task's block
+BLOCK_STEPS = 512  # steps of a simulated series that one row holds
 DENSE = 1500  # stations up to which eigenvalues give the log determinant
 PROBES, MOMENTS = 64, 64  # random vectors and Chebyshev traces of its estimate
 RESIDUAL = 1e-11  # of a solve, relative to its right side
@@ -407,26 +408,62 @@ def arma_model(residuals: DataFrame, keys: list[str]) -> DataFrame:
     return residuals.select(*keys, "t", "value").repartition(tasks, *keys).groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + ", phi double, theta double, variance double")
 
 
-def arma_series(eta: np.ndarray, phi: float, theta: float) -> np.ndarray:
-    """e_t = phi e_(t-1) + theta eta_(t-1) + eta_t, from 0."""
+def arma_series(eta: np.ndarray, phi: float, theta: float, first: float | None = None) -> np.ndarray:
+    """e_t = phi e_(t-1) + theta eta_(t-1) + eta_t, from 0 or ``first``."""
     out = np.zeros(len(eta))
+    if len(eta) and first is not None:
+        out[0] = first
     for t in range(1, len(eta)):
         out[t] = phi * out[t - 1] + theta * eta[t - 1] + eta[t]
     return out
 
 
-def simulate(models: DataFrame, keys: list[str], steps: int, seed: int = 812) -> DataFrame:
-    """(keys, t, noise): a realization per series, seeded by its key, so that it is the same on any cluster."""
-    types = dict(models.dtypes)
+def _eta(seed: int, key: tuple[Any, ...], block: int, variance: float, steps: int) -> np.ndarray:
+    """The draws of a block of a series, the same on any cluster."""
+    rng = np.random.default_rng([seed, block, *[zlib.crc32(str(k).encode()) for k in key]])
+    return np.sqrt(max(variance, 0.0)) * rng.standard_normal(steps)
 
-    def draw(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.iloc[0]
-        rng = np.random.default_rng([seed, *[zlib.crc32(str(k).encode()) for k in key]])
-        noise = arma_series(np.sqrt(max(m["variance"], 0.0)) * rng.standard_normal(steps), m["phi"], m["theta"])
-        return pd.DataFrame({**{k: [v] * steps for k, v in zip(keys, key)}, "t": range(steps), "noise": noise})
 
+def simulate(models: DataFrame, keys: list[str], steps: int, seed: int = 812, block: int = BLOCK_STEPS) -> DataFrame:
+    """(keys, t, noise): a realization e_t = phi e_(t-1) + theta eta_(t-1) + eta_t from e_0 = 0 per series of models (keys, phi, theta, variance).
+
+    A series is cut into blocks of ``block`` steps, each drawn and run from 0 in a task of any series.  What goes before adds
+    phi^(t - start) (phi e_last + theta eta_last) to a block, so its end is an affine map of the end before it: one
+    fold over two numbers a block gives all starts, and blocks are completed apart.  Draws hang on the block's length.
+    """
+    names = [*keys, "b"]
+    schema = ", ".join(f"{k} {dict(models.dtypes)[k]}" for k in keys) + ", b int, phi double, theta double, own array<double>, eta_last double"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, last = [], []
+            for *key, b, phi, theta, variance in zip(*[batch.column(c).to_pylist() for c in [*names, "phi", "theta", "variance"]]):
+                size = min(block, steps - b * block)
+                eta = _eta(seed, tuple(key), b, variance, size)
+                own.append(arma_series(eta, phi, theta, None if b == 0 else eta[0]))
+                last.append(eta[-1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*names, "phi", "theta"]], pa.array(own, pa.list_(pa.float64())), pa.array(last, pa.float64())], names=[*names, "phi", "theta", "own", "eta_last"])
+
+    if steps < 1:
+        return models.select(*keys, F.lit(0).alias("t"), F.lit(0.0).alias("noise")).where(F.lit(False))
     tasks = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return models.select(*keys, "phi", "theta", "variance").repartition(tasks, *keys).groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} {types[k]}" for k in keys) + ", t int, noise double")
+    blocks = models.select(*keys, F.explode(F.sequence(F.lit(0), F.lit((steps - 1) // block))).alias("b"), *[F.col(c).cast("double") for c in ("phi", "theta", "variance")])
+    drawn = written(blocks.repartition(tasks, *names).mapInArrow(draw, schema))
+    ends = F.struct("b", F.element_at("own", -1).alias("own"), "eta_last", "phi", "theta", F.pow("phi", F.size("own") - 1).alias("decay"))
+    nothing = F.struct(F.array().cast("array<double>").alias("carry"), F.lit(0.0).alias("e"), F.lit(0.0).alias("eta"))
+
+    def follow(state: Column, end: Column) -> Column:
+        carry = end["phi"] * state["e"] + end["theta"] * state["eta"]
+        return F.struct(F.concat(state["carry"], F.array(carry)).alias("carry"), (end["own"] + end["decay"] * carry).alias("e"), end["eta_last"].alias("eta"))
+
+    # two numbers a block: 516 blocks in a run of 22,000 years of months
+    starts = drawn.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(ends)), nothing, follow)["carry"].alias("carry"))
+    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.posexplode("carry").alias("_b", "carry"))
+    same = F.col("b") == F.col("_b")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    whole = drawn.join(starts, same).select(*names, "phi", "carry", F.posexplode("own").alias("i", "own"))
+    return whole.select(*keys, (F.col("b") * block + F.col("i")).alias("t"), (F.col("own") + F.pow("phi", "i") * F.col("carry")).alias("noise"))
 
 
 def inverse_sem(e: np.ndarray, xy: np.ndarray, lam: float, length: float) -> np.ndarray:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from stratocline.functions import metrics as M
 from stratocline.functions import scalars as S
-from stratocline.operators import ensemble, grids, moving, selection
+from stratocline.operators import ensemble, grids, moving, raster, selection
+from stratocline.operators.percentiles import exact_percentiles
 from stratocline.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,9 +260,19 @@ def q_albers(spark, d):
     return V.meta(spark, d).select("id", r(x, 2).alias("x"), r(y, 2).alias("y"))
 
 
-@query("SELECT CAST(i * 601 + j AS BIGINT) AS cell, CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx, round(15.0::DOUBLE + i * 0.2::DOUBLE, 4) AS lat, round(-170.0::DOUBLE + j * 0.2::DOUBLE, 4) AS lon FROM (SELECT unnest(range(301)) AS i) CROSS JOIN (SELECT unnest(range(601)) AS j)")
+_CELL_OF = "CAST(floor((lat - 15.0::DOUBLE) / 0.2::DOUBLE + 0.5::DOUBLE) AS INT) AS lat_idx, CAST(floor((lon + 170.0::DOUBLE) / 0.2::DOUBLE + 0.5::DOUBLE) AS INT) AS lon_idx"
+
+
+@query(f"""WITH {V.SQL_META}, s AS (SELECT lat_idx, lon_idx, count(*) AS stations FROM (SELECT {_CELL_OF} FROM meta) GROUP BY ALL),
+g AS (SELECT CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx FROM (SELECT unnest(range(301)) AS i) CROSS JOIN (SELECT unnest(range(601)) AS j))
+SELECT CAST(lat_idx * 601 + lon_idx AS BIGINT) AS cell, lat_idx, lon_idx, round(15.0::DOUBLE + lat_idx * 0.2::DOUBLE, 4) AS lat, round(-170.0::DOUBLE + lon_idx * 0.2::DOUBLE, 4) AS lon, coalesce(stations, 0) AS stations FROM g LEFT JOIN s USING (lat_idx, lon_idx)""")
 def q_grid_axes(spark, d):
-    return grids.NORTH_AMERICA.cells(spark).select("cell", "lat_idx", "lon_idx", r("lat").alias("lat"), r("lon").alias("lon"))
+    """The production grid with the stations nearest to each of its cells."""
+    grid = grids.NORTH_AMERICA
+    i, j = (F.floor((F.col(c) - F.lit(lo)) / grid.step + 0.5).cast("int").alias(n) for c, lo, n in (("lat", grid.lat_min, "lat_idx"), ("lon", grid.lon_min, "lon_idx")))
+    stations = V.meta(spark, d).select(i, j).groupBy("lat_idx", "lon_idx").agg(F.count(F.lit(1)).alias("stations"))
+    cells = grid.cells(spark).join(stations, ["lat_idx", "lon_idx"], "left")
+    return cells.select("cell", "lat_idx", "lon_idx", r("lat").alias("lat"), r("lon").alias("lon"), F.coalesce("stations", F.lit(0)).alias("stations"))
 
 
 @query(f"WITH {V.SQL_ESM} SELECT year, month, cell, CASE WHEN (lat_idx * 31 + lon_idx * 17) % 5 <> 0 THEN round(value, 4) END AS value FROM esm")
@@ -282,11 +293,12 @@ _TEST = (1877, 1884, 1890, 1897, 1910, 1921, 1922, 1933, 1958, 1963, 1977)
 _VAL = (1878, 1885, 1887, 1889, 1891, 1892, 1894, 1900, 1904, 1906, 1908, 1916, 1919, 1923, 1926, 1930, 1935, 1937, 1942, 1944, 1945, 1948, 1949, 1950, 1951, 1956, 1964, 1966, 1968, 1969, 1975, 1979, 1980, 1986, 1987, 1992, 1993, 1997)
 
 
-@query(f"SELECT CAST(y AS INT) AS year, CASE WHEN y IN {_TEST} THEN 'test' WHEN y IN {_VAL} THEN 'val' ELSE 'cal' END AS role, CASE WHEN y <= 1949 THEN TRUE ELSE FALSE END AS in_second FROM (SELECT unnest(range(1875, 2000)) AS y)")
+@query(f"WITH {V.SQL_OBS}, y AS (SELECT year - (id % 17) * 7 AS y, count(*) AS n FROM obs GROUP BY ALL) SELECT CAST(y AS INT) AS year, CASE WHEN y IN {_TEST} THEN 'test' WHEN y IN {_VAL} THEN 'val' ELSE 'cal' END AS role, y <= 1949 AS in_second, n FROM y")
 def q_split_years(spark, d):
+    """Years of records, each station's set back by its own number of years, with their role and the values in them."""
     roles = selection.split_years(1875, 1999, 38, 11)
-    years = spark.range(1875, 2000).select(F.col("id").cast("int").alias("year"))
-    return years.select("year", selection.year_role(F.col("year"), roles).alias("role"), (F.col("year") <= 1949).alias("in_second"))
+    years = V.obs(spark, d).select((F.col("year") - F.col("id") % 17 * 7).cast("int").alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return years.select("year", selection.year_role(F.col("year"), roles).alias("role"), (F.col("year") <= 1949).alias("in_second"), "n")
 
 
 _FLAGS = f"flags AS (SELECT id, CAST(floor(count(CASE WHEN year NOT IN {(*V.TEST_YEARS, *V.VAL_YEARS)} THEN value END) / 12.0) AS BIGINT) AS n_cal FROM obs GROUP BY id), flagged AS (SELECT id, n_cal, CASE WHEN n_cal < 2 THEN 'removed' WHEN n_cal < 3 THEN 'test_only' ELSE 'cal' END AS flag FROM flags)"
@@ -526,8 +538,45 @@ def q_regional_mean(spark, d):
 
 @query(f"WITH {V.SQL_PAIRS}, x AS (SELECT abs(p - o) AS a FROM pairs) SELECT round(quantile_cont(a, 0.95), 2) AS p95, round(quantile_cont(a, 0.99), 2) AS p99, round(max(a), 2) AS most, round(avg(CASE WHEN a <= 5000 THEN 1.0 ELSE 0.0 END), 4) AS within FROM x")
 def q_diff_percentiles(spark, d):
+    """Percentiles of one group of all rows, by histograms over all tasks."""
     x = V.pairs(spark, d).select(F.abs(F.col("p") - F.col("o")).alias("a"))
-    return x.agg(r(F.percentile("a", 0.95), 2).alias("p95"), r(F.percentile("a", 0.99), 2).alias("p99"), r(F.max("a"), 2).alias("most"), r(F.avg((F.col("a") <= 5000).cast("double"))).alias("within"))
+    ranks = exact_percentiles(x, [], "a", [0.95, 0.99, 1.0]).select("percentiles")
+    shares = x.agg(F.avg((F.col("a") <= 5000).cast("double")).alias("within"))
+    # one row beside one
+    at = [r(F.col("percentiles")[i], 2).alias(n) for i, n in enumerate(("p95", "p99", "most"))]
+    return ranks.crossJoin(F.broadcast(shares)).select(*at, r("within").alias("within"))
+
+
+@query("""SELECT l_returnflag AS flag, count(*) AS n, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.05), 4) AS p05, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS p50,
+round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.95), 4) AS p95 FROM lineitem GROUP BY l_returnflag""")
+def q_group_percentiles(spark, d):
+    """Percentiles of few groups of very many rows."""
+    out = exact_percentiles(V.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_extendedprice", [0.05, 0.5, 0.95])
+    return out.select("flag", "n", *[r(F.col("percentiles")[i]).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+_RINGS = f"{V.SQL_META}, c AS (SELECT m.id, m.lat, m.lon, CAST(s_nationkey % 3 AS INT) AS polygon FROM meta m JOIN supplier ON s_suppkey = m.id), e AS (SELECT polygon, lat AS a_lat, lon AS a_lon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS b_lat, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS b_lon FROM c WINDOW w AS (PARTITION BY polygon ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+_CROSSED = "(a_lat > p.lat) <> (b_lat > p.lat) AND p.lon < (p.lat - a_lat) * ((b_lon - a_lon) / (b_lat - a_lat)) + a_lon"
+DEGREE_GRID = grids.GridSpec(15.0, 75.0, -170.0, -50.0, 1.0)
+
+
+def _rings(spark, d):
+    """Rings through the stations of some nations, in the order of ids; they cross themselves, parity tells inside from outside."""
+    nations = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).cast("int").alias("polygon"))
+    return raster.edges_of(V.meta(spark, d).join(nations, "id"), ["polygon"], "id")
+
+
+@query(f"""WITH {_RINGS}, p AS (SELECT i, j, 15.0::DOUBLE + i * 1.0::DOUBLE AS lat, -170.0::DOUBLE + j * 1.0::DOUBLE AS lon FROM (SELECT unnest(range(61)) AS i) CROSS JOIN (SELECT unnest(range(121)) AS j))
+SELECT polygon, CAST(i * 121 + j AS BIGINT) AS cell FROM p JOIN e ON {_CROSSED} GROUP BY polygon, i, j HAVING count(*) % 2 = 1""")
+def q_polygon_raster(spark, d):
+    return raster.rasterize(_rings(spark, d), ["polygon"], DEGREE_GRID).select("polygon", "cell")
+
+
+@query(f"WITH {_RINGS}, p AS (SELECT c_custkey AS id, 15 + ((c_custkey * 7919 + 13) % 6000) / 100.0::DOUBLE AS lat, -170 + ((c_custkey * 104729 + 7) % 12000) / 100.0::DOUBLE AS lon FROM customer) SELECT polygon, p.id FROM p JOIN e ON {_CROSSED} GROUP BY polygon, p.id HAVING count(*) % 2 = 1")
+def q_polygon_points(spark, d):
+    k = F.col("c_custkey")
+    points = V.table(spark, d, "customer").select(k.alias("id"), (15 + (k * 7919 + 13) % 6000 / 100.0).alias("lat"), (-170 + (k * 104729 + 7) % 12000 / 100.0).alias("lon"))
+    return raster.points_inside(points, _rings(spark, d), ["polygon"])
 
 
 @query(f"WITH {_FLAG_BASE}, {V.SQL_META} SELECT flag, count(*) AS stations, round(min(lat), 2) AS south, round(max(lat), 2) AS north FROM flagged JOIN meta USING (id) GROUP BY flag")
@@ -562,14 +611,18 @@ def q_common_years(spark, d):
 
 
 #: Planned stations, grid rows and columns, years of the transient run; bytes a value.
-_SIZES = ((7000, "tas"), (12000, "pr"))
 
 
-@query("WITH s(stations, var) AS (VALUES (7000, 'tas'), (12000, 'pr')) SELECT var, CAST(stations AS BIGINT) * 22000 * 12 AS station_months, round(CAST(stations AS BIGINT) * 22000 * 12 * 4 / 1e9::DOUBLE, 3) AS station_gb, round(350::BIGINT * 600 * 22000 * 12 * 4 / 1e9::DOUBLE, 3) AS grid_gb FROM s")
+@query("""WITH s AS (SELECT 'tas' AS var, count(*) AS n FROM supplier UNION ALL SELECT 'pr', count(*) FROM customer), m AS (SELECT count(DISTINCT l_partkey % 96) AS cells, count(DISTINCT date_trunc('month', l_shipdate)) AS months FROM lineitem)
+SELECT var, n * months AS station_months, round(n * months * 4 / 1e9::DOUBLE, 9) AS station_gb, round(cells * months * 4 / 1e9::DOUBLE, 9) AS grid_gb FROM s CROSS JOIN m""")
 def q_size_estimate(spark, d):
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(v).alias("var")) for n, v in _SIZES])))
-    months = F.col("n") * 22000 * 12
-    return rows.select("var", months.alias("station_months"), r(months * 4 / 1e9, 3).alias("station_gb"), r(F.lit(350 * 600 * 22000 * 12).cast("long") * 4 / 1e9, 3).alias("grid_gb"))
+    """Bytes of the products of a run, single precision, from the numbers of stations, cells and months."""
+    stations = [V.table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).withColumn("var", F.lit(v)) for v, t in (("tas", "supplier"), ("pr", "customer"))]
+    run = V.table(spark, d, "lineitem").agg(F.count_distinct(F.col("l_partkey") % 96).alias("cells"), F.count_distinct(F.trunc("l_shipdate", "month")).alias("months"))
+    months = F.col("n") * F.col("months")
+    # two rows beside one
+    both = stations[0].union(stations[1]).crossJoin(F.broadcast(run))
+    return both.select("var", months.alias("station_months"), r(months * 4 / 1e9, 9).alias("station_gb"), r(F.col("cells") * F.col("months") * 4 / 1e9, 9).alias("grid_gb"))
 
 
 @query(f"WITH {V.SQL_OBS}, {V.SQL_META}, n AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT DISTINCT id FROM obs)) SELECT id, CAST(rank AS INT) AS rank FROM n WHERE rank <= 100")
@@ -587,12 +640,11 @@ def q_station_union(spark, d):
 
 
 @query(
-    f"WITH {_CELLS}, {SQL_AXES}, n AS (SELECT cell, CASE WHEN lat BETWEEN 15 AND 71 THEN (SELECT arg_min(i, abs(15.0 + 8 * i - lat) * 1000000 + i) FROM la) END AS i, "
+    f"WITH {V.SQL_ESM}, s AS (SELECT lat_idx, lon_idx, avg(CASE WHEN value > 25.5 THEN 1.0 ELSE 0.0 END) AS share FROM esm GROUP BY ALL), {_CELLS}, {SQL_AXES}, n AS (SELECT cell, CASE WHEN lat BETWEEN 15 AND 71 THEN (SELECT arg_min(i, abs(15.0 + 8 * i - lat) * 1000000 + i) FROM la) END AS i, "
     "CASE WHEN lon BETWEEN -170 AND -60 THEN (SELECT arg_min(j, abs(-170.0 + 10 * j - lon) * 1000000 + j) FROM lo) END AS j FROM cells) "
-    "SELECT cell, coalesce((i * 5 + j * 3) % 4 / 3.0::DOUBLE > 0.5, FALSE) AS is_land FROM n"
+    "SELECT cell, coalesce(share > 0.5, FALSE) AS is_land FROM n LEFT JOIN s ON s.lat_idx = n.i AND s.lon_idx = n.j"
 )
 def q_mask_resample(spark, d):
-    """A share of land on a coarse grid, taken by the nearest cell: land above a half, none beyond the mask's extent."""
-    share = spark.range(96).select(F.floor(F.col("id") / 12).cast("int").alias("lat_idx"), (F.col("id") % 12).cast("int").alias("lon_idx"))
-    share = share.withColumn("share", (F.col("lat_idx") * 5 + F.col("lon_idx") * 3) % 4 / 3.0)
+    """The share of months above a bound on a coarse grid, taken by the nearest cell: land above a half, none beyond the mask's extent."""
+    share = V.esm(spark, d).groupBy("lat_idx", "lon_idx").agg(F.avg((F.col("value") > 25.5).cast("double")).alias("share"))
     return grids.resample_mask(SMALL_GRID.cells(spark), share, V.LAT_AXIS, V.LON_AXIS).select("cell", "is_land")
