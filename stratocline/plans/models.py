@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratocline.functions.scalars import albers, normal_interval
 from stratocline.operators import grids, linear, noise, sibson
-from stratocline.operators.steps import written
+from stratocline.operators.steps import shared_folder, written
 from stratocline.plans import views as V
 from stratocline.plans.basic import SMALL_GRID, SQL_AXES, SQL_NEAR, query, r
+from stratocline.sources.archive import load_archive, write_archive
+from stratocline.sources.model_tables import ModelStore
 
 # the tables span seven years: every third month of all years together stands for one
 # calendar month, and each of its months for a year, so that groups have the length that fits need
@@ -217,3 +221,43 @@ def q_mc_pi(spark, d):
 def q_idw_grid(spark, d):
     mean = V.obs(spark, d).groupBy("id").agg(F.avg("value").alias("value"))
     return sibson.inverse_distance(_cells(spark), _places(spark, d).join(mean, "id")).select("cell", r("value", 3).alias("value"))
+
+
+def _store(spark):
+    name = f"models_{uuid.uuid4().hex}"
+    return ModelStore(spark, name, f"{shared_folder(spark)}/{name}", buckets=16)
+
+
+@query(f"""WITH {V.SQL_OBSQ}, m AS (SELECT id, month, min(value) AS low, count(*) AS n FROM obs GROUP BY id, month)
+SELECT o.id, o.year, o.month, m.n, round(o.value - m.low - 2, 4) AS residual FROM obs o JOIN m USING (id, month)""")
+def q_stored_models(spark, d):
+    """Residuals from the second version of a stored table of models, replaced once: the models are joined as they lie in their buckets."""
+    o, store = V.obs(spark, d, "l_quantity"), _store(spark)
+    models = o.groupBy("month", "id").agg(F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
+    for version, shift in (("first", 0), ("second", 1), ("second", 2)):
+        store.save(models.withColumn("low", F.col("low") + shift), version, {"observations": "lineitem", "shift": str(shift)})
+    joined = o.join(store.read("second"), ["month", "id"])
+    return joined.select("id", "year", "month", "n", r(F.col("value") - F.col("low")).alias("residual"))
+
+
+@query()
+def q_predict_stored(spark, d):
+    """Predictions of fitted models that were written as a version of a store and read back."""
+    store = _store(spark)
+    store.save(_fits(spark, d), "fitted", {"observations": "lineitem", "field": "lineitem"})
+    return linear.predict(_scores(spark, d), store.read("fitted"), ["month"]).select("id", F.col("t").alias("year"), "month", r("value").alias("value"))
+
+
+_TENTHS = "CAST(round_even(value * 10.0::DOUBLE, 0) AS BIGINT)"
+
+
+@query(f"""WITH {V.SQL_OBSQ}, {V.SQL_META} SELECT 'S' || o.id AS id, o.year, o.month, round(m.lat, 2) AS lat, round(m.lon, 2) AS lon,
+round({_TENTHS} / 10.0::DOUBLE / day(last_day(make_date(o.year, o.month, 1))), 6) AS value FROM obs o JOIN meta m ON m.id = o.id WHERE m.lat BETWEEN 25 AND 65 AND m.lon BETWEEN -145 AND -65 AND o.year BETWEEN 1993 AND 1996""")
+def q_station_archive(spark, d):
+    """Observations as files of an archive, a station each, read back in a box: other stations' files are left after a record."""
+    rows = V.obs(spark, d, "l_quantity").join(V.meta(spark, d), "id").withColumn("id", F.concat(F.lit("S"), F.col("id")))
+    flags = [F.lit(None).cast("string").alias(c) for c in ("mflag", "qflag", "sflag", "src")]
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    write_archive(rows.select("id", F.col("id").alias("name"), "lat", "lon", F.lit(0.0).alias("elev"), (F.col("year") * 100 + F.col("month")).alias("yyyymm"), F.rint(F.col("value") * 10).cast("long").alias("raw"), *flags), folder)
+    read = load_archive(spark, folder, (25.0, 65.0), (-145.0, -65.0), 1993, 1996)
+    return read.select("id", "year", "month", r("lat", 2).alias("lat"), r("lon", 2).alias("lon"), r("value", 6).alias("value"))
