@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratocline.plans import models  # noqa: F401  (registers its queries)
+from stratocline.plans import models, reports  # noqa: F401  (register their queries)
 from stratocline.plans.basic import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "q_metrics_mb_mae_kge"
