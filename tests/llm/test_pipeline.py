@@ -1,10 +1,14 @@
+import hashlib
+import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from test_documents import brute, brute_lines, brute_targets
 
 import corpus_pipeline
-from stratocline.llm import registry, setsketch
+from stratocline.llm import byte_cnn, decontaminate, mixing, registry, setsketch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +67,93 @@ def test_run(spark):
     assert out.columns == [*docs.columns, "copy_no"]
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert ids and ids <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+# --- the whole pipeline in plain Python ---
+
+
+def without_gone_lines(rows):
+    gone = brute_lines([(r["doc_id"], r["text"]) for r in rows])
+    out = []
+    for r in rows:
+        if r["doc_id"] in gone:
+            text = "\n".join(x for i, x in enumerate(r["text"].split("\n")) if i not in gone[r["doc_id"]])
+            if not text.strip():
+                continue
+            r = {**r, "text": text, "n_chars": len(text)}
+        out.append(r)
+    return out
+
+
+def leaks(text, item):
+    """Whether some alignment has a window of 15 tokens, or of the whole shorter item, four fifths of which agree."""
+    doc, item = ([w for w in re.split(r"[\W_]+", (x or "").lower()) if w] for x in (text, item))
+    width = min(decontaminate.WINDOW, len(item))
+    if not width or len(doc) < width:
+        return False
+    same = np.array(doc)[:, None] == np.array(item)[None, :]
+    at = np.arange(len(doc) - width + 1)
+    return any((100 * sum(same[at + k, i + k].astype(int) for k in range(width)) >= decontaminate.PERCENT * width).any() for i in range(len(item) - width + 1))
+
+
+def copies(rows):
+    """(doc_id, copy_no) by counting along each source."""
+    sized = [(r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["doc_id"]) for r in rows]
+    total = Counter()
+    for source, size, _ in sized:
+        total[source] += size
+    targets, out = brute_targets(dict(total)), []
+    for source in total:
+        name = "\0null" if source is None else source
+        at = int(hashlib.md5(f"{mixing.SEED}:{name}".encode()).hexdigest()[:8], 16) / 2**32
+        for rank, (_, doc) in enumerate(sorted((size, doc) for s, size, doc in sized if s == source), 1):
+            rate = targets[source] / total[source] if total[source] else 0
+            out += [(doc, n + 1) for n in range(int(at + rank * rate) - int(at + (rank - 1) * rate))]
+    return sorted(out)
+
+
+def test_run_equals_plain_python(spark, tmp_path):
+    """Documents of the table beside planted copies, near copies, shared lines, leaks, empty and null texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(60).collect()
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect()]
+    good = [r for r in some if len(r.text or "") > 400][:8]
+    assert len(good) == 8
+    planted = [good[0].text, good[1].text.rsplit(" ", 2)[0] + " another end", good[2].text + "\n" + good[3].text.split("\n")[0], f"{good[4].text} {items[0]} {good[5].text}", good[6].text.upper(), "", None, " \n\t "]
+    extra = [good[0].asDict() | {"doc_id": 10_000 + i, "text": t, "n_chars": None if t is None else len(t), "source": None if i % 2 else good[0].source} for i, t in enumerate(planted)]
+    rows = [r.asDict() for r in some] + extra
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    model = byte_cnn.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    scores = byte_cnn.score_texts(model, [r["text"] for r in rows])
+    assert np.abs(scores - byte_cnn.THRESHOLD).min() > 1e-6
+    steps = [[r for r, x in zip(rows, scores) if x >= byte_cnn.THRESHOLD]]
+    steps.append(without_gone_lines(steps[-1]))
+    kept = {doc for doc, _, _, kept in brute([(r["doc_id"], r["text"]) for r in steps[-1]], 5, 80) if kept}
+    steps.append([r for r in steps[-1] if r["doc_id"] in kept])
+    steps.append([r for r in steps[-1] if not any(leaks(r["text"], x) for x in items)])
+    # the fixture gives every stage something to do
+    assert len(rows) > len(steps[0]) and steps[1] != steps[0] and len(steps[3]) < len(steps[2])
+    assert sorted((r.doc_id, r.copy_no) for r in got) == copies(steps[-1])
+    left = {r["doc_id"]: r for r in steps[-1]}
+    assert all({c: r[c] for c in docs.columns} == left[r.doc_id] for r in got)
+
+
+def test_quality_and_mix_take_odd_documents(spark, odd_docs, no_docs):
+    """Null, empty, long and repeated rows, and columns named like inner ones; an empty table stays empty."""
+    out = corpus_pipeline.quality(spark, odd_docs, DATA)
+    assert out.columns == odd_docs.columns
+    model = byte_cnn.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = odd_docs.collect()
+    want = [r for r, x in zip(rows, byte_cnn.score_texts(model, [r.text for r in rows])) if x >= byte_cnn.THRESHOLD]
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, want))
+    mixed = corpus_pipeline.mixed(spark, odd_docs, DATA)
+    assert mixed.columns == [*odd_docs.columns, "copy_no"]
+    taken = Counter()
+    for r in mixing.mix(odd_docs).collect():
+        taken[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixed.collect()) == +taken
+    assert corpus_pipeline.quality(spark, no_docs, DATA).count() == corpus_pipeline.mixed(spark, no_docs, DATA).count() == 0
