@@ -3,6 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept.  All but the last return the columns of ``documents``; the last returns them
 with ``copy_no``, a row per copy that the mix takes.
+
+An empty table stays empty in each stage; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network does not reject; it is fitted on the labelled rows of ``documents``."""
+    """Documents that the byte-level network does not reject; it is fitted on the labelled rows of ``documents``.
+
+    Each row is judged by its whole text, repeated rows alike; null and empty texts have a score too.
+    """
     model = byte_cnn.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     name = spare(docs, "score")
     return byte_cnn.score(docs, model, name).where(F.col(name) >= byte_cnn.THRESHOLD).drop(name)
@@ -38,12 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null, empty and short texts hold none. Rows of one id go together, those without an id one by one."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; null texts have size 0, a null source is one of its own, repeated rows are documents of their own."""
     return mixing.emit(docs)
 
 
@@ -55,7 +60,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mix", mixed),
 ]
 
-#: The network, MinHash and SetSketch are beyond SQL; tests hold each stage against brute force.
+#: The network, MinHash and SetSketch are beyond SQL; a test holds run() against plain Python.
 ORACLE_SQL = None
 
 
