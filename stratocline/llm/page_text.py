@@ -2,15 +2,18 @@
 
 Blocks are told apart by their place: inside the page's article or main element
 they are text; inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments they are not; all others are open.  On a page
-with an article the open blocks lie outside it and go too.  On a page without, the
-open blocks are the text, but for boilerplate: the token streams of all that stands
-outside the articles of a host's pages are concatenated, a suffix array sorts their
-suffixes to the depth of ``RUN`` tokens, and substrings of that length that many of the
-pages share are covered; covered tokens go and unique runs stay.  Pages that differ in
-marked boilerplate alone are one page.  ``PAGES`` pages and ``SHARE`` percent of the
+scripts, styles or reader comments they are not; all others are open.  Open blocks,
+beside an article or on a page without one, are text but for boilerplate: the token
+streams of all that stands outside the articles of a host's pages are concatenated, a
+suffix array sorts their suffixes to the depth of ``RUN`` tokens, and substrings of that
+length that many of the pages share are covered; covered tokens go and unique runs stay.
+A part of an article that only its name or an ``aside`` calls a menu, sidebar, notice or
+the like is in doubt: the arrays judge it as if open where the host has ``PAGES`` pages
+or more, its name where there are fewer.  Names on paragraphs, headings and inline
+elements of an article tell adverts only.  Pages that differ in marked boilerplate alone are
+one page.  ``PAGES`` pages and ``SHARE`` percent of the
 host's make a substring boilerplate, of blocks shorter than it ``SHORT_SHARE`` percent; a
-covered run that is more than half of a page's open text stays.
+covered run that is more than half of a page's text stays.
 
 Scale: a host's pages are dealt into shards of bounded tokens.  Each shard builds its own
 suffix array and sends one row per interval of equal prefixes with the number of
@@ -37,22 +40,27 @@ from stratocline.llm.url_filter import host_of
 RUN = 6  # tokens that a repeated substring has at least
 PAGES, SHARE, SHORT_SHARE = 3, 5, 50
 SHARD_TOKENS = 400_000
+MANY = -1  # among covered places: the host has ``PAGES`` pages or more
 BROADCAST_PAGES = 100_000  # pages whose covered places may be broadcast
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_RAW = frozenset(("script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "title", "xmp"))
+_RAW = frozenset(("script", "style", "textarea", "template", "iframe", "svg", "title", "xmp"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split())
-_OUT = frozenset("head nav footer aside form button select menu dialog object canvas video audio".split())
+_OUT = frozenset("head nav footer aside form button select menu dialog object canvas video audio annotation annotation-xml".split())
 _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation"
     " breadcrumb breadcrumbs footer contentinfo complementary comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login"
     " search searchform toolbar pagination pager widget skip".split()
 )
 #: Others' texts: an article among them is not the page's.
-_OTHERS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond related recommended".split())
-_READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+_OTHERS = _ADVERTS | frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
+#: Ids of readers' comments in an article, where an id mostly names a section.
+_READERS = frozenset("comments commentlist disqus replies respond".split())
+#: Elements that hold other parts of a page. In an article, names on any other element tell adverts only.
+_HOLDERS = frozenset("div section ul ol dl table article aside header footer nav form details fieldset figure".split())
 #: Parts of a class name beside which a word still names the whole: site-footer, related-posts.
 _BESIDE = frozenset("site page top bottom global box list bar block wrapper container section area links form posts header".split())
 _IN_WORDS = frozenset(("main", "article", "articlebody"))
@@ -68,9 +76,11 @@ def _names(value: str) -> set[str]:
 
 
 def _zone(parent: str, tag: str, attributes: str) -> str:
-    """The zone of an element: in, open, out, or loose for what is out but for an article or main in it."""
-    if parent == "out" or tag in _OUT and tag != "form":
+    """The zone of an element: in, open, out, loose for what is out but for an article or main in it, or doubt for what an article holds and the arrays judge."""
+    if parent == "out" or tag in _OUT and tag != "form" and not (tag == "aside" and parent == "in"):
         return "out"
+    if tag == "noscript":
+        return parent if parent == "in" else "out"
     if tag in ("html", "body"):
         return parent
     words: set[str] = set()
@@ -86,19 +96,21 @@ def _zone(parent: str, tag: str, attributes: str) -> str:
                 words |= _names(value) & _READERS if parent == "in" else _names(value)
     if tag in ("article", "main"):
         return "out" if any({"comment", "comments"} & set(re.split(r"[^a-z0-9]+", w)) for w in words) else "in"
+    if parent == "in" and tag not in _HOLDERS:
+        words &= _ADVERTS
     if words & _OTHERS:
         return "out"
+    if parent == "doubt" or parent == "in" and tag != "form" and (tag == "aside" or words & _OUT_WORDS):
+        return "doubt"
     if parent == "loose" or tag == "form" or words & _OUT_WORDS or parent != "in" and (tag == "header" or "header" in words):
         return "loose"
     return "in" if words & _IN_WORDS else parent
 
 
-def blocks(html: str | None) -> tuple[list[str], list[str], list[str]]:
-    """Blocks of the article, open blocks and marked boilerplate, in page order; references decoded, white space collapsed."""
+def zoned(html: str | None) -> list[tuple[str, str]]:
+    """(zone, block) in page order: in, open, doubt or marked; references decoded, white space collapsed."""
     html = html or ""
-    inside: list[str] = []
-    open_: list[str] = []
-    marked: list[str] = []
+    found: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     zone, at = "open", 0
@@ -108,7 +120,7 @@ def blocks(html: str | None) -> tuple[list[str], list[str], list[str]]:
             block = " ".join(unescape("".join(text)).split()) if len(text) == 1 else " ".join("".join(map(unescape, text)).split())
             text.clear()
             if block:
-                {"in": inside, "open": open_}.get(zone, marked).append(block)
+                found.append((zone if zone in ("in", "open", "doubt") else "marked", block))
 
     while True:
         m = _TAG.search(html, at)
@@ -150,7 +162,13 @@ def blocks(html: str | None) -> tuple[list[str], list[str], list[str]]:
                 stack.append((tag, now))
                 zone = now
     flush()
-    return inside, open_, marked
+    return found
+
+
+def blocks(html: str | None) -> tuple[list[str], list[str], list[str]]:
+    """Blocks of the article, open blocks, and marked boilerplate with what is in doubt, each in page order."""
+    found = zoned(html)
+    return [b for z, b in found if z == "in"], [b for z, b in found if z == "open"], [b for z, b in found if z in ("doubt", "marked")]
 
 
 def prefixes(tokens: list[str], run: int = RUN) -> np.ndarray:
@@ -227,13 +245,14 @@ def padded(block: str, run: int = RUN) -> list[str]:
     return tokens + ["\n"] * (run - len(tokens))
 
 
-def unique_runs(open_: list[str], covered: set[int], run: int = RUN) -> list[str]:
-    """The open blocks without the tokens of covered substrings, which begin at the given places of the stream.
+def unique_runs(judged: list[str], covered: set[int], beside: int = 0, run: int = RUN) -> list[str]:
+    """What is left of each judged block without the tokens of covered substrings, which begin at the given places of the stream.
 
     A substring lies in one block: what follows repeated boilerplate is never taken with it.
-    A run of covered tokens, over blocks too, that is more than half of all stays.
+    A run of covered tokens, over blocks too, that is more than half of all stays; all are the judged
+    tokens and ``beside`` others, those of the article.
     """
-    split = [block.split(" ") for block in open_]
+    split = [block.split(" ") for block in judged]
     gone = np.zeros(sum(map(len, split)), bool)
     at = 0
     for tokens in split:
@@ -243,18 +262,42 @@ def unique_runs(open_: list[str], covered: set[int], run: int = RUN) -> list[str
         at += len(tokens)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     for start, end in edges.reshape(-1, 2):
-        if 2 * (end - start) > len(gone):
+        if 2 * (end - start) > len(gone) + beside:
             gone[start:end] = False
     out, at = [], 0
     for tokens in split:
-        left = [t for i, t in enumerate(tokens) if not gone[at + i]]
+        out.append(" ".join(t for i, t in enumerate(tokens) if not gone[at + i]))
         at += len(tokens)
-        if left:
-            out.append(" ".join(left))
     return out
 
 
-def repeated_prefixes(pages: DataFrame) -> DataFrame:
+def main_text(html: str | None, covered: set[int]) -> str:
+    """The text of a page: its article, and of its judged blocks what ``covered`` leaves, in page order.
+
+    ``covered`` has the places where covered substrings begin in the stream of the judged blocks, and
+    ``MANY`` where the host has enough pages for the arrays to judge what is in doubt.
+    """
+    found = zoned(html)
+    judged = [b for z, b in found if z in ("open", "doubt")]
+    left = iter(unique_runs(judged, covered, sum(b.count(" ") + 1 for z, b in found if z == "in")) if judged else ())
+    out = []
+    for zone, block in found:
+        if zone == "in":
+            out.append(block)
+        elif zone in ("open", "doubt"):
+            rest = next(left)
+            if rest and (zone == "open" or MANY in covered):
+                out.append(rest)
+    return "\n".join(out)
+
+
+def hosts(pages: DataFrame) -> DataFrame:
+    """(s_host, shards, of): into how many shards a host's tokens go, and how many pages it has; pages: (host, page, stream)."""
+    size = F.regexp_count("stream", F.lit("[ \n]")) + 1
+    return pages.groupBy(F.col("host").alias("s_host")).agg(F.ceil(F.sum(size) / SHARD_TOKENS).alias("shards"), F.count_distinct("page").alias("of"))
+
+
+def repeated_prefixes(pages: DataFrame, shards: DataFrame) -> DataFrame:
     """(host, prefix, most) of the substrings that enough of a host's pages share, and whether most do; pages: (host, page, stream)."""
     spec = pa.schema([("host", pa.string()), ("prefix", pa.int64()), ("support", pa.int64())])
 
@@ -265,8 +308,6 @@ def repeated_prefixes(pages: DataFrame) -> DataFrame:
         host = group.column("host")[0].as_py()
         return pa.Table.from_arrays([pa.array([host] * len(prefix), pa.string()), pa.array(prefix), pa.array(support)], schema=spec)
 
-    size = F.regexp_count("stream", F.lit("[ \n]")) + 1
-    shards = pages.groupBy(F.col("host").alias("s_host")).agg(F.ceil(F.sum(size) / SHARD_TOKENS).alias("shards"), F.count_distinct("page").alias("of"))
     dealt = pages.join(shards, F.col("host") == F.col("s_host")).withColumn("shard", F.pmod(F.xxhash64("page", F.lit(1)), F.col("shards"))).select("host", "shard", "page", "stream")
     found = dealt.groupBy("host", "shard").applyInArrow(build, "host string, prefix long, support long")
     # a page is in one shard, so that supports add up
@@ -287,10 +328,12 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             host, page, content, stream, bare = [], [], [], [], []
             for h, p, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                inside, open_, marked = blocks(html.as_py())
+                found = zoned(html.as_py())
+                inside, open_ = [x for z, x in found if z == "in"], [x for z, x in found if z == "open"]
+                judged, marked = [x for z, x in found if z in ("open", "doubt")], [x for z, x in found if z == "marked"]
                 # what a page says besides its marked boilerplate
                 own = int.from_bytes(hashlib.blake2b("\n".join([*inside, "", *open_]).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                for part, used in ((open_, not inside), (marked, False)):
+                for part, used in ((judged, True), (marked, False)):
                     if part:
                         host.append(h)
                         page.append(p)
@@ -312,16 +355,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for html, covered in zip(b.column(2), b.column(3).to_pylist()):
-                inside, open_, _ = blocks(html.as_py())
-                out.append("\n".join(inside or unique_runs(open_, set(covered or ()))))
+            out = [main_text(html.as_py(), set(covered or ())) for html, covered in zip(b.column(2), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     streams = cut(pages.select("host", "page", "html").mapInArrow(opened, "host string, page long, content long, stream string, bare boolean").distinct())
-    repeated = repeated_prefixes(streams.select("host", F.col("content").alias("page"), "stream").distinct())
-    at = streams.where("bare").select("host", "page", "stream").mapInArrow(places, "host string, page long, prefix long, place int, short boolean")
-    covered = cut(at.join(repeated, ["host", "prefix"]).where(~F.col("short") | F.col("most")).groupBy(F.col("host").alias("c_host"), F.col("page").alias("c_page")).agg(F.collect_list("place").alias("covered")))
+    counted = streams.select("host", F.col("content").alias("page"), "stream").distinct()
+    shards = cut(hosts(counted))
+    repeated = repeated_prefixes(counted, shards)
+    bare = streams.where("bare").select("host", "page", "stream")
+    at = bare.mapInArrow(places, "host string, page long, prefix long, place int, short boolean")
+    hit = at.join(repeated, ["host", "prefix"]).where(~F.col("short") | F.col("most")).select("host", "page", "place")
+    many = bare.join(shards.where(F.col("of") >= PAGES), F.col("host") == F.col("s_host"), "left_semi").select("host", "page", F.lit(MANY).alias("place"))
+    covered = cut(hit.unionByName(many).groupBy(F.col("host").alias("c_host"), F.col("page").alias("c_page")).agg(F.collect_list("place").alias("covered")))
     few = covered.count() <= BROADCAST_PAGES and (covered.agg(F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()[0]) <= 20 * BROADCAST_PAGES
     joined = pages.join(F.broadcast(covered) if few else covered, (F.col("host") == F.col("c_host")) & (F.col("page") == F.col("c_page")), "left")
     kind = dict(pages.dtypes)["page_id"]

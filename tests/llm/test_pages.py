@@ -194,6 +194,93 @@ def test_shared_text_is_not_boilerplate(spark, monkeypatch, tokens):
     assert all(got[i] == f"In brief\nat the end of the day we saw page {i} and its {i} words" for i in (20, 21))
 
 
+def test_names_inside_an_article():
+    for kept in ('<p id="reply">', '<section id="comment">', '<h2 class="search">', '<p class="share">', '<p class="comment">', '<p class="alert">', "<math>", "<noscript>"):
+        tag = kept[1:-1].split()[0]
+        assert page_text.blocks(f"<article><p>a</p>{kept}kept</{tag}></article>")[0] == ["a", "kept"], kept
+    for doubt in ('<div class="menu">', "<aside>", '<div class="share">', '<ul class="sidebar">'):
+        tag = doubt[1:-1].split()[0]
+        assert page_text.zoned(f"<article><p>a</p>{doubt}soup</{tag}><p>b</p></article>") == [("in", "a"), ("doubt", "soup"), ("in", "b")], doubt
+    for out in ('<div class="ad">', '<p class="sponsored">', '<section id="comments">', "<form>", '<div class="comment-list">', "<nav>"):
+        tag = out[1:-1].split()[0]
+        assert page_text.zoned(f"<article><p>a</p>{out}gone</{tag}></article>") == [("in", "a"), ("marked", "gone")], out
+    assert page_text.zoned("<article><p>a</p></article><p>rest</p><aside>x</aside>") == [("in", "a"), ("open", "rest"), ("marked", "x")]
+
+
+def plainly(rows):
+    """The text of each row of (page_id, url, html), by counting every run of tokens page by page."""
+    host = lambda u: (u or "").split("://", 1)[-1].split("/")[0].lower() if "://" in (u or "") else ""
+    pages, of = {}, {}
+    for _, url, html in rows:
+        found = page_text.zoned(html)
+        own = (tuple(b for z, b in found if z == "in"), tuple(b for z, b in found if z == "open"))
+        for z, b in found:
+            if z != "in":
+                of.setdefault(host(url), set()).add(own)
+                words = b.split()
+                runs = {tuple(words)} if len(words) < page_text.RUN else {tuple(words[i : i + page_text.RUN]) for i in range(len(words) - page_text.RUN + 1)}
+                for run in runs:
+                    pages.setdefault((host(url), run), set()).add(own)
+    texts = []
+    for i, url, html in rows:
+        found, n = page_text.zoned(html), len(of.get(host(url), ()))
+
+        def boiler(run):
+            held = len(pages.get((host(url), run), ()))
+            return held >= page_text.PAGES and 100 * held >= page_text.SHARE * n and (len(run) >= page_text.RUN or 100 * held >= page_text.SHORT_SHARE * n)
+
+        gone = []
+        for z, b in found:
+            if z in ("open", "doubt"):
+                words = b.split()
+                flags = [False] * len(words)
+                width = min(page_text.RUN, len(words))
+                for at in range(len(words) - width + 1):
+                    if boiler(tuple(words[at : at + width])):
+                        flags[at : at + width] = [True] * width
+                gone += flags
+        total = len(gone) + sum(len(b.split()) for z, b in found if z == "in")
+        at = 0
+        while at < len(gone):
+            end = at
+            while end < len(gone) and gone[end]:
+                end += 1
+            if 2 * (end - at) > total:
+                gone[at:end] = [False] * (end - at)
+            at = max(end, at + 1)
+        left, flags = [], iter(gone)
+        for z, b in found:
+            if z == "in":
+                left.append(b)
+            elif z != "marked":
+                rest = [w for w in b.split() if not next(flags)]
+                if rest and (z == "open" or n >= page_text.PAGES):
+                    left.append(" ".join(rest))
+        texts.append((i, "\n".join(left)))
+    return texts
+
+
+@pytest.mark.parametrize("tokens", [400_000, 60])
+def test_extraction_equals_counting(spark, monkeypatch, tokens):
+    monkeypatch.setattr(page_text, "SHARD_TOKENS", tokens)
+    rng = np.random.default_rng(5)
+    shared = [" ".join(f"s{j}w{i}" for i in range(n)) for j, n in enumerate((3, 6, 9, 14))]
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(rng.integers(1, 7)):
+            own = " ".join(f"u{k}" for k in rng.integers(0, 60, rng.integers(1, 16)))
+            text = (own, shared[rng.integers(4)], own + " " + shared[rng.integers(4)])[rng.integers(3)]
+            parts.append(("<p>{}</p>", '<div class="menu">{}</div>', "<aside>{}</aside>", "<article><p>{}</p></article>", '<article><div class="menu">{}</div><p>x y</p></article>', "<nav>{}</nav>")[rng.integers(6)].format(text))
+        rows.append((i, f"http://h{rng.choice([0, 0, 0, 1, i])}.com/{i}", "".join(parts)))
+    rows += [(200 + i, *rows[i][1:]) for i in range(5)] + [(300, None, None), (301, "http://h0.com/", ""), (302, None, "<p>alone</p>")]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted(plainly(rows))
+    # the arrays decide: without them, all that is open or in doubt would be there
+    everything = {i: "\n".join(b for z, b in page_text.zoned(h) if z in ("in", "open", "doubt")) for i, _, h in rows}
+    assert sum(r.text != everything[r.page_id] for r in got) > 20
+
+
 def test_text_of_odd_pages(spark, odd_pages):
     got = page_text.extract(odd_pages).collect()
     assert len(got) == odd_pages.count() and next(r for r in got if r.page_id == 5).text == " ".join(["word"] * 50_000)
