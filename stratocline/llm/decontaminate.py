@@ -12,7 +12,9 @@ so no overlap is lost to the seeds, however short the item.
 Scale: the hashes of documents are never stored.  The benchmark's are counted, and
 broadcast only up to ``BROADCAST_SEEDS`` rows; a larger benchmark
 is joined by a shuffle on the hash.  Hits are reduced to one row per document, item
-and alignment before the shuffle; tokens are compared only for those documents.
+and alignment before the shuffle, of items of ``EXACT`` tokens or fewer, however frequent,
+to one per document and item; tokens are compared only for those documents.  The tokens of items
+join the alignments, and a document's tokens are sent once, whatever the number of its alignments.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from pyspark.sql import functions as F
 
 from stratocline.llm.common import cut, table, text_key as key_of
 
-#: Ones are compared, zeros ignored. These two are the seeds of OP5_SQL, which miss some alignments.
-MASKS = ("110110101", "101100111")
 #: By the least number of tokens of an item: masks that together hit every placing of the mismatches that a window allows.
+#: Ones are compared, zeros ignored.
 LOSSLESS = {
     1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",),
     5: ("1111", "11101", "11011", "10111"), 8: ("111011", "110111"),
     10: ("111011", "1101011", "1110011"), 15: ("11111", "110101001"),
 }
 WINDOW, PERCENT = 15, 80
+EXACT = 4  # items of so many tokens must be there as they are: all their alignments in a document are alike
 BROADCAST_SEEDS = 1_000_000  # rows of the benchmark's seeds (some 80 bytes each in a hash table)
 BROADCAST_HITS = 300_000  # alignments (about 40 bytes each) whose documents are found by a broadcast
 
@@ -106,21 +108,23 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("text_key", key_of(F.col("text")))
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     lengths = sorted(r[0] for r in items.select(_least(tokens(F.col("item_text"))).alias("k")).where("k IS NOT NULL").distinct().collect())
-    listed = cut(item_seeds(items, "item_text", ["item_id", "item_text"], lengths).select("item_id", F.xxhash64("item_text").alias("item_key"), F.col("pos").alias("item_pos"), "seed"))
+    listed = cut(item_seeds(items, "item_text", ["item_id", "item_text"], lengths).select("item_id", F.xxhash64("item_text").alias("item_key"), F.col("pos").alias("item_pos"), "seed", (F.size(tokens(F.col("item_text"))) <= EXACT).alias("exact")))
     known = F.broadcast(listed) if listed.count() <= BROADCAST_SEEDS else listed
     hits = seeds(docs, "text", ["doc_id", "text_key"], lengths).join(known, "seed")
-    lay = hits.groupBy("doc_id", "text_key", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
-    lay = cut(lay)
+    shift = F.col("pos") - F.col("item_pos")
+    # the last of alignments that are alike stands for all, as it does in the result
+    lay = hits.groupBy("doc_id", "text_key", "item_id", "item_key", F.when(~F.col("exact"), shift).alias("each")).agg(F.max(shift).alias("shift"))
+    lay = cut(lay.drop("each"))
     few = lay.count() <= BROADCAST_HITS
     held = lay.select(*[F.col(c).alias(f"l_{c}") for c in lay.columns])
     # documents with a hit are tokenized once, and each alignment is compared once: both are written
     wanted = held.select("l_doc_id", "l_text_key").distinct()
     hit = docs.join(F.broadcast(wanted) if few else wanted, (F.col("text_key") == F.col("l_text_key")) & F.col("doc_id").eqNullSafe(F.col("l_doc_id")), "left_semi")
     hit = cut(hit.select("doc_id", "text_key", tokens(F.col("text")).alias("doc")))
-    full = hit.join(held, (F.col("text_key") == F.col("l_text_key")) & F.col("doc_id").eqNullSafe(F.col("l_doc_id")))
-    full = full.select("doc_id", F.col("l_item_id").alias("item_id"), F.col("l_item_key").alias("item_key"), F.col("l_shift").alias("shift"), "text_key", "doc")
     words = items.select(F.col("item_id").alias("i_id"), F.xxhash64("item_text").alias("i_key"), tokens(F.col("item_text")).alias("item"))
-    full = full.join(words, F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item_key") == F.col("i_key")))
+    laid = held.join(words, F.col("l_item_id").eqNullSafe(F.col("i_id")) & (F.col("l_item_key") == F.col("i_key")))
+    laid = laid.select("l_doc_id", "l_text_key", F.col("l_item_id").alias("item_id"), F.col("l_shift").alias("shift"), "item")
+    full = hit.join(laid, (F.col("text_key") == F.col("l_text_key")) & F.col("doc_id").eqNullSafe(F.col("l_doc_id")))
     begin = F.greatest(F.lit(0), -F.col("shift"))
     end = F.least(F.size("item"), F.size("doc") - F.col("shift"))
     full = full.withColumn("begin", begin).withColumn("aligned", end - begin)
@@ -146,19 +150,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql_seed(i: str, words: str, mask: str) -> str:
-    return " || ' ' || ".join(f"{words}[{i} + {o}]" for o, c in enumerate(mask, 1) if c == "1")
-
-
+#: Without seeds: an overlap has PERCENT percent of a window's tokens in common at one shift, so equal tokens counted by shift find all.
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
-m(k) AS (VALUES (0), (1)),
-ds AS (SELECT doc_id, i, k, CASE k WHEN 0 THEN {_sql_seed("i", "w", MASKS[0])} ELSE {_sql_seed("i", "w", MASKS[1])} END AS seed
-  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 8)) AS i FROM d WHERE len(w) >= 9), m),
-bs AS (SELECT item_id, i, k, CASE k WHEN 0 THEN {_sql_seed("i", "w", MASKS[0])} ELSE {_sql_seed("i", "w", MASKS[1])} END AS seed
-  FROM (SELECT item_id, w, unnest(range(0, len(w) - 8)) AS i FROM b WHERE len(w) >= 9), m),
-l AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (k, seed)),
+dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM d),
+bt AS (SELECT item_id, least({WINDOW}, len(w)) AS width, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM b),
+l AS (SELECT doc_id, item_id, dt.i - bt.i AS shift FROM dt JOIN bt USING (t) GROUP BY ALL HAVING 100 * count(*) >= {PERCENT} * max(width)),
 p AS (SELECT l.doc_id, l.item_id, l.shift, greatest(0, -l.shift) AS lo, least(len(b.w), len(d.w) - l.shift) AS hi, d.w AS dw, b.w AS bw, least({WINDOW}, len(b.w)) AS width
   FROM l JOIN d USING (doc_id) JOIN b USING (item_id)),
 s AS (SELECT *, list_transform(range(lo, hi), lambda j: CAST(bw[j + 1] = dw[j + shift + 1] AS INT)) AS same FROM p WHERE hi - lo >= width),

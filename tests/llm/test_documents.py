@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +237,57 @@ def test_mixing_odd_documents(spark, odd_docs):
     assert out.columns == [*odd_docs.columns, "copy_no"] and out.where("copy_no > 3").count() == 0
 
 
+# --- linking ---
+
+
+def test_buckets_equal_plain_grouping(spark):
+    """Each bucket comes back whole and connected, over tasks, batches and keys that share their lower half."""
+    rng = np.random.default_rng(3)
+    parts, n, bands = 16, 20_000, 3
+    low = rng.integers(0, 3000, (n, bands)).astype(np.uint64) * np.uint64(1 << 20)
+    keys = (rng.integers(0, 40, (n, bands)).astype(np.uint64) << np.uint64(58)) | low
+    keys[rng.random(n) < 0.3, 0] = np.uint64(7)  # a third of all rows in one bucket
+    node = rng.permutation(n).astype(np.int64) * 3 + 1
+    plain = {}
+    for b in range(bands):
+        for k, x in zip(linking.bucket_key(keys[:, b], parts).tolist(), node.tolist()):
+            plain.setdefault(k, set()).add(x)
+    rows = [r for s in range(0, n, 5000) for b in linking.packed(node[s : s + 5000], keys[s : s + 5000], parts) for r in b.to_pylist()]
+    made = spark.createDataFrame([(r["part"], bytearray(r["heads"]), bytearray(r["near"])) for r in rows], linking.PACKED).repartition(5)
+    found = {}
+    for key, x, pivot in linking.buckets(made).collect():
+        found.setdefault(key, []).append((x, pivot))
+    assert set(found) == {k for k, v in plain.items() if len(v) > 1}
+    for key, edges in found.items():
+        members = sorted({x for e in edges for x in e})
+        at = {x: i for i, x in enumerate(members)}
+        assert set(members) == plain[key] and len(set(components(len(members), [(at[a], at[b]) for a, b in edges]))) == 1
+
+
+def test_strays_of_a_giant_are_linked_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    monkeypatch.setattr(linking, "SMALL", 3)
+    giant, strays = 40, 20
+    true = [(0, i) for i in range(1, giant)] + [(5, 40), (41, 42), (43, 44), (44, 45), (41, 46), (37, 47), (47, 48), (12, 40), (58, 59)]
+    links = spark.createDataFrame(true, "a long, b long")
+    members = linking.cut(spark.createDataFrame([(9, i, 0) for i in range(giant + strays)] + [(10, 50, 50), (10, 51, 50)], "key long, node long, pivot long"))
+    asked = []
+
+    def confirm(pairs):
+        asked.extend((r["a"], r["b"]) for r in pairs.select("a", "b").collect())
+        return pairs.join(links, ["a", "b"])
+
+    def payload(nodes):
+        return nodes.select("node", F.col("node").cast("string").cast("binary").alias("payload"))
+
+    got = {r["node"]: r["comp"] for r in linking.link(members, confirm, payload, lambda held, x, y, key: np.ones(len(x), bool)).collect()}
+    want = dict(enumerate(components(giant + strays, true)))
+    assert {i: got.get(i, i) for i in want} == want
+    # each pair once, none within the giant but its pivot's
+    assert len(asked) == len(set(asked)) and not any(0 < a and b < giant for a, b in asked)
+    assert {(a, b) for a in range(1, giant + strays) for b in range(max(giant, a + 1), giant + strays)} <= set(asked)
+
+
 # --- decontamination ---
 
 
@@ -261,6 +313,29 @@ def test_leaks_survive_substitutions_case_and_marks(spark, odd_docs):
     assert decontaminate.without_leaks(odd_docs, bench).count() == odd_docs.count()
 
 
+def test_overlaps_equal_sql_without_seeds(spark, tmp_path):
+    rng = random.Random(11)
+    names = [f"v{i}" for i in range(30)]
+    items = {n: [rng.choice(names) for _ in range(size)] for n, size in enumerate([1, 1, 2, 4, 5, 9, 9, 12, 12, 15, 18, 31])}
+    items[0] = ["often"]
+    rows = []
+    for n in range(150):
+        part = list(items[n % len(items)])
+        for k in rng.sample(range(len(part)), len(part) * rng.choice([0, 10, 20, 25]) // 100):
+            part[k] = f"other{k}"
+        rows.append((n, " ".join([rng.choice(names + ["often"] * 40) for _ in range(rng.randint(0, 40))] + part + [rng.choice(names) for _ in range(rng.randint(0, 40))])))
+    rows += [(500, None), (501, ""), (502, "often " * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()] + [(90, None), (91, " ... ")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = decontaminate.op5_decontaminate(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(con.execute(decontaminate.OP5_SQL).fetchall())
+    assert {n for _, n, *_ in got} == set(items) and (502, 0, 19_999, 1, 1, 1) in got
+
+
 def test_masks_hit_all_placings():
     """Of every placing of the mismatches that a window allows, some mask at some place meets none."""
     for length in range(1, decontaminate.WINDOW + 1):
