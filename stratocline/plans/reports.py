@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratocline.functions import metrics as M
 from stratocline.functions import scalars as S
 from stratocline.operators import grids, moving, selection
+from stratocline.operators.steps import shared_folder
 from stratocline.plans import basic
 from stratocline.plans import views as V
 from stratocline.plans.basic import query, r
+from stratocline.sources import fields
 
 _TEST_ROWS = f"year IN {V.TEST_YEARS}"
 _BIASES = ("mean", "p10", "p90")
@@ -101,3 +105,18 @@ _BOUNDS = ("value", "pi_lo", "pi_hi")
 def q_bounds_rollup(spark, d):
     """Years of cells: the mean of their months and of the months' bounds."""
     return _intervals(spark, d).groupBy("cell", "year").agg(*[r(M.exact_mean(F.col(c), 9)).alias(c) for c in _BOUNDS], F.count("value").alias("months"))
+
+
+@query(f"""WITH {V.SQL_ESM}, k AS (SELECT *, year + {S.MODEL_YEAR_OFFSET} AS my FROM esm), f AS (SELECT *, my - my % 2 AS lo FROM k), n AS (SELECT * FROM f WHERE lo <= {1995 + S.MODEL_YEAR_OFFSET} AND lo + 1 >= {1994 + S.MODEL_YEAR_OFFSET})
+SELECT year, month, 15 + 8.0::DOUBLE * lat_idx AS lat, -170 + 10.0::DOUBLE * lon_idx AS lon, round((value + 273.15::DOUBLE) - 273.15::DOUBLE, 3) AS tas, CASE WHEN cell % 5 <> 0 THEN round((value / 86400.0::DOUBLE) * 86400.0::DOUBLE, 3) END AS pr FROM n""")
+def q_run_files(spark, d):
+    """A run as files of two model years for each variable, those of 1994 to 1995 read back and joined; precipitation lacks some cells."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    year = F.col("year") + S.MODEL_YEAR_OFFSET
+    low = year - year % 2
+    raw = {"tas": F.col("value") + S.KELVIN, "pr": F.when(F.col("cell") % 5 != 0, F.col("value") / S.SECONDS_PER_DAY)}
+    cells = V.esm(spark, d).select(year.alias("model_year"), "month", (15 + 8.0 * F.col("lat_idx")).alias("lat"), F.pmod(190 + 10.0 * F.col("lon_idx"), F.lit(360.0)).alias("lon"), *[v.alias(n) for n, v in raw.items()], F.format_string("%05d01-%05d12", low, low + 1).alias("span"))
+    long = cells.select("model_year", "month", "lat", "lon", "span", F.inline(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).alias("value")) for n in raw])))
+    long.where("value IS NOT NULL").withColumn("of", F.concat_ws("_", "variable", "span")).drop("span").repartition("of", "lat").write.partitionBy("variable", "of").parquet(folder)
+    run = fields.load_run(spark, {n: f"{folder}/variable={n}" for n in raw}, "model_year", 1994, 1995)
+    return fields.joined(run, list(raw)).select("year", "month", "lat", "lon", *[r(n, 3).alias(n) for n in raw])

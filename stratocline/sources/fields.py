@@ -37,8 +37,8 @@ def files_of_years(paths: list[str], first: int, last: int) -> list[str]:
     return kept
 
 
-def normalise(raw: DataFrame, kind: str, variable: str) -> DataFrame:
-    """(year, month, lat, lon, value) of raw cells (time or model_year and month, lat, lon, value): CE years, Celsius or mm a day, -180..180."""
+def normalise(raw: DataFrame, kind: str, variable: str, *others: str) -> DataFrame:
+    """(year, month, lat, lon, value, others...) of raw cells (time or model_year and month, lat, lon, value): CE years, Celsius or mm a day, -180..180."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     if kind == "ka":
@@ -48,7 +48,49 @@ def normalise(raw: DataFrame, kind: str, variable: str) -> DataFrame:
         year, month = S.model_year_to_ce(F.col("model_year")).cast("int"), F.col("month").cast("int")
     v = F.nanvl(F.col("value"), F.lit(None).cast("double"))
     v = S.kelvin_to_celsius(v) if variable == "tas" else S.rate_to_mm_per_day(v, metres=kind == "ka")
-    return raw.select(year.alias("year"), month.alias("month"), "lat", S.wrap_longitude(F.col("lon")).alias("lon"), v.alias("value"))
+    return raw.select(year.alias("year"), month.alias("month"), "lat", S.wrap_longitude(F.col("lon")).alias("lon"), v.alias("value"), *others)
+
+
+def files_below(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files below a folder on any file system, in order; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").collect()
+    return sorted(row["path"] for row in found)
+
+
+def load_run(spark: SparkSession, folders: dict[str, str], kind: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(variable, year, month, lat, lon, value, file) of a run: ``folders`` names each variable's folder of Parquet files of raw cells.
+
+    Of files whose names end in a span of model years only those that overlap the years first to last (CE) are
+    opened; their rows all stay, other years included, as do files without a span.  A variable without such files brings
+    no rows, one without any file is an error.  No shuffle.
+    """
+    parts = []
+    for variable, folder in folders.items():
+        paths = files_below(spark, folder)
+        if not paths:
+            raise FileNotFoundError(f"{folder}: no files of {variable}")
+        low, high = (end if year is None else year + S.MODEL_YEAR_OFFSET for year, end in ((first, 0), (last, 99_999)))
+        kept = files_of_years(paths, low, high)
+        raw = spark.read.parquet(*(kept or paths[:1]))
+        if not kept:
+            raw = raw.limit(0)
+        raw = raw.select("*", F.col("_metadata.file_path").alias("__file"))
+        cells = normalise(raw, kind, variable, "__file")
+        parts.append(cells.select(F.lit(variable).alias("variable"), "year", "month", "lat", "lon", "value", F.col("__file").alias("file")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def joined(run: DataFrame, variables: list[str]) -> DataFrame:
+    """(year, month, lat, lon, variables...): a row per cell and month that any variable has, null where one lacks it.
+
+    One partial aggregate, so each variable crosses one shuffle at most.  Where files overlap, the value of the file
+    that is last by name counts, of repeated rows in it the greatest.
+    """
+    last = [F.max_by("value", F.when(F.col("variable") == v, F.struct("file", "value"))).alias(v) for v in variables]
+    return run.where(F.col("variable").isin(*variables)).groupBy("year", "month", "lat", "lon").agg(*last)
 
 
 def window(field: DataFrame, lat: tuple[float, float] = (7.0, 75.0), lon: tuple[float, float] = (-180.0, -50.0), pad: float = 5.0) -> DataFrame:

@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stratocline.operators import grids, selection
@@ -43,6 +44,29 @@ def test_fields(spark, tmp_path):
     assert fields.files_of_years(["a_0000101-0010012.x", "a_0010101-0020012.x"], 101, 150) == ["a_0010101-0020012.x"]
 
 
+def test_runs_of_files(spark, tmp_path):
+    def put(name, rows):
+        spark.createDataFrame(rows, "model_year int, month int, lat double, lon double, value double").coalesce(1).write.parquet(str(tmp_path / name))
+
+    off = fields.S.MODEL_YEAR_OFFSET
+    put("tas/tas_2500001-2509912.x", [(25000, 1, 10.0, 200.0, 273.15)])
+    put("tas/tas_2510001-2519912.x", [(25150, 1, 10.0, 200.0, 274.15), (25150, 2, 10.0, 200.0, float("nan")), (25199, 1, 10.0, 100.0, 283.15)])
+    put("tas/tas_2515001-2519912.x", [(25150, 1, 10.0, 200.0, 275.15)])
+    put("pr/pr_2510001-2519912.x", [(25150, 1, 10.0, 200.0, 1 / 86400.0), (25150, 3, 10.0, 200.0, 0.0)])
+    put("pr/pr_2520001-2529912.x", [(25200, 1, 10.0, 200.0, 1.0)])
+    (tmp_path / "none").mkdir()
+    folders = {v: str(tmp_path / v) for v in ("tas", "pr")}
+    run = fields.load_run(spark, folders, "model_year", 25150 - off, 25160 - off)
+    assert {f.rsplit("/", 2)[-2] for f in run.inputFiles()} == {"tas_2510001-2519912.x", "tas_2515001-2519912.x", "pr_2510001-2519912.x"}
+    assert run.count() == 6 and "Exchange" not in run._jdf.queryExecution().executedPlan().toString()
+    got = {(r.year + off, r.month, r.lon): (r.tas if r.tas is None else round(r.tas, 6), r.pr if r.pr is None else round(r.pr, 6)) for r in fields.joined(run, ["tas", "pr"]).collect()}
+    assert got == {(25150, 1, -160.0): (2.0, 1.0), (25150, 2, -160.0): (None, None), (25150, 3, -160.0): (None, 0.0), (25199, 1, 100.0): (10.0, None)}
+    assert fields.load_run(spark, folders, "model_year").count() == 8 and fields.load_run(spark, folders, "model_year", 5, 6).count() == 0
+    assert fields.load_run(spark, folders, "model_year", first=25200 - off).count() == 1
+    with pytest.raises(FileNotFoundError, match="none"):
+        fields.load_run(spark, {"tas": str(tmp_path / "none")}, "model_year")
+
+
 def test_product_round_trip_and_matrices(spark, tmp_path):
     cells = spark.createDataFrame([("p", "tas", 2000, 1, 0, 0, 1.234), ("p", "tas", 2000, 1, 0, 1, None)], "product string, var string, year int, month int, lat_idx int, lon_idx int, value double")
     fields.write_product(cells, str(tmp_path / "p"), packed=True)
