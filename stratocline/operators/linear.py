@@ -1,7 +1,8 @@
 """Principal-component regression by month: decomposition, selection of components, station fits, prediction.
 
 A (gcm, var, month) group is a matrix of at most some hundred years by a few hundred
-cells, so decomposition is one task per group.  Stations meet its scores in blocks and leave the sums
+cells, so decomposition is one task per group; ``pca_long`` takes groups of any number of times,
+whose products of cells are summed over all tasks.  Stations meet its scores in blocks and leave the sums
 of products of their years (moments) by role; every candidate set of components is a small solve on them, so that the
 selection is one pass over the moments and a mean per candidate for each round, and the fits are another pass.  Projection onto loadings, moving means, prediction and residuals, whose
 length is that of the run, are windows, joins and sums.
@@ -9,11 +10,13 @@ length is that of the run, are windows, joins and sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,12 @@ from stratocline.operators.steps import written
 # least share in the pool, needed gain, most rounds, least years to fit and to validate.
 START_SHARE, POOL, LEAST_SHARE, GAIN, MAX_ROUNDS, MIN_FIT, MIN_VAL = 0.10, 20, 1e-5, 0.99, 16, 20, 5
 
+STRIP = 64  # rows of a matrix of products that travel together
+SHARES = 64  # tasks are dealt to so many shares, whose sums are added first
+HELD_BYTES = 64 << 20  # products of all groups that a task holds
+_STRIPS = "group string, strip int, share int, gram binary"
+_STRIP_SCHEMA = pa.schema([("group", pa.string()), ("strip", pa.int32()), ("share", pa.int32()), ("gram", pa.binary())])
+
 
 def decompose(x: np.ndarray, centre: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(scores, loadings, share of variance, mean) of rows by thin SVD; the largest loading of each component is positive."""
@@ -68,6 +77,75 @@ def pca_model(field: DataFrame, keys: list[str], components: int | None = None)
     return field.select(*keys, "t", "cell", "value").groupBy(*keys).applyInPandas(fit, schema)
 
 
+def pca_long(field: DataFrame, keys: list[str], components: int | None = None) -> DataFrame:
+    """``pca_model`` of groups of any number of times and up to some thousand cells; t and cell tell a group's rows apart.
+
+    Means first, then each task sums the products of the centred cells of the times that it holds, in strips of
+    ``STRIP`` rows; strips are added in two steps, so that no task sees more than a strip from a share of the tasks.  What meets in
+    one task is one matrix of cells by cells, whatever the number of times.  Shares below some 1e-12 are rounding.
+    """
+    types = dict(field.dtypes)
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
+    named = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    field = field.select(*keys, named.alias("group"), "t", "cell", value.alias("value"))
+    times = field.select("group", "t").distinct().groupBy(F.col("group").alias("t_group")).agg(F.count(F.lit(1)).alias("times"))
+    cells = field.groupBy(*keys, "group", "cell").agg(F.count("value").alias("held"), F.avg("value").alias("mean"))
+    whole = cells.join(times, F.col("group") == F.col("t_group")).where((F.col("held") == F.col("times")) & (F.col("times") >= 2))
+    whole = written(whole.select(*keys, "group", "cell", "mean", "times"))
+    centre = whole.select(F.col("group").alias("w_group"), F.col("cell").alias("w_cell"), "mean")
+    rows = field.join(centre, (F.col("group") == F.col("w_group")) & (F.col("cell") == F.col("w_cell")))
+    rows = rows.groupBy("group", "t").agg(F.sort_array(F.collect_list(F.struct("cell", (F.col("value") - F.col("mean")).alias("d")))).alias("row"))
+    parts = rows.select("group", F.transform("row", lambda c: c["d"]).alias("d")).mapInArrow(_products, _STRIPS)
+    for by in (["group", "strip", "share"], ["group", "strip"]):
+        parts = parts.groupBy(*by).applyInArrow(_added, _STRIPS)
+    frame_ = whole.groupBy(*keys, "group").agg(F.sort_array(F.collect_list(F.struct("cell", "mean"))).alias("cells"), F.first("times").alias("times"))
+    frame_ = frame_.select(*keys, F.col("group").alias("f_group"), "times", F.transform("cells", lambda c: c["cell"]).alias("cell"), F.transform("cells", lambda c: c["mean"]).alias("mean"))
+    found = parts.groupBy("group").applyInArrow(_axes, "group string, pc int, share double, loading array<double>")
+    most = F.least(F.col("times"), F.size("cell"), F.lit(components or 1 << 30))
+    return found.join(frame_, F.col("group") == F.col("f_group")).where(F.col("pc") <= most).select(*keys, "pc", "share", F.col("cell").cast(f"array<{types['cell']}>").alias("cell"), "mean", "loading")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The products of cells of each group in a task, as strips; sent on when they hold ``HELD_BYTES``."""
+    share = TaskContext.get().partitionId() % SHARES
+    held: dict[str, np.ndarray] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for name, gram in held.items():
+            for at in range(0, len(gram), STRIP):
+                yield pa.RecordBatch.from_pylist([{"group": name, "strip": at // STRIP, "share": share, "gram": gram[at : at + STRIP].tobytes()}], _STRIP_SCHEMA)
+        held.clear()
+
+    for b in batches:
+        names, lists = np.array(b.column(0).to_pylist(), object), b.column(1)
+        for name in dict.fromkeys(names):
+            own = lists.filter(pa.array(names == name))
+            x = own.flatten().to_numpy().reshape(len(own), -1)
+            held[name] = held.get(name, 0.0) + x.T @ x
+        if sum(g.nbytes for g in held.values()) > HELD_BYTES:
+            yield from sent()
+    yield from sent()
+
+
+def _added(part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(g.as_py()) for g in part.column("gram"))
+    one = part.slice(0, 1).to_pylist()[0]
+    return pa.Table.from_pylist([{**one, "gram": total.tobytes()}], _STRIP_SCHEMA)
+
+
+def _axes(strips: pa.Table) -> pa.Table:
+    """Components of a group from all its strips, strongest first; the largest loading of each is positive."""
+    strips = strips.sort_by("strip")
+    gram = np.concatenate([np.frombuffer(g.as_py()) for g in strips.column("gram")])
+    size = int(round(len(gram) ** 0.5))
+    power, axes = np.linalg.eigh(gram.reshape(size, size))
+    power, axes = np.maximum(power[::-1], 0.0), axes.T[::-1]
+    sign = np.sign(axes[np.arange(size), np.abs(axes).argmax(1)])
+    axes = axes * np.where(sign == 0, 1, sign)[:, None]
+    share = power / power.sum() if power.sum() else power
+    return pa.table({"group": pa.array([strips.column("group")[0].as_py()] * size, pa.string()), "pc": pa.array(range(1, size + 1), pa.int32()), "share": share, "loading": pa.array(list(axes), pa.list_(pa.float64()))})
+
+
 def loadings_of(pca: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pc, cell, weight, mean) of the components of ``pca_model``."""
     rows = pca.select(*keys, "pc", F.explode(F.arrays_zip("cell", "loading", "mean")).alias("z"))

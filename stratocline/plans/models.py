@@ -52,7 +52,7 @@ def q_embedding_variance(spark, d):
 def q_pca_explained(spark, d):
     """Share of variance of the first ten components of the embeddings, by label."""
     rows = V.table(spark, d, "embeddings").select("label", F.col("vec_id").alias("t"), F.posexplode("embedding").alias("cell", "value"))
-    return linear.pca_model(rows.withColumn("value", F.col("value").cast("double")), ["label"], 10).select("label", "pc", r("share", 6).alias("share"))
+    return linear.pca_long(rows, ["label"], 10).select("label", "pc", r("share", 6).alias("share"))
 
 
 @query()

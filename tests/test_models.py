@@ -370,3 +370,28 @@ def test_gaps_take_the_neighbours_that_report(spark):
             assert abs(got[c, t] - (2 * x - y)) < 1e-6
         near = min(set(range(60)) - missing, key=lambda i: ((xy[i] + 50) ** 2).sum())
         assert abs(got[99, t] - plane[near]) < 1e-9
+
+
+def test_long_fields_have_the_same_components(spark, monkeypatch):
+    """Products summed over tasks give the components of the whole matrix: long and wide groups, gaps, null keys."""
+    monkeypatch.setattr(linear, "STRIP", 7)
+    rng = np.random.default_rng(12)
+    rows = []
+    for key, n, cells in (("long", 700, 12), (None, 40, 70), ("one", 1, 5), ("flat", 9, 3), ("gap", 50, 6)):
+        x = rng.normal(size=(n, 4)) * [9, 5, 3, 1] @ rng.normal(size=(4, cells)) + rng.normal(size=(n, cells)) * 0.1 + 100 * np.arange(cells)
+        x = np.ones_like(x) if key == "flat" else x
+        for t in range(n):
+            for c in range(cells):
+                v = None if key == "gap" and (c, t) == (1, 3) else float("nan") if key == "gap" and (c, t) == (4, 7) else float(x[t, c])
+                if (key, c, t) != ("gap", 2, 9):
+                    rows.append((key, t, c, v))
+    field = spark.createDataFrame(rows, "key string, t int, cell int, value double").repartition(7)
+    got = {(r["key"], r["pc"]): r for r in linear.pca_long(field, ["key"], 30).collect()}
+    want = {(r["key"], r["pc"]): r for r in linear.pca_model(field, ["key"], 30).collect()}
+    assert set(got) == set(want) and {k for k, _ in got} == {"long", None, "flat", "gap"} and got["gap", 1]["cell"] == [0, 3, 5]
+    for k, w in want.items():
+        g = got[k]
+        assert g["cell"] == w["cell"] and np.allclose(g["mean"], w["mean"], rtol=1e-12) and abs(g["share"] - w["share"]) < 1e-12
+        if k[1] <= 4 and k[0] in ("long", None):
+            assert np.allclose(g["loading"], w["loading"], atol=1e-8)
+    assert linear.pca_long(field.where("key = 'none'"), ["key"]).count() == 0
