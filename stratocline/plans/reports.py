@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratocline.functions import metrics as M
 from stratocline.functions import scalars as S
-from stratocline.operators import grids, moving, selection
+from stratocline.operators import comparison, grids, moving, selection
 from stratocline.operators.steps import shared_folder
 from stratocline.plans import basic
 from stratocline.plans import views as V
@@ -120,3 +120,40 @@ def q_run_files(spark, d):
     long.where("value IS NOT NULL").withColumn("of", F.concat_ws("_", "variable", "span")).drop("span").repartition("of", "lat").write.partitionBy("variable", "of").parquet(folder)
     run = fields.load_run(spark, {n: f"{folder}/variable={n}" for n in raw}, "model_year", 1994, 1995)
     return fields.joined(run, list(raw)).select("year", "month", "lat", "lon", *[r(n, 3).alias(n) for n in raw])
+
+
+_VERSIONS = f"""{V.SQL_OBSQ}, a AS (SELECT * FROM obs WHERE (id + month) % 3 <> 0), b AS (SELECT id, year, month, value + CASE WHEN id % 4 = 0 AND year < 1996 THEN 0.3::DOUBLE * month ELSE 0 END AS value FROM obs WHERE (id + month) % 3 <> 1),
+j AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.year, b.year) AS year, coalesce(a.month, b.month) AS month, a.id IS NOT NULL AND b.id IS NOT NULL AS two, abs(a.value - b.value) AS gap, abs(a.value - b.value) > 0.005::DOUBLE + 0.00001::DOUBLE * abs(b.value) AS differs
+FROM a FULL OUTER JOIN b ON a.id = b.id AND a.year = b.year AND a.month = b.month)"""
+_LIMITS = {"over_001": 0.01, "over_1": 1.0, "over_3": 3.05}
+
+
+def _versions(spark, d):
+    """Two versions of the observations: each lacks rows of the other, and early values of some stations are shifted."""
+    o = V.obs(spark, d, "l_quantity")
+    shift = F.when((F.col("id") % 4 == 0) & (F.col("year") < 1996), F.lit(0.3) * F.col("month")).otherwise(F.lit(0.0))
+    a, b = o.where((F.col("id") + F.col("month")) % 3 != 0), o.where((F.col("id") + F.col("month")) % 3 != 1).withColumn("value", F.col("value") + shift)
+    return comparison.compared(a, b, ["id", "year", "month"], 0.005)
+
+
+@query(f"WITH {_VERSIONS} SELECT id, count(*) FILTER (two) AS matched, count(*) AS total, count(*) FILTER (differs) AS n_diff, round(count(*) FILTER (differs) / CAST(count(*) AS DOUBLE), 4) AS fraction FROM j GROUP BY id")
+def q_station_differences(spark, d):
+    """Each station's rows in both versions and in either, and the share that differs."""
+    return comparison.differences_by(_versions(spark, d), ["id"]).withColumn("fraction", r("fraction"))
+
+
+@query(f"WITH {_VERSIONS} SELECT CAST(year // 10 * 10 AS INT) AS decade, count(*) AS n_diff FROM j WHERE differs GROUP BY 1")
+def q_difference_decades(spark, d):
+    return comparison.differences_by_decade(_versions(spark, d))
+
+
+@query(f"WITH {_VERSIONS}, s AS (SELECT id, count(*) FILTER (differs) AS n, count(*) AS total FROM j GROUP BY id) SELECT count(*) AS groups, count(*) FILTER (n = 0) AS equal, count(*) FILTER (n > 0) AS differing, count(*) FILTER (2 * n > total) AS mostly FROM s")
+def q_difference_spread(spark, d):
+    return comparison.spread(comparison.differences_by(_versions(spark, d), ["id"]))
+
+
+@query(f"WITH {_VERSIONS} SELECT month, count(gap) AS n, round(max(gap), 4) AS largest, round({V.sql_mean('gap', 9)}, 4) AS mean, round(median(gap), 4) AS median, {', '.join(f'round(avg(CASE WHEN gap > {x}::DOUBLE THEN 1.0 ELSE 0.0 END), 4) AS {n}' for n, x in _LIMITS.items())} FROM j WHERE gap IS NOT NULL GROUP BY month")
+def q_parity_months(spark, d):
+    """How far the versions are apart in each month: largest, mean and median gap, and shares above limits."""
+    rows = comparison.parity(_versions(spark, d), ["month"], _LIMITS)
+    return rows.select("month", "n", *[r(c).alias(c) for c in ("largest", "mean", "median", *_LIMITS)])
