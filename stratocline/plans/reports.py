@@ -157,3 +157,14 @@ def q_parity_months(spark, d):
     """How far the versions are apart in each month: largest, mean and median gap, and shares above limits."""
     rows = comparison.parity(_versions(spark, d), ["month"], _LIMITS)
     return rows.select("month", "n", *[r(c).alias(c) for c in ("largest", "mean", "median", *_LIMITS)])
+
+
+@query(f"WITH {V.SQL_OBS}, {V.SQL_META}, n AS (SELECT id FROM meta WHERE lat BETWEEN 25 AND 60) SELECT id, year, month, round(value, 2) AS value FROM obs WHERE id IN (SELECT id FROM n) AND year >= 1995")
+def q_reconstruction_csv(spark, d):
+    """A reconstruction as CSV of four decimals, of which the series of a list of stations are read: three of seven columns are not parsed."""
+    path = f"{shared_folder(spark)}/reconstruction-{uuid.uuid4().hex}.csv"
+    o = V.obs(spark, d).withColumn("value", r("value", 2))
+    fields.write_reconstruction(o.select("id", "year", "month", "value", (F.col("value") - 1).alias("pi_lo"), (F.col("value") + 1).alias("pi_hi"), F.lit("tas").alias("var")), path, csv=True)
+    rows = fields.open_store(spark, path, "id long, year int, month int, value double")
+    named = V.meta(spark, d).where(F.col("lat").between(25, 60)).select("id")
+    return rows.where("year >= 1995").join(named, "id", "left_semi").select("id", "year", "month", "value")

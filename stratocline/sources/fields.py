@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocline.functions import scalars as S
 
@@ -16,12 +17,25 @@ from stratocline.functions import scalars as S
 KINDS = ("ka", "model_year")
 
 
-def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """A table by the ending of its path; array files need a library that is not a part of this engine."""
+def open_store(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table by the ending of its path; array files need a library that is not a part of this engine.
+
+    CSV has a header; with ``schema`` its columns are typed, found by their names whatever their order, and only
+    those that are used are parsed. Without, all are strings.
+    """
     if re.search(r"\.(nc4?|zarr)/?$", path):
         raise ValueError(f"{path}: convert array files to Parquet cells first")
     if path.endswith((".csv", ".csv.gz")):
-        return spark.read.option("header", True).csv(path)
+        if schema is None:
+            return spark.read.option("header", True).csv(path)
+        # the files' own order of columns, from the first header that is read
+        head = spark.read.option("header", True).csv(path).columns
+        types = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
+        missing = [n for n in types if n not in head]
+        if missing:
+            raise ValueError(f"{path}: no columns {missing}")
+        whole = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in head])
+        return spark.read.option("header", True).option("enforceSchema", False).schema(whole).csv(path).select(*types)
     if path.endswith(".orc"):
         return spark.read.orc(path)
     return spark.read.parquet(path)

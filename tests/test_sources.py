@@ -44,6 +44,16 @@ def test_fields(spark, tmp_path):
     assert fields.files_of_years(["a_0000101-0010012.x", "a_0010101-0020012.x"], 101, 150) == ["a_0010101-0020012.x"]
 
 
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("b,extra,a\n1.5,zz,7\n,y,8\n")
+    rows = fields.open_store(spark, str(tmp_path / "x.csv"), "a int, b double")
+    assert rows.dtypes == [("a", "int"), ("b", "double")] and [tuple(r) for r in rows.orderBy("a").collect()] == [(7, 1.5), (8, None)]
+    assert "extra" not in rows._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    with pytest.raises(ValueError, match="no columns"):
+        fields.open_store(spark, str(tmp_path / "x.csv"), "c int")
+    assert fields.open_store(spark, str(tmp_path / "x.csv")).columns == ["b", "extra", "a"]
+
+
 def test_runs_of_files(spark, tmp_path):
     def put(name, rows):
         spark.createDataFrame(rows, "model_year int, month int, lat double, lon double, value double").coalesce(1).write.parquet(str(tmp_path / name))
