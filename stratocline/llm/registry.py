@@ -26,7 +26,6 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
-    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_embedding_dedup": embedding_join.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }

@@ -16,7 +16,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL)))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = c.execute(registry.ORACLE_SQL[name])
     names = [x[0] for x in want.description]
