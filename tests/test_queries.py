@@ -56,3 +56,4 @@ def test_fitting_queries_run(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
