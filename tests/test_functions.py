@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratocline.functions import metrics as M
@@ -48,3 +49,12 @@ def test_metrics(spark):
     constant = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "p double, o double")
     assert constant.agg(M.kge(F.col("p"), F.col("o")).alias("k")).first().k is None
     assert np.isclose(one(spark, 100 * M.skill(F.lit("MAE"), F.lit(1.0), F.lit(2.0))), 50)
+
+
+def test_means_of_sums_beyond_64_bits(spark):
+    w = Window.partitionBy(F.lit(1))
+    for v in (5e9, -5e9):
+        df = spark.createDataFrame([(v,), (v,), (v + 3,), (None,)], "v double")
+        assert abs(df.agg(M.exact_mean(F.col("v"), 9).alias("x")).first().x - v - 1) < 1e-5
+        assert all(abs(r.x - v - 1) < 1e-5 for r in df.select(M.exact_mean(F.col("v"), 9, w).alias("x")).collect())
+    assert spark.createDataFrame([(None,)], "v double").agg(M.exact_mean(F.col("v")).alias("x")).first().x is None
