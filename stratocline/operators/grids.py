@@ -74,15 +74,20 @@ def merge_locations(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def point_in_rings(lat: Column, lon: Column, ring: Sequence[tuple[float, float]]) -> Column:
-    """Whether a point lies in a ring of (lat, lon) corners: parity of crossings, as one expression."""
-    crossings = F.lit(0)
-    for (a_lat, a_lon), (b_lat, b_lon) in zip(ring, [*ring[1:], ring[0]]):
+    """Whether a point lies in a ring of (lat, lon) corners: parity of crossings, as one expression.
+
+    A point on an edge along a latitude is inside, from the western end up to the eastern one, which is not.  Other edges
+    run northward whatever the order of the corners, so that rings on both sides of one see the same crossing.
+    """
+    crossings, along = F.lit(0), F.lit(False)
+    for (a_lat, a_lon), (b_lat, b_lon) in (sorted(e) for e in zip(ring, [*ring[1:], ring[0]])):
         if a_lat == b_lat:
+            along = along | ((lat == a_lat) & (lon >= a_lon) & (lon < b_lon))
             continue
         spans = (F.lit(a_lat) > lat) != (F.lit(b_lat) > lat)
         at = (lat - a_lat) * ((b_lon - a_lon) / (b_lat - a_lat)) + a_lon
         crossings = crossings + F.when(spans & (lon < at), 1).otherwise(0)
-    return crossings % 2 == 1
+    return along | (crossings % 2 == 1)
 
 
 def resample_mask(cells: DataFrame, share: DataFrame, lat_axis: Sequence[float], lon_axis: Sequence[float]) -> DataFrame:

@@ -118,3 +118,14 @@ def test_weights_are_cut_to_the_greatest_without_scaling(spark):
     every = sibson.natural_neighbours(points, stations).agg(F.count(F.lit(1)), F.sum("w")).first()
     assert every[0] > 20 and abs(every[1] - 1) < 1e-12
     assert len(rows) == sibson.KEPT and sum(r.w for r in rows) < 1
+
+
+def test_points_on_edges_of_a_ring_whatever_its_direction(spark):
+    ring = [(25.0, -150.0), (25.0, -60.0), (60.0, -90.0), (60.0, -130.0)]
+    on = {(60.0, -130.0): True, (60.0, -110.0): True, (60.0, -90.0): False, (60.0, -140.0): False, (25.0, -150.0): True, (25.0, -60.0): False, (60.01, -110.0): False}
+    # a point on the western edge, as it is computed from its southern corner
+    on |= {(25 + k * 0.07, -150.0 + (25 + k * 0.07 - 25) * (20.0 / 35)): True for k in range(1, 400)}
+    df = spark.createDataFrame(list(on), "lat double, lon double")
+    for corners in (ring, ring[::-1], ring[2:] + ring[:2]):
+        got = df.select("lat", "lon", grids.point_in_rings(F.col("lat"), F.col("lon"), corners).alias("x")).collect()
+        assert {(r.lat, r.lon): r.x for r in got} == on
