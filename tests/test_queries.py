@@ -57,3 +57,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+def test_weights_reach_as_far_as_their_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW supplier AS SELECT * FROM '/root/testdata/sf0.01/supplier.parquet'")
+    want = {(i, j): w for i, j, w in c.execute(f"SELECT i, j, w FROM ({ORACLE_SQL['q_gauss_weights']})").fetchall()}
+    got = {(r.i, r.j): r.w for r in QUERIES["q_gauss_weights"](spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
