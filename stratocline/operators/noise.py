@@ -1,7 +1,8 @@
 """Residual noise: spatial-error weights and fits, ARMA(1,1) fits, seeded realizations.
 
-Spatial weights are sparse: a station has the neighbours within ``REACH_LENGTHS`` lengths.  A task holds the weights of one
-group as index arrays and the values of all stations over a block of ``BLOCK`` times, however long the run is.  A fit needs, of each station, three sums over
+A station has the neighbours within ``REACH_LENGTHS`` lengths.  A task holds the places of one group's stations and their values over a block of ``BLOCK`` times,
+however long the run is.  Up to ``PAIRS`` pairs of neighbours are index arrays; with more the kernel is a product of one-dimensional ones between the nodes of
+boxes (``Boxes``), so that memory and work grow with stations and not with their pairs.  A fit needs, of each station, three sums over
 its times (the residual variance is quadratic in lambda) and the log determinant of I - lambda W: from eigenvalues up to ``DENSE`` stations, beyond
 from Chebyshev traces, estimated by seeded probes over sparse products.  (I - lambda W) u = e is solved by Chebyshev iteration to a bounded residual.
 """
@@ -27,10 +28,14 @@ LENGTHS_KM = (25.0, 50.0, 75.0, 100.0)
 LAMBDA_BOUNDS = (0.0, 0.9)
 SHRINK, PENALTY = 1.01, 0.1
 REACH_LENGTHS = 7.0  # beyond it a kernel is below 1e-10
-BLOCK = 512  # times in one task's block
+BLOCK = 32  # times in one task's block
+PAIRS = 8_000_000  # most pairs of stations in squares side by side that a task lists
+SIDE, NODES = 2.0, 18  # lengths of a box's side; its nodes in either direction: interpolation errs by less than 1e-12
+WEAK = 0.1  # a station whose neighbours' kernels sum to less has its pairs listed, as its weights are small numbers scaled up
+COLUMNS = 1 << 24  # numbers at nodes that are held at a time
 BLOCK_STEPS = 512  # steps of a simulated series that one row holds
 DENSE = 1500  # stations up to which eigenvalues give the log determinant
-PROBES, MOMENTS = 64, 64  # random vectors and Chebyshev traces of its estimate
+PROBES, MOMENTS, TOGETHER = 64, 64, 16  # random vectors and Chebyshev traces of its estimate; vectors taken at a time
 RESIDUAL = 1e-11  # of a solve, relative to its right side
 COARSE, FINE, REACH, EDGE, MIN_SERIES = 39, 21, 0.1, 0.99, 12
 
@@ -62,12 +67,6 @@ def gaussian_weights(stations: DataFrame, length: float, reach: float = REACH_LE
     return kernel(stations, [], F.lit(length), reach).select("i", "j", (F.col("k") / total / SHRINK).alias("w"))
 
 
-def rows_of(pairs: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    """The kernel (keys, i, j, k) with one row per station: (keys, i, js, ks), and columns that are constant for equal keys."""
-    packed = pairs.groupBy(*keys, "i", *more).agg(F.collect_list(F.struct("j", "k")).alias("z"))
-    return packed.select(*keys, "i", F.col("z.j").alias("js"), F.col("z.k").alias("ks"), *more)
-
-
 def dense_weights(xy: np.ndarray, length: float) -> np.ndarray:
     """The weights of all pairs as a matrix: rows with any weight sum to 1 before the scale; where a station has no neighbour, the spectral radius decides on the scale."""
     d2 = ((xy[:, None] - xy[None]) ** 2).sum(-1)
@@ -180,6 +179,10 @@ class Sparse:
                 out[some, c : c + 8] = np.add.reduceat(self.value[:, None] * x[self.column, c : c + 8], self.start[some])
         return out
 
+    def squares(self) -> float:
+        """The sum of squared entries."""
+        return float((self.value**2).sum())
+
 
 def sparse(ids: np.ndarray, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> Sparse:
     """From entries whose rows and columns are among ``ids``."""
@@ -189,21 +192,164 @@ def sparse(ids: np.ndarray, i: np.ndarray, j: np.ndarray, value: np.ndarray) ->
     return Sparse(ids, np.searchsorted(row[order], np.arange(len(ids) + 1)), column[order], value[order])
 
 
-def _listed(net: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, k) of rows with lists."""
-    js, ks = (net[c].combine_chunks() for c in ("js", "ks"))
-    j, k = (v.flatten().to_numpy(zero_copy_only=False) for v in (js, ks))
-    return np.repeat(net["i"].to_numpy(), pa.compute.list_value_length(js).to_numpy(zero_copy_only=False)), j, k
+def _side_by_side(x: np.ndarray, y: np.ndarray, side: float) -> tuple[dict[tuple[int, int], np.ndarray], int]:
+    """(stations of each square, number of pairs in squares side by side)."""
+    square = np.stack([np.floor(x / side), np.floor(y / side)], 1).astype(np.int64)
+    names, at, counts = np.unique(square, axis=0, return_inverse=True, return_counts=True)
+    parts = np.split(np.argsort(at.ravel(), kind="stable"), np.cumsum(counts)[:-1])
+    held = {(int(a), int(b)): own for (a, b), own in zip(names, parts)} if len(x) else {}
+    n = sum(len(own) * sum(len(held.get((a + i, b + j), ())) for i in (-1, 0, 1) for j in (-1, 0, 1)) for (a, b), own in held.items())
+    return held, n
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, length: float, squares: dict[tuple[int, int], np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, k) of the stations that ``of`` marks and their neighbours within reach, whose squares have that side."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for (a, b), own in squares.items():
+        own = own[of[own]]
+        if len(own):
+            other = np.concatenate([squares[n] for i in (-1, 0, 1) for j in (-1, 0, 1) if (n := (a + i, b + j)) in squares])
+            rows = max(1, PAIRS // len(other))
+            for at in range(0, len(own), rows):
+                some = own[at : at + rows]
+                d2 = (x[some, None] - x[other]) ** 2 + (y[some, None] - y[other]) ** 2
+                i, j = np.nonzero((d2 <= (REACH_LENGTHS * length) ** 2) & (some[:, None] != other))
+                out.append((some[i], other[j], np.exp(-d2[i, j] / (2 * length * length))))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+class Boxes:
+    """exp(-d2 / 2 h2) of all pairs of places, themselves included, by interpolation between Chebyshev nodes.
+
+    The kernel is one of x times one of y.  Each box passes its stations' values to its nodes, nodes pass them to those of boxes within
+    reach along x and then along y, and stations take them from their box's nodes.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, length: float):
+        side = SIDE * length
+        near = int(np.ceil(REACH_LENGTHS / SIDE)) + 1
+        k = np.arange(NODES)
+        nodes = np.cos(np.pi * (k + 0.5) / NODES)
+        chebyshev = np.cos(np.arccos(nodes)[:, None] * k)
+        chebyshev[:, 1:] *= 2
+        self.basis, self.along, which = [], [], []
+        for c in (x, y):
+            c = c - (c.min() if len(c) else 0.0)
+            box = np.floor(c / side).astype(np.int64)
+            inside = np.clip(2 * (c / side - box) - 1, -1, 1)
+            self.basis.append(np.cos(np.arccos(inside)[:, None] * k) @ chebyshev.T / NODES)
+            boxes, at = np.unique(box, return_inverse=True)
+            which.append(at.ravel())
+            steps = []
+            for b in boxes:
+                # occupied boxes within reach lie side by side in order
+                lo, hi = np.searchsorted(boxes, [b - near, b + near + 1])
+                d = (nodes / 2 * side)[:, None] - (((boxes[lo:hi] - b) * side)[:, None] + nodes / 2 * side).ravel()
+                steps.append((lo * NODES, hi * NODES, np.exp(-d * d / (2 * length * length))))
+            self.along.append(steps)
+        self.shape = tuple(len(a) for a in self.along)
+        order = np.lexsort(which[::-1])
+        cell = which[0][order] * max(self.shape[1], 1) + which[1][order]
+        cells, starts = np.unique(cell, return_index=True)
+        self.parts = [(int(c) // self.shape[1], int(c) % self.shape[1], own) for c, own in zip(cells, np.split(order, starts[1:]))]
+
+    def _basis(self, own: np.ndarray) -> np.ndarray:
+        return (self.basis[0][own][:, :, None] * self.basis[1][own][:, None, :]).reshape(len(own), -1)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        (a, b), p = self.shape, NODES
+        columns = max(1, COLUMNS // max(1, a * b * p * p))
+        for c in range(0, x.shape[1], columns):
+            some = x[:, c : c + columns]
+            t = some.shape[1]
+            sent = np.zeros((a, p, b, p, t))
+            for i, j, own in self.parts:
+                sent[i, :, j] = (self._basis(own).T @ some[own]).reshape(p, p, t)
+            sent = sent.reshape(a * p, b * p * t)
+            met = np.concatenate([k @ sent[lo:hi] for lo, hi, k in self.along[0]]).reshape(a * p, b * p, t)
+            met = np.concatenate([np.matmul(k, met[:, lo:hi]) for lo, hi, k in self.along[1]], axis=1).reshape(a, p, b, p, t)
+            for i, j, own in self.parts:
+                out[own, c : c + columns] = self._basis(own) @ met[i, :, j].reshape(p * p, t)
+        return out
+
+
+class Smooth:
+    """The kernel of many pairs, a station with itself left out: ``Boxes`` among stations with weight around them, listed pairs of the others."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, length: float, squares: dict[tuple[int, int], np.ndarray], known: np.ndarray):
+        self.ids = ids
+        self.x, self.y, self.length = x, y, length
+        self.strong = np.flatnonzero(known)
+        around = (Boxes(x[known], y[known], length) @ np.ones((len(self.strong), 1)))[:, 0] - 1
+        self.strong = self.strong[around >= WEAK]
+        self.boxes = Boxes(x[self.strong], y[self.strong], length)
+        weak = known.copy()
+        weak[self.strong] = False
+        i, j, k = _pairs(x, y, length, squares, weak)
+        back = ~weak[j]
+        at = np.arange(len(ids))
+        self.listed = sparse(at, np.concatenate([i, j[back]]), np.concatenate([j, i[back]]), np.concatenate([k, k[back]]))
+        self.total = (self @ np.ones((len(ids), 1)))[:, 0]
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = self.listed @ x
+        own = x[self.strong]
+        out[self.strong] += self.boxes @ own - own
+        return out
+
+    def squares(self, row: np.ndarray, column: np.ndarray) -> float:
+        """The sum of squared entries, each times the numbers of its row and its column."""
+        at = np.repeat(np.arange(len(self.ids)), np.diff(self.listed.start))
+        a, b = row[self.strong, None], column[self.strong, None]
+        narrow = Boxes(self.x[self.strong], self.y[self.strong], self.length / 2**0.5)
+        return float((self.listed.value**2 * row[at] * column[self.listed.column]).sum() + (a * (narrow @ b - b)).sum())
+
+
+@dataclass(frozen=True)
+class Scaled:
+    """A kernel with its rows and columns scaled."""
+
+    kernel: Smooth
+    row: np.ndarray
+    column: np.ndarray
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.kernel.ids
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return self.row[:, None] * (self.kernel @ (self.column[:, None] * x))
+
+    def squares(self) -> float:
+        return self.kernel.squares(self.row**2, self.column**2)
+
+
+def network(ids: np.ndarray, x: np.ndarray, y: np.ndarray, length: float) -> Sparse | Smooth:
+    """The kernel of stations with different ids; one without a place has no neighbours."""
+    order = np.argsort(ids, kind="stable")
+    ids, x, y = ids[order], x[order].astype(float), y[order].astype(float)
+    known = np.isfinite(x) & np.isfinite(y)
+    some = np.flatnonzero(known)
+    squares, n = _side_by_side(x[some], y[some], REACH_LENGTHS * length)
+    squares = {name: some[own] for name, own in squares.items()}
+    if n > PAIRS:
+        return Smooth(ids, x, y, length, squares, known)
+    i, j, k = _pairs(x, y, length, squares, known)
+    return sparse(ids, ids[i], ids[j], k)
 
 
-def normalized(k: Sparse) -> tuple[Sparse, Sparse]:
+def normalized(k: Sparse | Smooth) -> tuple[Sparse | Scaled, Sparse | Scaled]:
     """(weights whose rows sum to 1 / 1.01, the symmetric form that is similar to them without the shrinkage) of a kernel."""
+    if isinstance(k, Smooth):
+        inverse, one = np.where(k.total > 0, 1 / np.where(k.total > 0, k.total, 1), 0.0), np.ones(len(k.ids))
+        return Scaled(k, inverse / SHRINK, one), Scaled(k, np.sqrt(inverse), np.sqrt(inverse))
     row = np.repeat(np.arange(len(k.ids)), np.diff(k.start))
     total = np.bincount(row, k.value, len(k.ids))
     return replace(k, value=k.value / total[row] / SHRINK), replace(k, value=k.value / np.sqrt(total[row] * total[k.column]))
 
 
-def solve(w: Sparse, lam: float, e: np.ndarray, radius: float = 1 / SHRINK) -> np.ndarray:
+def solve(w: Sparse | Scaled, lam: float, e: np.ndarray, radius: float = 1 / SHRINK) -> np.ndarray:
     """u with (I - lam W) u = e for (stations, times), by Chebyshev iteration: eigenvalues of W are real and within ``radius``."""
     d = abs(lam) * radius
     if d == 0:
@@ -225,21 +371,23 @@ def solve(w: Sparse, lam: float, e: np.ndarray, radius: float = 1 / SHRINK) -> n
     raise ArithmeticError("the spatial solve does not converge")
 
 
-def chebyshev_traces(s: Sparse, probes: int = PROBES, moments: int = MOMENTS, seed: int = 812) -> tuple[np.ndarray, np.ndarray]:
+def chebyshev_traces(s: Sparse | Scaled, probes: int = PROBES, moments: int = MOMENTS, seed: int = 812) -> tuple[np.ndarray, np.ndarray]:
     """(traces of T_0 .. of a symmetric matrix with eigenvalues in -1 .. 1, their standard errors); the first three are exact."""
     n = len(s.ids)
-    z = np.random.default_rng([seed, n]).choice([-1.0, 1.0], (n, probes))
-    before, now = z, s @ z
+    signs = np.random.default_rng([seed, n]).choice(np.array([-1, 1], np.int8), (n, probes))
     sums = np.zeros((2 * moments, probes))
-    sums[0], sums[1] = n, (z * now).sum(0)
-    for k in range(1, moments):
-        # products of neighbours give the traces of twice their order
-        sums[2 * k] = 2 * (now * now).sum(0) - n
-        after = 2 * (s @ now) - before
-        sums[2 * k + 1] = 2 * (now * after).sum(0) - sums[1]
-        before, now = now, after
+    for at in range(0, probes, TOGETHER):
+        z, own = signs[:, at : at + TOGETHER].astype(float), sums[:, at : at + TOGETHER]
+        before, now = z, s @ z
+        own[0], own[1] = n, (z * now).sum(0)
+        for k in range(1, moments):
+            # products of neighbours give the traces of twice their order
+            own[2 * k] = 2 * (now * now).sum(0) - n
+            after = 2 * (s @ now) - before
+            own[2 * k + 1] = 2 * (now * after).sum(0) - own[1]
+            before, now = now, after
     mean, error = sums.mean(1), sums.std(1, ddof=1) / np.sqrt(probes)
-    for k, exact in ((0, float(n)), (1, 0.0), (2, 2 * float((s.value**2).sum()) - n)):
+    for k, exact in ((0, float(n)), (1, 0.0), (2, 2 * s.squares() - n)):
         mean[k], error[k] = exact, 0.0
     return mean, error
 
@@ -253,9 +401,9 @@ def log_determinant(traces: np.ndarray, lam: float) -> float:
     return float(-np.log1p(r * r) * traces[0] - 2 * (r**k / k * traces[1:]).sum())
 
 
-def network_log_det(s: Sparse):
+def network_log_det(s: Sparse | Scaled):
     """The function lambda -> log det(I - lambda W), W the shrunk weights that are similar to ``s`` / 1.01."""
-    if len(s.ids) <= DENSE:
+    if len(s.ids) <= DENSE and isinstance(s, Sparse):
         full = np.zeros((len(s.ids), len(s.ids)))
         full[np.repeat(np.arange(len(s.ids)), np.diff(s.start)), s.column] = s.value
         eig = np.linalg.eigvalsh((full + full.T) / 2) / SHRINK
@@ -272,37 +420,42 @@ def _taking_part(residuals: DataFrame, keys: list[str], min_times: int) -> DataF
     return rows.where(F.col("__least") != F.col("__most")).select(*keys, "id", "x", "y", "t", "value")
 
 
-def _by_block(values: DataFrame, weights: DataFrame, keys: list[str], make: Callable, out: str) -> DataFrame:
-    """``make(weights as Sparse, values (stations, times), its gaps as NaN, extra of the weights)`` of each group's block of times, as (keys, id, t, ``out``).
+def _by_block(values: DataFrame, places: DataFrame, keys: list[str], make: Callable, schema: str) -> DataFrame:
+    """``make(key, values (keys, id, t, value), places (keys, id, x, y, more))`` of each group's block of times, beside all places of the group."""
+    rows = values.withColumn("__block", F.floor(F.col("t").cast("double") / BLOCK).cast("long"))
+    by = [*keys, "__block"]
+    beside = rows.select(*by).distinct().join(places, keys)
+    beside = beside.select(*[F.col(c).alias(f"w_{c}") for c in by], *[c for c in places.columns if c not in keys])
+    tasks, other = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), [f"w_{c}" for c in by]
+    # every block beside places has values
+    return rows.repartition(tasks, *by).groupBy(*by).cogroup(beside.repartition(tasks, *other).groupBy(*other)).applyInArrow(make, schema)
 
-    values: (keys, id, t, value); weights: (keys, i, js, ks, extra), the kernel, of which a group has every row beside each of its blocks.
-    """
+
+def _network_of(net: pa.Table, length: float) -> Sparse | Smooth:
+    return network(*[net[c].to_numpy() for c in ("id", "x", "y")], length)
+
+
+def _matrix(own: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(values (stations, times) of a block, gaps as NaN; where each row of it stands)."""
+    times, when = np.unique(own["t"].to_numpy(), return_inverse=True)
+    at = np.searchsorted(ids, own["id"].to_numpy()), when
+    x = np.full((len(ids), len(times)), np.nan)
+    x[at] = own["value"].to_numpy()
+    return x, at
+
+
+def _modelled(values: DataFrame, places: DataFrame, keys: list[str], make: Callable, out: str) -> DataFrame:
+    """(keys, id, t, ``out``): ``make(weights, values (stations, times), lambda)`` of blocks of values, by places (keys, id, x, y, lambda, length)."""
     types = dict(values.dtypes)
-    names = [*keys, "id", "t", *[c.split()[0] for c in out.split(", ")]]
-    block = F.floor(F.col("t").cast("double") / BLOCK).cast("long")
-    rows = values.withColumn("__block", block)
-    spots = rows.select(*keys, "__block").distinct()
-    beside = spots.join(weights, keys)
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [*keys, "__block"]
 
     def run(key: tuple, own: pa.Table, net: pa.Table) -> pa.Table:
-        ids, at = np.unique(own["id"].to_numpy(), return_inverse=True)
-        times, when = np.unique(own["t"].to_numpy(), return_inverse=True)
-        i, j, k = _listed(net)
-        w = normalized(sparse(np.concatenate([ids, i, j]), i, j, k))[0] if len(k) else sparse(ids, ids[:0], ids[:0], k)
-        x = np.full((len(w.ids), len(times)), np.nan)
-        place = np.searchsorted(w.ids, ids)[at]
-        x[place, when] = own["value"].to_numpy()
-        made = make(w, x, net["extra"][0].as_py() if len(net) else 0.0)
-        made = made if isinstance(made, tuple) else (made,)
-        return pa.table({**{k: pa.repeat(v, len(own)) for k, v in zip(keys, key)}, "id": own["id"], "t": own["t"], **{c: m[place, when] for c, m in zip(names[len(keys) + 2 :], made)}})
-
-    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + f", {out}"
-    # every block beside weights has values; a network without neighbours has no weights
-    beside = beside.select(*[F.col(c).alias(f"w_{c}") for c in by], "i", "js", "ks", "extra")
-    other = [f"w_{c}" for c in by]
-    return rows.repartition(tasks, *by).groupBy(*by).cogroup(beside.repartition(tasks, *other).groupBy(*other)).applyInArrow(run, schema)
+        if not len(own):
+            return pa.table({**{k: own[k] for k in keys}, "id": own["id"], "t": own["t"], out: pa.array([], pa.float64())})
+        w = normalized(_network_of(net, net["length"][0].as_py()))[0]
+        x, at = _matrix(own, w.ids)
+        return pa.table({**{k: pa.repeat(v, len(own)) for k, v in zip(keys, key)}, "id": own["id"], "t": own["t"], out: make(w, x, net["lambda"][0].as_py())[at]})
+
+    return _by_block(values, places, keys, run, ", ".join(f"{k} {types[k]}" for k in [*keys, "id", "t"]) + f", {out} double")
 
 
 def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_times: int = 2) -> DataFrame:
@@ -312,25 +465,35 @@ def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_tim
     """
     types = dict(residuals.dtypes)
     part = written(_taking_part(residuals, keys, min_times))
-    tried = F.explode(F.array(*[F.lit(float(x)) for x in lengths])).alias("length")
+    places = written(part.groupBy(*keys, "id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
+    named = ", ".join(f"{k} {types[k]}" for k in keys)
     group = [*keys, "length"]
-    places = part.groupBy(*keys, "id").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("*", tried)
-    weights = written(rows_of(kernel(places, group, F.col("length")), group))
-    values = part.select(*keys, "id", "t", "value", tried)
-    lagged = _by_block(values, weights.withColumn("extra", F.lit(0.0)), group, lambda w, x, _: (np.nan_to_num(x), w @ np.nan_to_num(x)), "own double, lag double")
-    # the residual variance of a station is quadratic in lambda
-    sums = lagged.groupBy(*group, "id").agg(F.sum(F.col("own") * F.col("own")).alias("a"), F.sum(F.col("own") * F.col("lag")).alias("b"), F.sum(F.col("lag") * F.col("lag")).alias("c"), F.count(F.lit(1)).alias("n"))
-    span = values.groupBy(*group).agg(F.count_distinct("t").alias("times"))
-    sums = sums.join(span, group)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", length double, lambda double, objective double, n_stations int"
 
+    def lag(key: tuple, own: pa.Table, net: pa.Table) -> pa.Table:
+        """Sums of a block's times for every station and length."""
+        out = []
+        for length in lengths if len(own) else ():
+            w = normalized(_network_of(net, float(length)))[0]
+            x, _ = _matrix(own, w.ids)
+            some, mine = ~np.isnan(x), np.nan_to_num(x)
+            lagged = np.where(some, w @ mine, 0.0)
+            n = len(w.ids)
+            sums = {"a": (mine * mine).sum(1), "b": (mine * lagged).sum(1), "c": (lagged * lagged).sum(1), "n": some.sum(1).astype(np.int64)}
+            out.append(pa.table({**{k: pa.repeat(v, n) for k, v in zip(keys, key)}, "length": np.full(n, float(length)), "id": w.ids, **sums}))
+        return pa.concat_tables(out) if out else pa.table({**{k: own[k] for k in keys}, "length": pa.array([], pa.float64()), "id": own["id"], **{c: pa.array([], pa.float64()) for c in "abc"}, "n": pa.array([], pa.int64())})
+
+    # the residual variance of a station is quadratic in lambda
+    sums = _by_block(part.select(*keys, "id", "t", "value"), places, keys, lag, f"{named}, length double, id {types['id']}, a double, b double, c double, n long")
+    sums = sums.groupBy(*group, "id").agg(*[F.sum(c).alias(c) for c in "abcn"])
+    span = part.groupBy(*keys).agg(F.count_distinct("t").alias("times"))
+    schema = f"{named}, length double, lambda double, objective double, n_stations int"
     names = [*group, "lambda", "objective", "n_stations"]
 
-    def fit(key: tuple, own: pa.Table, net: pa.Table) -> pa.Table:
+    def fit(key: tuple, own: pa.Table) -> pa.Table:
+        own = own.sort_by("id")
         a, b, c, n = (own[k].to_numpy().astype(float) for k in "abcn")
-        times, ids = own["times"][0].as_py() if len(own) else 0, own["id"].to_numpy()
-        i, j, k = _listed(net)
-        log_det = network_log_det(normalized(sparse(ids, i, j, k))[1] if len(k) else sparse(ids, ids[:0], ids[:0], k))
+        times = own["times"][0].as_py()
+        log_det = network_log_det(normalized(_network_of(own, key[-1].as_py()))[1])
 
         def objective(lam: float) -> float:
             s2 = (a - 2 * lam * b + lam * lam * c) / np.maximum(n, 1)
@@ -341,19 +504,15 @@ def sem_model(residuals: DataFrame, keys: list[str], lengths=LENGTHS_KM, min_tim
         lam, value = minimize_bounded(objective, *LAMBDA_BOUNDS)
         return pa.table({**{k: pa.repeat(v, 1) for k, v in zip(group, key)}, **dict(zip(names[len(group) :], (pa.array([lam]), pa.array([value]), pa.array([len(own)], pa.int32()))))})
 
-    # every network beside sums has stations
     tasks = int(residuals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    net, other = weights.select(*[F.col(c).alias(f"w_{c}") for c in group], "i", "js", "ks"), [f"w_{c}" for c in group]
-    fits = sums.repartition(tasks, *group).groupBy(*group).cogroup(net.repartition(tasks, *other).groupBy(*other)).applyInArrow(fit, schema)
+    fits = written(sums).join(places, [*keys, "id"]).join(span, keys).repartition(tasks, *group).groupBy(*group).applyInArrow(fit, schema)
     best = fits.groupBy(*keys).agg(F.min(F.struct("objective", "length", "lambda", "n_stations")).alias("b"))
     return best.select(*keys, "b.lambda", "b.length", "b.objective", "b.n_stations")
 
 
-def _model_weights(places: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, js, ks, extra): the kernel of each model's length among places (keys, id, x, y), with its lambda."""
-    named = models.select(*keys, F.col("lambda").alias("extra"), "length")
-    pairs = kernel(places.join(named.select(*keys, "length"), keys), keys, F.col("length"))
-    return rows_of(pairs, keys).join(named.select(*keys, "extra"), keys)
+def _model_places(places: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, x, y, lambda, length): places (keys, id, x, y) with what each model holds for them."""
+    return places.join(models.select(*keys, "lambda", "length"), keys)
 
 
 def innovations(residuals: DataFrame, models: DataFrame, keys: list[str], min_times: int = 2) -> DataFrame:
@@ -364,7 +523,7 @@ def innovations(residuals: DataFrame, models: DataFrame, keys: list[str], min_ti
     part = _taking_part(residuals, keys, min_times)
     places = part.groupBy(*keys, "id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     known = part.select(*keys, "id", "t", "value").join(models.select(*keys), keys, "left_semi")
-    return _by_block(known, _model_weights(places, models, keys), keys, lambda w, x, lam: x - lam * (w @ np.nan_to_num(x)), "value double")
+    return _modelled(known, _model_places(places, models, keys), keys, lambda w, x, lam: x - lam * (w @ np.nan_to_num(x)), "value")
 
 
 def css(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -400,12 +559,16 @@ def arma_model(residuals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, phi, theta, variance) per series of (keys, t, value)."""
     types = dict(residuals.dtypes)
 
-    def fit(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *fit_arma(pdf.sort_values("t")["value"].to_numpy(float))]], columns=[*keys, "phi", "theta", "variance"])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [fit_arma(np.array([v["value"] for v in z], float)) for z in pdf["z"]]
+            yield pd.concat([pdf[keys], pd.DataFrame(found, columns=["phi", "theta", "variance"], index=pdf.index)], axis=1)
 
     # rows are few and the work on them long: as many tasks as the session has partitions
     tasks = int(residuals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return residuals.select(*keys, "t", "value").repartition(tasks, *keys).groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + ", phi double, theta double, variance double")
+    value = F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value")
+    series = residuals.repartition(tasks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", value))).alias("z"))
+    return series.mapInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + ", phi double, theta double, variance double")
 
 
 def arma_series(eta: np.ndarray, phi: float, theta: float, first: float | None = None) -> np.ndarray:
@@ -475,8 +638,8 @@ def spread_noise(noise: DataFrame, stations: DataFrame, models: DataFrame, keys:
     """Spatially correlated noise (keys, id, t, u) of (keys, id, t, noise): sparse solves over all stations (id, x, y), a block of times in a task; gaps count as zero."""
     rows = noise.join(stations.select("id"), "id", "left_semi").join(models.select(*keys), keys, "left_semi")
     places = rows.select(*keys, "id").distinct().join(stations.select("id", "x", "y"), "id")
-    weights = _model_weights(places, models, keys)
-    return _by_block(rows.select(*keys, "id", "t", F.col("noise").alias("value")), weights, keys, lambda w, x, lam: solve(w, lam, np.nan_to_num(x)), "u double")
+    values = rows.select(*keys, "id", "t", F.col("noise").alias("value"))
+    return _modelled(values, _model_places(places, models, keys), keys, lambda w, x, lam: solve(w, lam, np.nan_to_num(x)), "u")
 
 
 def realization(df: DataFrame, variable: str, keys: list[str]) -> DataFrame:

@@ -174,13 +174,13 @@ def q_station_sets(spark, d):
     return sibson.station_sets(v).select("t", "n")
 
 
-def _residuals(spark, d):
+def _residuals(spark, d, scores=None, models=None):
     """Residuals (month, id, t, value) of the station models in the calibration years."""
-    return linear.residuals(_as_years(V.obs(spark, d)), _scores(spark, d), _models(spark, d), ["month"], ROLES["cal"], 15)
+    return linear.residuals(_as_years(V.obs(spark, d)), scores or _scores(spark, d), models or _models(spark, d), ["month"], ROLES["cal"], 15)
 
 
-def _placed_residuals(spark, d):
-    return written(_residuals(spark, d).withColumn("value", F.col("value") / 1000).join(_places(spark, d), "id"))
+def _placed_residuals(spark, d, scores=None, models=None):
+    return written(_residuals(spark, d, scores, models).withColumn("value", F.col("value") / 1000).join(_places(spark, d), "id"))
 
 
 @query()
@@ -200,10 +200,11 @@ def q_arma_fit(spark, d):
 @query()
 def q_noise_realization(spark, d):
     """Predictions with a seeded realization of each station's noise, spread in space."""
-    rows = _placed_residuals(spark, d)
+    scores, models = _scores(spark, d), _models(spark, d)
+    rows = _placed_residuals(spark, d, scores, models)
     sem = written(noise.sem_model(rows, ["month"], (500.0,)))
     arma = noise.arma_model(noise.innovations(rows, sem, ["month"]), ["month", "id"])
-    base = linear.predict(_scores(spark, d), _models(spark, d), ["month"]).withColumnRenamed("t", "year")
+    base = linear.predict(scores, models, ["month"]).withColumnRenamed("t", "year")
     # pseudo-years follow each other by three: steps of the series from the first one on
     base = base.withColumn("t", F.floor((F.col("year") - 1990 * 12) / 3).cast("int"))
     u = noise.spread_noise(noise.simulate(arma, ["month", "id"], 80), _places(spark, d), sem, ["month"])

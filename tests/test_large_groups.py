@@ -118,3 +118,24 @@ def test_a_long_series_keeps_its_moments(spark):
     x = np.array([r["noise"] for r in noise.simulate(df, ["id"], 60_000).orderBy("t").collect()])
     assert noise.fit_arma(x[:20_000]) == pytest.approx((0.6, 0.3, 1.0), abs=0.05)
     assert x.var() == pytest.approx(1 + 0.9**2 / (1 - 0.36), rel=0.05)
+
+
+@pytest.mark.parametrize("length", [12.0, 40.0])
+def test_kernels_of_boxes_equal_listed_pairs(monkeypatch, length):
+    """A cluster, stations at one place, stations with hardly a neighbour and with none, one without a place."""
+    rng = np.random.default_rng(8)
+    xy = np.vstack([rng.uniform(0, 900, (400, 2)), rng.normal(500, 3, (200, 2)), [[5e4, 5e4], [5e4 + 5 * length, 5e4], [-7e5, 0], [900 + 6 * length, 450], [np.nan, 1]], np.repeat([[3.0, 3.0]], 5, 0)])
+    ids = rng.permutation(len(xy)) * 3
+    listed = noise.network(ids, *xy.T, length)
+    monkeypatch.setattr(noise, "PAIRS", 500)
+    monkeypatch.setattr(noise, "COLUMNS", 1)
+    boxes = noise.network(ids, *xy.T, length)
+    assert isinstance(listed, noise.Sparse) and isinstance(boxes, noise.Smooth) and (listed.ids == boxes.ids).all()
+    x = rng.normal(size=(len(xy), 3))
+    assert np.abs(listed @ x - boxes @ x).max() < 1e-8
+    for a, b in zip(noise.normalized(listed), noise.normalized(boxes)):
+        assert np.abs(a @ x - b @ x).max() < 1e-8 and abs(a.squares() - b.squares()) < 1e-6
+        for lam in (0.4, 0.9):
+            assert np.abs(noise.solve(a, lam, x) - noise.solve(b, lam, x)).max() < 1e-7
+    traces = [noise.chebyshev_traces(noise.normalized(k)[1])[0] for k in (listed, boxes)]
+    assert np.abs(traces[0] - traces[1]).max() < 1e-4
