@@ -453,19 +453,46 @@ def diagnostics(models: DataFrame, keys: list[str] = ["month"]) -> DataFrame:
     return models.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stations"), F.max(F.size("pc")).alias("n_pc"), (100 * F.max("share")).alias("ev_pct"), *median)
 
 
-def monte_carlo_interval(df: DataFrame, keys: list[str], mse: Column, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 % quantiles of value + N(0, mse) over ``draws`` seeded draws, made and sorted within the row: no shuffle."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
+
 
-    def uniform(draw: Column, i: int) -> Column:
-        # depends on the row and the seed alone, not on partitions
-        return (F.pmod(F.xxhash64(*keys, draw, F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def _hashed(h: np.ndarray, v: int | np.ndarray) -> np.ndarray:
+    """xxhash64 of 32-bit whole numbers, not negative, with the seeds ``h``: what ``F.xxhash64`` does for each further int column."""
+    h = (h + np.uint64(0x27D4EB2F165667C5 + 4)) ^ (np.asarray(v, np.uint64) * np.uint64(0x9E3779B185EBCA87))
+    return _mixed(((h << np.uint64(23)) | (h >> np.uint64(41))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
 
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda n: F.sqrt(-2 * F.ln(uniform(n, 1))) * F.cos(2 * np.pi * uniform(n, 2)))
-    rows = df.select(*keys, "value", mse.alias("mse"), F.sort_array(drawn).alias("z"))
 
-    def quantile(p: float) -> Column:
-        low, part = divmod(p * (draws - 1), 1)
-        a, b = (F.element_at("z", min(int(low) + i, draws)) for i in (1, 2))
-        return F.col("value") + F.sqrt("mse") * (a + (b - a) * part)
+def monte_carlo_interval(df: DataFrame, keys: list[str], mse: Column, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """2.5 and 97.5 % quantiles of value + N(0, mse) over ``draws`` seeded draws, made and ranked in arrays of some rows.
 
-    return rows.select(*keys, "value", quantile(0.025).alias("pi_lo"), quantile(0.975).alias("pi_hi"))
+    A draw hangs on the keys, its number and the seed alone, not on partitions: it takes the two hashes ``xxhash64(keys, number, seed, 1 or 2)``.
+    """
+    types = dict(df.dtypes)
+    ranks = [divmod(p * (draws - 1), 1) for p in (0.025, 0.975)]
+    wanted = sorted({min(int(low) + i, draws - 1) for low, _ in ranks for i in (0, 1)})
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(1, draws + 1, dtype=np.uint64)
+        rows = max(1, 65_536 // draws)  # arrays that stay in a core's cache
+        for batch in batches:
+            start = batch.column("__h").to_numpy(zero_copy_only=False).view(np.uint64)
+            found = np.empty((len(wanted), len(start)))
+            for at in range(0, len(start), rows):
+                h = _hashed(_hashed(start[at : at + rows, None], number), seed)
+                u, v = (((_hashed(h, i) & np.uint64((1 << 52) - 1)).astype(float) + 0.5) / float(1 << 52) for i in (1, 2))
+                z = np.partition(np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v), wanted, axis=1)
+                found[:, at : at + rows] = z[:, wanted].T
+            quantiles = []
+            for low, part in ranks:
+                a, b = (found[wanted.index(min(int(low) + i, draws - 1))] for i in (0, 1))
+                quantiles.append(pa.array(a + (b - a) * part))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keys, "value", "mse"]], *quantiles], names=[*keys, "value", "mse", "lo", "hi"])
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", value {types['value']}, mse double, lo double, hi double"
+    # rows are small and the work on them long: as many tasks as the session has partitions
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, "value", mse.cast("double").alias("mse"), F.xxhash64(*keys).alias("__h")).repartition(tasks, *keys).mapInArrow(drawn, schema)
+    return rows.select(*keys, "value", *[(F.col("value") + F.sqrt("mse") * F.col(c)).alias(f"pi_{c}") for c in ("lo", "hi")])

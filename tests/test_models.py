@@ -342,6 +342,28 @@ def test_monte_carlo_interval_is_repeatable(spark):
     assert a == b and all(1.5 < r.pi_hi - r.value < 2.6 and 1.5 < r.value - r.pi_lo < 2.6 for r in a)
 
 
+def test_monte_carlo_draws_are_those_of_the_hashes_of_the_keys(spark):
+    """The expression that states the draws, ranked by Spark; null values and variances stay null."""
+    keys, draws = ["id", "name"], 40
+    df = spark.createDataFrame([(i, f"n{i % 3}", float(i) if i % 7 else None, i / 3 if i % 5 else None) for i in range(60)], "id int, name string, value double, mse double")
+
+    def uniform(n, i):
+        return (F.pmod(F.xxhash64(*keys, n, F.lit(9), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    z = F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda n: F.sqrt(-2 * F.ln(uniform(n, 1))) * F.cos(2 * np.pi * uniform(n, 2))))
+    want = {r.id: (r.value, r.mse, np.quantile(r.z, [0.025, 0.975])) for r in df.select("*", z.alias("z")).collect()}
+    plan = linear.monte_carlo_interval(df, keys, F.col("mse"), draws, 9)
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()  # not draw by draw in an expression
+    got = plan.collect()
+    assert len(got) == len(want)
+    for r in got:
+        value, mse, q = want[r.id]
+        if value is None or mse is None:
+            assert r.pi_lo is None and r.pi_hi is None and r.value == value
+        else:
+            assert np.allclose([r.pi_lo, r.pi_hi], value + mse**0.5 * q, atol=1e-9)
+
+
 def test_grids_and_intervals_cover_all_months(spark):
     from stratocline.plans import models
     from stratocline.plans import views as V
