@@ -387,12 +387,24 @@ def fallback_roles(years: list[int], n_val: int = 50, n_test: int = 15, seed: in
     return {role: sorted(int(years[i]) for i in at) for role, at in parts.items()}
 
 
+def _vectors(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, scores): the scores (keys, t, pc, score) of a time as a map from components."""
+    return scores.groupBy(*keys, "t").agg(F.map_from_entries(F.collect_list(F.struct("pc", "score"))).alias("scores"))
+
+
+def _with_fit(met: DataFrame) -> DataFrame:
+    """Adds the fit, intercept and chosen components, of a model (pc, beta) beside the scores of a time, of which it needs one component at least."""
+    terms = F.transform("pc", lambda c, i: F.struct(c.alias("pc"), F.get(F.col("beta"), i + 1).alias("w")))
+    held = F.filter(terms, lambda z: (F.col("scores")[z["pc"]] * z["w"]).isNotNull())
+    total = F.aggregate(held, F.lit(0.0), lambda a, z: a + F.col("scores")[z["pc"]] * z["w"])
+    some = met.where(F.exists("pc", lambda c: F.map_contains_key(F.col("scores"), c)))
+    return some.withColumn("fit", F.when(F.size(held) > 0, F.col("beta")[0] + total))
+
+
 def fitted(scores: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, t, fit): intercept and chosen components of scores (keys, t, pc, score), a join and a partial sum."""
-    chosen = models.select(*keys, "id", F.col("beta")[0].alias("b0"), F.posexplode("pc").alias("k", "pc"), "beta")
-    weights = chosen.select(*keys, "id", "b0", "pc", F.expr("beta[k + 1]").alias("weight"))
-    summed = scores.join(weights, [*keys, "pc"]).groupBy(*keys, "id", "t").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.first("b0").alias("b0"))
-    return summed.select(*keys, "id", "t", (F.col("b0") + F.col("s")).alias("fit"))
+    """(keys, id, t, fit): intercept and chosen components of scores (keys, t, pc, score), a row per station and time from the join on."""
+    met = models.select(*keys, "id", "pc", "beta").join(_vectors(scores, keys), keys)
+    return _with_fit(met).select(*keys, "id", "t", "fit")
 
 
 def _unlinked(models: DataFrame, g: Column) -> Column:
@@ -403,8 +415,8 @@ def _unlinked(models: DataFrame, g: Column) -> Column:
 
 def predict(scores: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, t, value) of scores (keys, t, pc, score) within the calibration climate."""
-    rest = models.select(*keys, "id", "mu", *[c for c in ("sigma2", "offset") if c in models.columns])
-    out = fitted(scores, models, keys).join(rest, [*keys, "id"])
+    rest = models.select(*keys, "id", "pc", "beta", "mu", *[c for c in ("sigma2", "offset") if c in models.columns])
+    out = _with_fit(rest.join(_vectors(scores, keys), keys))
     return out.select(*keys, "id", "t", _unlinked(models, F.col("fit") + F.col("mu")).alias("value"))
 
 
@@ -432,9 +444,10 @@ def predict_transient(field: DataFrame, loadings: DataFrame, models: DataFrame,
     """
     moved = moving_change(field, keys, calibration, k, log=log)
     scores = project(moved, loadings.withColumn("mean", F.lit(0.0)), keys)
-    rest = models.select(*keys, "id", "mu", *[c for c in ("sigma2", "offset") if c in models.columns])
-    shifts = moved.select(*keys, "t", "cell", "shift").join(places.select("id", "cell"), "cell").select(*keys, "id", "t", "shift")
-    out = fitted(scores, models, keys).join(rest, [*keys, "id"]).join(shifts, [*keys, "id", "t"], "left")
+    rest = models.select(*keys, "id", "pc", "beta", "mu", *[c for c in ("sigma2", "offset") if c in models.columns])
+    # shifts are few and meet stations by cells; nothing of a station and a time is shuffled if they are broadcast
+    near = rest.join(places.select("id", "cell"), "id", "left").join(_vectors(scores, keys), keys)
+    out = _with_fit(near.join(moved.select(*keys, "t", "cell", "shift"), [*keys, "t", "cell"], "left"))
     return out.select(*keys, "id", "t", _unlinked(models, F.col("fit") + F.col("mu") + F.col("shift")).alias("value"))
 
 

@@ -417,3 +417,12 @@ def test_long_fields_have_the_same_components(spark, monkeypatch):
         if k[1] <= 4 and k[0] in ("long", None):
             assert np.allclose(g["loading"], w["loading"], atol=1e-8)
     assert linear.pca_long(field.where("key = 'none'"), ["key"]).count() == 0
+
+
+def test_fits_are_made_row_by_row_from_the_join_on(spark):
+    """Nothing of a station and a time is summed over rows; scores that are null or missing are left out, a time without any chosen one too."""
+    scores = spark.createDataFrame([(1, 5, 1, 2.0), (1, 5, 2, None), (1, 5, 3, 4.0), (1, 6, 2, None), (1, 7, 9, 1.0)], "month int, t int, pc int, score double")
+    models = spark.createDataFrame([(1, 10, [3, 2, 1], [0.5, 1.0, 10.0, 100.0]), (1, 11, [2], [0.5, 1.0]), (2, 12, [1], [0.5, 1.0])], "month int, id int, pc array<int>, beta array<double>")
+    made = linear.fitted(scores, models, ["month"])
+    assert {(r.id, r.t): r.fit for r in made.collect()} == {(10, 5): 204.5, (10, 6): None, (11, 5): None, (11, 6): None}
+    assert "sum(" not in made._jdf.queryExecution().optimizedPlan().toString()
