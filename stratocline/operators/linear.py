@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from stratocline.functions import scalars as S
 from stratocline.operators.moving import frame, moving_mean
@@ -219,7 +221,9 @@ MODEL = "pc array<int>, beta array<double>, n_fit int, rmse_train double, rmse_v
 
 
 MOMENTS = "n int, offset double, mu double, held array<int>, sums array<double>"
-STATION_BLOCKS = 64  # blocks that the stations of a month are dealt to
+STATION_BLOCKS = 64  # least number of blocks that the stations of a month are dealt to
+BLOCK_VALUES = 8_000  # values of a block, about
+SLICE = 256  # stations whose moments are arrays at a time
 ROLES = ("cal", "val", "test")
 
 
@@ -233,8 +237,10 @@ def moments(obs: DataFrame, scores: DataFrame, roles: dict[str, list[int]], keys
     role_years = {role: set(roles.get(role, ())) for role in ROLES}
     known = obs.where(F.col("value").isNotNull()).groupBy(*keys, "id", "year").agg(F.first("value").alias("value"))
     known = written(known.join(scores.select(*keys, "year"), [*keys, "year"], "left_semi"))
-    span = known.groupBy(*keys).agg(F.count_distinct("year").alias("years")).where(F.col("years") >= min_years)
-    rows = known.join(span, keys).withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(STATION_BLOCKS)))
+    span = known.groupBy(*keys).agg(F.count_distinct("year").alias("years"), F.count(F.lit(1)).alias("__n")).where(F.col("years") >= min_years)
+    # blocks of one size however many stations a month has
+    blocks = F.greatest(F.lit(STATION_BLOCKS), F.ceil(F.col("__n") / BLOCK_VALUES))
+    rows = known.join(span, keys).withColumn("__block", F.pmod(F.xxhash64("id"), blocks)).drop("__n")
     by = [*keys, "__block"]
     beside = scores.join(rows.select(*by).distinct(), keys).select(*[F.col(c).alias(f"s_{c}") for c in by], "year", "scores")
 
@@ -258,12 +264,20 @@ def moments(obs: DataFrame, scores: DataFrame, roles: dict[str, list[int]], keys
     return rows.repartition(tasks, *by).groupBy(*by).cogroup(beside.repartition(tasks, *other).groupBy(*other)).applyInPandas(build, schema)
 
 
-def _stacked(held, sums) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of years (stations, roles) and moments (stations, roles, size, size)."""
-    n = np.stack([np.asarray(h) for h in held])
-    m = np.stack([np.asarray(v) for v in sums])
-    size = int(round((m.shape[1] / n.shape[1]) ** 0.5))
-    return n, m.reshape(len(n), n.shape[1], size, size)
+def _slices(batches: Iterator[pa.RecordBatch], keys: list[str], min_fit: int) -> Iterator[tuple[tuple, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(key, rows, numbers of years (stations, roles), moments (stations, roles, size, size)) of ``SLICE`` stations or fewer of one key, with ``min_fit`` years to fit."""
+    for batch in batches:
+        names = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+        for key in dict.fromkeys(names):
+            own = np.flatnonzero([n == key for n in names])
+            for at in range(0, len(own), SLICE):
+                part = batch.take(pa.array(own[at : at + SLICE]))
+                n = part.column("held").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                some = np.flatnonzero(n[:, 0] >= min_fit)
+                if len(some):
+                    m = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                    size = int(round((m.shape[1] / n.shape[1]) ** 0.5))
+                    yield key, part.take(pa.array(some)), n[some], m[some].reshape(len(some), n.shape[1], size, size)
 
 
 def _solved(n: np.ndarray, m: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,23 +299,22 @@ def _solved(n: np.ndarray, m: np.ndarray, chosen: list[int]) -> tuple[np.ndarray
 
 def candidate_errors(found: DataFrame, tried: dict[tuple, list[list[int]]], keys: list[str], min_fit: int) -> dict[tuple, list[float]]:
     """The mean validation error over stations of each candidate set, for every key: one pass over the moments, partial sums by task."""
-    types = dict(found.dtypes)
     names = [*keys, "candidate", "total", "n"]
 
     def errors(batches):
         sums: dict[tuple, list[float]] = {}
-        for pdf in batches:
-            for key, own in pdf.groupby(keys):
-                own = own[[h[0] >= min_fit and h[1] >= MIN_VAL for h in own["held"]]]
-                if len(own) and key in tried:
-                    n, m = _stacked(own["held"], own["sums"])
-                    for c, chosen in enumerate(tried[key]):
-                        one = sums.setdefault((*key, c), [0.0, 0])
-                        one[0] += float(np.sqrt(_solved(n, m, chosen)[1][:, 1]).sum())
-                        one[1] += len(own)
-        yield pd.DataFrame([[*k, *v] for k, v in sums.items()], columns=names)
-
-    made = found.select(*keys, "held", "sums").mapInPandas(errors, ", ".join(f"{k} {types[k]}" for k in keys) + ", candidate int, total double, n long")
+        for key, _, n, m in _slices(batches, keys, min_fit):
+            some = n[:, 1] >= MIN_VAL
+            if some.any() and key in tried:
+                for c, chosen in enumerate(tried[key]):
+                    one = sums.setdefault((*key, c), [0.0, 0])
+                    one[0] += float(np.sqrt(_solved(n[some], m[some], chosen)[1][:, 1]).sum())
+                    one[1] += int(some.sum())
+        yield pa.RecordBatch.from_pandas(pd.DataFrame([[*k, *v] for k, v in sums.items()], columns=names), arrow, preserve_index=False)
+
+    schema = StructType([*[found.schema[k] for k in keys], StructField("candidate", IntegerType()), StructField("total", DoubleType()), StructField("n", LongType())])
+    arrow = to_arrow_schema(schema)
+    made = found.select(*keys, "held", "sums").mapInArrow(errors, schema)
     out = {key: [np.inf] * len(sets) for key, sets in tried.items()}
     for r in made.groupBy(*keys, "candidate").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
         out[tuple(r[k] for k in keys)][r["candidate"]] = r["total"] / r["n"]
@@ -343,7 +356,6 @@ def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], key
     Months with fewer than ``min_years`` common years give no models; stations with fewer
     than ``min_fit`` calibration values give none either.
     """
-    types = dict(obs.dtypes)
     columns = [*keys, "id", *[c.split()[0] for c in MODEL.split(", ")]]
     timed = field.withColumnRenamed("year", "t")
     # the starting components have shares above a tenth, so there are fewer than ten; the pool follows them
@@ -360,21 +372,19 @@ def calibrate(obs: DataFrame, field: DataFrame, roles: dict[str, list[int]], key
     chosen = select_from_moments(found, share_of, keys, min_fit)
 
     def fit(batches):
-        for pdf in batches:
+        for key, own, n, m in _slices(batches, keys, min_fit):
             rows = []
-            for key, own in pdf.groupby(keys):
-                own = own[[h[0] >= min_fit for h in own["held"]]]
-                if not len(own):
-                    continue
-                n, m = _stacked(own["held"], own["sums"])
-                betas, errors_ = _solved(n, m, chosen[key])
-                spread = m[:, 0, -1, -1] / n[:, 0] - (m[:, 0, 0, -1] / n[:, 0]) ** 2
-                for row, years, beta, (error, late, last), v in zip(own.itertuples(index=False), n[:, 0], betas, errors_, spread):
-                    ends = [None if np.isnan(e) else e**0.5 for e in (late, last)]
-                    rows.append([*key, row.id, [c + 1 for c in chosen[key]], beta.tolist(), int(years), error**0.5, *ends, 1 - error / v if v > 0 else None, error, row.mu, row.offset if log else None, float(share_of[key][chosen[key]].sum())])
-            yield pd.DataFrame(rows, columns=columns)
-
-    return found.mapInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types['id']}, {MODEL}")
+            betas, errors_ = _solved(n, m, chosen[key])
+            spread = m[:, 0, -1, -1] / n[:, 0] - (m[:, 0, 0, -1] / n[:, 0]) ** 2
+            ids, mus, offsets = (own.column(c).to_pylist() for c in ("id", "mu", "offset"))
+            for name, mu, offset, years, beta, (error, late, last), v in zip(ids, mus, offsets, n[:, 0], betas, errors_, spread):
+                ends = [None if np.isnan(e) else float(e**0.5) for e in (late, last)]
+                rows.append([*key, name, [c + 1 for c in chosen[key]], beta.tolist(), int(years), float(error**0.5), *ends, float(1 - error / v) if v > 0 else None, float(error), mu, offset if log else None, float(share_of[key][chosen[key]].sum())])
+            yield pa.RecordBatch.from_pylist([dict(zip(columns, row)) for row in rows], arrow)
+
+    schema = StructType([*[found.schema[k] for k in [*keys, "id"]], *StructType.fromDDL(MODEL).fields])
+    arrow = to_arrow_schema(schema)
+    return found.mapInArrow(fit, schema)
 
 
 def fallback_roles(years: list[int], n_val: int = 50, n_test: int = 15, seed: int = 2026) -> dict[str, list[int]]:
