@@ -95,6 +95,45 @@ def test_raster_of_many_edges(spark):
     assert got == inside and len(got) > 200
 
 
+@pytest.mark.parametrize("crowd", [1, 16, 10**6])
+def test_points_among_odd_edges_equal_parity(spark, crowd):
+    """Corners in the latitudes and longitudes of points, places and edges that stand twice, towns, both zeros, numbers that are none."""
+    rng = np.random.default_rng(11)
+    n = 300
+    places = np.vstack([rng.integers(-6, 7, (n, 2)), rng.uniform(-6, 6, (n, 2)), rng.uniform(1, 1.001, (n, 2)), np.full((40, 2), 2.0), [[-0.0, 0.0], [0.0, -0.0], [-0.0, -0.0], [np.nan, 1], [1, np.nan], [np.inf, 0], [0, -np.inf]]])
+    nodes = np.vstack([rng.integers(-6, 7, (60, 2)), rng.uniform(-6, 6, (60, 2)), rng.uniform(1, 1.001, (60, 2)), [[0.0, 0.0], [-3.0, -0.0], [3.0, 0.0], [5e-324, 2.0], [0.0, -2.0]]])
+    rings = {"a": nodes[rng.permutation(len(nodes))], "b": nodes[rng.permutation(len(nodes))], None: nodes[:7]}
+    listed = [(k, *map(float, (*a, *b))) for k, ring_ in rings.items() for a, b in zip(ring_, np.roll(ring_, -1, 0))]
+    listed += listed[:40] + listed[:9]
+    edges = spark.createDataFrame([*listed, ("a", None, 1.0, 2.0, 3.0), ("c", -6.0, None, 6.0, 3.0)], "polygon string, a_lat double, a_lon double, b_lat double, b_lon double")
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(places)] + [(9000, None, 1.0), (9001, 1.0, None)], "id int, lat double, lon double")
+    got = [(r["polygon"], r["id"]) for r in raster.points_inside(points, edges, ["polygon"], crowd=crowd).collect()]
+    want = {(k, int(i)) for k in rings for i in np.flatnonzero(parity(*places.T, [e[1:] for e in listed if e[0] == k]))}
+    assert set(got) == want and len(got) == len(want) > 300
+
+
+def test_points_meet_few_of_many_long_edges(spark):
+    """Edges from end to end of the map: hardly any is tested against a place, where all with its latitude were before."""
+    rng = np.random.default_rng(12)
+    n = 4000
+    ends = rng.uniform(0, 100, (n, 2))
+    edges = raster.edges_of(spark.createDataFrame([("far", i, float(a), float(b)) for i, (a, b) in enumerate(ends)], "polygon string, i int, lat double, lon double"), ["polygon"], "i")
+    places = rng.uniform(0, 100, (n, 2))
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(places)], "id int, lat double, lon double")
+    near = raster._met(points.select("lat", "lon"), edges, ["polygon"], 16)[1]
+    assert near.count() < n * n / 8
+    listed = [(*a, *b) for a, b in zip(ends, np.roll(ends, -1, 0))]
+    assert {r["id"] for r in raster.points_inside(points, edges, ["polygon"]).collect()} == set(np.flatnonzero(parity(*places.T, listed)).tolist())
+
+
+def test_points_of_nothing(spark):
+    edges = spark.createDataFrame([("a", 0.0, 0.0, 9.0, 9.0)], "polygon string, a_lat double, a_lon double, b_lat double, b_lon double")
+    points = spark.createDataFrame([(1, 4.0, 1.0), (2, None, 1.0)], "id int, lat double, lon double")
+    assert [tuple(r) for r in raster.points_inside(points, edges, ["polygon"]).collect()] == [("a", 1)]
+    assert raster.points_inside(points.where("id = 2"), edges, ["polygon"]).count() == 0
+    assert raster.points_inside(points, edges.where("polygon = 'b'"), ["polygon"]).count() == 0
+
+
 def test_raster_of_nothing(spark):
     edges = spark.createDataFrame([], "polygon string, a_lat double, a_lon double, b_lat double, b_lon double")
     assert raster.rasterize(edges, ["polygon"], grids.GridSpec(0.0, 1.0, 0.0, 1.0)).count() == 0
