@@ -4,20 +4,21 @@ Vectors of cosine ``c`` or more lie, at unit length, within the squared distance
 spreads any vector's length over all axes, which are then split into blocks of ``WIDTH``.  If every block of a pair exceeded its
 share of that squared distance, in proportion to its axes, so would the sum: so each pair wanted is
 within its share in some block.  Each block is a range join by its own: cells as wide as the radius on its first
-axis, a vector at home in one cell and a guest in all that its radius reaches upwards; inside a cell both sides are
+axis, each compared with itself and its neighbours; inside a cell both sides are
 sorted by the second axis, and windows of it are compared in the whole block by matrix products.  What is within a block's share is
 verified on the vectors as given, in double precision.  A pair counts in the first block that finds it.
 
-No link is lost: shares are compared with a slack far above the rounding of either precision, and the rotation is made of
-additions by axis, so that each task computes the same digits.
+No link is lost: shares are compared with a slack far above the rounding of either precision, and blocks that say which of them
+finds a pair first see the same digits.  Boxes in which many pairs are within a share are decided by products in double precision,
+but for pairs too close to a threshold for that, which are verified one by one.
 
-Scale: equal vectors are one node with a count.  A cell's homes and guests are dealt over parts of ``PART`` nodes on
-average, from exact counts of the cells, and a task holds two parts at a time, so a dense cell (a third of all rows may be near copies
-of one vector) is many even tiles.  Tiles return sums by node and the edges of a spanning forest, never pairs.
-A vector crosses the shuffle once for each block, cell and tile that it meets.  How much the blocks can leave out
-depends on the data: for directions without any structure in 64 dimensions the first axes tell little apart, most pairs of a
-block are compared (in 16 of 64 dimensions, 3 pairs in a million go on), and the work grows with the square of the number of different
-vectors, as README states.
+Scale: equal vectors are one node with a count.  Nodes are packed, ``PART`` to a row, and each two such rows meet once, in a
+Cartesian product of the written table with itself: nothing is copied for a comparison and nothing of it is shuffled, so disk grows with the
+input.  A row of that product is a tile of ``PART`` by ``PART`` nodes for all blocks and cells, whatever is dense in it; a task goes through the
+tiles of two runs of rows and returns sums by node (so a node has at most two for each run) and the edges of a spanning forest, never pairs.
+How much the blocks can leave out depends on the data: for directions without any structure in 64 dimensions the first axes tell little
+apart, most pairs of a block are compared (in 16 of 64 dimensions, 3 pairs in a million go on), and the work grows with the square of the number of
+different vectors, as README states.
 
 Edges: null vectors, those without components or of length zero, or with null or non-finite components, link with nothing.
 Vectors of different lengths (numbers of components) are never linked.  Repeated ids are rows of their own, the one id standing for all; rows with
@@ -29,27 +30,43 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocline.llm.common import cut, table
+from stratocline.llm.common import cut, discard, table
 from stratocline.llm.linking import components
 
 WIDTH = 16  # axes of a block
-PART = 8192  # nodes of a cell in one part, on average
+PART = 8192  # nodes of one packed row at most
+PART_BYTES = 16 << 20  # of their vectors
+RUNS = 16  # runs of packed rows, each two of which are a task
+RUN_BYTES = 128 << 20  # of a run's vectors on average, if that takes more runs
 ROWS, COLUMNS = 256, 1024  # of a matrix product
 SLACK = 1e-5  # beyond a block's share, for single precision
+TINY = 1e-9  # beyond a threshold, for products in double precision
+AT_ONCE = 16_384  # pairs verified in one call
+EDGES = 1_000_000  # that a task holds before it leaves out what is connected already
 _SEED = 20_240_611
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-NODES = "node long, size int, raw binary"
+_PARTS = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("nodes", pa.binary()), ("copies", pa.binary()), ("raw", pa.binary())])
 
 
-def decoded(raw: list[bytes], size: int) -> np.ndarray:
-    """Vectors (n, size) of doubles from little-endian bytes."""
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), size)
+class Part(NamedTuple):
+    """Nodes of a packed row: their numbers and copies, vectors as given, at length 1, and rotated."""
+
+    node: np.ndarray
+    copies: np.ndarray
+    given: np.ndarray
+    unit: np.ndarray
+    turned: np.ndarray
+
+
+def decoded(raw: bytes | pa.Buffer, count: int, size: int) -> np.ndarray:
+    """Vectors (count, size) of doubles from little-endian bytes of either precision."""
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * count * size else "<f8").reshape(count, size).astype(float)
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -101,10 +118,14 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of two sides, sorted by their second axis, within the squared distance ``most``."""
-    at, limit = min(1, x.shape[1] - 1), np.float32(most + SLACK)
-    reach = np.sqrt(most) + SLACK
+def radius(most: float) -> float:
+    """What two rows within the squared distance ``most`` differ by on one axis, at most."""
+    return float(np.sqrt(most + SLACK) + SLACK)
+
+
+def near_boxes(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Boxes of rows of two sides, sorted by their second axis, with some pair within the squared distance ``most``, and which are."""
+    at, limit, reach = min(1, x.shape[1] - 1), np.float32(most + SLACK), radius(most)
     a, b = (np.ascontiguousarray(v, np.float32) for v in (x, y))
     # |a - b|^2 as one product: both sides bring the squared length of the other kind of row
     aa, bb = (a * a).sum(1, keepdims=True), (b * b).sum(1, keepdims=True)
@@ -116,8 +137,7 @@ def near_pairs(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.n
             d = min(c + COLUMNS, high[e - 1])
             near = a[s:e] @ b[c:d].T <= limit
             if near.any():
-                i, j = np.nonzero(near)
-                yield i + s, j + c
+                yield slice(s, e), slice(c, d), near
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +162,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+def single(x: np.ndarray) -> bytes:
+    """Bytes of doubles, in single precision if that says all."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = x.astype("<f4")
+    return (short if (short == x).all() else x).tobytes()
+
+
 def encoded(vectors: DataFrame) -> DataFrame:
-    """(vec_id, hi, lo, size, raw) of each row: the vector as doubles and its digest; nulls for vectors that link with nothing."""
+    """(vec_id, hi, lo, size, raw) of each row: the vector's bytes and the digest of it as doubles; nulls for vectors that link with nothing."""
     kind = dict(vectors.dtypes)["vec_id"]
     names = ["vec_id", "hi", "lo", "size", "raw"]
 
@@ -151,141 +178,214 @@ def encoded(vectors: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for v in b.column(1):
-                x = None if v.as_py() is None or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype("<f8")
+                x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype("<f8")
                 if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
                     rows.append((None,) * 4)
                     continue
-                raw = (x + 0.0).tobytes()  # one zero
-                d = hashlib.blake2b(raw, digest_size=16).digest()
-                rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(x), raw))
+                x = x + 0.0  # one zero
+                d = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(x), single(x)))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
     return vectors.select("vec_id", "embedding").mapInArrow(build, f"vec_id {kind}, hi long, lo long, size int, raw binary")
 
 
-def cells(nodes: DataFrame, cosine: float, width: int = WIDTH) -> DataFrame:
-    """(node, size, block, cell, home) for the cells of each node: one at home and, in each block, as a guest those from there on within its radius."""
-    names = ["node", "size", "block", "cell", "home"]
+def packed(nodes: DataFrame) -> DataFrame:
+    """Rows of ``_PARTS`` from rows (node, size, copies, raw): vectors of one length, up to ``PART`` of them; the first node names the part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[int, int, bytes]]] = {}
+        total = 0
+
+        def done(kind: tuple[int, int]) -> pa.RecordBatch:
+            node, copies, raw = zip(*held.pop(kind))
+            row = ([node[0]], [kind[0]], *([np.array(v, np.int64).tobytes()] for v in (node, copies)), [b"".join(raw)])
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _PARTS)], schema=_PARTS)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column(1).to_numpy(zero_copy_only=False)
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                x = rotated(units(decoded(b.column(2).take(pa.array(at)).to_pylist(), int(size))))
-                for k, ((a, _), share) in enumerate(zip(spans(int(size), width), shares(int(size), cosine, width))):
-                    reach = np.sqrt(share) + SLACK
-                    cell = np.floor(x[:, a] / reach).astype(np.int64)
-                    low, high = cell, np.floor((x[:, a] + reach) / reach).astype(np.int64)
-                    count = high - low + 1
-                    who = np.repeat(np.arange(len(at)), count)
-                    guest = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(who))
-                    whose = np.concatenate([node[at], node[at[who]]])
-                    home = np.arange(len(whose)) < len(at)
-                    n = len(whose)
-                    yield pa.RecordBatch.from_arrays([pa.array(whose), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(np.concatenate([cell, guest]).astype(np.int32)), pa.array(home)], names=names)
-
-    return nodes.select("node", "size", "raw").mapInArrow(place, "node long, size int, block int, cell int, home boolean")
-
-
-def tiles(nodes: DataFrame, placed: DataFrame) -> DataFrame:
-    """(size, block, cell, i, j, home, node, raw): parts i of the homes and j of the guests of each cell.
-
-    Cells are few (coordinates lie between -1 and 1), so their counts may go to all tasks.
-    """
-    key = ["size", "block", "cell"]
-    dealt = placed.groupBy(*(F.col(c).alias(f"p_{c}") for c in key)).agg(*(F.greatest(F.ceil(F.count_if(c) / PART), F.lit(1)).cast("int").alias(n) for c, n in ((F.col("home"), "homes"), (~F.col("home"), "guests"))))
-    rows = placed.join(dealt, [F.col(c) == F.col(f"p_{c}") for c in key])
-    part = F.pmod(F.xxhash64("node", "block"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("guests")).otherwise(F.col("homes")) - 1))
-    rows = rows.select(*key, "home", "node", part.alias("part"), other.alias("other"))
-    i, j = (F.when(F.col("home") == own, F.col("part")).otherwise(F.col("other")).alias(n) for n, own in (("i", True), ("j", False)))
-    rows = rows.select(*key, i, j, "home", F.col("node").alias("t_node"))
-    return rows.join(nodes, F.col("t_node") == F.col("node")).select(*(F.col(f"`{c}`") if c != "size" else nodes["size"] for c in key), "i", "j", "home", "node", "raw", "copies")
+            for node, size, copies, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
+                kind = (size, len(raw))
+                held.setdefault(kind, []).append((node, copies, raw))
+                total += len(raw)
+                if len(held[kind]) == PART or (len(held[kind]) + 1) * len(raw) > PART_BYTES:
+                    total -= len(held[kind]) * len(raw)
+                    yield done(kind)
+                elif total > 4 * PART_BYTES:  # of many lengths
+                    yield from map(done, list(held))
+                    total = 0
+        yield from map(done, list(held))
+
+    return nodes.select("node", "size", "copies", "raw").mapInArrow(pack, "part long, size int, nodes binary, copies binary, raw binary")
+
+
+def tiles(parts: DataFrame, runs: int) -> DataFrame:
+    """Each two rows of ``_PARTS`` with vectors of one length once, and each row with itself, by runs against runs."""
+    sides = [parts.coalesce(runs).select(*(F.col(c).alias(f"{side}_{c}") for c in _PARTS.names)) for side in "xy"]
+    return sides[0].join(sides[1].hint("shuffle_replicate_nl"), (F.col("x_size") == F.col("y_size")) & (F.col("x_part") <= F.col("y_part")))
+
+
+def pairs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what is true, much sooner than ``nonzero`` where little is."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels of places after the pairs are connected: each label is the smallest place of its component."""
+    u, v = label[i], label[j]
+    apart = u != v
+    if not apart.any():
+        return label
+    to = np.arange(len(label))
+    u, v = forest(u[apart], v[apart])
+    to[u] = v
+    return to[label]
+
+
+def by_products(x: Part, y: Part, p: np.ndarray, q: np.ndarray, block: int, cosine: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows p of x and q of y: which pairs are links that ``block`` finds first, and which are too close to a threshold to say."""
+    blocks, share = spans(x.given.shape[1], width), shares(x.given.shape[1], cosine, width) + SLACK / 2
+    good, doubt = np.ones((2, len(p), len(q)), bool)
+    doubt[:] = False
+    for k, (a, b) in enumerate(blocks[: block + 1]):
+        u, v = x.turned[p, a:b], y.turned[q, a:b]
+        over = (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * (u @ v.T) - share[k]
+        doubt |= np.abs(over) < TINY
+        good &= over > 0 if k < block else over <= 0
+        if not good.any():
+            return good, doubt
+    over = x.unit[p] @ y.unit[q].T - cosine
+    doubt |= np.abs(over) < TINY
+    return good & (over >= 0) & ~doubt, doubt
+
+
+def verified(x: Part, y: Part, i: np.ndarray, j: np.ndarray, block: int, cosine: float, width: int) -> np.ndarray:
+    """Which pairs of rows are links that ``block`` finds first."""
+    share = shares(x.given.shape[1], cosine, width) + SLACK / 2
+    d = block_distances(x.turned[i], y.turned[j], width)
+    good = (d[:, block] <= share[block]) & (d[:, :block] > share[:block]).all(1)
+    own = np.flatnonzero(good)
+    good[own] = cosines(x.given[i[own]], y.given[j[own]]) >= cosine
+    return good
+
+
+def compared(x: Part, y: Part, same: bool, cosine: float, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each row of x and of y with copies of the other side's nodes, and labels of rows of both by what the links connect; ``same``: of x with itself."""
+    size, shift = x.given.shape[1], 0 if same else len(x.node)
+    found_x = np.zeros(len(x.node), np.int64)
+    found_y = found_x if same else np.zeros(len(y.node), np.int64)
+    label = np.arange(shift + len(y.node))
+    wait: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle(block: int) -> None:
+        nonlocal label
+        pairs = [np.concatenate(v) for v in zip(*wait)]
+        wait.clear()
+        for s in range(0, len(pairs[0]) if pairs else 0, AT_ONCE):
+            i, j = (v[s : s + AT_ONCE] for v in pairs)
+            good = verified(x, y, i, j, block, cosine, width)
+            i, j = i[good], j[good]
+            np.add.at(found_x, i, y.copies[j])
+            np.add.at(found_y, j, x.copies[i])
+            label = merged(label, i, j + shift)
+
+    for k, ((a, b), share) in enumerate(zip(spans(size, width), shares(size, cosine, width))):
+        sides = []
+        for v in (x.turned, y.turned):
+            cell = np.floor(v[:, a] / radius(share)).astype(np.int64)
+            order = np.lexsort((v[:, min(a + 1, b - 1)], cell))
+            sides.append((order, cell[order]))
+        (order_x, cell_x), (order_y, cell_y) = sides
+        for cell in np.unique(cell_x):
+            own = order_x[slice(*np.searchsorted(cell_x, [cell, cell + 1]))]
+            for step in (0, 1) if same else (-1, 0, 1):
+                other = order_y[slice(*np.searchsorted(cell_y, [cell + step, cell + step + 1]))]
+                for rows, columns, near in near_boxes(x.turned[own, a:b], y.turned[other, a:b], share):
+                    p, q = own[rows], other[columns]
+                    if same and step == 0:
+                        near &= x.node[p][:, None] < y.node[q]
+                    if np.count_nonzero(near) > max(64, near.size // 128):
+                        good, doubt = by_products(x, y, p, q, k, cosine, width)
+                        good, near = good & near, doubt & near
+                        if good.any():
+                            found_x[p] += good @ y.copies[q]
+                            found_y[q] += x.copies[p] @ good
+                            i, j = pairs_of(good & (label[p][:, None] != label[q + shift]))
+                            label = merged(label, p[i], q[j] + shift)
+                    i, j = pairs_of(near)
+                    if len(i):
+                        wait.append((p[i], q[j]))
+                        if sum(len(v) for v, _ in wait) >= AT_ONCE:
+                            settle(k)
+        settle(k)
+    return found_x, found_y, label
 
 
 def linked(rows: DataFrame, cosine: float, width: int = WIDTH) -> DataFrame:
-    """(node, n, other): links of a node with the copies of others (other null), and edges of spanning forests (n null), tile by tile."""
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(node, n, other): links of a node with the copies of others (other null), and edges of spanning forests (n null), from rows of ``tiles``, task by task."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
-    def compare(size: int, block: int, home: tuple, guest: tuple) -> Iterator[pa.RecordBatch]:
-        share = shares(size, cosine, width)
-        a, b = spans(size, width)[block]
-        sides = []
-        for node, raw, copies in (guest, home):
-            given = decoded(raw, size)
-            x = rotated(units(given))
-            order = np.argsort(x[:, min(a + 1, b - 1)], kind="stable")
-            sides.append((np.array(node, np.int64)[order], given[order], x[order], np.array(copies, np.int64)[order]))
-        (n_x, g_x, x, c_x), (n_y, g_y, y, c_y) = sides
-        found_x, found_y = np.zeros(len(n_x), np.int64), np.zeros(len(n_y), np.int64)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by part
         edges: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for i, j in near_pairs(x[:, a:b], y[:, a:b], share[block]):
-            # each pair once: the guest comes first on the block's first axis
-            keep = (x[i, a] < y[j, a]) | ((x[i, a] == y[j, a]) & (n_x[i] < n_y[j]))
-            i, j = i[keep], j[keep]
-            for s in range(0, len(i), 16_384):
-                p, q = i[s : s + 16_384], j[s : s + 16_384]
-                d = block_distances(x[p], y[q], width)
-                # found in this block, and in none before it
-                own = (d[:, block] <= share[block] + SLACK) & (d[:, :block] > share[:block] + SLACK).all(1)
-                own &= d.sum(1) <= 2 - 2 * cosine + SLACK
-                p, q = p[own], q[own]
-                good = cosines(g_x[p], g_y[q]) >= cosine if len(p) else np.zeros(0, bool)
-                p, q = p[good], q[good]
-                if len(p):
-                    np.add.at(found_x, p, c_y[q])
-                    np.add.at(found_y, q, c_x[p])
-                    edges.append((n_x[p], n_y[q]))
-                    held += len(p)
-                    if held > 1_000_000:
-                        edges = [forest(*(np.concatenate(e) for e in zip(*edges)))]
-                        held = len(edges[0][0])
-        for node, n in ((n_x, found_x), (n_y, found_y)):
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.nulls(len(some), pa.int64())], schema=schema)
-        if edges:
-            u, v = forest(*(np.concatenate(e) for e in zip(*edges)))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(v)], schema=schema)
+        turns: dict[int, np.ndarray] = {}  # the rotation by length
+        last: tuple[int | None, Part | None] = (None, None)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, sides = None, {}
+        def opened(size: int, *held: pa.BinaryScalar) -> Part:
+            nodes, copies, raw = (v.as_buffer() for v in held)
+            node, copies = np.frombuffer(nodes, np.int64), np.frombuffer(copies, np.int64)
+            given = decoded(raw, len(node), size)
+            unit = units(given)
+            if size not in turns:
+                turns[size] = rotated(np.eye(size))
+            return Part(node, copies, given, unit, unit @ turns[size])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(sides.get(True, ((),))[0]) and len(sides.get(False, ((),))[0]):
-                yield from compare(name[0], name[1], sides[True], sides[False])
+        def fewer() -> tuple[np.ndarray, np.ndarray]:
+            return forest(*(np.concatenate(e) for e in zip(*edges)))
 
         for b in batches:
-            names = list(zip(*(b.column(i).to_pylist() for i in range(5))))
-            for row, home, node, raw, copies in zip(names, *(b.column(i).to_pylist() for i in range(5, 9))):
-                if row != name:
-                    yield from done()
-                    name, sides = row, {True: ([], [], []), False: ([], [], [])}
-                for held, value in zip(sides[home], (node, raw, copies)):
-                    held.append(value)
-        if name is not None:
-            yield from done()
+            for x_part, size, *x_held, y_part, _, y_nodes, y_copies, y_raw in zip(*b.columns):
+                x_part, y_part, size = x_part.as_py(), y_part.as_py(), size.as_py()
+                if last[0] != x_part:  # a row meets all others of a run one after the other
+                    last = (x_part, opened(size, *x_held))
+                x = last[1]
+                y = x if x_part == y_part else opened(size, y_nodes, y_copies, y_raw)
+                found_x, found_y, label = compared(x, y, x is y, cosine, width)
+                for part, side, found in ((x_part, x, found_x), (y_part, y, found_y))[: 1 if x is y else 2]:
+                    node, n = tally.setdefault(part, (np.array(side.node), np.zeros(len(side.node), np.int64)))
+                    n += found
+                nodes = x.node if x is y else np.concatenate([x.node, y.node])
+                other = np.flatnonzero(label != np.arange(len(label)))
+                edges.append((nodes[other], nodes[label[other]]))
+                if sum(len(e) for e, _ in edges) > EDGES:
+                    edges = [fewer()]
+        for node, n in tally.values():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.nulls(len(some), pa.int64())], schema=schema)
+        if edges:
+            u, v = fewer()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(v)], schema=schema)
 
-    tile = ("size", "block", "cell", "i", "j")
-    return rows.repartition(spread, *tile).sortWithinPartitions(*tile).select(*tile, "home", "node", "raw", "copies").mapInArrow(join, "node long, n long, other long")
+    return rows.mapInArrow(join, "node long, n long, other long")
 
 
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, width: int = WIDTH) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding)."""
-    rows = cut(encoded(vectors))
+    rows = encoded(vectors)  # written nowhere: made again for the result
     alike = rows.where(F.col("hi").isNotNull()).groupBy("hi", "lo").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("raw").alias("raw"))
     nodes = cut(alike.select(F.monotonically_increasing_id().alias("node"), "*"))
-    # what each cell holds is asked twice
-    placed = cut(cells(nodes, cosine, width))
-    found = cut(linked(tiles(nodes.select("node", "size", "raw", "copies"), placed), cosine, width))
+    count, axes = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    full = max(1, -(-count // PART), -(-8 * axes // PART_BYTES))  # packed rows
+    runs = max(min(full, RUNS), -(-8 * axes // RUN_BYTES))
+    parts = cut(packed(nodes).repartition(runs))
+    found = cut(linked(tiles(parts, runs), cosine, width))
+    discard(parts)
     comps = components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.where(F.col("n").isNotNull()).groupBy(F.col("node").alias("l_node")).agg(F.sum("n").alias("links"))
     known = nodes.drop("raw").join(links, F.col("node") == F.col("l_node"), "left").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     known = cut(known.select(F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp")))
+    for old in (nodes, found):
+        discard(old)
     known = known.join(known.groupBy(F.col("comp").alias("m_comp")).agg(F.min("first").alias("component")), F.col("comp") == F.col("m_comp"))
     out = rows.drop("raw").join(known.select("k_hi", "k_lo", "n_links", "component"), (F.col("hi") == F.col("k_hi")) & (F.col("lo") == F.col("k_lo")), "left")
     component = F.when(F.col("hi").isNull(), F.col("vec_id")).otherwise(F.col("component"))

@@ -187,6 +187,73 @@ def test_some_block_holds_its_share():
     assert near.sum() > 20 and (d <= embedding_join.shares(64, 0.9) + 1e-9).any(1).all()
 
 
+def test_comparing_vectors_moves_no_more_than_the_input(spark, monkeypatch):
+    """Bytes shuffled follow the vectors, not the pairs of parts, and are few times theirs."""
+    monkeypatch.setattr(embedding_join, "PART", 40)
+    monkeypatch.setattr(embedding_join, "RUNS", 4, raising=False)
+    context = spark.sparkContext._jsc.sc()
+
+    def moved(n):
+        rows = [(i, v) for i, v in enumerate(np.random.default_rng(n).normal(size=(n, 64)).tolist())]
+        df = embedding_join.cut(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        seen = -1
+        for after in (False, True):
+            if after:
+                assert embedding_join.near_vectors(df).count() == n
+            context.listenerBus().waitUntilEmpty()
+            listed = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+            stages = [listed.apply(k) for k in range(listed.size())]
+            if not after:
+                seen = max(x.stageId() for x in stages)
+        return sum(x.shuffleWriteBytes() for x in stages if x.stageId() > seen)
+
+    few, many = moved(300), moved(1200)
+    assert many < 5 * few and many < 3 * 1200 * 64 * 8
+
+
+def test_links_among_many_near_vectors_equal_products(spark):
+    """Boxes full of pairs on both sides of the threshold, pairs in a few places of large boxes, and both in one part."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 64))
+    x[:700] = x[0] + rng.uniform(0.2, 0.4, (700, 1)) * rng.normal(size=(700, 64))
+    for k in range(700, 1300):
+        x[k] = x[k + 600] + 0.4 * rng.normal(size=64)
+    x[1300:1310] = x[5]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    c = u @ u.T
+    assert np.abs(c - 0.9).min() > 1e-9
+    n = (c >= 0.9).sum(1) - 1
+    assert 100_000 < n[:700].sum() < 400_000 and 200 < (n[700:1300] > 0).sum() < 600
+    got = embedding_join.near_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == n.tolist()
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[row].min() for row in c >= 0.9])
+        if (new == label).all():
+            break
+        label = new
+    assert [r["component_id"] for r in got] == label.tolist()
+
+
+def test_link_just_beyond_one_block_counts_in_the_next(spark):
+    """Two vectors that differ on the second axis only, a little more than the first block's share allows, others between them there."""
+    turn = embedding_join.rotated(np.eye(64))
+    apart = np.sqrt(embedding_join.shares(64, 0.9)[0] + 0.9 * embedding_join.SLACK)
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(embedding_join.ROWS + 1, 64))
+    z[-1] = z[0]
+    first, second = np.full(len(z), 0.05), rng.uniform(0.001 - apart / 2, apart / 2 - 0.001, len(z))
+    first[-1] -= 1e-9
+    second[[0, -1]] = -apart / 2, apart / 2
+    z[:, :2] = 0
+    z *= (np.sqrt(1 - first**2 - second**2) / np.linalg.norm(z, axis=1))[:, None]
+    z[:, 0], z[:, 1] = first, second
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(z @ turn.T)]
+    wanted = brute(rows)
+    assert [r for r in wanted if r[1]] == [(0, 1, 0, True), (embedding_join.ROWS, 1, 0, False)]
+    assert by_row(embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == wanted
+
+
 def test_forest_connects_what_pairs_connect():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 60, (2, 70))
