@@ -9,6 +9,7 @@ from Chebyshev traces, estimated by seeded probes over sparse products.  (I - la
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ LENGTHS_KM = (25.0, 50.0, 75.0, 100.0)
 LAMBDA_BOUNDS = (0.0, 0.9)
 SHRINK, PENALTY = 1.01, 0.1
 REACH_LENGTHS = 7.0  # beyond it a kernel is below 1e-10
+TILE, STRIPS, FILLED = 2048, 4, 256  # most stations of a packed row; strips of a square that its rows follow; stations of a square worth a row
+SLAB = 1 << 15  # pairs of stations that a task weighs, and sends, at a time
+SPREAD, FEW = 8, 512  # tasks a core among which packed rows meet; packed rows, of 64 kB at most, up to which they are broadcast
 BLOCK = 32  # times in one task's block
 PAIRS = 8_000_000  # most pairs of stations in squares side by side that a task lists
 SIDE, NODES = 2.0, 18  # lengths of a box's side; its nodes in either direction: interpolation errs by less than 1e-12
@@ -40,31 +45,187 @@ RESIDUAL = 1e-11  # of a solve, relative to its right side
 COARSE, FINE, REACH, EDGE, MIN_SERIES = 39, 21, 0.1, 0.99, 12
 
 
+def _known(stations: DataFrame, keys: list[str], length: Column) -> DataFrame:
+    """(keys, id, x, y, h) of stations that have a place."""
+    infinite = F.lit(float("inf"))
+    rows = stations.select(*keys, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), length.cast("double").alias("h"))
+    return rows.where(F.col("id").isNotNull() & (F.abs("x") < infinite) & (F.abs("y") < infinite)).dropna(subset=[*keys, "h"])
+
+
+def _wide(rows: DataFrame, keys: list[str], reach: float) -> float:
+    """How many times reach * h a square's side is, so that where stations are scattered a square has some ``FILLED`` of them."""
+    squares = rows.groupBy(*keys, *[F.floor(F.col(c) / (F.col("h") * reach)).alias(f"c{c}") for c in "xy"]).agg(F.count(F.lit(1)).alias("n"))
+    occupied, stations = squares.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return float(np.ceil(max(1.0, FILLED * occupied / stations) ** 0.5)) if occupied else 1.0
+
+
+def _packed(rows: DataFrame, keys: list[str], reach: float, wide: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cx, cy, h, tile, x0, x1, y0, y1, arrays of id, x, y, more): stations (keys, id, x, y, more, h) of a square, ``TILE`` at most to a row.
+
+    A square's side is wide * reach * h.  Its stations follow each other by strips of it, so that the more they are, the smaller is a row's box.
+    """
+    side = F.col("h") * reach * wide
+    order = [*keys, "cx", "cy", "strip", "y"]
+    placed = rows.select(*keys, F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), "h", F.floor(F.col("x") / side * STRIPS).alias("strip"), "id", "x", "y", *more)
+    types, by, arrays = dict(placed.dtypes), [*keys, "cx", "cy"], ["id", "x", "y", *more]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, "h"]] + ["tile long, x0 double, x1 double, y0 double, y1 double"] + [f"{c} array<{types[c]}>" for c in arrays])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, []
+        for batch in itertools.chain(batches, [None]):
+            held += [batch] if batch is not None and len(batch) else []
+            if not held:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            new = np.arange(len(table)) == 0
+            for c in by if len(table) > 1 else ():
+                new[1:] |= pa.compute.not_equal(table[c][1:], table[c][:-1]).to_numpy()
+            first = np.flatnonzero(new)
+            starts = np.flatnonzero((np.arange(len(table)) - np.repeat(first, np.diff(np.append(first, len(table))))) % TILE == 0)
+            held = []
+            if batch is not None:  # the last packed row may go on in the next batch
+                held, table, starts = table.slice(starts[-1]).to_batches(), table.slice(0, starts[-1]), starts[:-1]
+            if len(starts):
+                bounds = pa.array(np.append(starts, len(table)).astype(np.int32))
+                out = {c: table[c].take(pa.array(starts)).combine_chunks() for c in [*by, "h"]} | {"tile": pa.array(number + np.arange(len(starts)))}
+                out |= {f"{c}{n}": pa.array(f.reduceat(table[c].to_numpy(), starts)) for c in "xy" for n, f in enumerate((np.minimum, np.maximum))}
+                out |= {c: pa.ListArray.from_arrays(bounds, table[c].combine_chunks()) for c in arrays}
+                number += len(starts)
+                yield pa.RecordBatch.from_pydict(out)
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(pack, schema))
+
+
+def _met(tiles: DataFrame, keys: list[str], reach: float, more: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """(keys, h, i_..., j_...): any two rows of ``_packed`` whose boxes are within reach, dealt evenly over tasks; ``once``: in one order only."""
+    box = ["tile", "x0", "x1", "y0", "y1"]
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("n")
+    here = tiles.select(*keys, "cx", "cy", "h", *[F.col(c).alias(f"i_{c}") for c in box])
+    there = tiles.select(*keys, "cx", "cy", *[F.col(c).alias(f"j_{c}") for c in box], around)
+    there = there.select(*keys, (F.col("cx") + F.col("n.a")).alias("cx"), (F.col("cy") + F.col("n.b")).alias("cy"), *[f"j_{c}" for c in box])
+    gap = [F.greatest(F.col(f"j_{c}0") - F.col(f"i_{c}1"), F.col(f"i_{c}0") - F.col(f"j_{c}1"), F.lit(0.0)) for c in "xy"]
+    side = F.col("h") * reach
+    near = here.join(there, [*keys, "cx", "cy"]).where((gap[0] * gap[0] + gap[1] * gap[1] <= side * side) & (F.col("i_tile") <= F.col("j_tile") if once else F.lit(True)))
+    n, stations = tiles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("id")), F.lit(0))).first()
+    few, spread = n <= FEW, max(1, min(SPREAD * tiles.sparkSession.sparkContext.defaultParallelism, stations * stations // PAIRS))
+    near = near.select(*keys, "h", "i_tile", "j_tile").repartition(spread, "i_tile", "j_tile")
+    for a, arrays in (("i", ("id", "x", "y", *more)), ("j", ("id", "x", "y"))):
+        own = tiles.select(F.col("tile").alias(f"{a}_tile"), *[F.col(c).alias(f"{a}_{c}") for c in arrays])
+        near = near.join(F.broadcast(own) if few else own, f"{a}_tile")
+    return near
+
+
+def _each(batch: pa.RecordBatch, n: int, names: list[str]) -> list[np.ndarray]:
+    """The arrays of row ``n`` of ``_met``."""
+    return [batch[c][n].values.to_numpy(zero_copy_only=False) for c in names]
+
+
+def _slabs(ix: np.ndarray, iy: np.ndarray, jx: np.ndarray, jy: np.ndarray, shared: tuple[np.ndarray, np.ndarray] | None, side: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray | None]]:
+    """(some of the first stations, squared distances from all of the others, which of them are neighbours: None where all are).
+
+    ``shared``: the others' ids beside the first ones', where any is the same.
+    """
+    far = [max(a.max() - b.min(), b.max() - a.min()) for a, b in ((ix, jx), (iy, jy))]
+    inside = shared is None and far[0] * far[0] + far[1] * far[1] <= side * side
+    step = max(1, SLAB // len(jx))
+    for at in range(0, len(ix), step):
+        some = slice(at, min(at + step, len(ix)))
+        d2, dy = ix[some, None] - jx, iy[some, None] - jy
+        d2 *= d2
+        dy *= dy
+        d2 += dy
+        near = None if inside else d2 <= side * side
+        if shared is not None:
+            near &= shared[0][some, None] != shared[1]
+        yield some, d2, near
+
+
+def _rows(met: DataFrame, keys: list[str], reach: float, value: Callable, more: str | None, name: str) -> DataFrame:
+    """(keys, i, j, ``name``) of all neighbours in ``_met``: ``value(kernel, the first station's number of more)``."""
+    types = dict(met.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{c} {types[f'{c}_id'].removeprefix('array<')[:-1]}" for c in "ij"] + [f"{name} double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                h = batch["h"][n].as_py()
+                i, ix, iy, j, jx, jy = _each(batch, n, ["i_id", "i_x", "i_y", "j_id", "j_x", "j_y"])
+                own = _each(batch, n, [f"i_{more}"])[0] if more else np.ones(len(i))
+                kinds = [batch[c].type.value_type for c in ("i_id", "j_id")]
+                for some, d2, near in _slabs(ix, iy, jx, jy, (i, j) if np.isin(i, j).any() else None, h * reach):
+                    if near is None:
+                        counts, to, of = len(j), np.tile(j, len(d2)), d2.ravel()
+                    else:
+                        counts, to, of = np.count_nonzero(near, axis=1), np.broadcast_to(j, d2.shape)[near], d2[near]
+                    if len(to):
+                        of /= -2 * h * h
+                        np.exp(of, out=of)
+                        w = value(of, np.repeat(own[some], counts))
+                        fixed = [pa.repeat(batch[k][n], len(to)) for k in keys]
+                        yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.repeat(i[some], counts), kinds[0]), pa.array(to, kinds[1]), pa.array(w)], names=[*keys, "i", "j", name])
+
+    return met.mapInArrow(run, schema)
+
+
 def kernel(stations: DataFrame, keys: list[str], length: Column, reach: float = REACH_LENGTHS) -> DataFrame:
     """(keys, i, j, k): exp(-d2 / 2 h2) of stations (keys, id, x, y) within ``reach`` lengths of each other.
 
-    ``length`` is constant for equal keys.  Neighbours meet by the squares of side reach * length that they lie in, so the
-    join is on equal keys and a station meets only those of nine squares.
+    ``length`` is constant for equal keys.  Stations are packed by squares of side reach * length or more that they lie in; packed rows of
+    squares side by side meet, so that no pair of stations is shuffled and a crowded square is spread over tasks.
     """
-    rows = stations.withColumn("__h", length.cast("double"))
-    side = F.col("__h") * reach
-    square = [F.floor(F.col(c) / side).alias(f"c{c}") for c in "xy"]
-    here = rows.select(*keys, "__h", F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *square)
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("n")
-    there = rows.select(*keys, F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *square, around)
-    there = there.select(*keys, "j", "xj", "yj", (F.col("cx") + F.col("n.a")).alias("cx"), (F.col("cy") + F.col("n.b")).alias("cy"))
-    d2 = F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2)
-    near = here.join(there, [*keys, "cx", "cy"]).where((F.col("i") != F.col("j")) & (d2 <= side * side))
-    return near.select(*keys, "i", "j", F.exp(-d2 / (2 * F.col("__h") * F.col("__h"))).alias("k"))
+    rows = _known(stations, keys, length)
+    tiles = _packed(rows, keys, reach, _wide(rows, keys, reach))
+    return _rows(_met(tiles, keys, reach), keys, reach, lambda k, _: k, None, "k")
+
 
+def _totals(met: DataFrame, reach: float) -> DataFrame:
+    """(id, total): sums of the kernel over the neighbours of an id, from packed rows that met once; they leave a task added within a row."""
+    kind = dict(met.dtypes)["i_id"].removeprefix("array<")[:-1]
 
-def gaussian_weights(stations: DataFrame, length: float, reach: float = REACH_LENGTHS) -> DataFrame:
-    """(i, j, w) of one network of stations (id, x, y): the kernel with rows that sum to 1 / 1.01.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                h, same = batch["h"][n].as_py(), batch["i_tile"][n] == batch["j_tile"][n]
+                i, ix, iy, j, jx, jy = _each(batch, n, ["i_id", "i_x", "i_y", "j_id", "j_x", "j_y"])
+                sums, met = [np.zeros(len(i)), np.zeros(len(j))], [np.zeros(len(i), bool), np.zeros(len(j), bool)]
+                for some, d2, near in _slabs(ix, iy, jx, jy, (i, j) if np.isin(i, j).any() else None, h * reach):
+                    d2 /= -2 * h * h
+                    np.exp(d2, out=d2)
+                    if near is not None:
+                        d2 *= near
+                    sums[0][some], met[0][some] = d2.sum(1), True if near is None else near.any(1)
+                    sums[1] += d2.sum(0)
+                    met[1] |= True if near is None else near.any(0)
+                for ids, k, some in list(zip((i, j), sums, met))[: 1 if same else 2]:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some], batch["i_id"].type.value_type), pa.array(k[some])], names=["id", "k"])
+
+    return met.mapInArrow(run, f"id {kind}, k double").groupBy("id").agg(F.sum("k").alias("total"))
+
+
+def gaussian_weights(stations: DataFrame, length: float, reach: float = REACH_LENGTHS, digits: int | None = None) -> DataFrame:
+    """(i, j, w) of one network of stations (id, x, y): the kernel with rows that sum to 1 / 1.01, rounded to ``digits`` as ``scalars.half_even`` does.
 
     The shrinkage follows the spectral radius 1 that any station with a neighbour implies; a station without one has no rows.
+    The kernel is made twice, for its sums and for the rows, so that its pairs, whose number grows with the square of a crowded network's
+    stations, neither cross a shuffle nor are held.
     """
-    total = F.sum("k").over(Window.partitionBy("i"))
-    return kernel(stations, [], F.lit(length), reach).select("i", "j", (F.col("k") / total / SHRINK).alias("w"))
+    rows = _known(stations, [], F.lit(length))
+    wide = _wide(rows, [], reach)
+    totals = written(_totals(_met(_packed(rows, [], reach, wide), [], reach, once=True), reach))
+    tiles = _packed(rows.join(totals, "id"), [], reach, wide, ("total",))
+    scale = None if digits is None else float(10**digits)
+
+    def weigh(k: np.ndarray, total: np.ndarray) -> np.ndarray:
+        total *= SHRINK
+        k /= total
+        if scale is not None:
+            k *= scale
+            np.rint(k, out=k)
+            k /= scale
+        return k
+
+    return _rows(_met(tiles, [], reach, ("total",)), [], reach, weigh, "total", "w")
 
 
 def dense_weights(xy: np.ndarray, length: float) -> np.ndarray:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -426,3 +428,57 @@ def test_fits_are_made_row_by_row_from_the_join_on(spark):
     made = linear.fitted(scores, models, ["month"])
     assert {(r.id, r.t): r.fit for r in made.collect()} == {(10, 5): 204.5, (10, 6): None, (11, 5): None, (11, 6): None}
     assert "sum(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("tile, few, text", [(7, 512, False), (5, 0, True), (2048, 512, False)])
+def test_weights_of_packed_rows_equal_plain_loops(spark, monkeypatch, tile, few, text):
+    monkeypatch.setattr(noise, "TILE", tile)
+    monkeypatch.setattr(noise, "FEW", few)
+    rng = np.random.default_rng(23)
+    # two crowds, lattice points at exactly the reach, ids that stand twice, stations without a place
+    xy = np.vstack([rng.normal(0, 3, (40, 2)), rng.normal((70, -50), 9, (40, 2)), [(18.0 * a, 24.0 * b) for a in range(-2, 3) for b in range(-2, 3)], [(400.0, 400.0)]])
+    rows = [(str(n % 97) if text else n % 97, float(x), float(y)) for n, (x, y) in enumerate(xy)]
+    kind = "string" if text else "bigint"
+    s = spark.createDataFrame([*rows, (None, 1.0, 1.0), (rows[3][0], None, 2.0), (rows[4][0], 2.0, float("nan"))], f"id {kind}, x double, y double")
+    pairs = [(i, j, math.exp(-((x - u) ** 2 + (y - v) ** 2) / 50)) for i, x, y in rows for j, u, v in rows if i != j and (x - u) ** 2 + (y - v) ** 2 <= 900]
+    total = {}
+    for i, _, k in pairs:
+        total[i] = total.get(i, 0.0) + k
+    got = noise.gaussian_weights(s, 5.0, 6.0)
+    assert dict(got.dtypes) == {"i": kind, "j": kind, "w": "double"}
+    got = sorted(tuple(r) for r in got.collect())
+    want = sorted((i, j, k / total[i] / 1.01) for i, j, k in pairs)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-12, atol=0)
+    # two networks with lengths of their own
+    two = s.withColumn("net", F.lit("a")).union(s.withColumn("net", F.lit("b")))
+    made = noise.kernel(two, ["net"], F.when(F.col("net") == "a", 5.0).otherwise(2.5), 6.0).collect()
+    for net, h in (("a", 5.0), ("b", 2.5)):
+        one = sorted((i, j, math.exp(-((x - u) ** 2 + (y - v) ** 2) / (2 * h * h))) for i, x, y in rows for j, u, v in rows if i != j and (x - u) ** 2 + (y - v) ** 2 <= (6 * h) ** 2)
+        own = sorted((r.i, r.j, r.k) for r in made if r.net == net)
+        assert [r[:2] for r in own] == [r[:2] for r in one] and np.allclose([r[2] for r in own], [r[2] for r in one], rtol=1e-12, atol=0)
+
+
+def test_pairs_of_weights_cross_no_shuffle(spark):
+    """What makes the pairs is the last step: no window, sort or exchange of theirs comes after it."""
+    s = spark.createDataFrame([(i, float(i % 20), float(i // 20)) for i in range(200)], "id int, x double, y double")
+    plan = noise.gaussian_weights(s, 5.0, 6.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow") and "Window" not in plan
+
+
+def test_scattered_stations_are_packed_together(spark):
+    rng = np.random.default_rng(24)
+    xy = rng.uniform(-400, 400, size=(500, 2))
+    s = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(xy)], "id int, x double, y double")
+    rows = noise._known(s, [], F.lit(5.0))
+    wide = noise._wide(rows, [], 6.0)
+    assert wide > 10 and noise._packed(rows, [], 6.0, wide).count() < 20
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(-1)
+    want = {(i, j): math.exp(-d2[i, j] / 50) for i, j in zip(*np.nonzero((d2 <= 900) & ~np.eye(500, dtype=bool)))}
+    got = {(r.i, r.j): r.k for r in noise.kernel(s, [], F.lit(5.0), 6.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_networks_without_neighbours_have_no_weights(spark):
+    none = spark.createDataFrame([], "id int, x double, y double")
+    far = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e4, 0.0)], "id int, x double, y double")
+    assert [noise.gaussian_weights(s, 5.0).count() for s in (none, far)] == [0, 0]
